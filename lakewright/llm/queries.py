@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_dedup, substring_dedup
+from . import packing, simhash_dedup, substring_dedup
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public vocabulary file; it is the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(spark, _read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.simhash_components(spark, _read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -22,5 +34,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_simhash_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
