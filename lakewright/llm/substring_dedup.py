@@ -300,7 +300,8 @@ def substring_dedup(
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
             text = batch.column("text")
             if not with_text:
-                text = pa.compute.if_else(pa.compute.is_valid(batch.column("halves")), text, pa.scalar(None, text.type))
+                hit = pa.compute.is_valid(batch.column("halves")).to_pylist()
+                text = pa.array([text[i].as_py() if h else None for i, h in enumerate(hit)], text.type)
             cols = [batch.column("doc_id"), text, batch.column("halves"), *(batch.column(c) for c in kept_cols), pa.array(counts, pa.int64()), pa.array(shas)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "halves", *kept_cols, "n_words", "sha"])
 
@@ -323,8 +324,7 @@ def substring_dedup(
             cols = [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
             if with_text:
                 if kept:
-                    at = pa.array([i in kept for i in range(batch.num_rows)])
-                    text = pa.compute.replace_with_mask(text, at, pa.array([kept[i] for i in sorted(kept)], text.type))
+                    text = pa.array([kept[i] if i in kept else text[i].as_py() for i in range(batch.num_rows)], text.type)
                 cols.append(text)
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(c) for c in kept_cols)], names=[f.split(" ")[0].strip("`") for f in out])
 
