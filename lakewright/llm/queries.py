@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash_dedup, substring_dedup
+from . import language_id, packing, simhash_dedup, substring_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,10 +29,17 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = language_id.train(spark, docs.filter(~language_id.held_out()))
+    found = language_id.identify(spark, docs.withColumn("held_out", language_id.held_out()), model, keep=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "languages", "shares")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(spark, _read(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_simhash_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_simhash_dedup, op4_language_id, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
