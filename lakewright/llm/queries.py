@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, packing, simhash_dedup, substring_dedup, topk_search
+from . import embedding_dedup, language_id, license_scan, packing, simhash_dedup, substring_dedup, topk_search
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +36,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "languages", "shares")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(spark, _read(spark, sf_dir, "embeddings"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.license_scan(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -50,5 +54,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_simhash_dedup, op4_language_id, op6_license_scan, op7_topk_search, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_simhash_dedup, op4_language_id, op5_embedding_dedup, op6_license_scan, op7_topk_search, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
