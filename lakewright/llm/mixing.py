@@ -170,3 +170,19 @@ placed AS (
   SELECT o.*, s.gets - s.tokens * o.epoch - coalesce(sum(o.n_tokens) OVER (PARTITION BY o.domain, o.lang, o.source, o.epoch ORDER BY h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
   FROM ordered o JOIN sources s USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, epoch::INT AS epoch, n_tokens::BIGINT AS n_tokens, least(n_tokens, room)::BIGINT AS take_tokens FROM placed WHERE room > 0"""
+
+
+def select_mixture(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The documents of one epoch's mixture, with their columns; the last of a leaf is cut to its tokens.
+
+    Rows that share an id are taken or left by their token counts, so each is in at most as often as it was.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    scratch = Scratch(spark, "mixture")
+    taken = mix(spark, docs, epochs=1, **options).select(F.col("doc_id").alias("_id"), F.col("n_tokens").alias("_n"), F.col("take_tokens").alias("_take"))
+    taken = scratch.table(taken.groupBy("_id", "_n").agg(F.max("_take").alias("_take")))
+    text = F.col(f"`{text_col}`")
+    count = F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), 1, F.col("_take").cast("int")), " ")
+    joined = docs.join(taken, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (count == F.col("_n")))
+    return joined.withColumn(text_col, F.when(F.col("_take") < F.col("_n"), cut).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, license_scan, mixing, packing, simhash_dedup, substring_dedup, topk_search, url_filter
+from . import embedding_dedup, language_id, license_scan, mixing, packing, simhash_dedup, substring_dedup, token_counts, topk_search, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,12 +57,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, _read(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits to every document: a cut in its first third, an insertion in the middle, another end."""
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    edit = lambda pos, cut, put: F.struct(pos.cast("long").alias("pos"), F.lit(cut).cast("long").alias("cut"), put.alias("put"))
+    edits = F.array(
+        edit(F.floor(size / 3), 40, F.lit("")),
+        edit(F.floor(size / 2), 0, F.concat(F.lit(" revision "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" of this passage\n"))),
+        edit(F.greatest(size - 50, F.lit(0)), 12, F.lit("closing words.")),
+    )
+    docs = _read(spark, sf_dir, "documents").withColumn("edits", edits)
+    return token_counts.count_tokens(docs, tokenizer_path("word_bpe_49k.json"), edits_col="edits", with_text=False)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(spark, _read(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash_dedup, op4_language_id, op5_embedding_dedup, op6_license_scan, op7_topk_search, op8_mixing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash_dedup, op4_language_id, op5_embedding_dedup, op6_license_scan, op7_topk_search, op8_mixing, op9_token_counts, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.oracle_sql(),
     "op8_mixing": mixing.oracle_sql(),

@@ -21,7 +21,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._graph import components, forest
@@ -194,3 +194,34 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     found = components(links(fps, budget, scratch), scratch).withColumnRenamed("node", "rep")
     named = scratch.table(fps.join(found, "rep", "left").select(F.col("fp").alias("fp"), F.coalesce("component", "rep").alias("component_id")))
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
+    """docs with one document of each component: the one of the smallest id.
+
+    Of rows that share that id, the one of the smallest text stays (null first). A row without an id goes
+    if a document with an id shares its fingerprint, and stays otherwise.
+    """
+    scratch = Scratch(spark, "simhash-kept")
+    marked = scratch.table(simhash_components(spark, docs, id_col, text_col, width, budget))
+    gone = marked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    same = scratch.table(marked.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"))
+    key = F.col(f"`{id_col}`").cast("long")
+    kept = docs.join(gone, key == F.col("_id"), "left_anti")
+    if not same.isEmpty():
+        several = kept.join(same, key == F.col("_id"), "left_semi")
+        first = Window.partitionBy(key).orderBy(F.col(f"`{text_col}`").asc_nulls_first())
+        several = several.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
+        kept = kept.join(same, key == F.col("_id"), "left_anti").unionByName(several)
+    nameless = marked.filter("doc_id IS NULL")
+    if not nameless.isEmpty():
+        # their fingerprints again, next to their columns: such rows are few, and nothing else tells them apart
+        plain = kept.filter(key.isNull())
+        taken = marked.filter("doc_id IS NOT NULL").select("fp").distinct()
+        fields = [f.name for f in docs.schema]
+        packed = plain.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("_row"), F.col(f"`{text_col}`").alias("text"))
+        own = packed.withColumn("doc_id", F.monotonically_increasing_id())
+        own = scratch.table(own)
+        fresh = own.join(fingerprints(own, "doc_id", "text", width), "doc_id").join(taken, "fp", "left_anti").select("_row.*")
+        kept = kept.filter(key.isNotNull()).unionByName(fresh)
+    return kept
