@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import slices
+from ._work import lean, slices
 
 #: Gram slots, and slots that are summed by one task of the exchange.
 SLOTS = 1 << 16
@@ -116,7 +116,7 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 19):
             slots, first = grams(batch.column("text").to_pylist())
             lang = np.array(batch.column("lang").to_pylist(), object)
             of = np.repeat(np.arange(batch.num_rows), np.diff(first))
@@ -137,7 +137,7 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "part", "counts"])
 
     schema = "lang string, part int, counts binary"
-    summed = rows.mapInArrow(count, schema).repartition("lang", "part").mapInArrow(add, schema).persist()
+    summed = rows.mapInArrow(lean(count), schema).repartition("lang", "part").mapInArrow(lean(add), schema).persist()
     try:
         names = [r[0] for r in summed.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
         if len(names) > MOST_LANGUAGES:
@@ -165,7 +165,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             slots, first = grams(batch.column("text").to_pylist())
             preds, scores, sets, shares, fits = [], [], [], [], []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -183,7 +183,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text_col: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], names=[*kept, "lang_pred", "score", "languages", "shares", "fit"])
 
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
-    found = rows.mapInArrow(run, f"{types}lang_pred string, score double, languages array<string>, shares array<double>, fit double")
+    found = rows.mapInArrow(lean(run), f"{types}lang_pred string, score double, languages array<string>, shares array<double>, fit double")
     return found.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "lang_pred", "score", "languages", "shares", "fit")
 
 

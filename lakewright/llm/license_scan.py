@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import slices, utf8
+from ._work import lean, slices, utf8
 
 #: Notice phrases (words, lower case) and the label each stands for.
 BASE_PHRASES = {
@@ -189,7 +189,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        run,
+        lean(run),
         f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "spans array<struct<word: long, phrase: string>>, expressions array<string>, permissive boolean",
     )

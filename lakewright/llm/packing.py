@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._tokens import tokenizer
-from ._work import Scratch, binary_array, slices
+from ._work import Scratch, binary_array, lean, slices
 
 #: Rows that share a prefix-sum block.
 _BLOCK = 8
@@ -41,7 +41,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None, keys: tuple[str, .
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), n, binary_array(blobs)], names=[*keys, "n_tokens", "ids"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{types}, n_tokens long, ids binary")
+    return rows.mapInArrow(lean(run), f"{types}, n_tokens long, ids binary")
 
 
 def _before(value: str, keys: list[str], order: str) -> Column:
@@ -125,4 +125,4 @@ def pack(
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     kind = coded.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(lean(cut), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._graph import components, forest
-from ._work import Scratch, narrow, slices, utf8
+from ._work import Scratch, lean, narrow, slices, utf8
 
 BITS = 64
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def walk(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ def links(fps: DataFrame, budget: int, scratch: Scratch, most: int = 4096) -> Da
         if size:
             yield out(*map(np.concatenate, zip(*held, strict=True)))
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(lean(run), "u long, v long")
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:

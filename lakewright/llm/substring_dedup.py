@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._work import Scratch, binary_array, narrow, partitions, slices, utf8
+from ._work import Scratch, binary_array, lean, narrow, partitions, slices, utf8
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -150,7 +150,7 @@ def _answers(rows: DataFrame, resolve, key: str) -> DataFrame:
         if held:
             yield from out(_by_key(*resolve(held)))
 
-    answers = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"{key} long, blob binary")
+    answers = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), f"{key} long, blob binary")
     return answers.groupBy(key).agg(F.collect_list("blob").alias("blobs"))
 
 
@@ -200,7 +200,7 @@ def _half_level(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         back = np.repeat(repeats, size) & ~several
         return doc[back], h[back]
 
-    return _answers(docs.mapInArrow(run, "bucket int, kind int, blob binary"), resolve, "doc_id")
+    return _answers(docs.mapInArrow(lean(run), "bucket int, kind int, blob binary"), resolve, "doc_id")
 
 
 def _target_level(held_docs: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -248,7 +248,7 @@ def _target_level(held_docs: DataFrame, width: int, buckets: int) -> DataFrame:
         later = doc > np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(h1))))
         return uid[later], place[later]
 
-    return _answers(held_docs.mapInArrow(run, "bucket int, kind int, blob binary"), resolve, "uid")
+    return _answers(held_docs.mapInArrow(lean(run), "bucket int, kind int, blob binary"), resolve, "uid")
 
 
 def _strip(text: bytes, places: np.ndarray, width: int) -> tuple[int, int, str, list[list[int]]]:
@@ -306,7 +306,7 @@ def substring_dedup(
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "halves", *kept_cols, "n_words", "sha"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_words long, sha string"
-    base = scratch.table(joined.select("doc_id", "text", "halves", *kept_cols).mapInArrow(first_pass, schema).withColumn("uid", F.monotonically_increasing_id()))
+    base = scratch.table(joined.select("doc_id", "text", "halves", *kept_cols).mapInArrow(lean(first_pass), schema).withColumn("uid", F.monotonically_increasing_id()))
     again = _target_level(base.filter("halves IS NOT NULL").select("uid", "doc_id", "text", "halves"), width, buckets)
     base = base.select("uid", "doc_id", "text", *kept_cols, "n_words", "sha")
     last = base.join(again.hint("shuffle_hash"), "uid", "left")
@@ -330,5 +330,5 @@ def substring_dedup(
 
     types = {f.name: f.dataType.simpleString() for f in base.schema}
     out = ["doc_id long", "n_words long", "n_removed long", "kept_sha256 string", "spans array<array<long>>"] + ["kept string"] * with_text + [f"`{c}` {types[c]}" for c in kept_cols]
-    found = last.select("doc_id", "text", *kept_cols, "n_words", "sha", "blobs").mapInArrow(second_pass, ", ".join(out))
+    found = last.select("doc_id", "text", *kept_cols, "n_words", "sha", "blobs").mapInArrow(lean(second_pass), ", ".join(out))
     return found.select(*[f.split(" ")[0] for f in out if not f.startswith("`keep_")], *[F.col(f"keep_{c}").alias(c) for c in keep])

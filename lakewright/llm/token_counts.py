@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tokens import TextTokenizer, tokenizer
-from ._work import binary_array, slices
+from ._work import binary_array, lean, slices
 
 #: Chunks of a new segment, and the most it may grow to before the tree is built anew.
 SEGMENT = 64
@@ -93,8 +93,7 @@ def _chars(chunks: list[str]) -> np.ndarray:
 
 
 def _tokens(chunks: list[str], coder: TextTokenizer) -> np.ndarray:
-    if len(coder.chunks) > 400_000:
-        coder.chunks.clear()
+    coder.bound()
     return np.fromiter(map(len, map(coder.chunks.__getitem__, chunks)), np.int64, len(chunks)) // 4
 
 
@@ -168,4 +167,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_tokens", "n_edited", "n_chunks", "n_encoded", *(["text", "state"] if with_text else [])]
     schema = f"doc_id {kind}, n_tokens long, n_edited long, n_chunks long, n_encoded long" + ", text string, state binary" * with_text
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import Scratch
+from ._work import Scratch, lean
 
 #: Rows of a block of candidates and of queries: bounds a task's memory.
 CANDIDATES = 4096
@@ -99,6 +99,6 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10
                     best = other[_select(scores[i][other], cid[other], k)]
                     yield pd.DataFrame({"query_id": query, "vec_id": cid[best], "score": scores[i][best]})
 
-    merged = pairs.mapInPandas(run, "query_id long, vec_id long, score long")
+    merged = pairs.mapInPandas(lean(run), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
