@@ -5,15 +5,18 @@ A query takes (spark, sf_dir); see ROLES in README for which table plays what.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..code import docstrings, extract
 from ..functions import dates, names, requirements, urls, versions
 from ..functions import format as fmt
-from ..operators import changelog, diff, index, releases, search, stats, vulns
+from ..operators import cache, changelog, diff, graph, index, releases, search, stats, symbols, text_sinks, vulns
+from ..streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -365,8 +368,6 @@ def stub_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, v AS version, rank FROM (SELECT p_partkey, p_size || '.' || (p_partkey % 20) AS v, row_number() OVER (ORDER BY p_size DESC, p_partkey % 20 DESC, p_partkey) AS rank FROM part WHERE p_size * 100 + p_partkey % 20 > 1003 AND p_size * 100 + p_partkey % 20 <= 3007)""")
 def version_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIL-07, TOP-06: versions after 10.3 up to 30.7, newest first."""
-    from pyspark.sql import Window
-
     v = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 20).cast("string"))
     part = read(spark, sf_dir, "part").select("p_partkey", v.alias("version"))
     fit = part.filter(versions.in_range(F.col("version"), F.lit("10.3"), F.lit("30.7")))
@@ -641,8 +642,6 @@ SELECT conv_id, turn + 1 AS ord, '1.' || turn AS version, CASE WHEN turn % 2 = 0
 FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS turn FROM lines)) WHERE n >= 2""")
 def changelog_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-02, WIN-05: turns of a conversation as sections of one text, taken apart again."""
-    from pyspark.sql import Window
-
     rows = read(spark, sf_dir, "conversations").withColumn("t", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1)
     head = F.when(F.col("t") % 2 == 0, F.concat(F.lit("## v1."), F.col("t").cast("string"), F.lit(" - 2024-01-0"), (F.col("t") % 9 + 1).cast("string"))).otherwise(F.concat(F.lit("## [1."), F.col("t").cast("string"), F.lit("]")))
     section = F.concat(head, F.lit("\n\nnote "), F.char_length("text").cast("string"), F.lit("\n"))
@@ -675,3 +674,286 @@ def commit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").withColumn("message", text)
     found = changelog.commit_messages(events, ["user_id"], "message", "event_id", "event_id")
     return found.select("user_id", F.when(F.size("messages") > 0, F.array_join("messages", "|")).alias("messages"), F.col("head_date").alias("head"))
+
+
+# --- symbols and graphs --------------------------------------------------------------------------
+
+
+@query("""
+WITH RECURSIVE edges AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0),
+reach AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#7' UNION SELECT child FROM reach JOIN edges ON parent = node)
+SELECT node FROM reach""")
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-08: all parts below those of one brand, the parent of k being k div 2."""
+    part = read(spark, sf_dir, "part")
+    edges = part.filter("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
+    return graph.closure(edges, part.filter("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("node")))
+
+
+@query("""
+WITH RECURSIVE up AS (
+  SELECT p_partkey AS node, p_partkey AS at, CASE WHEN p_size % 5 = 0 THEN p_name END AS v, 0 AS hop FROM part
+  UNION ALL SELECT node, p.p_partkey, CASE WHEN p.p_size % 5 = 0 THEN p.p_name END, hop + 1 FROM up JOIN part p ON p.p_partkey = up.at // 2 WHERE v IS NULL AND up.at > 0)
+SELECT node, arg_max(v, hop) AS init FROM (SELECT node, v, hop FROM up WHERE v IS NOT NULL UNION ALL SELECT p_partkey, NULL, -1 FROM part) GROUP BY node""")
+def inherited_constructor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-07: the nearest ancestor with a value."""
+    part = read(spark, sf_dir, "part")
+    nodes = part.select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") % 5 == 0, F.col("p_name")).alias("init"))
+    edges = part.filter("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
+    return graph.inherit(nodes, edges, "init")
+
+
+@query("""
+SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY n, l_suppkey) = 1 AS published FROM (SELECT l_partkey, l_suppkey, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2)""")
+def publish_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-05, WIN-06: one place for each definition."""
+    places = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_linenumber").alias("n"))
+    return graph.publish_once(places, ["l_partkey"], [F.col("n"), F.col("l_suppkey")]).select("l_partkey", "l_suppkey", "published")
+
+
+@query("""
+WITH RECURSIVE defs AS (SELECT 'm' || (p_size % 10) AS module, 'n' || p_partkey AS name FROM part WHERE p_partkey % 3 = 0),
+imps AS (SELECT 'm' || (p_partkey % 10) AS module, 'n' || p_partkey AS bound, 'm' || CASE WHEN p_partkey % 3 = 0 THEN p_size % 10 ELSE (p_partkey + 1) % 10 END AS source FROM part),
+go AS (
+  SELECT module AS m0, bound AS n, module AS m, 0 AS hop FROM imps
+  UNION ALL SELECT m0, n, source, hop + 1 FROM go JOIN imps ON imps.module = go.m AND imps.bound = go.n WHERE hop < 15 AND NOT EXISTS (SELECT 1 FROM defs WHERE defs.module = go.m AND defs.name = go.n))
+SELECT m0 AS module, n AS name, m AS def_module, n AS def_name, min(hop)::INT AS hops FROM go JOIN defs ON defs.module = go.m AND defs.name = go.n GROUP BY 1, 2, 3, 4""")
+def import_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-02: what imported names stand for; two of three are never defined and stay unknown."""
+    part, mod = read(spark, sf_dir, "part"), lambda c: F.concat(F.lit("m"), c.cast("string"))
+    name = F.concat(F.lit("n"), F.col("p_partkey").cast("string"))
+    defs = part.filter("p_partkey % 3 = 0").select(mod(F.col("p_size") % 10).alias("module"), name.alias("name"))
+    source = mod(F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") % 10).otherwise((F.col("p_partkey") + 1) % 10))
+    imps = part.select(mod(F.col("p_partkey") % 10).alias("module"), name.alias("bound"), source.alias("source"), name.alias("name"))
+    return graph.lookup(defs, imps, imps.select("module", "name"))
+
+
+@query("""
+WITH RECURSIVE names AS (SELECT 'm' || p_size AS module, 'n' || p_partkey AS name FROM part UNION SELECT 'm' || (substr(module, 2)::INT - 1), name FROM names WHERE substr(module, 2)::INT > 40)
+SELECT module, name FROM names""")
+def star_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-03: stars of stars; m41 to m50 are imported whole by the module before each."""
+    part = read(spark, sf_dir, "part")
+    exports = part.select(F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("module"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"))
+    stars = spark.range(41, 51).select(F.concat(F.lit("m"), (F.col("id") - 1).cast("string")).alias("module"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("source"))
+    return graph.star_names(exports, stars)
+
+
+@query("""
+SELECT l_suppkey, k AS name, arg_max(l_partkey, o) AS l_partkey, min(o) AS ord FROM (SELECT l_suppkey, l_partkey % 7 AS k, l_partkey, l_orderkey * 10 + l_linenumber AS o FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) = 1) GROUP BY 1, 2""")
+def collapse_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-12: the last item of a name at the place of the first."""
+    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey")
+    rows = read(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(one)).filter("r = 1")
+    rows = rows.select("l_suppkey", (F.col("l_partkey") % 7).alias("name"), "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return symbols.collapse_last(rows, ["l_suppkey", "name"])
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'classmethod' WHEN 1 THEN 'staticmethod' ELSE '' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'abstractmethod' WHEN 1 THEN '' WHEN 2 THEN 'cache,final' ELSE 'lru_cache' END AS served,
+  p_partkey % 2 = 0 AS exception FROM part""")
+def decorators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-26, STR-27, FIL-25."""
+    k = F.col("p_partkey")
+    decs = F.when(k % 4 == 0, F.array(F.lit("abc.abstractclassmethod"))).when(k % 4 == 1, F.array(F.lit("staticmethod"), F.lit("region.cache(5)"))).when(k % 4 == 2, F.array(F.lit("functools.cache"), F.lit("typing.final"), F.lit("cache"))).otherwise(F.array(F.lit("lru_cache(maxsize=1)")))
+    base = F.when(k % 2 == 0, "errors.BaseError[T]").otherwise("Errors")
+    return read(spark, sf_dir, "part").select("p_partkey", symbols.method_kind(decs).alias("kind"), F.array_join(symbols.served_decorators(decs), ",").alias("served"), symbols.is_exception_name(base).alias("exception"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true ELSE false END AS constant FROM part""")
+def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIL-23, FIL-24, FIL-13."""
+    k = F.col("p_partkey") % 6
+    name = F.when(k == 0, "MAX_SIZE").when(k == 1, "T").when(k == 2, "alias").when(k == 3, "JsonValue").when(k == 4, "__all__").otherwise("Json_Value")
+    note = F.when(k == 2, "'typing.TypeAlias'")
+    value = F.when(k == 1, "typing.TypeVar('T')").when(k >= 3, "typing.Union[int, str]").otherwise("1")
+    return read(spark, sf_dir, "part").select("p_partkey", symbols.is_constant(name, note, value).alias("constant"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'sphinx' WHEN 1 THEN 'numpy' WHEN 2 THEN 'google' ELSE 'plain' END AS style FROM documents WHERE text NOT LIKE '%:param %'""")
+def docstring_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-03."""
+    k = F.col("doc_id") % 4
+    head = F.substring("text", 1, 40)
+    raw = F.when(k == 0, F.concat(head, F.lit("\n:param x: y"))).when(k == 1, F.concat(head, F.lit("\n\nParameters\n----------\nx : int"))).when(k == 2, F.concat(head, F.lit("\n\nArgs:\n    x: y"))).otherwise(F.concat(head, F.lit("\n---\n")))
+    return read(spark, sf_dir, "documents").filter("text NOT LIKE '%:param %'").select("doc_id", docstrings.style(raw).alias("style"))
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module of source for each part."""
+    k = F.col("p_partkey").cast("string")
+    source = F.concat(
+        F.lit('"""Module '), k, F.lit('."""\nfrom .base import *\nfrom typing import overload as ov\n__all__ = ["run", "Part"]\n__all__ += ["LIMIT"]\nLIMIT: int = 0x'), (F.col("p_size") + 10).cast("string"),
+        F.lit("\n\nclass Part(Base):\n    size: int = "), F.col("p_size").cast("string"), F.lit('\n\n    def __init__(self, a, *, b="x"):\n        self.a = a\n\n    @property\n    def name(self) -> str: ...\n\n    @staticmethod\n    def make(x, /): ...\n\n'),
+        F.when(F.col("p_partkey") % 10 == 0, "def broken(:\n    pass\n\n").otherwise(""), F.lit("async def run(*args: int, k=1) -> None:\n    pass\n"),
+    )
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("pkg.m"), k).alias("module"), source.alias("source"))
+
+
+@query("""
+SELECT 'pkg.m' || p_partkey || s.path AS path, s.kind, replace(s.sig, '@', p_size::VARCHAR) AS signature, s.pub AS public
+FROM part, (VALUES ('.LIMIT', 'attribute', NULL, true), ('.Part', 'class', 'class Part(Base)', true), ('.Part.size', 'attribute', NULL, true), ('.Part.__init__', 'method', 'def __init__(a, *, b="x")', true),
+  ('.Part.a', 'attribute', NULL, true), ('.Part.name', 'property', NULL, true), ('.Part.make', 'method', 'def make(x, /)', true), ('.run', 'function', 'async def run(*args: int, k=1) -> None', true)) s(path, kind, sig, pub)""")
+def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LEX-01, PAR-01, SYM-01..05, SET-07, STR-28, FIL-11: symbols of generated modules; every tenth has a broken statement."""
+    return extract.symbols(extract.modules(_modules(spark, sf_dir)), ["module"]).select("path", "kind", "signature", "public")
+
+
+@query("SELECT count(*) AS files, sum((p_partkey % 10 = 0)::INT)::BIGINT AS errors, count_if(p_partkey % 10 = 0) AS broken FROM part")
+def parse_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-14."""
+    return extract.parse_totals(extract.modules(_modules(spark, sf_dir)), [])
+
+
+@query("""
+SELECT 'pkg.m' || p_partkey AS module, s.source, s.star FROM part, (VALUES ('pkg.base', true), ('typing', false)) s(source, star)""")
+def import_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-01, GRF-04: where imports lead."""
+    found = extract.imports(extract.modules(_modules(spark, sf_dir)), ["module"])
+    return found.select("module", graph.import_source(F.col("module"), F.lit(False), F.col("level"), F.col("source")).alias("source"), "star")
+
+
+@query("""
+SELECT 'pkg.m' || p_partkey || '.Part.a.b' AS dotted, 'pkg.m' || p_partkey || '.Part.a' AS path, 'attribute' AS kind FROM part WHERE p_partkey % 2 = 0""")
+def resolve_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-12: the longest known prefix of a dotted path."""
+    found = extract_symbols(spark, sf_dir)
+    asked = read(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("pkg.m"), F.col("p_partkey").cast("string"), F.lit(".Part.a.b")).alias("dotted"))
+    return symbols.resolve(asked, found)
+
+
+@query("""
+SELECT path, kind, signature FROM (SELECT 'pkg.m' || p_partkey || s.path AS path, s.kind, s.sig AS signature FROM part, (VALUES ('.Part.make', 'method', 'def make(x, /)'), ('.Part.__init__', 'method', 'def __init__(a, *, b="x")')) s(path, kind, sig))
+WHERE contains(lower(path), 'm1') ORDER BY path, kind LIMIT 40""")
+def symbol_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SYM-10, FIL-10, TOP-08, SNK-12."""
+    found = extract.symbols(extract.modules(_modules(spark, sf_dir)), ["module"])
+    return symbols.listing(found, "M1", "method", 40)
+
+
+@query("""
+WITH a AS (SELECT 's' || (l_suppkey % 50) || '.' || (l_partkey % 40) AS p, max(l_quantity)::INT AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
+b AS (SELECT 's' || (l_suppkey % 50) || '.' || (l_partkey % 40) AS p, max(l_quantity)::INT AS s FROM lineitem WHERE l_linenumber > 2 GROUP BY 1),
+ra AS (SELECT p AS path, 'def f(' || s || ')' AS sig, NULL AS t FROM a UNION ALL SELECT 'x.' || i, coalesce('def f(' || s || ')', '-> ' || t), t FROM (SELECT i, 's' || i || '.' || (i % 40) AS t FROM range(60) r(i)) LEFT JOIN a ON a.p = t),
+rb AS (SELECT p AS path, 'def f(' || s || ')' AS sig, NULL AS t FROM b UNION ALL SELECT 'x.' || i, coalesce('def f(' || s || ')', '-> ' || t), t FROM (SELECT i, 's' || (i % 30) || '.' || (i % 40) AS t FROM range(60) r(i)) LEFT JOIN b ON b.p = t),
+d AS (SELECT coalesce(ra.path, rb.path) AS name, ra.path IS NULL AS only_b, rb.path IS NULL AS only_a, CASE WHEN ra.t <> rb.t THEN '-> ' || ra.t ELSE ra.sig END AS old, CASE WHEN ra.t <> rb.t THEN '-> ' || rb.t ELSE rb.sig END AS new FROM ra FULL JOIN rb ON ra.path = rb.path)
+SELECT CASE WHEN only_b THEN 'added' WHEN only_a THEN 'removed' ELSE 'changed' END AS change, name, old, new FROM d WHERE only_a OR only_b OR old <> new""")
+def api_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-04, JOIN-10, JOIN-11, STR-32: signatures of two versions, aliases and all."""
+    root = F.concat(F.lit("s"), (F.col("l_suppkey") % 50).cast("string"), F.lit("."), (F.col("l_partkey") % 40).cast("string"))
+    lines = read(spark, sf_dir, "lineitem")
+    side = lambda rows: rows.groupBy(root.alias("root")).agg(F.max("l_quantity").cast("int").alias("s")).select("root", F.lit("").alias("suffix"), F.concat(F.lit("def f("), F.col("s").cast("string"), F.lit(")")).alias("signature"))
+    alias = lambda c: spark.range(60).select(F.concat(F.lit("x."), F.col("id").cast("string")).alias("path"), F.concat(F.lit("s"), c.cast("string"), F.lit("."), (F.col("id") % 40).cast("string")).alias("target"))
+    return diff.api_changes(side(lines.filter("l_linenumber <= 3")), side(lines.filter("l_linenumber > 2")), alias(F.col("id")), alias(F.col("id") % 30))
+
+
+# --- caches, text, streams -----------------------------------------------------------------------
+
+
+def _kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as cache rows of four families and three versions."""
+    k = F.col("o_orderkey")
+    family = F.element_at(F.array(*map(F.lit, ("pkg:", "docs:v1:", "docs:v2:", "diff:v2:", "stats:"))), (k % 5 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, ("ok", "error", "empty"))), (k % 3 + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select(F.concat(family, k.cast("string")).alias("key"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.col("o_totalprice").alias("value"))
+
+
+KV = """kv AS (SELECT ['pkg:', 'docs:v1:', 'docs:v2:', 'diff:v2:', 'stats:'][o_orderkey % 5 + 1] || o_orderkey AS key, ['ok', 'error', 'empty'][o_orderkey % 3 + 1] AS status, o_orderdate AS created_at FROM orders)"""
+
+
+@query(f"WITH {KV} SELECT substr(key, 5) AS name FROM kv WHERE starts_with(key, 'pkg:')")
+def cached_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-28: names below a prefix."""
+    return cache.names(_kv(spark, sf_dir))
+
+
+@query(f"WITH {KV} SELECT key FROM kv WHERE NOT starts_with(key, 'docs:v1:')")
+def cache_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-08: families of another version go."""
+    return cache.purge_before(_kv(spark, sf_dir), 2).select("key")
+
+
+@query(f"WITH {KV} SELECT key, status FROM kv WHERE status = 'ok' OR epoch(TIMESTAMP '1995-01-02 00:00:00') - epoch(created_at) < CASE status WHEN 'error' THEN 300 ELSE 86400 END")
+def cache_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-10, STM-02, SRC-27: what still holds, by status."""
+    return cache.usable(_kv(spark, sf_dir), datetime(1995, 1, 2)).select("key", "status")
+
+
+@query(f"""
+WITH {KV}, new AS (SELECT key, 'new' AS status FROM kv WHERE starts_with(key, 'stats:')) SELECT key, status FROM kv WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT * FROM new""")
+def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-06, SNK-07: rows replaced by key."""
+    kv = _kv(spark, sf_dir)
+    new = kv.filter(F.col("key").startswith("stats:")).withColumns({"status": F.lit("new"), "created_at": F.lit(datetime(2000, 1, 1))})
+    older = new.withColumns({"status": F.lit("older"), "created_at": F.lit(datetime(1999, 1, 1))})
+    return cache.put(kv, new.unionByName(older)).select("key", "status")
+
+
+@query("""
+SELECT p_partkey, 'p' || p_partkey || chr(9) || p_size || chr(9) || p_name || ' ' || p_type AS line FROM part""")
+def search_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-11: result lines; tabs and breaks in a summary become blanks."""
+    part = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").alias("downloads"), F.concat("p_name", F.lit("\t"), "p_type").alias("summary"))
+    lines = text_sinks.search_tsv(part).filter("ord >= 0").select("line")
+    return lines.select(F.expr("CAST(substring(split(line, '\t')[0], 2) AS BIGINT)").alias("p_partkey"), "line")
+
+
+@query("""
+SELECT s_suppkey, 'name: ' || s_name || chr(10) || 'nation: ' || s_nationkey AS text FROM supplier""")
+def key_value_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-13: `key: value` lines, blank values left out."""
+    return read(spark, sf_dir, "supplier").select("s_suppkey", fmt.key_values(("name", F.col("s_name")), ("summary", F.lit("")), ("nation", F.col("s_nationkey").cast("string")), ("none", F.lit(None).cast("string"))).alias("text"))
+
+
+@query(f"""
+WITH {_SIDES}, l AS (SELECT l_suppkey, name, CASE change WHEN 'added' THEN 0 WHEN 'removed' THEN 1 ELSE 2 END AS r,
+  CASE change WHEN 'added' THEN '+ added: ' || name WHEN 'removed' THEN '- removed: ' || name ELSE '~ bumped: ' || name || ' (' || old || ' → ' || new || ')' END AS line FROM d WHERE change IS NOT NULL)
+SELECT l_suppkey, '## dependency changes' || chr(10) || string_agg(line, chr(10) ORDER BY r, name) AS text FROM l GROUP BY 1""")
+def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-13, STR-32: a diff as lines."""
+    return text_sinks.changes_text(dep_diff(spark, sf_dir), ["l_suppkey"], "dependency changes", "bumped")
+
+
+@query("""
+SELECT conv_id, string_agg('## 1.' || t || CASE WHEN t % 2 = 0 THEN ' — 2024-01-0' || (t % 9 + 1) ELSE '' END || chr(10) || 'note ' || length(text), chr(10) || chr(10) ORDER BY t) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS t, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n >= 2 GROUP BY 1""")
+def changelog_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-13, SNK-10: sections written out again."""
+    return text_sinks.changelog_text(changelog_sections(spark, sf_dir), ["conv_id"])
+
+
+@query()
+def weekly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-01 and event time: the weekly sums as a stream over landed files, run until all is read."""
+    schema = read(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    sums = sync.weekly_stream(events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category")))
+    name = "weekly_" + uuid.uuid4().hex
+    job = sums.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.table(name).select(F.col("window.start").alias("start"), "category", "downloads")
+
+
+# --- projections ---------------------------------------------------------------------------------
+
+
+@query("""
+SELECT page_id, NOT (page_id % 4 = 0 OR page_id % 4 = 2) AS kept FROM pages""")
+def module_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIL-12, FIL-14, FIL-15, FIL-16, STR-25: which files are modules a reader sees."""
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, "pkg/tests/test_a.py").when(k == 1, "pkg/sub/__init__.py").when(k == 2, "pkg/_vendor/x.py").otherwise("tests/run.py")
+    return read(spark, sf_dir, "pages").select("page_id", (~names.is_test_module(path) & ~names.is_private_module(path)).alias("kept"))
+
+
+@query("SELECT l_orderkey, any_value(l_linenumber) FILTER (false) IS NULL AS ok, count(*) AS n, count(DISTINCT l_partkey % 5) AS kinds FROM lineitem GROUP BY 1")
+def union_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-03, AGG-24, AGG-25: five kinds of symbols brought together and counted."""
+    lines = read(spark, sf_dir, "lineitem")
+    every = None
+    for kind in range(5):
+        part = lines.filter(F.col("l_partkey") % 5 == kind).select("l_orderkey", F.lit(kind).alias("kind"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("l_orderkey").agg(F.lit(True).alias("ok"), F.count("*").alias("n"), F.size(F.collect_set("kind")).cast("bigint").alias("kinds"))

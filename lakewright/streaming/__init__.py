@@ -1,0 +1 @@
+"""Incremental runs: files as they land, and state by key."""
