@@ -60,8 +60,9 @@ def compare_text(packages: DataFrame, order: str = "ord") -> DataFrame:
     names = F.concat(F.lit("| metric             | "), F.array_join(F.transform("p", lambda x: x["name"]), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|--------------------|"), F.array_join(F.transform("p", lambda _: F.lit("-" * (fmt.CELL + 2) + "|")), ""))
     lines = [names, rule]
+    values = lambda i: F.transform("p", lambda x: x["cells"][i])
     for i, metric in enumerate(METRICS):
-        lines.append(F.concat(F.lit(f"| {metric:<18} | "), F.array_join(F.transform("p", lambda x, i=i: x["cells"][i]), " | "), F.lit(" |")))
+        lines.append(F.concat(F.lit(f"| {metric:<18} | "), F.array_join(values(i), " | "), F.lit(" |")))
     return one.select(F.posexplode(F.array(*lines)).alias("ord", "line"))
 
 
