@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -20,11 +21,13 @@ WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
-#: Chunks kept at most, and characters of the longest chunk kept: bounds a worker's cache.
-CACHE_CHUNKS = 150_000
+#: Chunks of a generation, of which two are kept, and characters of the longest chunk kept: bounds a worker's cache.
+CACHE_CHUNKS = 250_000
 CACHE_CHARS = 48
 #: Chunks that the coder takes: nothing that normalisation would change but the case, and no special token's mark.
 _PLAIN = re.compile(r"(?:(?!<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ])*\Z")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+\Z")
+_MARKS = ".,;:!?%$#&*"
 #: The pre-tokenizer's pattern over the characters of plain chunks in lower case.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
@@ -37,17 +40,24 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class _Chunks(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit."""
+    """chunk -> its ids as little-endian unsigned 32-bit. Two generations: what is asked for again moves to the new one."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk), "<u4").tobytes()
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
         if len(chunk) <= CACHE_CHARS:
             self[chunk] = ids
         return ids
 
+    def bound(self) -> None:
+        if len(self) > CACHE_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+
 
 class TextTokenizer:
     def __init__(self, path: str):
@@ -77,15 +87,20 @@ class TextTokenizer:
 
         return Tokenizer.from_file(self.path)
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def _chunk(self, chunk: str) -> bytes:
         if not _PLAIN.match(chunk):
-            return self.whole.encode(chunk, add_special_tokens=False).ids
-        pieces = _PIECES.findall(chunk.lower())
-        return self.coder(pieces[0].encode() + b"\xff") if len(pieces) == 1 else [i for p in pieces for i in self.coder(p.encode() + b"\xff")]
+            return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
+        low = chunk.lower()
+        if low != chunk:
+            return self.chunks[low]
+        word = low.rstrip(_MARKS)
+        if len(word) < len(low) and _LETTERS.match(word):  # a word and the marks after it are pieces of their own
+            return self.chunks[word] + self.chunks[low[len(word) :]]
+        pieces = (low,) if _LETTERS.match(low) else _PIECES.findall(low)
+        return array("I", [i for p in pieces for i in self.coder(p.encode() + b"\xff")]).tobytes()
 
     def bound(self) -> None:
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
+        self.chunks.bound()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit, without special tokens."""

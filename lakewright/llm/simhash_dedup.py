@@ -69,17 +69,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lean(run), "doc_id long, fp long")
 
 
-def walk(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(group: np.ndarray, fp: np.ndarray, budget: int, side: np.ndarray | None = None, two: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of one group whose fingerprints differ in at most `budget` bits, as a spanning forest of them.
 
-    group and fp are sorted by (group, fp), fp distinct within a group. A trie node is a range of fp
-    that shares all bits above a level; both ranges of a pair descend together, level by level.
+    group, side and fp are sorted by (group, side, fp), fp distinct within a group. A group is one subtree,
+    paired with itself, or where `two` holds, two subtrees (sides 0 and 1), paired with each other. A trie node is
+    a range of fp that shares all bits above a level; both ranges of a pair descend together, level by level.
     """
-    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    side = np.zeros(len(group), np.int8) if side is None else side
+    two = np.zeros(len(group), bool) if two is None else two
+    edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]), [True]]))
     lo, hi = edge[:-1], edge[1:]
-    many = hi - lo > 1
-    lo, hi = lo[many], hi[many]
-    stack = [(BITS - 1, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
+    own = ~two[lo] & (hi - lo > 1)
+    left = np.flatnonzero(two[lo[:-1]] & (group[lo[:-1]] == group[lo[1:]])) if len(lo) > 1 else np.zeros(0, np.int64)
+    start = [np.concatenate(x) for x in ((lo[own], lo[left]), (hi[own], hi[left]), (lo[own], lo[left + 1]), (hi[own], hi[left + 1]))]
+    stack = [(BITS - 1, *start, np.zeros(len(start[0]), np.int8))]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
     ones: dict[int, np.ndarray] = {}
@@ -141,39 +145,49 @@ def links(fps: DataFrame, budget: int, scratch: Scratch, most: int = 4096) -> Da
     masks = [sum(block[i] for i in keep) for keep in combinations(range(b), b - budget)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     tables = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)]))
-    rows = fps.select("fp", "rep", tables.alias("g"))
+    rows = fps.select("fp", "rep", tables.alias("g"), F.lit(0).alias("side"), F.lit(False).alias("two"), F.lit(0).alias("d"))
     sized = lambda r: r.groupBy("g").count().filter(F.col("count") > most).select("g")
-    flips = [x for x in range(256) if x.bit_count() <= budget]
+    flips = F.array(*[F.lit(x) for x in range(256) if x.bit_count() <= budget])
     done = None
     for level in range(BITS // 8):
         hot = scratch.table(sized(rows))
         if hot.isEmpty():
             break
-        p = F.shiftrightunsigned("fp", BITS - 8 * (level + 1)).bitwiseAND(F.lit(255))
         cool = rows.join(hot, "g", "left_anti")
-        pairs = F.transform(F.array(*map(F.lit, flips)), lambda x: F.xxhash64(F.col("g"), F.least(p, p.bitwiseXOR(x)), F.greatest(p, p.bitwiseXOR(x))))
         done = cool if done is None else done.unionByName(cool)
-        rows = scratch.table(rows.join(hot, "g", "left_semi").select("fp", "rep", F.explode(pairs).alias("g")))
-    rows = rows if done is None else done.unionByName(rows)
+        p = F.shiftrightunsigned("fp", BITS - 8 * (level + 1)).bitwiseAND(F.lit(255)).cast("int")
+        large = scratch.table(rows.join(hot, "g", "left_semi").withColumn("p", p))
+        # the subtrees that are there, and the pairs of them within what is left of the budget
+        nodes = large.select("g", "two", "d", "side", "p").distinct()
+        ask = nodes.filter("side = 0").select("g", "two", "d", "p", F.explode(flips).alias("x")).withColumn("e", F.col("d") + F.bit_count("x")).filter(F.col("e") <= budget)
+        ask = ask.select("g", "two", "p", F.col("p").bitwiseXOR(F.col("x")).alias("q"), "e", F.col("two").cast("int").alias("other"))
+        pairs = ask.join(nodes.select("g", F.col("p").alias("q"), F.col("side").alias("other")), ["g", "q", "other"]).filter("two OR p <= q")
+        pairs = scratch.table(pairs.select("g", "p", "q", "other", F.xxhash64("g", "p", "q").alias("h"), (F.col("two") | (F.col("p") < F.col("q"))).alias("cross"), "e"))
+        one = large.filter("side = 0").join(pairs, ["g", "p"]).select("fp", "rep", F.col("h").alias("g"), F.lit(0).alias("side"), F.col("cross").alias("two"), F.col("e").alias("d"))
+        ends = pairs.filter("cross").select("g", F.col("q").alias("p"), F.col("other").alias("side"), "h", "e")
+        other = large.select("g", "p", "side", "fp", "rep").join(ends, ["g", "p", "side"]).select("fp", "rep", F.col("h").alias("g"), F.lit(1).alias("side"), F.lit(True).alias("two"), F.col("e").alias("d"))
+        rows = scratch.table(one.unionByName(other))
+    rows = (rows if done is None else done.unionByName(rows)).select("g", "side", "two", "fp", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(g, fp, rep):
-            order = np.lexsort((fp, g))
-            g, fp, rep = g[order], fp[order], rep[order]
-            i, j = walk(g, fp, budget)
+        def out(g, side, two, fp, rep):
+            order = np.lexsort((fp, side, g))
+            g, side, two, fp, rep = (x[order] for x in (g, side, two, fp, rep))
+            i, j = walk(g, fp, budget, side, two)
             return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["u", "v"])
 
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            held.append((batch.column("g").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()))
+            two = batch.column("two").to_numpy(zero_copy_only=False).astype(bool)
+            held.append((batch.column("g").to_numpy(), batch.column("side").to_numpy(), two, batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()))
             size += batch.num_rows
             if size >= 1 << 16:  # whole groups, and the last one waits for the rest of it
-                g, fp, rep = map(np.concatenate, zip(*held, strict=True))
-                cut = int(np.searchsorted(g, g[-1]))
+                whole = tuple(map(np.concatenate, zip(*held, strict=True)))
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))
                 if cut:
-                    yield out(g[:cut], fp[:cut], rep[:cut])
-                held, size = [(g[cut:], fp[cut:], rep[cut:])], len(g) - cut
+                    yield out(*(x[:cut] for x in whole))
+                held, size = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
         if size:
             yield out(*map(np.concatenate, zip(*held, strict=True)))
 

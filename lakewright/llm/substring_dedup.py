@@ -2,10 +2,10 @@
 
 Level 1 looks at windows of half the target width (7 of 13 words), and only at
 the local minima of their hashes: each target window holds one, chosen by its
-content alone, so equal target windows hold equal ones. Level 2 doubles: only
-target windows whose half-width minimum stands in two or more documents are
-hashed and compared. Further doublings (26, 52, ... words) follow on request
-until no candidate survives; they tell how long the repeats are.
+content alone, so equal target windows hold equal ones. Level 2 doubles, held to
+the target width: only target windows whose half-width minimum stands in two or
+more documents are hashed and compared. The removal is defined at that width, so
+no candidate is left to extend beyond it.
 
 Each level is one exchange of hashes. A task first combines what it has itself:
 of a window that several of its documents hold, one entry goes on, however many
