@@ -67,7 +67,7 @@ def weekly_stream(events: DataFrame, late: str = "7 days") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "7 days", startTime="4 days"), "category").agg(F.count("*").alias("downloads"))
 
 
-def token_bucket(rate: float = 30.0, burst: float = 60.0, idle_ms: int = 600_000) -> Callable:
+def token_bucket(rate: float = 30.0, burst: float = 60.0, idle_ms: int | None = 600_000) -> Callable:
     """State function of applyInPandasWithState: which requests of a key a token bucket lets through.
 
     Rows (key, ts: seconds, id); out (id, allowed). A key idle for ten minutes is forgotten, that is, full again.
@@ -88,14 +88,19 @@ def token_bucket(rate: float = 30.0, burst: float = 60.0, idle_ms: int = 600_000
                 out.append((rid, bool(allowed)))
             yield pd.DataFrame(out, columns=["id", "allowed"])
         state.update((tokens, last))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
     return run
 
 
-def rate_limited(requests: DataFrame, rate: float = 30.0, burst: float = 60.0) -> DataFrame:
-    """A stream of requests (key, ts, id) as (id, allowed)."""
-    return requests.groupBy("key").applyInPandasWithState(token_bucket(rate, burst), "id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def rate_limited(requests: DataFrame, rate: float = 30.0, burst: float = 60.0, idle_ms: int | None = 600_000) -> DataFrame:
+    """A stream of requests (key, ts, id) as (id, allowed).
+
+    A job that runs until all is read (availableNow) takes idle_ms None: with a timeout of wall-clock time such a job never ends.
+    """
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return requests.groupBy("key").applyInPandasWithState(token_bucket(rate, burst, idle_ms), "id long, allowed boolean", "tokens double, last double", "append", timeout)
 
 
 def ttl_state(ttl: float) -> Callable:

@@ -94,13 +94,13 @@ def _stream(spark, tmp_path, rows, schema, f):
     (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps(r) for r in rows))
     name = "t" + tmp_path.name.replace("-", "_")
     q = f(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(60)
     return spark.table(name).orderBy("id").collect()
 
 
 def test_token_bucket(spark, tmp_path):
     rows = [{"key": "a", "ts": 0.0, "id": i} for i in range(5)] + [{"key": "a", "ts": 1.0, "id": 5}]
-    got = _stream(spark, tmp_path, rows, "key string, ts double, id long", lambda s: sync.rate_limited(s, rate=1, burst=3))
+    got = _stream(spark, tmp_path, rows, "key string, ts double, id long", lambda s: sync.rate_limited(s, rate=1, burst=3, idle_ms=None))
     assert [r.allowed for r in got] == [True, True, True, False, False, True]
 
 
