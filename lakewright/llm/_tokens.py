@@ -26,8 +26,7 @@ CACHE_CHUNKS = 250_000
 CACHE_CHARS = 48
 #: Chunks that the coder takes: nothing that normalisation would change but the case, and no special token's mark.
 _PLAIN = re.compile(r"(?:(?!<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ])*\Z")
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+\Z")
-_MARKS = ".,;:!?%$#&*"
+_WORD = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]*)([.,;:!?%$#&*]*)\Z")
 #: The pre-tokenizer's pattern over the characters of plain chunks in lower case.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
@@ -79,6 +78,7 @@ class TextTokenizer:
                     ranks[bytes(byte[c] for c in token.removesuffix(WORD_END)) + b"\xff" * ends] = i
             self.coder = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
             self.chunks = _Chunks(self._chunk)
+            self.marks: dict[str, bytes] = {}
 
     @cached_property
     def whole(self):
@@ -87,17 +87,22 @@ class TextTokenizer:
 
         return Tokenizer.from_file(self.path)
 
+    def _coded(self, piece: str) -> bytes:
+        return array("I", self.coder(piece.encode() + b"\xff")).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
-        if not _PLAIN.match(chunk):
-            return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
-        low = chunk.lower()
-        if low != chunk:
-            return self.chunks[low]
-        word = low.rstrip(_MARKS)
-        if len(word) < len(low) and _LETTERS.match(word):  # a word and the marks after it are pieces of their own
-            return self.chunks[word] + self.chunks[low[len(word) :]]
-        pieces = (low,) if _LETTERS.match(low) else _PIECES.findall(low)
-        return array("I", [i for p in pieces for i in self.coder(p.encode() + b"\xff")]).tobytes()
+        word = _WORD.match(chunk)
+        if word:  # letters and the marks after them are pieces of their own
+            letters, marks = word.groups()
+            if not marks:
+                return self._coded(letters.lower()) if letters else b""
+            if marks not in self.marks and len(self.marks) < CACHE_CHUNKS:
+                self.marks[marks] = self._coded(marks)
+            end = self.marks.get(marks) or self._coded(marks)
+            return (self.chunks.get(low := letters.lower()) or self.chunks.old.get(low) or self._coded(low)) + end if letters else end
+        if _PLAIN.match(chunk):
+            return b"".join(map(self._coded, _PIECES.findall(chunk.lower())))
+        return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def bound(self) -> None:
         self.chunks.bound()
