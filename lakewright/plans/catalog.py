@@ -1,6 +1,6 @@
 """Queries over the test tables, each in the role its operator needs, with the same in DuckDB SQL.
 
-A query takes (spark, sf_dir); see ROLES in README for which table plays what.
+A query takes (spark, sf_dir); README tells which table plays what.
 """
 
 from __future__ import annotations

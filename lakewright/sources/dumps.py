@@ -87,3 +87,14 @@ def package_row(documents: DataFrame) -> DataFrame:
         urls.doc_url(urls.safe_links(i["project_urls"])).alias("doc_url"), urls.repo_url(urls.safe_links(i["project_urls"])).alias("repo_url"),
         F.transform("urls", lambda f: F.struct(f["filename"].alias("filename"), f["size"].alias("size"), f["packagetype"].alias("packagetype"))).alias("files"),
     )
+
+
+def conda_info(names: DataFrame, channel: DataFrame) -> DataFrame:
+    """Each name with what a channel has of it; one that is not there is not available."""
+    known = channel.select(F.lower("name").alias("_n"), F.col("version").alias("conda_version"), F.lit(True).alias("_there"))
+    return names.join(known, F.lower("name") == F.col("_n"), "left").withColumn("available", F.coalesce("_there", F.lit(False))).drop("_n", "_there")
+
+
+def repo_info(repos: DataFrame, owners: DataFrame) -> DataFrame:
+    """Repositories with their owner's shown name, the login where there is none."""
+    return repos.join(owners.select("login", F.col("name").alias("_name")), "login", "left").withColumn("owner_name", F.coalesce(F.nullif("_name", F.lit("")), "login")).drop("_name")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import sqlite3
 
-from lakewright.code import docstrings, extract
+from lakewright.code import docstrings, extract, types
 from lakewright.functions import format as fmt
-from lakewright.functions import names, requirements, urls, versions, wheels
+from lakewright.functions import names, requirements, text, urls, versions, wheels
 from lakewright.functions.porter import stem
 from lakewright.operators import changelog, diff, search, symbols
+from lakewright.plans import contract
 from pyspark.sql import functions as F
 
 
@@ -166,3 +167,18 @@ def test_collapse(spark):
 
 def test_type_param(spark):
     assert column(spark, ["typing.TypeVar('T')", "NewType('U', int)", "make('x')", None], symbols.is_type_param) == [True, True, False, False]
+
+
+def test_text(spark):
+    assert column(spark, ["text/plain", "*/*", "", None, "text/plain;q=0.5, application/json;q=0.4", "text/*;q=2, application/json"], text.prefers_text) == [True, False, False, False, True, False]
+    assert column(spark, [".. note:: x", "plain", None], text.looks_like_rst) == [True, False, False]
+    row = spark.sql("SELECT DATE '2024-01-03' AS a, DATE '2024-02-01' AS b, DATE '2023-12-31' AS c")
+    assert tuple(row.select(text.range_label(F.col("a"), F.col("b")), text.range_label(F.col("c"), F.col("b"))).first()) == ("Jan 3 – Feb 1, 2024", "Dec 31, 2023 – Feb 1, 2024")
+    df = spark.createDataFrame([("x", "int", "1", False, False), ("y", "int", "", True, False)], "n string, a string, d string, p boolean, w boolean")
+    assert [r[0] for r in df.select(text.attribute_signature(*[F.col(c) for c in "nadpw"])).collect()] == ["x: int = 1", "property y: int [read-only]"]
+
+
+def test_types_and_contract(spark):
+    assert types.classify("int | None | typing.List[str]") == {"kind": "union", "name": "Union", "args": ["int", "None", "typing.List[str]"]}
+    assert types.classify("typing.Optional[int]")["kind"] == "optional" and types.classify("'Fwd'")["kind"] == "string" and types.classify("a b")["kind"] == "unknown"
+    assert contract.json_schema(spark.createDataFrame([], "a bigint, b array<string>").schema) == {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"type": "string"}}}, "required": []}
