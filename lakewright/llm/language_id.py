@@ -23,8 +23,8 @@ from ._work import lean, slices
 #: Gram slots, and slots that are summed by one task of the exchange.
 SLOTS = 1 << 16
 PART = 1 << 12
-#: Languages that a model may have: more are refused, not dropped.
-MOST_LANGUAGES = 1000
+#: Languages that a model may have, which bounds what is broadcast to 105 MB: more are refused, not dropped.
+MOST_LANGUAGES = 100
 SMOOTHING = 0.1
 #: Each further language must raise the log-likelihood by this times the logarithm of the grams.
 #: A letter is in three grams, hence thrice the half of the usual criterion; then twice that.
