@@ -1,0 +1,93 @@
+"""The pipeline's near-copy stage against all pairs of exact shingle sets."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import corpus_pipeline
+import numpy as np
+from lakewright.llm import near_copies
+
+from .test_operators import smallest
+
+BLANK = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    words = BLANK.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)} if words else set()
+
+
+def close(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def edited(rng, words, n):
+    """words with n of them, far from each other, replaced."""
+    words = list(words)
+    for k in rng.sample(range(5, len(words) - 5, 12), n):
+        words[k] = f"edit{rng.randrange(10**9)}"
+    return words
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], DOCS).repartition(4)
+
+
+def test_edited_copies(spark):
+    rng = random.Random(7)
+    plain = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, at = [], []
+    for n, edits in ((100, 1), (100, 2), (300, 5), (1000, 5), (1000, 20)) * 8:
+        base = plain(n)
+        copy = edited(rng, base, edits)
+        a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+        at.append(len(a & b) / len(a | b))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    assert 0.8 <= min(at) < 0.83 and max(at) > 0.94
+    hub = plain(200)  # each close to the hub, few to each other
+    rows += [(len(rows) + k, " ".join(edited(rng, hub, 4))) for k in range(40)] + [(900, " ".join(hub))]
+    half = plain(100)  # 0.5 to 0.79 stays
+    rows += [(1000 + k, " ".join(edited(rng, half, 4))) for k in range(8)]
+    rows += [(1100, "one two"), (1101, "One  two"), (1102, "two one"), (1103, rows[0][1].upper()), (1104, "x")]
+    sets = {i: shingles(t) for i, t in rows}
+    want = set(smallest(list(sets), [(i, j) for i in sets for j in sets if i < j and close(sets[i], sets[j])]).values())
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()]
+    assert sorted(got) == sorted(want)
+    assert not want & set(range(1, 80, 2)) and {1000 + k for k in range(8)} <= want
+
+
+def test_ids_that_repeat(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, None), (8, ""), (None, b), (None, "nameless"), (9, "twice"), (9, "twice")]
+    got = near_copies.deduplicate(spark, table(spark, rows)).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, [(1, a), (5, b), (7, None), (None, "nameless"), (9, "twice")]))
+    assert near_copies.deduplicate(spark, table(spark, [])).count() == 0
+
+
+def test_bands_miss_few():
+    """Pairs at 0.8 meet in some band."""
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(500):
+        x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        a, b = np.sort(x[:90]), np.sort(x[10:])
+        _, bands = near_copies.signatures(np.concatenate([a, b]), np.array([0, 90, 180]))
+        missed += not (bands[0] == bands[1]).any()
+    assert missed <= 2
+
+
+def test_crossing(monkeypatch):
+    """One bucket of several components, compared pair by pair and by counts."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    items = [np.sort(np.concatenate([rng.permutation(base)[:54], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])) for _ in range(30)]
+    want = smallest(range(30), [(i, j) for i in range(30) for j in range(i) if close(set(items[i].tolist()), set(items[j].tolist()))])
+    bands = np.concatenate([np.full((30, 1), 7), rng.integers(0, 1 << 62, (30, near_copies.BANDS - 1))], 1)
+    for few in (64, 4):
+        monkeypatch.setattr(near_copies, "FEW", few)
+        found = near_copies.crossing(np.full(30, 7), np.arange(30), np.arange(30), bands, items)
+        assert smallest(range(30), found) == want
+    assert 1 < len(set(want.values())) < 30
