@@ -1,4 +1,4 @@
-"""Import and inheritance graphs: iterated joins over edge tables, bounded in rounds.
+"""Import and inheritance graphs: iterated joins over edge tables, until the frontier is empty; lookups are bounded in rounds.
 
 Each round is one equi-join on the frontier alone, cut off by a reliable checkpoint.
 """
@@ -51,13 +51,12 @@ def lookup(definitions: DataFrame, imports: DataFrame, wanted: DataFrame) -> Dat
 def star_names(exports: DataFrame, stars: DataFrame) -> DataFrame:
     """(module, name): what `from module import *` brings, stars of stars included."""
     names = exports.select("module", "name").distinct()
-    for _ in range(MOST_HOPS):
+    while True:
         more = stars.join(names.withColumnRenamed("module", "source"), "source").select("module", "name").distinct().join(names, ["module", "name"], "left_anti")
         more = cut_lineage(more)
         if more.isEmpty():
-            break
-        names = names.unionByName(more)
-    return names
+            return names
+        names = cut_lineage(names.unionByName(more))
 
 
 def publish_once(exports: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -81,16 +80,19 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def inherit(classes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """classes (node, value) with the value of the nearest ancestor that has one, along single bases (child, parent).
 
-    Rows leave the frontier once they have a value or no parent; after sixteen steps the rest have none.
+    Each round doubles the stretch that a row has looked along: a class without a value points at its parent, then at
+    what that one points at. Rows leave once they have a value, or no ancestor is left. What still points on
+    when no class can be more steps away lies on a cycle or below one without a value, and has none.
     """
-    values = classes.select(F.col("node").alias("up"), F.col(value).alias("v"))
-    parents = edges.select(F.col("child").alias("up"), F.col("parent"))
-    done = classes.filter(F.col(value).isNotNull()).select("node", F.col(value).alias("v"))
-    at = classes.filter(F.col(value).isNull()).select("node", F.col("node").alias("up"))
-    for _ in range(MOST_HOPS):
-        step = cut_lineage(at.join(parents, "up").select("node", F.col("parent").alias("up")).join(values, "up"))
-        done = done.unionByName(step.filter("v IS NOT NULL").select("node", "v"))
-        at = step.filter("v IS NULL").select("node", "up")
-        if at.isEmpty():
+    count = classes.count()
+    at = classes.join(edges.select(F.col("child").alias("node"), F.col("parent").alias("up")), "node", "left")
+    at = cut_lineage(at.select("node", F.col(value).alias("v"), F.when(F.col(value).isNull(), F.col("up")).alias("up")))
+    steps = 1
+    while steps <= 2 * count:
+        ahead = at.select(F.col("node").alias("up"), F.col("v").alias("_v"), F.col("up").alias("_up"))
+        moved = at.filter("up IS NOT NULL").join(ahead, "up", "left").select("node", F.col("_v").alias("v"), F.col("_up").alias("up"))
+        at = cut_lineage(at.filter("up IS NULL").unionByName(moved))
+        if at.filter("up IS NOT NULL").isEmpty():
             break
-    return classes.select("node").join(done, "node", "left").select("node", F.col("v").alias(value))
+        steps *= 2
+    return at.select("node", F.col("v").alias(value))
