@@ -2,12 +2,14 @@
 
 A module's source goes through the standard parser. Where it fails, the statement
 around the error is blanked and the rest parsed again, so that one bad statement
-costs itself alone; how many were lost is counted.
+costs itself alone; how many were lost is counted. A source that no blanking mends is
+parsed by its top-level statements.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,17 +31,20 @@ MODULE = T.StructType([
 ])
 #: Decorators that make a property, and names of dataclass fields that make no parameter.
 PROPERTY = ("property", "cached_property", "abstractproperty")
-MOST_RETRIES = 50
 
 
 def parse(source: str) -> tuple[ast.Module, int]:
     """(tree, statements lost)."""
     lines = source.split("\n")
-    for lost in range(MOST_RETRIES):
+    lost = 0
+    while True:
         try:
             return ast.parse("\n".join(lines)), lost
-        except (SyntaxError, ValueError, RecursionError) as error:
-            at = min(max((getattr(error, "lineno", None) or 1) - 1, 0), len(lines) - 1)
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+            line = getattr(error, "lineno", None)
+            if line is None:
+                break
+            at = min(max(line - 1, 0), len(lines) - 1)
             while at >= 0 and not lines[at].strip():
                 at -= 1
             if at < 0:
@@ -48,8 +53,34 @@ def parse(source: str) -> tuple[ast.Module, int]:
             end = at + 1
             while end < len(lines) and (not lines[end].strip() or len(lines[end]) - len(lines[end].lstrip()) > depth):
                 end += 1
-            lines[at:end] = [" " * depth + "pass"] + [""] * (end - at - 1)
-    return ast.Module([], []), MOST_RETRIES
+            blank = [" " * depth + "pass"] + [""] * (end - at - 1)
+            if lines[at:end] == blank:
+                break
+            lines[at:end] = blank
+            lost += 1
+    return statements(lines, lost)
+
+
+def statements(lines: list[str], lost: int) -> tuple[ast.Module, int]:
+    """The top-level statements of lines one by one, each at its own place; those that do not parse are counted as lost."""
+    starts: list[int] = []
+    decorated = False
+    for i, line in enumerate(lines):
+        if line.strip() and line[0] not in " \t#)]}" and not re.match(r"(else|elif|except|finally)\b", line):
+            if not decorated:
+                starts.append(i)
+            decorated = line[0] == "@"
+    body: list[ast.stmt] = []
+    for i, end in zip(starts, [*starts[1:], len(lines)], strict=True):
+        try:
+            if len(starts) == 1:
+                body += ast.parse("\n" * i + "\n".join(lines[i:end])).body
+            else:
+                tree, more = parse("\n" * i + "\n".join(lines[i:end]))
+                body, lost = body + tree.body, lost + more
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            lost += 1
+    return ast.Module(body, []), lost if starts else lost + 1
 
 
 class _Module:
