@@ -776,7 +776,7 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'sphinx' WHEN 1 THEN 'numpy' WHEN 2 T
 def docstring_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-03."""
     k = F.col("doc_id") % 4
-    head = F.substring("text", 1, 40)
+    head = F.col("text")
     raw = F.when(k == 0, F.concat(head, F.lit("\n:param x: y"))).when(k == 1, F.concat(head, F.lit("\n\nParameters\n----------\nx : int"))).when(k == 2, F.concat(head, F.lit("\n\nArgs:\n    x: y"))).otherwise(F.concat(head, F.lit("\n---\n")))
     return read(spark, sf_dir, "documents").filter("text NOT LIKE '%:param %'").select("doc_id", docstrings.style(raw).alias("style"))
 
