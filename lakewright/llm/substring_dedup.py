@@ -1,69 +1,97 @@
 """Removal of passages that repeat across documents, by level-wise doubling.
 
-Level 1 looks at windows of half the target width (7 of 13 words), and only at
-the local minima of their hashes: each target window holds one, chosen by its
-content alone, so equal target windows hold equal ones. Level 2 doubles, held to
-the target width: only target windows whose half-width minimum stands in two or
-more documents are hashed and compared. The removal is defined at that width, so
-no candidate is left to extend beyond it.
-
-Each level is one exchange of hashes. A task first combines what it has itself:
-of a window that several of its documents hold, one entry goes on, however many
-copies there are, so a window that a third of all documents share costs each
-receiver one entry a task. Answers go back by document. Windows are compared by
-96 bits of hash at the target width and above.
+Level one looks at all windows of FIRST words. Of each document only the runs of words stay in
+which every window is repeated elsewhere and which are long enough for the next level; there the
+windows are twice as long, and so on, the last level being held to the target width: 4, 8, 13.
+A level is one exchange over the survivors of the level before, and the loop ends early once
+nothing survives. Shorter windows than FIRST repeat nearly everywhere and would prune nothing;
+the removal is defined at the target width, so no window need be extended beyond it.
+
+Documents travel in chunks of some megabytes as word numbers with the chunk's own table of word
+hashes, about two bytes a word, so that no level reads or shuffles a text. A chunk sends one entry
+for each distinct window to that window's bucket and gets back one bit for each, in the order it
+sent them: of a window that a third of all documents share, a bucket holds one entry a chunk.
+Buckets are as many as the survivors of the level ask for, so what a task holds does not grow
+with the input. Before the target width, windows are told apart by some 40 bits or more, where a
+collision only keeps a candidate alive; at the target width by 96 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
 from ._work import Scratch, binary_array, lean, narrow, partitions, slices, utf8
 
+#: Words of the windows of the first level.
+FIRST = 4
+#: Words of a chunk, bytes of entries that a bucket should get, and rows of entries a mapper hands on at once.
+CHUNK_WORDS = 1 << 20
+BUCKET_BYTES = 8 << 20
+ROWS_AT_ONCE = 64
 _LOW = np.uint64(0xFFFFFFFF)
+#: bytes.split() splits at the six blanks only; no other byte counts as one.
+_BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
+STATE = "chunk long, words long, state binary"
+ENTRIES = "bucket int, chunk long, entries binary"
+ANSWERS = "chunk long, bucket int, bits binary"
 
 
-def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
-    """f over each `width` neighbours of x, in log(width) passes."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        x = f(x[:-step], x[step:])
-        have += step
-    return x
-
-
-class _Texts:
-    """Words, window places and half-width minima of a batch of texts."""
-
-    def __init__(self, column: pa.Array, width: int):
-        self.data, offsets = utf8(column)
-        self.starts, self.ends, self.first = _words.bounds(self.data, offsets)
-        self.words = _words.hashes(self.data, self.starts, self.ends)
-        self.places = _words.inside(self.first, width)
-        half = (width + 1) // 2
-        n = len(self.words) - width + 1
-        if n > 0:
-            self.halves = _words.windows(self.words, half)
-            self.least = _sliding(self.halves, width - half + 1, np.minimum)[:n]
-        else:
-            self.halves = self.least = np.zeros(0, np.uint64)
+class _State:
+    """What is alive of a chunk: segments (document, first word, words), their words as numbers into `vocab`, hashes of words."""
 
-    def text_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.first, places, side="right") - 1
+    __slots__ = ("docs", "index", "length", "of", "start", "texts", "vocab")
 
+    def __init__(self, docs, texts, of, start, length, vocab, index):
+        self.docs, self.texts, self.of, self.start, self.length, self.vocab, self.index = docs, texts, of, start, length, vocab, index
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    @classmethod
+    def load(cls, blob) -> _State:
+        return cls(*pickle.loads(blob))
+
+    def dump(self) -> bytes:
+        """Documents and words that no segment needs any more are left out."""
+        docs, of = _numbered(self.of, len(self.docs))
+        words, index = _numbered(self.index, len(self.vocab))
+        return pickle.dumps((self.docs[docs], self.texts[docs], of.astype(np.uint32), self.start, self.length, self.vocab[words], index.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)), 5)
+
+    def places(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the chunk's words from which `width` words lie in one segment, the segment of each)."""
+        size = self.length.astype(np.int64)
+        return _words.inside(np.concatenate([[0], size.cumsum()]), width), np.repeat(np.arange(len(size)), np.maximum(size - width + 1, 0))
+
+    def hashes(self, width: int, at: np.ndarray, which: int = 0) -> np.ndarray:
+        return _words.windows(self.vocab[self.index], width, which)[at]
+
+    def narrowed(self, at: np.ndarray, segment: np.ndarray, alive: np.ndarray, width: int, least: int) -> _State | None:
+        """The runs of places that are alive, as segments of `least` words or more; None if there are none."""
+        at, segment = at[alive], segment[alive]
+        if not len(at):
+            return None
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (segment[1:] != segment[:-1])]))
+        size = np.diff(np.append(new, len(at))) + width - 1
+        new, size = new[size >= least], size[size >= least]
+        if not len(new):
+            return None
+        begin, of = at[new], segment[new]
+        base = np.concatenate([[0], self.length.cumsum(dtype=np.int64)])[of]
+        take = np.repeat(begin - np.concatenate([[0], size.cumsum()[:-1]]), size) + np.arange(size.sum())
+        return _State(self.docs, self.texts, self.of[of], (self.start[of] + begin - base).astype(np.uint32), size.astype(np.uint32), self.vocab, self.index[take])
+
+
+def _numbered(numbers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers below `most` that occur, each number's place among them)."""
+    occurs = np.zeros(most, bool)
+    occurs[numbers] = True
+    return np.flatnonzero(occurs), (occurs.cumsum() - 1)[numbers]
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -75,201 +103,225 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _narrowest(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint16) if len(a) == 0 or a.max() < 1 << 16 else a.astype(np.uint32)
+def chunks(docs: DataFrame, width: int) -> DataFrame:
+    """(chunk, words, state) of documents (doc_id, th, text) with `width` words or more; a document is never cut."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-def _to_buckets(h: np.ndarray, columns: list[np.ndarray], keys: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, kind 0, blob) of entries sorted by h; keys are what the last column indexes."""
-    cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
-    ids, blobs = [], []
-    for b in np.flatnonzero(np.diff(cut)):
-        part = slice(cut[b], cut[b + 1])
-        used, index = np.unique(columns[-1][part], return_inverse=True)
-        ids.append(b)
-        blobs.append(pickle.dumps((h[part], *(c[part] for c in columns[:-1]), _narrowest(index), keys[used]), 5))
-        if len(ids) == 64:
-            yield _rows(ids, 0, blobs)
-            ids, blobs = [], []
-    if ids:
-        yield _rows(ids, 0, blobs)
+        def out() -> pa.RecordBatch:
+            docs, texts, length, vocab, index = (np.concatenate(x) for x in zip(*held, strict=True))
+            words, again = np.unique(vocab, return_inverse=True)  # of the pieces' tables one for the chunk
+            offset = np.repeat(np.cumsum([0, *(len(x[3]) for x in held[:-1])]), [len(x[4]) for x in held])
+            state = _State(docs, texts, np.arange(len(docs), dtype=np.uint32), np.zeros(len(docs), np.uint32), length, words, again[index + offset])
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([len(index)]), binary_array([state.dump()])], names=["chunk", "words", "state"])
 
+        for batch in slices(batches, "text"):
+            data, offsets = utf8(batch.column("text"))
+            starts, ends, first = _words.bounds(data, offsets)
+            count = np.diff(first)
+            long = count >= width
+            if not long.any():
+                continue
+            hashed = _words.hashes(data, starts, ends)[np.repeat(long, count)]
+            vocab, index = np.unique(hashed, return_inverse=True)
+            held.append((batch.column("doc_id").to_numpy()[long], batch.column("th").to_numpy()[long], count[long].astype(np.uint32), vocab, index))
+            size += len(index)
+            if size >= CHUNK_WORDS:
+                yield out()
+                n, held, size = n + 1, [], 0
+        if held:
+            yield out()
 
-def _rows(ids: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * len(ids), pa.int32()), binary_array(blobs)], names=["bucket", "kind", "blob"])
+    return docs.mapInArrow(lean(run), STATE)
 
 
-def _by_key(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(key, packed values) for each distinct key."""
-    if not len(keys):
-        return
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    at = _runs(keys)
-    for a, b in zip(at, [*at[1:], len(keys)], strict=True):
-        yield int(keys[a]), values[a:b].tobytes()
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _local(keys: np.ndarray, values: np.ndarray, buckets: int, salt: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, kind 1, blob) of answers found without an exchange, in pieces dealt out evenly."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    for k, a in enumerate(range(0, len(keys), 1 << 16)):
-        yield _rows([(salt + k) % buckets], 1, [pickle.dumps((keys[a : a + (1 << 16)], values[a : a + (1 << 16)]), 5)])
+class _Level:
+    """The distinct windows of a chunk at one length, in the order in which they are sent and answered."""
+
+    def __init__(self, state: _State, width: int, last: bool):
+        self.at, self.segment = state.places(width)
+        doc = state.docs[state.of[self.segment]]
+        self.h = state.hashes(width, self.at)
+        if last:
+            self.second = (state.hashes(width, self.at, 1) & _LOW).astype(np.uint32)
+            order = np.lexsort((self.second, self.h))
+            begin = _runs(self.h[order], self.second[order])
+        else:
+            order = np.argsort(self.h, kind="stable")
+            begin = _runs(self.h[order])
+        self.order, self.size = order, np.diff(np.append(begin, len(order)))
+        self.doc, self.distinct = doc, self.h[order[begin]]
+        self.least = np.minimum.reduceat(doc[order], begin) if len(order) else doc
+        if last:
+            self.second = self.second[order[begin]]
+        else:
+            self.several = np.maximum.reduceat(doc[order], begin) > self.least if len(order) else np.zeros(0, bool)
+
+    def spread(self, of_distinct: np.ndarray) -> np.ndarray:
+        """A value of each distinct window, for each place."""
+        out = np.empty(len(self.order), of_distinct.dtype)
+        out[self.order] = np.repeat(of_distinct, self.size)
+        return out
 
 
-def _answers(rows: DataFrame, resolve, key: str) -> DataFrame:
-    """(key, blobs: packed values) after one exchange by bucket; resolve gives (keys, values) of a bucket's entries."""
+def _entries(states: DataFrame, width: int, last: bool, buckets: int) -> DataFrame:
+    """(bucket, chunk, entries): hashes of the chunk's distinct windows, with the smallest document at the last level, else whether it has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-            ids, blobs, size = [], [], 0
-            for k, blob in found:
-                ids.append(k)
-                blobs.append(blob)
-                size += len(blob)
-                if size > 1 << 22 or len(ids) >= 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), binary_array(blobs)], names=[key, "blob"])
-                    ids, blobs, size = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), binary_array(blobs)], names=[key, "blob"])
-
-        held: list[tuple] = []
-        at = None
         for batch in batches:
-            for b, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
-                got = pickle.loads(blob.as_buffer())
-                if kind:
-                    yield from out(_by_key(*got))
-                    continue
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("state"), strict=True):
+                level = _Level(_State.load(blob.as_buffer()), width, last)
+                cut = np.searchsorted(_bucket(level.distinct, buckets), np.arange(buckets + 1, dtype=np.uint64))
+                filled = np.flatnonzero(np.diff(cut))
+                for k in range(0, len(filled), ROWS_AT_ONCE):
+                    ids, blobs = filled[k : k + ROWS_AT_ONCE], []
+                    for b in ids.tolist():
+                        part = slice(cut[b], cut[b + 1])
+                        if last:
+                            blobs.append(level.distinct[part].tobytes() + level.second[part].tobytes() + level.least[part].tobytes())
+                        else:
+                            blobs.append((level.distinct[part] & _LOW).astype(np.uint32).tobytes() + level.several[part].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([chunk] * len(ids), pa.int64()), binary_array(blobs)], names=["bucket", "chunk", "entries"])
+
+    return states.mapInArrow(lean(run), ENTRIES)
+
+
+def _repeated(blobs: list[bytes]) -> list[np.ndarray]:
+    """For each chunk's entries of a bucket before the last level: whether a window is in another document, too."""
+    n = [len(x) // 5 for x in blobs]
+    h = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(blobs, n, strict=True)])
+    several = np.concatenate([np.frombuffer(x, bool, k, 4 * k) for x, k in zip(blobs, n, strict=True)])
+    order = np.argsort(h, kind="stable")
+    begin = _runs(h[order])
+    size = np.diff(np.append(begin, len(h)))
+    out = np.empty(len(h), bool)
+    out[order] = np.repeat((size > 1) | np.logical_or.reduceat(several[order], begin), size)
+    return np.split(out, np.cumsum(n)[:-1])
+
+
+def _earlier(blobs: list[bytes]) -> list[np.ndarray]:
+    """For each chunk's entries of a bucket at the last level: whether another chunk has the window in a smaller document than this one."""
+    n = [len(x) // 20 for x in blobs]
+    h1 = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(blobs, n, strict=True)])
+    h2 = np.concatenate([np.frombuffer(x, np.uint32, k, 8 * k) for x, k in zip(blobs, n, strict=True)])
+    doc = np.concatenate([np.frombuffer(x[12 * k :], np.int64, k) for x, k in zip(blobs, n, strict=True)])
+    order = np.lexsort((h2, h1))
+    begin = _runs(h1[order], h2[order])
+    least = np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.append(begin, len(h1))))
+    out = np.empty(len(h1), bool)
+    out[order] = doc[order] > least
+    return np.split(out, np.cumsum(n)[:-1])
+
+
+def _answers(entries: DataFrame, last: bool) -> DataFrame:
+    """(chunk, answers: array of (bucket, bits)) after one exchange; a bucket is held whole, one at a time."""
+    judge: Callable = _earlier if last else _repeated
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(bucket: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            bits = [np.packbits(x).tobytes() for x in judge([x for _, x in held])]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), binary_array(bits)], names=["chunk", "bucket", "bits"])
+
+        at, held = None, []
+        for batch in batches:
+            for b, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "entries")), strict=True):
                 if b != at and held:
-                    yield from out(_by_key(*resolve(held)))
+                    yield out(at, held)
                     held = []
                 at = b
-                held.append(got)
+                held.append((chunk, blob))
         if held:
-            yield from out(_by_key(*resolve(held)))
+            yield out(at, held)
 
-    answers = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), f"{key} long, blob binary")
-    return answers.groupBy(key).agg(F.collect_list("blob").alias("blobs"))
+    dealt = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), ANSWERS)
+    return dealt.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
 
-def _half_level(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Level 1: (doc_id, blobs of half-width hashes) of documents holding a minimum that another document holds too."""
+def _answered(batch: pa.RecordBatch, width: int, last: bool, buckets: int) -> Iterator[tuple[int, _State, _Level, np.ndarray]]:
+    """(chunk, state, level, the answer for each place) of rows (chunk, state, answers)."""
+    for chunk, blob, answers in zip(batch.column("chunk").to_pylist(), batch.column("state"), batch.column("answers").to_pylist(), strict=True):
+        state = _State.load(blob.as_buffer())
+        level = _Level(state, width, last)
+        cut = np.searchsorted(_bucket(level.distinct, buckets), np.arange(buckets + 1, dtype=np.uint64))
+        got = np.zeros(len(level.distinct), bool)
+        for a in answers or ():
+            part = slice(cut[a["bucket"]], cut[a["bucket"] + 1])
+            got[part] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=part.stop - part.start).astype(bool)
+        yield chunk, state, level, level.spread(got)
+
+
+def _survivors(states: DataFrame, answers: DataFrame, width: int, least: int, buckets: int) -> DataFrame:
+    """The chunks' states with the runs of repeated windows alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ds, ids, base = [], [], [], 0
-        for batch in slices(batches, "text"):
-            t = _Texts(batch.column("text"), width)
-            ids.append(batch.column("doc_id").to_numpy())
-            if len(t.places):
-                seen = np.zeros(len(t.least), np.uint64)
-                seen[t.places] = t.least[t.places]
-                reach = width - (width + 1) // 2
-                # a half-width window is a local minimum if it is the least of some target window that holds it
-                top = _sliding(np.concatenate([np.zeros(reach, np.uint64), seen, np.zeros(reach, np.uint64)]), reach + 1, np.maximum)
-                at = np.flatnonzero((t.halves[: len(top)] == top[: len(t.halves)]) & (top[: len(t.halves)] > 0))
-                hs.append(t.halves[at])
-                ds.append((t.text_of(at) + base).astype(np.int32))
-            base += batch.num_rows
-        if not hs:
-            return
-        h, d, ids = np.concatenate(hs), np.concatenate(ds), np.concatenate(ids)
-        order = np.argsort(h, kind="stable")
-        h, d = h[order], d[order]
-        at = _runs(h)
-        size = np.diff(np.append(at, len(h)))
-        doc = ids[d]
-        low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
-        several = low < high
-        mine = np.repeat(several, size)
-        yield from _local(doc[mine], h[mine], buckets, int(h[0] % np.uint64(buckets)))
-        # one entry a hash: its smallest document, and whether more than one is known here
-        first = np.minimum.reduceat(np.where(doc == np.repeat(low, size), d, len(ids)), at)
-        yield from _to_buckets(h[at], [several, first], ids, buckets)
-
-    def resolve(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        h = np.concatenate([x[0] for x in held])
-        several = np.concatenate([x[1] for x in held])
-        doc = np.concatenate([x[3][x[2]] for x in held])
-        order = np.argsort(h, kind="stable")
-        h, several, doc = h[order], several[order], doc[order]
-        at = _runs(h)
-        size = np.diff(np.append(at, len(h)))
-        repeats = (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)) | np.logical_or.reduceat(several, at)
-        back = np.repeat(repeats, size) & ~several
-        return doc[back], h[back]
-
-    return _answers(docs.mapInArrow(lean(run), "bucket int, kind int, blob binary"), resolve, "doc_id")
-
-
-def _target_level(held_docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Level 2: (uid, blobs of window places whose words also stand in a document of a smaller id).
-
-    held_docs: uid, doc_id, text, halves (blobs of level 1).
-    """
+        for batch in batches:
+            for chunk, state, level, alive in _answered(batch, width, False, buckets):
+                left = state.narrowed(level.at, level.segment, alive, width, least)
+                if left is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(left.index)]), binary_array([left.dump()])], names=["chunk", "words", "state"])
+
+    return states.join(answers, "chunk").select("chunk", "state", "answers").mapInArrow(lean(run), STATE)
+
+
+def _spans(states: DataFrame, answers: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(id, th, spans: bytes of [first word, end) pairs) of documents that lose words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, ids, uids, base = [], [], [], 0
-        for batch in slices(batches, "text"):
-            t = _Texts(batch.column("text"), width)
-            ids.append(batch.column("doc_id").to_numpy())
-            uids.append(batch.column("uid").to_numpy())
-            blobs = [np.frombuffer(x, np.uint64) for row in batch.column("halves").to_pylist() for x in row or ()]
-            if blobs and len(t.places):
-                p = t.places[np.isin(t.least[t.places], np.unique(np.concatenate(blobs)))]
-                text = t.text_of(p)
-                h1 = _words.windows(t.words, width)[p]
-                h2 = (_words.windows(t.words, width, 1)[p] & _LOW).astype(np.uint32)
-                found.append((h1, h2, (p - t.first[text]).astype(np.uint32), (text + base).astype(np.int32)))
-            base += batch.num_rows
-        if not found:
-            return
-        h1, h2, place, d = map(np.concatenate, zip(*found, strict=True))
-        ids, uids = np.concatenate(ids), np.concatenate(uids)
-        if not len(h1):
-            return
-        order = np.lexsort((h2, h1))
-        h1, h2, place, d = h1[order], h2[order], place[order], d[order]
-        at = _runs(h1, h2)
-        low = np.repeat(np.minimum.reduceat(ids[d], at), np.diff(np.append(at, len(h1))))
-        later = ids[d] > low
-        if later.any():
-            yield from _local(uids[d[later]], place[later], buckets, int(h1[0] % np.uint64(buckets)))
-        own = ~later
-        yield from _to_buckets(h1[own], [h2[own], place[own], ids[d[own]], d[own]], uids, buckets)
-
-    def resolve(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        h1, h2, place, doc = (np.concatenate([x[i] for x in held]) for i in range(4))
-        uid = np.concatenate([x[5][x[4]] for x in held])
-        order = np.lexsort((h2, h1))
-        h1, h2, place, doc, uid = h1[order], h2[order], place[order], doc[order], uid[order]
-        at = _runs(h1, h2)
-        later = doc > np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(h1))))
-        return uid[later], place[later]
-
-    return _answers(held_docs.mapInArrow(lean(run), "bucket int, kind int, blob binary"), resolve, "uid")
-
-
-def _strip(text: bytes, places: np.ndarray, width: int) -> tuple[int, int, str, list[list[int]]]:
-    """(words, words removed, kept words joined by blanks, removed spans as [first word, end])."""
-    words = text.translate(_BLANKS).split()
-    n = len(words)
-    delta = np.zeros(n + 1, np.int64)
-    np.add.at(delta, places, 1)
-    np.add.at(delta, np.minimum(places + width, n), -1)
-    gone = delta.cumsum()[:n] > 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-    return n, int(gone.sum()), kept.decode("utf-8", "replace"), edges.reshape(-1, 2).tolist()
+        for batch in batches:
+            for _, state, level, gone in _answered(batch, width, True, buckets):
+                gone |= level.doc > level.spread(level.least)  # a smaller document of the same chunk has it
+                left = state.narrowed(level.at, level.segment, gone, width, width)
+                if left is None:
+                    continue
+                begin, end = left.start.astype(np.int64), left.start.astype(np.int64) + left.length
+                of = left.of
+                # starts and ends ascend in a document; ranges that touch are one
+                new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (begin[1:] > end[:-1])]))
+                pairs = np.stack([begin[new], end[np.append(new[1:], len(end)) - 1]], 1)
+                of = of[new]
+                by = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+                blobs = [pairs[a:b].tobytes() for a, b in zip(by[:-1].tolist(), by[1:].tolist(), strict=True)]
+                own = of[by[:-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(state.docs[own]), pa.array(state.texts[own]), binary_array(blobs)], names=["id", "th", "spans"])
 
+    found = states.join(answers, "chunk").select("chunk", "state", "answers").mapInArrow(lean(run), "id long, th long, spans binary")
+    return found.groupBy("id", "th").agg(F.first("spans").alias("spans"))  # rows of the same id and text have the same
 
-#: bytes.split() splits at the six blanks only; no other byte counts as one.
-_BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
+
+def repeats(docs: DataFrame, scratch: Scratch, width: int = 13, first: int = FIRST, levels: list[tuple[int, int]] | None = None) -> DataFrame | None:
+    """(id, th, spans) of documents (doc_id, th, text) with windows that a document of a smaller id has, too; None if nothing repeats.
+
+    levels gets the length and the words alive of each level.
+    """
+    at = min(first, width)
+    states = scratch.table(chunks(docs, width))
+    while True:
+        words = states.agg(F.sum("words")).first()[0]
+        if not words:
+            scratch.drop(states)
+            return None
+        if levels is not None:
+            levels.append((at, words))
+        last = at == width
+        buckets = min(max(4 * partitions(scratch.spark), -(-words * (20 if last else 5) // BUCKET_BYTES)), 1 << 30)
+        answers = _answers(_entries(states, at, last, buckets), last)
+        if last:
+            spans = scratch.table(_spans(states, answers, width, buckets))
+            scratch.drop(states)
+            return spans
+        following = min(2 * at, width)
+        left = scratch.table(_survivors(states, answers, at, following, buckets))
+        scratch.drop(states)
+        states, at = left, following
 
 
 def substring_dedup(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep: tuple[str, ...] = (), with_text: bool = True
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep: tuple[str, ...] = (), with_text: bool = True, first: int = FIRST
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans, kept, and the columns named in `keep`) of every row.
 
@@ -277,58 +329,49 @@ def substring_dedup(
     smaller id; windows are judged on the input. spans are the removed word ranges [first, end).
     kept (with_text) is the words that stay, joined by single blanks, where any were removed, and the
     text as it was elsewhere. kept_sha256 is over the joined words in either case. Null and blank texts have no words; texts
-    shorter than `width` lose none. Rows of the same doc_id never count against each other. A row
-    whose doc_id is null is passed on whole.
+    shorter than `width` lose none. Rows of the same doc_id never count against each other, and repeated rows
+    get the same result each. A row whose doc_id is null is passed on whole, and counts against none. An empty
+    table gives an empty one; other columns do not matter, whatever their names. The longest text bounds a task.
     """
     scratch = Scratch(spark, "substring")
-    buckets = max(64, 2 * partitions(spark))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    named = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter("doc_id IS NOT NULL")
+    spans = repeats(named, scratch, width, first)
     kept_cols = [f"keep_{c}" for c in keep]
-    named = rows.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    half = scratch.table(_half_level(named, width, buckets))
-    joined = rows.join(half.withColumnRenamed("blobs", "halves").hint("shuffle_hash"), "doc_id", "left")
-    fields = joined.select("doc_id", "text", "halves", *kept_cols).schema
+    rows = docs.select(key.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
+    if spans is None:
+        rows = rows.withColumn("spans", F.lit(None).cast("binary"))
+    else:
+        found = spans.select(F.col("id").alias("found_id"), F.col("th").alias("found_th"), "spans")
+        rows = rows.join(found, (F.col("doc_id") == F.col("found_id")) & (F.col("th") == F.col("found_th")), "left")
+    rows = rows.select("doc_id", "text", "spans", *kept_cols)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = ["doc_id long", "n_words long", "n_removed long", "kept_sha256 string", "spans array<array<long>>"] + ["kept string"] * with_text + [f"`{c}` {types[c]}" for c in kept_cols]
 
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = utf8(batch.column("text"))
             data, at = data.tobytes(), offsets.tolist()
-            counts, shas = [], []
-            for a, b in zip(at, at[1:], strict=False):
+            counts, removed, shas, ranges, texts = [], [], [], [], {}
+            for i, (a, b, blob) in enumerate(zip(at, at[1:], batch.column("spans").to_pylist(), strict=False)):
                 words = data[a:b].translate(_BLANKS).split()
+                pairs = np.frombuffer(blob, np.int64).reshape(-1, 2).tolist() if blob else []
                 counts.append(len(words))
-                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            text = batch.column("text")
-            if not with_text:
-                hit = pa.compute.is_valid(batch.column("halves")).to_pylist()
-                text = pa.array([text[i].as_py() if h else None for i, h in enumerate(hit)], text.type)
-            cols = [batch.column("doc_id"), text, batch.column("halves"), *(batch.column(c) for c in kept_cols), pa.array(counts, pa.int64()), pa.array(shas)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "halves", *kept_cols, "n_words", "sha"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_words long, sha string"
-    base = scratch.table(joined.select("doc_id", "text", "halves", *kept_cols).mapInArrow(lean(first_pass), schema).withColumn("uid", F.monotonically_increasing_id()))
-    again = _target_level(base.filter("halves IS NOT NULL").select("uid", "doc_id", "text", "halves"), width, buckets)
-    base = base.select("uid", "doc_id", "text", *kept_cols, "n_words", "sha")
-    last = base.join(again.hint("shuffle_hash"), "uid", "left")
-
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sha, removed, spans = batch.column("sha").to_pylist(), [0] * batch.num_rows, [None] * batch.num_rows
-            text = batch.column("text")
-            kept: dict[int, str] = {}
-            for i, blobs in enumerate(batch.column("blobs").to_pylist()):
-                if blobs:
-                    places = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs]).astype(np.int64)
-                    _, removed[i], kept[i], spans[i] = _strip(text[i].as_py().encode(), places, width)
-                    sha[i] = hashlib.sha256(kept[i].encode()).hexdigest()
-            cols = [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
+                removed.append(sum(e - s for s, e in pairs))
+                ranges.append(pairs or None)
+                left, done = [], 0
+                for s, e in pairs:
+                    left += words[done:s]
+                    done = e
+                joined = b" ".join(left + words[done:] if pairs else words)
+                shas.append(hashlib.sha256(joined).hexdigest())
+                if pairs and with_text:
+                    texts[i] = joined.decode("utf-8", "replace")
+            cols = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(ranges, pa.list_(pa.list_(pa.int64())))]
             if with_text:
-                if kept:
-                    text = pa.array([kept[i] if i in kept else text[i].as_py() for i in range(batch.num_rows)], text.type)
-                cols.append(text)
+                column = batch.column("text")
+                cols.append(pa.array([texts[i] if i in texts else column[i].as_py() for i in range(batch.num_rows)], column.type) if texts else column)
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(c) for c in kept_cols)], names=[f.split(" ")[0].strip("`") for f in out])
 
-    types = {f.name: f.dataType.simpleString() for f in base.schema}
-    out = ["doc_id long", "n_words long", "n_removed long", "kept_sha256 string", "spans array<array<long>>"] + ["kept string"] * with_text + [f"`{c}` {types[c]}" for c in kept_cols]
-    found = last.select("doc_id", "text", *kept_cols, "n_words", "sha", "blobs").mapInArrow(lean(second_pass), ", ".join(out))
+    found = rows.mapInArrow(lean(strip), ", ".join(out))
     return found.select(*[f.split(" ")[0] for f in out if not f.startswith("`keep_")], *[F.col(f"keep_{c}").alias(c) for c in keep])
