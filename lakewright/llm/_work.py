@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,24 +23,52 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into numpy arrays at once; bounds a worker's memory.
 SLICE_BYTES = 1 << 20
+#: Rows of a narrow join side that one task may hash.
+HASHED_ROWS = 500_000
+
+
+#: A temporary folder for each application that has set none and runs on one machine, as tests do.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one if all runs on this machine, else an error."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lakewright-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lakewright-")
+        root = _LOCAL[context.applicationId]
     return root.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(the Hadoop file system of a path, the path) on the JVM."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables of all operator calls of this application, once their results are written or no longer wanted."""
+    fs, p = _file_system(spark, f"{shared_root(spark)}/lakewright/{spark.sparkContext.applicationId}")
+    fs.delete(p, True)
+
+
 class Scratch:
-    """Tables of one operator call, in a folder of its own below the shared root."""
+    """Tables of one operator call, in a folder of its own below the shared root.
+
+    An operator drops what only its own steps read. What its result reads stays until `release`, or until the application ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_root(spark)}/lakewright/{name}-{uuid.uuid4().hex}"
+        top = f"{shared_root(spark)}/lakewright/{spark.sparkContext.applicationId}"
+        self.base = f"{top}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        fs, p = _file_system(spark, top)
+        fs.deleteOnExit(p)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Writes df and reads it back: computed once, short lineage, files all executors share."""
@@ -54,9 +83,8 @@ class Scratch:
         """Deletes a table of this scratch that nothing reads any more."""
         path = getattr(df, "_lakewright_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = _file_system(self.spark, path)
+            fs.delete(p, True)
 
 
 def trim() -> None:
@@ -86,9 +114,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of df; from file sizes, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def few_a_task(narrow_side: DataFrame, rows: int) -> DataFrame:
+    """A join side of few narrow columns, to be hashed where the rows of a task take some 50 MB at most; beyond that Spark sorts and spills."""
+    return narrow_side.hint("shuffle_hash") if rows <= HASHED_ROWS * partitions(narrow_side.sparkSession) else narrow_side
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:

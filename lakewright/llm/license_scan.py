@@ -45,16 +45,17 @@ _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def parse(text: str) -> list[str] | None:
-    """The licence expression at the head of text in postfix order, lower case, or None if there is none.
+def parse(text: str, at: int = 0, end: int | None = None) -> list[str] | None:
+    """The licence expression that text holds from `at`, up to `end` at most, in postfix order, lower case, or None if there is none.
 
     `with` binds closest, then `and`, then `or`; parentheses group. The expression ends where the
     next word cannot continue it; an operator left without its right side, and an open parenthesis, spoil it.
     """
     out: list[str] = []
     ops: list[str] = []
-    want, at, depth = True, 0, 0  # want: an operand comes next
-    while m := _TOKEN.match(text, at):
+    want, depth = True, 0  # want: an operand comes next
+    end = len(text) if end is None else end
+    while m := _TOKEN.match(text, at, end):
         token = m[1].lower()
         if token == "(":
             if not want:
@@ -144,8 +145,12 @@ def scan(text: bytes) -> tuple:
     expressions, allowed, malformed = [], None, False
     if tagged:
         low = text.translate(_ASCII_LOWER).decode("utf-8", "replace")
+        stop = -1
         for end, _ in _machine((TAG,), False).iter(low):
-            postfix = parse(low[end + 1 : end + 1 + (low[end + 1 :] + "\n").index("\n")])
+            if stop <= end:  # the line's end is looked for once a line
+                stop = low.find("\n", end + 1)
+                stop = len(low) if stop < 0 else stop
+            postfix = parse(low, end + 1, stop)
             if postfix:
                 expressions.append(" ".join(postfix))
                 allowed = permitted(postfix) and allowed is not False
@@ -162,7 +167,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_base counts all places of base phrases, first_word and last_word are the smallest and largest of their
     start words (null without any). labels add those of the other phrases and `spdx:` with each identifier of
     a parsed expression. permissive tells whether all expressions leave a permissive choice (null without one).
-    Null and empty texts have no words, no labels and score 0. Repeated rows are scanned like any other.
+    Null and empty texts have no words, no labels and score 0. Repeated rows are scanned like any other, and rows without an id keep
+    their null. Phrases that overlap all count. The work grows with the text, however many tags it has; other columns do not matter.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     span = pa.struct([("word", pa.int64()), ("phrase", pa.string())])

@@ -8,8 +8,10 @@ siblings only if the whole parent runs short. Each leaf then gives the prefix of
 seeded epochs that fills its budget: an epoch is all its documents in an order of
 their own, by hash of seed, epoch and id.
 
-Leaves, languages and domains are small aggregates. In a leaf, tokens are added up
-by buckets of the hash first, so that no task orders more than a bucket of one leaf.
+Leaves, languages and domains are aggregates of one row each; those of one parent are ordered in
+one task, a narrow row for each source of a language at most, which sorts and spills where sources are
+millions. In a leaf, tokens are added up by buckets of the hash first, and those by their first digit,
+so that no task orders more than a bucket of one leaf, or 256 sums.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import Scratch
+from ._work import Scratch, unused
 
-#: Hex digits of the hash that make a bucket: 4096 of them in each leaf and epoch.
+#: Hex digits of the hash that make a bucket: 4096 of them in each leaf and epoch, 16 groups of 256.
 DIGITS = 3
 #: Fixed pattern: a token, for counting.
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -107,9 +109,17 @@ def mix(
     take_tokens is n_tokens but for the last document of a leaf, which is cut to the leaf's budget. The budget is
     per_mille thousandths of all tokens; a leaf gives at most `epochs` times what it has. weights: by level
     (domain, lang, source) and name, whole and positive; 1 for a name not listed. Null languages and sources are
-    a name of their own, `-`. Null and blank texts have no tokens and are never taken. Rows of the same id and text stand
-    next to each other in an epoch, each taken by itself; rows of an id but different texts likewise. Rows without an id stand last.
+    a name of their own, `-`. Null and blank texts have no tokens and are never taken; a text of any length counts whole. Rows of the
+    same id and text stand next to each other in an epoch, each taken by itself; rows of an id but different texts likewise, the
+    shorter first. Rows without an id stand last. Tokens are runs between blanks here, whatever a later tokenizer makes of them.
+    An empty table gives an empty one; other columns do not matter, whatever their names.
     """
+    rows, _ = _taken(spark, docs, weights, seed, epochs, per_mille, domain, id_col, text_col, lang_col, source_col)
+    return rows.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
+
+
+def _taken(spark: SparkSession, docs: DataFrame, weights, seed: int, epochs: int, per_mille: int, domain: Column | None, id_col: str, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(what `mix` returns, with th, a hash of the text; all rows with tokens as doc_id, domain, lang, source, n_tokens, th)."""
     source = _named(F.col(f"`{source_col}`"))
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
@@ -117,9 +127,10 @@ def mix(
         _named(F.col(f"`{lang_col}`")).alias("lang"),
         source.alias("source"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_tokens"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("th"),
     ).filter("n_tokens > 0")
     scratch = Scratch(spark, "mixing")
-    rows = scratch.table(rows)
+    counted = rows = scratch.table(rows)
     leaf = ["domain", "lang", "source"]
     budgets = leaf_budgets(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), weights, epochs, per_mille)
     order = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.col("doc_id").cast("string")).cast("binary")), F.lit("g"))
@@ -127,13 +138,15 @@ def mix(
     key = [*leaf, "epoch", "bucket"]
     # tokens before each bucket, in whole epochs and in buckets of its own epoch
     buckets = rows.groupBy(*key).agg(F.sum("n_tokens").alias("n"))
-    ahead = Window.partitionBy(*leaf, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(budgets, leaf)
-    buckets = buckets.withColumn("left", F.col("gets") - F.col("tokens") * F.col("epoch") - F.col("ahead")).filter("left > 0").select(*key, "left")
+    buckets = buckets.withColumn("group", F.substring("bucket", 1, 1))
+    ahead = lambda n, keys, by: F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = buckets.groupBy(*leaf, "epoch", "group").agg(F.sum("n").alias("n")).withColumn("before", ahead("n", [*leaf, "epoch"], "group")).drop("n")
+    buckets = buckets.withColumn("ahead", ahead("n", [*leaf, "epoch", "group"], "bucket")).join(groups, [*leaf, "epoch", "group"]).join(budgets, leaf)
+    buckets = buckets.withColumn("left", F.col("gets") - F.col("tokens") * F.col("epoch") - F.col("before") - F.col("ahead")).filter("left > 0").select(*key, "left")
     rows = rows.join(buckets, key)
-    inside = Window.partitionBy(*key).orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("h", "doc_id", "n_tokens", "th").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("left", F.col("left") - F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).filter("left > 0")
-    return rows.select("doc_id", *leaf, "epoch", "n_tokens", F.least("n_tokens", "left").alias("take_tokens"))
+    return rows.select("doc_id", *leaf, "epoch", "n_tokens", F.least("n_tokens", "left").alias("take_tokens"), "th"), counted
 
 
 def oracle_sql(weights: dict[str, dict[str, int]] = WEIGHTS, seed: int = SEED, epochs: int = EPOCHS, per_mille: int = PER_MILLE) -> str:
@@ -172,17 +185,33 @@ placed AS (
 SELECT doc_id, domain, lang, source, epoch::INT AS epoch, n_tokens::BIGINT AS n_tokens, least(n_tokens, room)::BIGINT AS take_tokens FROM placed WHERE room > 0"""
 
 
-def select_mixture(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The documents of one epoch's mixture, with their columns; the last of a leaf is cut to its tokens.
+def select_mixture(
+    spark: SparkSession, docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, seed: int = SEED, per_mille: int = PER_MILLE, domain: Column | None = None,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+) -> DataFrame:
+    """The documents of one epoch's mixture, with their columns; the last of a leaf is cut to its tokens, joined by single blanks.
 
-    Rows that share an id are taken or left by their token counts, so each is in at most as often as it was.
+    A row is known by its id and a hash of its text, language and source. Of rows that are equal in these, as many stay as were taken,
+    so no leaf goes beyond its budget. Other columns stay as they are, whatever their names; the rest is as `mix` says.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    scratch = Scratch(spark, "mixture")
-    taken = mix(spark, docs, epochs=1, **options).select(F.col("doc_id").alias("_id"), F.col("n_tokens").alias("_n"), F.col("take_tokens").alias("_take"))
-    taken = scratch.table(taken.groupBy("_id", "_n").agg(F.max("_take").alias("_take")))
-    text = F.col(f"`{text_col}`")
-    count = F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), 1, F.col("_take").cast("int")), " ")
-    joined = docs.join(taken, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (count == F.col("_n")))
-    return joined.withColumn(text_col, F.when(F.col("_take") < F.col("_n"), cut).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken, counted = _taken(spark, docs, weights, seed, 1, per_mille, domain, id_col, text_col, lang_col, source_col)
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    lang, source = _named(F.col(f"`{lang_col}`")), _named(F.col(f"`{source_col}`"))
+    own, row, k, n, c, take, many = (unused(docs, f"_{x}") for x in ("id", "row", "key", "n", "count", "take", "many"))
+    kind = [F.col("doc_id").alias(own), F.xxhash64("th", "lang", "source").alias(row)]
+    # equal rows stand next to each other in a leaf, so all that are taken are whole but the last one
+    taken = taken.groupBy(*kind).agg(F.max("n_tokens").alias(n), F.count("*").alias(c), F.min("take_tokens").alias(take))
+    total = counted.groupBy(*kind).agg(F.count("*").alias(many)).filter(F.col(many) > 1)
+    total = total.select(F.col(own).alias(f"{own}2"), F.col(row).alias(f"{row}2"), many)
+    taken = taken.join(total, F.col(own).eqNullSafe(F.col(f"{own}2")) & (F.col(row) == F.col(f"{row}2")), "left").select(own, F.col(row).alias(k), n, c, take, many)
+    taken = Scratch(spark, "mixture").table(taken)
+    found = docs.withColumn(row, F.xxhash64(F.xxhash64(text), lang, source)).join(taken, key.eqNullSafe(F.col(own)) & (F.col(row) == F.col(k)))
+    # of one kind of equal rows in a leaf at most, some stay or one is cut; those are counted off
+    split = F.col(many).isNotNull() & ((F.col(c) < F.col(many)) | (F.col(take) < F.col(n)))
+    if not taken.filter(split).isEmpty():
+        place = unused(docs, "_place")
+        several = found.filter(split).withColumn(place, F.row_number().over(Window.partitionBy(key, row).orderBy(F.lit(0)))).filter(F.col(place) <= F.col(c))
+        several = several.withColumn(take, F.when(F.col(place) < F.col(c), F.col(n)).otherwise(F.col(take))).drop(place)
+        found = found.filter(~split).unionByName(several)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), 1, F.col(take).cast("int")), " ")
+    return found.withColumn(text_col, F.when(F.col(take) < F.col(n), cut).otherwise(text)).select(*[F.col(f"`{x}`") for x in docs.columns])

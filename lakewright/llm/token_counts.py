@@ -5,39 +5,59 @@ no token of a word vocabulary crosses. Chunks stand in segments, and a binary tr
 over the segments holds the sums of characters and of tokens below each node. An
 edit is found by descending on characters; the chunks it touches, with what is left
 of them on either side, are encoded again and no others; the sums are updated along
-the paths of the segments touched. The state kept between rounds of edits is a
-token count for each chunk.
+the paths of the segments touched.
+
+What is kept between rounds of edits is the tree: its segments with their sums and a
+token count for each chunk, and a digest of the text they belong to. A later round
+splits the segments that its edits touch and no others; a state of another text is
+told by the digest and not used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tokens import TextTokenizer, tokenizer
 from ._work import binary_array, lean, slices
 
-#: Chunks of a new segment, and the most it may grow to before the tree is built anew.
+#: Chunks of a new segment, and the most it may grow to before it is cut into new ones.
 SEGMENT = 64
 CROWDED = 1024
 EDITS = "array<struct<pos: long, cut: long, put: string>>"
+#: The state's head: layout, digest of the text, segments, bytes of a chunk's count.
+HEAD = struct.Struct("<B16sIB")
+LAYOUT = 2
 
 
 class TokenTree:
-    """Sums of characters and tokens over segments of chunks; level 0 is the segments, the last level one node."""
+    """Sums of characters and tokens over segments of chunks; level 0 is the segments, the last level one node.
+
+    A segment is loaded, that is, its chunks' characters are known, only once an edit touches it.
+    """
 
-    def __init__(self, chars: np.ndarray, tokens: np.ndarray):
+    def __init__(self, sums: np.ndarray, sizes: np.ndarray, counts: np.ndarray, load: Callable[[int, int], np.ndarray]):
+        """sums: (characters, tokens) of each segment; sizes: its chunks; counts: tokens of all chunks; load(start, characters): those of each chunk there."""
+        first = np.concatenate([[0], sizes.cumsum()])
+        self.sizes, self.counts_of = sizes.tolist(), [counts[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        self.chars_of: list[np.ndarray | None] = [None] * len(self.sizes)
+        self.load = load
+        self._sum_up(sums)
+
+    @classmethod
+    def of(cls, chars: np.ndarray, tokens: np.ndarray, load: Callable[[int, int], np.ndarray]) -> TokenTree:
         """chars: of each chunk and the blank after it."""
-        self._build(chars, tokens)
+        at = np.arange(0, max(len(chars), 1), SEGMENT)
+        sizes = np.diff(np.append(at, len(chars)))
+        return cls(np.stack([np.add.reduceat(chars, at), np.add.reduceat(tokens, at)], 1).astype(np.int64), sizes, tokens, load)
 
-    def _build(self, chars: np.ndarray, tokens: np.ndarray) -> None:
-        cuts = np.arange(0, max(len(chars), 1), SEGMENT)
-        self.chunks = [[c, t] for c, t in zip(np.split(chars, cuts[1:]), np.split(tokens, cuts[1:]), strict=True)]
-        level = np.array([[c.sum(), t.sum()] for c, t in self.chunks], np.int64)
+    def _sum_up(self, level: np.ndarray) -> None:
         self.levels = [level]
         while len(level) > 1:
             if len(level) % 2:
@@ -50,34 +70,49 @@ class TokenTree:
     def tokens(self) -> int:
         return int(self.levels[-1][0, 1])
 
-    def counts(self) -> np.ndarray:
-        return np.concatenate([t for _, t in self.chunks])
+    @property
+    def chunks(self) -> int:
+        return sum(self.sizes)
+
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sums, sizes, counts) as the constructor takes them."""
+        return self.levels[0][: len(self.sizes)], np.array(self.sizes, np.int64), np.concatenate(self.counts_of)
 
     def locate(self, char: int) -> tuple[int, int]:
         """(segment, chunk in it) that holds this character."""
-        node, last = 0, len(self.levels) - 1
-        for level in reversed(self.levels[:last]):
+        node, rest = 0, char
+        for level in reversed(self.levels[:-1]):
             node *= 2
-            if char >= level[node, 0]:
-                char -= int(level[node, 0])
+            if rest >= level[node, 0]:
+                rest -= int(level[node, 0])
                 node += 1
-        node = min(node, len(self.chunks) - 1)
-        at = int(np.searchsorted(self.chunks[node][0].cumsum(), char, side="right"))
-        return node, min(at, len(self.chunks[node][0]) - 1)
+        if node >= len(self.sizes):  # beyond the text: its last segment
+            node = len(self.sizes) - 1
+            rest += int(self.levels[0][node, 0])
+        if self.chars_of[node] is None:
+            self.chars_of[node] = self.load(char - rest, int(self.levels[0][node, 0]))
+        at = int(np.searchsorted(self.chars_of[node].cumsum(), rest, side="right"))
+        return node, min(at, self.sizes[node] - 1)
 
     def replace(self, first: tuple[int, int], last: tuple[int, int], chars: np.ndarray, tokens: np.ndarray) -> None:
         """Puts chunks in the place of those from first to last."""
         (a, i), (b, j) = first, last
-        head, tail = self.chunks[a], self.chunks[b]
-        new = [np.concatenate([head[k][:i], (chars, tokens)[k], tail[k][j + 1 :]]) for k in (0, 1)]
-        for s in range(a + 1, b + 1):
-            self.chunks[s] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.chunks[a] = new
-        if len(new[0]) > CROWDED:
-            self._build(*(np.concatenate([c[k] for c in self.chunks]) for k in (0, 1)))
+        chars = np.concatenate([self.chars_of[a][:i], chars, self.chars_of[b][j + 1 :]])
+        tokens = np.concatenate([self.counts_of[a][:i], tokens, self.counts_of[b][j + 1 :]])
+        if len(chars) > CROWDED:
+            at = list(range(0, len(chars), SEGMENT))
+            pieces = [slice(x, x + SEGMENT) for x in at]
+            self.sizes[a : b + 1] = [len(chars[p]) for p in pieces]
+            self.chars_of[a : b + 1] = [chars[p] for p in pieces]
+            self.counts_of[a : b + 1] = [tokens[p] for p in pieces]
+            new = np.stack([np.add.reduceat(chars, at), np.add.reduceat(tokens, at)], 1)
+            old = self.levels[0][: len(self.sizes) - len(at) + b + 1 - a]
+            self._sum_up(np.concatenate([old[:a], new, old[b + 1 :]]).astype(np.int64))
             return
+        none = np.zeros(0, np.int64)
         for s in range(a, b + 1):
-            self.levels[0][s] = self.chunks[s][0].sum(), self.chunks[s][1].sum()
+            self.sizes[s], self.chars_of[s], self.counts_of[s] = (len(chars), chars, tokens) if s == a else (0, none, none)
+            self.levels[0][s] = (chars.sum(), tokens.sum()) if s == a else (0, 0)
         low, high = a, b
         for below, level in zip(self.levels, self.levels[1:], strict=False):
             low, high = low // 2, high // 2
@@ -97,16 +132,42 @@ def _tokens(chunks: list[str], coder: TextTokenizer) -> np.ndarray:
     return np.fromiter(map(len, map(coder.chunks.__getitem__, chunks)), np.int64, len(chunks)) // 4
 
 
+def digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 class Counted:
     """A text with its tree."""
 
-    def __init__(self, text: str, coder: TextTokenizer, counts: np.ndarray | None = None):
-        """counts: the state of an earlier round; without it all chunks are encoded."""
-        chunks = _split(text)
+    def __init__(self, text: str, coder: TextTokenizer, state: bytes | None = None):
+        """state: what `state()` gave for this text; without it, or with that of another text, all chunks are encoded."""
         self.text, self.coder, self.encoded = text, coder, 0
-        if counts is None or len(counts) != len(chunks):
-            counts, self.encoded = _tokens(chunks, coder), len(chunks)
-        self.tree = TokenTree(_chars(chunks), counts.astype(np.int64))
+        self.tree = self._kept(state) if state else None
+        if self.tree is None:
+            chunks = _split(text)
+            self.encoded = len(chunks)
+            self.tree = TokenTree.of(_chars(chunks), _tokens(chunks, coder), self._load)
+
+    def _load(self, start: int, chars: int) -> np.ndarray:
+        return _chars(_split(self.text[start : start + chars - 1]))
+
+    def _kept(self, state: bytes) -> TokenTree | None:
+        if len(state) < HEAD.size:
+            return None
+        layout, mark, n, width = HEAD.unpack_from(state)
+        if layout != LAYOUT or mark != digest(self.text):
+            return None
+        sums = np.frombuffer(state, "<u4", 3 * n, HEAD.size).reshape(n, 3).astype(np.int64)
+        counts = np.frombuffer(state, np.uint8 if width == 1 else "<u4", offset=HEAD.size + 12 * n).astype(np.int64)
+        return TokenTree(sums[:, :2].copy(), sums[:, 2], counts, self._load)
+
+    def state(self) -> bytes:
+        """The tree as bytes: one byte a chunk where all counts are small, else four."""
+        sums, sizes, counts = self.tree.segments()
+        filled = sizes > 0
+        width = 1 if counts.max(initial=0) < 256 else 4
+        rows = np.concatenate([sums, sizes[:, None]], 1)[filled].astype("<u4")
+        return HEAD.pack(LAYOUT, digest(self.text), len(rows), width) + rows.tobytes() + counts.astype(np.uint8 if width == 1 else "<u4").tobytes()
 
     def edit(self, pos: int, cut: int, put: str) -> None:
         """Cuts `cut` characters from pos on and puts a text there; both are held within the text."""
@@ -123,23 +184,16 @@ class Counted:
         self.text = text[:pos] + put + text[end:]
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    """One byte a chunk where all are small, else four; the first byte tells which."""
-    return b"\1" + counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b"\4" + counts.astype("<u4").tobytes()
-
-
-def _unpack(state: bytes | None) -> np.ndarray | None:
-    return None if not state else np.frombuffer(state[1:], np.uint8 if state[0] == 1 else "<u4")
-
-
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", state_col: str | None = None, edits_col: str | None = None, with_text: bool = True) -> DataFrame:
     """(doc_id, n_tokens, n_edited, n_chunks, n_encoded, and with_text: text, state) of every row.
 
     n_tokens counts the text as given, n_edited after its edits (an array of (pos, cut, put), in order, positions in
     characters of the text so far). n_chunks is all chunks after the edits, n_encoded those encoded in this call. state is
-    what a later call takes as state_col with the edited text, so that it need not encode what the edits leave alone.
-    Null texts count as empty and stay so; null edits, and null fields of an edit, change nothing. Edits beyond the text are held
-    within it. The vocabulary must be one whose tokens cross no white space. Repeated rows are counted each.
+    what a later call takes as state_col with the edited text, so that it need not encode what the edits leave alone; a state
+    that is null, or of another text, is not used. Null texts count as empty and come back empty; a null id stays null. Null edits,
+    and null fields of an edit, change nothing. Edits beyond the text are held within it. The vocabulary must be one whose tokens
+    cross no white space. A text of any length is counted whole, repeated rows are counted each, an empty table gives an empty one,
+    and other columns do not matter, whatever their names.
     """
     cols = {"doc_id": F.col(f"`{id_col}`"), "text": F.col(f"`{text_col}`")}
     cols["state"] = F.col(f"`{state_col}`") if state_col else F.lit(None).cast("binary")
@@ -153,13 +207,12 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in slices(batches, "text"):
             out: list[tuple] = []
             for text, state, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "state", "edits")), strict=True):
-                doc = Counted(text or "", coder, _unpack(state))
+                doc = Counted(text or "", coder, state)
                 before = doc.tree.tokens
                 for e in edits or ():
                     if e and e["pos"] is not None:
                         doc.edit(e["pos"], e["cut"] or 0, e["put"] or "")
-                counts = doc.tree.counts()
-                out.append((before, doc.tree.tokens, len(counts), doc.encoded, *((doc.text, _pack(counts)) if with_text else ())))
+                out.append((before, doc.tree.tokens, doc.tree.chunks, doc.encoded, *((doc.text, doc.state()) if with_text else ())))
             numbers = [pa.array([x[k] for x in out], pa.int64()) for k in range(4)]
             texts = [pa.array([x[4] for x in out]), binary_array([x[5] for x in out])] if with_text else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, *texts], names=names)
