@@ -11,6 +11,10 @@ of b - d blocks one task holds the subtree of all fingerprints that agree there
 and walks it. A subtree with more than `most` fingerprints is handed on as the
 pairs of its subtrees eight bits further down that are still within the budget,
 each pair to a task of its own, until all are small: nothing is dropped.
+
+A few bits hold copies that are all but equal. `deduplicate` is for near copies at a
+similarity of their shingle sets, for which the trie self-join runs inside smaller
+groups and exact sets decide (`_near`).
 """
 
 from __future__ import annotations
@@ -21,16 +25,15 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import components, forest
+from . import _near
+from ._graph import components
+from ._trie import BITS, walk
 from ._work import Scratch, lean, narrow, slices, utf8
 
-BITS = 64
 SEED = 42
-#: Node pairs held at once in a walk.
-FRONTIER = 1 << 19
 _LOWER_AND_BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -56,73 +59,17 @@ def fingerprint(text: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp: the 64 bits as a signed long) of every document; null and blank texts have 0."""
+    """(doc_id, th: a hash of the text, fp: the 64 bits as a signed long) of every document; null and blank texts have fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = utf8(batch.column("text"))
             data, at = data.tobytes(), offsets.tolist()
             fps = np.fromiter((fingerprint(data[a:b], width) for a, b in zip(at, at[1:], strict=False)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
-
-    rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(lean(run), "doc_id long, fp long")
-
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-def walk(group: np.ndarray, fp: np.ndarray, budget: int, side: np.ndarray | None = None, two: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one group whose fingerprints differ in at most `budget` bits, as a spanning forest of them.
-
-    group, side and fp are sorted by (group, side, fp), fp distinct within a group. A group is one subtree,
-    paired with itself, or where `two` holds, two subtrees (sides 0 and 1), paired with each other. A trie node is
-    a range of fp that shares all bits above a level; both ranges of a pair descend together, level by level.
-    """
-    side = np.zeros(len(group), np.int8) if side is None else side
-    two = np.zeros(len(group), bool) if two is None else two
-    edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]), [True]]))
-    lo, hi = edge[:-1], edge[1:]
-    own = ~two[lo] & (hi - lo > 1)
-    left = np.flatnonzero(two[lo[:-1]] & (group[lo[:-1]] == group[lo[1:]])) if len(lo) > 1 else np.zeros(0, np.int64)
-    start = [np.concatenate(x) for x in ((lo[own], lo[left]), (hi[own], hi[left]), (lo[own], lo[left + 1]), (hi[own], hi[left + 1]))]
-    stack = [(BITS - 1, *start, np.zeros(len(start[0]), np.int8))]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    ones: dict[int, np.ndarray] = {}
-    while stack:
-        level, al, ah, bl, bh, d = stack.pop()
-        if not len(al):
-            continue
-        if len(al) > FRONTIER:
-            half = len(al) // 2
-            stack += [(level, al[:half], ah[:half], bl[:half], bh[:half], d[:half]), (level, al[half:], ah[half:], bl[half:], bh[half:], d[half:])]
-            continue
-        leaf = (ah - al == 1) & (bh - bl == 1)  # two leaves: their remaining paths at once
-        if leaf.any():
-            i, j = al[leaf], bl[leaf]
-            near = (np.bitwise_count(fp[i] ^ fp[j]) <= budget) & (i != j)
-            if near.any():
-                found.append((i[near], j[near]))
-                held += int(near.sum())
-                if held > 4 * FRONTIER:
-                    found = [forest(*map(np.concatenate, zip(*found, strict=True)))]
-                    held = len(found[0][0])
-            al, ah, bl, bh, d = (x[~leaf] for x in (al, ah, bl, bh, d))
-        if level < 0 or not len(al):
-            continue
-        if level not in ones:
-            ones[level] = np.concatenate([[0], ((fp >> np.uint64(level)) & np.uint64(1)).cumsum(dtype=np.int64)])
-        c = ones[level]
-        am, bm = ah - (c[ah] - c[al]), bh - (c[bh] - c[bl])  # where the one-subtrees begin
-        own = al == bl
-        parts = [(al, am, bl, bm, d), (am, ah, bm, bh, d), (al, am, bm, bh, d + 1)]
-        cross = tuple(x[~own] for x in (am, ah, bl, bm, d + 1))  # of a node with itself, the same as the pair before
-        nxt = [np.concatenate(x) for x in zip(*parts, cross, strict=True)]
-        al, ah, bl, bh, d = nxt
-        live = (al < ah) & (bl < bh) & (d <= budget) & ~((al == bl) & (ah - al == 1))
-        stack.append((level - 1, al[live], ah[live], bl[live], bh[live], d[live]))
-    if not found:
-        z = np.zeros(0, np.int64)
-        return z, z
-    return forest(*map(np.concatenate, zip(*found, strict=True)))
+    rows = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(lean(run), "doc_id long, th long, fp long")
 
 
 def _blocks(n: int, budget: int) -> int:
@@ -199,8 +146,9 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
     component_id is the smallest doc_id reachable over links of at most `budget` differing bits.
     Null and blank texts have fingerprint 0 and link like any other. A text of fewer than `width`
-    words is one shingle. Repeated rows stay, each with its result. A row whose doc_id is null keeps
-    its row and gets the component of its fingerprint among rows with an id (else null).
+    words is one shingle, a text of any length counts whole. Repeated rows stay, each with its result; a bit that is
+    set in just half the hashes is 0. A row whose doc_id is null keeps its row and gets the component of its fingerprint
+    among rows with an id (else null). An empty table gives an empty one; other columns do not matter, whatever their names.
     """
     scratch = Scratch(spark, "simhash")
     marked = scratch.table(fingerprints(docs, id_col, text_col, width))
@@ -210,32 +158,25 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
-    """docs with one document of each component: the one of the smallest id.
+def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float | None = 0.8, budget: int = 3) -> DataFrame:
+    """docs with one row of each group of near copies, linked directly or through others.
 
-    Of rows that share that id, the one of the smallest text stays (null first). A row without an id goes
-    if a document with an id shares its fingerprint, and stays otherwise.
+    Near copies are texts whose sets of five-word shingles (A-Z lower-cased) have a Jaccard similarity of 0.8 or more, or
+    with similarity None, texts whose fingerprints over `width` words differ in at most `budget` bits. The row of the smallest id
+    stays, a row without an id only where the group has none; of rows that share that id, the one of the smallest hash of the
+    text, and of equal rows any. Null, empty and blank texts are one group. A text of fewer than five words is one shingle; a text
+    of any length is compared whole. Rows, not ids, go: another text of the same id is judged by itself. An empty table gives an empty
+    one; other columns stay as they are, whatever their names.
     """
-    scratch = Scratch(spark, "simhash-kept")
-    marked = scratch.table(simhash_components(spark, docs, id_col, text_col, width, budget))
-    gone = marked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    same = scratch.table(marked.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"))
-    key = F.col(f"`{id_col}`").cast("long")
-    kept = docs.join(gone, key == F.col("_id"), "left_anti")
-    if not same.isEmpty():
-        several = kept.join(same, key == F.col("_id"), "left_semi")
-        first = Window.partitionBy(key).orderBy(F.col(f"`{text_col}`").asc_nulls_first())
-        several = several.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
-        kept = kept.join(same, key == F.col("_id"), "left_anti").unionByName(several)
-    nameless = marked.filter("doc_id IS NULL")
-    if not nameless.isEmpty():
-        # their fingerprints again, next to their columns: such rows are few, and nothing else tells them apart
-        plain = kept.filter(key.isNull())
-        taken = marked.filter("doc_id IS NOT NULL").select("fp").distinct()
-        fields = [f.name for f in docs.schema]
-        packed = plain.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("_row"), F.col(f"`{text_col}`").alias("text"))
-        own = packed.withColumn("doc_id", F.monotonically_increasing_id())
-        own = scratch.table(own)
-        fresh = own.join(fingerprints(own, "doc_id", "text", width), "doc_id").join(taken, "fp", "left_anti").select("_row.*")
-        kept = kept.filter(key.isNotNull()).unionByName(fresh)
-    return kept
+    scratch = Scratch(spark, "near-copies")
+    if similarity is None:
+        marked = scratch.table(fingerprints(docs, id_col, text_col, width))
+        fps = scratch.table(marked.select("fp").distinct().withColumn("rep", F.monotonically_increasing_id()))
+        found = components(links(fps, budget, scratch), scratch).withColumnRenamed("node", "rep")
+        named = scratch.table(fps.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("label")))
+        return _near.keep_first(docs, marked.join(named, "fp").select("doc_id", "th", "label"), scratch, id_col, text_col)
+    if (similarity, width) != (_near.PART / _near.WHOLE, _near.WIDTH):
+        raise ValueError("near copies are compared by five-word shingles at a similarity of 0.8")
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    rows = docs.select(key.alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return _near.keep_first(docs, _near.labelled(rows, scratch), scratch, id_col, text_col)

@@ -7,7 +7,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
-from lakewright.llm import near_copies
+from lakewright.llm import _near, simhash_dedup
 
 from .test_operators import smallest
 
@@ -62,9 +62,9 @@ def test_edited_copies(spark):
 def test_ids_that_repeat(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
     rows = [(1, a), (5, a), (5, b), (6, b), (7, None), (8, ""), (None, b), (None, "nameless"), (9, "twice"), (9, "twice")]
-    got = near_copies.deduplicate(spark, table(spark, rows)).collect()
+    got = simhash_dedup.deduplicate(spark, table(spark, rows)).collect()
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, [(1, a), (5, b), (7, None), (None, "nameless"), (9, "twice")]))
-    assert near_copies.deduplicate(spark, table(spark, [])).count() == 0
+    assert simhash_dedup.deduplicate(spark, table(spark, [])).count() == 0
 
 
 def test_bands_miss_few():
@@ -74,7 +74,7 @@ def test_bands_miss_few():
     for _ in range(500):
         x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
         a, b = np.sort(x[:90]), np.sort(x[10:])
-        _, bands = near_copies.signatures(np.concatenate([a, b]), np.array([0, 90, 180]))
+        _, bands = _near.signatures(np.concatenate([a, b]), np.array([0, 90, 180]))
         missed += not (bands[0] == bands[1]).any()
     assert missed <= 2
 
@@ -85,9 +85,9 @@ def test_crossing(monkeypatch):
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     items = [np.sort(np.concatenate([rng.permutation(base)[:54], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])) for _ in range(30)]
     want = smallest(range(30), [(i, j) for i in range(30) for j in range(i) if close(set(items[i].tolist()), set(items[j].tolist()))])
-    bands = np.concatenate([np.full((30, 1), 7), rng.integers(0, 1 << 62, (30, near_copies.BANDS - 1))], 1)
+    bands = np.concatenate([np.full((30, 1), 7), rng.integers(0, 1 << 62, (30, _near.BANDS - 1))], 1)
     for few in (64, 4):
-        monkeypatch.setattr(near_copies, "FEW", few)
-        found = near_copies.crossing(np.full(30, 7), np.arange(30), np.arange(30), bands, items)
+        monkeypatch.setattr(_near, "FEW", few)
+        found = _near.crossing(np.full(30, 7), np.arange(30), np.arange(30), bands, items)
         assert smallest(range(30), found) == want
     assert 1 < len(set(want.values())) < 30

@@ -87,10 +87,19 @@ def test_simhash(spark, docs, texts, empty):
     for r in got:
         if r.doc_id is not None:
             assert r.component_id == want[r.doc_id] and r.fp & (1 << 64) - 1 in {f for i, f in named if i == r.doc_id}
-    kept = simhash_dedup.deduplicate(spark, docs)
+    kept = simhash_dedup.deduplicate(spark, docs, width=3, similarity=None)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert sorted(ids) == sorted({c for c in want.values()})
+    # rows, not ids, are kept or go: one of each group
+    kinds = sorted(fps.items(), key=lambda x: (x[0][0] is None, x[0][0] or 0))
+    label = smallest(range(len(kinds)), [(i, j) for i in range(len(kinds)) for j in range(i) if (kinds[i][1] ^ kinds[j][1]).bit_count() <= 3])
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    place = {k: i for i, (k, _) in enumerate(kinds)}
+    assert len(got) == len(set(got)) == len(set(label.values())) == len({label[place[k]] for k in got})
+    least = {}
+    for k, i in place.items():
+        if k[0] is not None:
+            least[label[i]] = min(k[0], least.get(label[i], k[0]))
+    assert all(k[0] == least.get(label[place[k]]) for k in got)
     assert simhash_dedup.simhash_components(spark, empty).count() == 0
 
 
