@@ -7,7 +7,7 @@ A level is one exchange over the survivors of the level before, and the loop end
 nothing survives. Shorter windows than FIRST repeat nearly everywhere and would prune nothing;
 the removal is defined at the target width, so no window need be extended beyond it.
 
-Documents travel in chunks of some megabytes as word numbers with the chunk's own table of word
+Documents travel in chunks of a megabyte or two as word numbers with the chunk's own table of word
 hashes, about two bytes a word, so that no level reads or shuffles a text. A chunk sends one entry
 for each distinct window to that window's bucket and gets back one bit for each, in the order it
 sent them: of a window that a third of all documents share, a bucket holds one entry a chunk.
@@ -34,8 +34,8 @@ from ._work import Scratch, binary_array, lean, narrow, partitions, slices, utf8
 #: Words of the windows of the first level.
 FIRST = 4
 #: Words of a chunk, bytes of entries that a bucket should get, and rows of entries a mapper hands on at once.
-CHUNK_WORDS = 1 << 20
-BUCKET_BYTES = 8 << 20
+CHUNK_WORDS = 1 << 18
+BUCKET_BYTES = 16 << 20
 ROWS_AT_ONCE = 64
 _LOW = np.uint64(0xFFFFFFFF)
 #: bytes.split() splits at the six blanks only; no other byte counts as one.
@@ -185,7 +185,7 @@ def _entries(states: DataFrame, width: int, last: bool, buckets: int) -> DataFra
                         if last:
                             blobs.append(level.distinct[part].tobytes() + level.second[part].tobytes() + level.least[part].tobytes())
                         else:
-                            blobs.append((level.distinct[part] & _LOW).astype(np.uint32).tobytes() + level.several[part].tobytes())
+                            blobs.append((level.distinct[part] & _LOW).astype(np.uint32).tobytes() + np.packbits(level.several[part]).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([chunk] * len(ids), pa.int64()), binary_array(blobs)], names=["bucket", "chunk", "entries"])
 
     return states.mapInArrow(lean(run), ENTRIES)
@@ -193,9 +193,9 @@ def _entries(states: DataFrame, width: int, last: bool, buckets: int) -> DataFra
 
 def _repeated(blobs: list[bytes]) -> list[np.ndarray]:
     """For each chunk's entries of a bucket before the last level: whether a window is in another document, too."""
-    n = [len(x) // 5 for x in blobs]
+    n = [8 * len(x) // 33 for x in blobs]  # four bytes and a bit each
     h = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(blobs, n, strict=True)])
-    several = np.concatenate([np.frombuffer(x, bool, k, 4 * k) for x, k in zip(blobs, n, strict=True)])
+    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=4 * k), count=k).astype(bool) for x, k in zip(blobs, n, strict=True)])
     order = np.argsort(h, kind="stable")
     begin = _runs(h[order])
     size = np.diff(np.append(begin, len(h)))
