@@ -55,13 +55,18 @@ class _State:
 
     @classmethod
     def load(cls, blob) -> _State:
-        return cls(*pickle.loads(blob))
+        *rest, low, planes = pickle.loads(blob)
+        index = low
+        for k, plane in enumerate(planes):
+            index = index | np.unpackbits(plane, count=len(low)).astype(np.uint32) << np.uint32(16 + k)
+        return cls(*rest, index)
 
     def dump(self) -> bytes:
-        """Documents and words that no segment needs any more are left out."""
+        """Documents and words that no segment needs any more are left out; numbers take two bytes and a bit for each power of two above."""
         docs, of = _numbered(self.of, len(self.docs))
         words, index = _numbered(self.index, len(self.vocab))
-        return pickle.dumps((self.docs[docs], self.texts[docs], of.astype(np.uint32), self.start, self.length, self.vocab[words], index.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)), 5)
+        planes = [np.packbits((index >> bit & 1).astype(bool)) for bit in range(16, max(len(words) - 1, 0).bit_length())]
+        return pickle.dumps((self.docs[docs], self.texts[docs], of.astype(np.uint32), self.start, self.length, self.vocab[words], (index & 0xFFFF).astype(np.uint16), planes), 5)
 
     def places(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(places in the chunk's words from which `width` words lie in one segment, the segment of each)."""
