@@ -86,6 +86,8 @@ def statements(lines: list[str], lost: int) -> tuple[ast.Module, int]:
 class _Module:
     def __init__(self, module: str, source: str):
         self.module, self.source = module, source
+        # columns of the tree count bytes: the lines as such, split once
+        self.lines = [line + b"\n" for line in source.encode("utf-8", "surrogatepass").split(b"\n")]
         self.symbols: list[dict] = []
         self.imports: list[dict] = []
         self.exports: list[str] | None = None
@@ -96,9 +98,17 @@ class _Module:
         """An expression as written, on one line."""
         if node is None:
             return None
-        segment = ast.get_source_segment(self.source, node) or ast.unparse(node)
+        segment = self.segment(node) or ast.unparse(node)
         return " ".join(segment.split()) if not isinstance(node, ast.Constant) else segment
 
+    def segment(self, node: ast.AST) -> str:
+        """What stands in the source for a node; its cost does not grow with the module."""
+        first, last = node.lineno - 1, node.end_lineno - 1
+        if first == last:
+            return self.lines[first][node.col_offset : node.end_col_offset].decode("utf-8", "surrogatepass")
+        inner = self.lines[first + 1 : last]
+        return b"".join([self.lines[first][node.col_offset :], *inner, self.lines[last][: node.end_col_offset]]).decode("utf-8", "surrogatepass")
+
     def add(self, parent: str, name: str, kind: str, **more) -> None:
         row = {"path": f"{parent}.{name}", "parent": parent, "name": name, "kind": kind, "ord": len(self.symbols)}
         self.symbols.append(row | more)
@@ -257,6 +267,7 @@ def signature(name: str, params: list[dict], returns: str | None, is_async: bool
 
 def extract(module: str, source: str) -> dict:
     """Everything a module defines, imports and exports."""
+    source = re.sub("\r\n?", "\n", source)
     tree, lost = parse(source)
     out = _Module(module, source)
     out.body(module, tree.body, False)

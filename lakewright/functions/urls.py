@@ -23,7 +23,7 @@ def _usable(url: Column) -> Column:
 
 def scheme(url: Column) -> Column:
     """The lower-case scheme, empty for a relative URL, null for one with control characters or an empty scheme."""
-    url = F.trim(url)
+    url = F.regexp_replace(url, r"^\s+|\s+$", "")
     return F.when(_usable(url), F.lower(F.regexp_extract(url, r"^([^:/?#]+):", 1)))
 
 
@@ -79,3 +79,14 @@ def gitlab_path(links: Column) -> Column:
     """The project path of the first link with one that has a slash; null without."""
     paths = F.transform(F.filter(_candidates(links, GITLAB_KEYS), lambda v: v.rlike(GITLAB)), lambda v: F.regexp_replace(F.regexp_extract(v, GITLAB, 1), "/$", ""))
     return F.try_element_at(F.filter(paths, lambda p: p.contains("/")), F.lit(1))
+
+
+def shown_links(links: Column, doc: Column, home: Column, home_label: str = "Index page") -> Column:
+    """Links (array of struct(label, url)) with the documentation before them and the index page after them, unless their URLs are there."""
+    missing = lambda url: ~F.exists(links, lambda link: link["url"] == url)
+    entry = lambda label, url: F.array(F.struct(F.lit(label).alias("label"), url.alias("url")))
+    none = F.array().cast("array<struct<label: string, url: string>>")
+    before = F.when((F.coalesce(doc, F.lit("")) != "") & missing(doc), entry("Documentation", doc)).otherwise(none)
+    # the page may be the documentation that was just put there
+    after = F.when(missing(home) & ~((F.coalesce(doc, F.lit("")) != "") & (doc == home)), entry(home_label, home)).otherwise(none)
+    return F.concat(before, links, after)

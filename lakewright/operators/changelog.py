@@ -82,6 +82,11 @@ def by_priority(entries: DataFrame, keys: list[str]) -> DataFrame:
     return entries.withColumn("_p", first).filter("priority = _p").drop("_p")
 
 
+def version_tags(tags: DataFrame, tag: str) -> DataFrame:
+    """Tags that name a version."""
+    return tags.filter(F.col(tag).rlike(TAG))
+
+
 def tag_pairs(tags: DataFrame, keys: list[str], tag: str, newest_first: str) -> DataFrame:
     """(newer, older) of tags that follow each other."""
     older = F.lead(tag).over(Window.partitionBy(*keys).orderBy(newest_first))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, versions, wheels
@@ -35,14 +35,20 @@ def quarters(times: DataFrame, keys: list[str], as_of: date) -> DataFrame:
 
 
 def install_size(files: DataFrame, keys: list[str]) -> DataFrame:
-    """The smallest wheel, else the smallest source archive, else 0. A size of 0 counts as not known, as long as a later file has one."""
+    """The smallest wheel, else the smallest source archive, else 0. A size of 0 counts as not known, as long as a later file has one.
+
+    Read in order, 0 means none so far; so what counts are the files after the last one of size 0, and that one itself only if it is the last.
+    """
+    known = F.col("size") > 0
 
     def least(kind: str) -> Column:
-        # a left fold over files in order, in which 0 means none so far
-        sizes = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("ord", "packagetype", "size"))), lambda f: f["packagetype"] == kind), lambda f: f["size"])
-        return F.aggregate(sizes, F.lit(0).cast("bigint"), lambda acc, s: F.when((acc == 0) | (s < acc), s).otherwise(acc))
+        of_kind = F.col("packagetype") == kind
+        return F.coalesce(F.min(F.when(of_kind & known & (F.col("ord") >= F.coalesce(F.col(f"_zero_{kind}"), F.lit(-1))), F.col("size"))), F.lit(0)).cast("bigint")
 
-    return files.groupBy(*keys).agg(least(wheels.WHEEL).alias("_w"), least(wheels.SDIST).alias("_s")).select(*keys, F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.col("_s")).alias("install_size"))
+    zero = lambda kind: F.max(F.when((F.col("packagetype") == kind) & (F.col("size") <= 0), F.col("ord"))).alias(f"_zero_{kind}")
+    zeros = files.groupBy(*keys).agg(zero(wheels.WHEEL), zero(wheels.SDIST))
+    found = files.join(zeros, keys).groupBy(*keys).agg(least(wheels.WHEEL).alias("_w"), least(wheels.SDIST).alias("_s"))
+    return found.select(*keys, F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.col("_s")).alias("install_size"))
 
 
 def platforms(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,6 +88,9 @@ def stub_version(stubs: DataFrame, keys: list[str], version: str, major: Column)
     return stubs.groupBy(*keys).agg(F.max_by(version, order).alias("stub_version"))
 
 
-def by_upload_time(versions_: DataFrame) -> DataFrame:
-    """Newest first by the text of the upload time, those without last, ties by version."""
-    return versions_.orderBy(F.desc_nulls_last(F.nullif("upload_time", F.lit(""))), "version")
+def in_time(versions_: DataFrame, keys: list[str]) -> DataFrame:
+    """Versions with `place`, newest first by the text of the upload time, and `by_date`, by the time that it says; without one last, ties by version."""
+    of = Window.partitionBy(*keys)
+    place = F.row_number().over(of.orderBy(F.desc_nulls_last(F.nullif("upload_time", F.lit(""))), "version"))
+    by_date = F.row_number().over(of.orderBy(F.desc_nulls_last(F.try_to_timestamp(F.nullif("upload_time", F.lit("")))), "version"))
+    return versions_.withColumns({"place": place, "by_date": by_date})

@@ -43,7 +43,9 @@ _PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+    """Each distinct word of a batch is stemmed once."""
+    known = {w: stem(w) for w in {w for ws in words if ws is not None for w in ws}}
+    return words.map(lambda ws: None if ws is None else [known[w] for w in ws])
 
 
 def matches(field: Column, query: list[str]) -> Column:
@@ -92,6 +94,12 @@ def postings(packages: DataFrame, stemmed: bool = False) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("token", "name", "field", "pos")
 
 
+def write_postings(index: DataFrame, path: str, files: int | None = None) -> None:
+    """Writes an index in ranges of tokens, sorted, so that a filter on tokens reads few files and few groups of rows of them."""
+    dealt = index.repartitionByRange("token") if files is None else index.repartitionByRange(files, "token")
+    dealt.sortWithinPartitions("token", "name").write.mode("overwrite").parquet(path)
+
+
 def search_postings(index: DataFrame, packages: DataFrame, query: str, limit: int = 10, stemmed: bool = False) -> DataFrame:
     """The same search through the index: token by token, each a filter that is pushed to the scan."""
     words = _split(sanitize_text(query))

@@ -23,10 +23,12 @@ def since(df: DataFrame, day: Column, as_of: date, days: int) -> DataFrame:
     return df.filter(day.try_cast("date") >= F.lit(as_of - timedelta(days=days)))
 
 
-def weekly(df: DataFrame, keys: list[str], day: str, category: str, value: str, weeks: int, counted: str = COUNTED) -> DataFrame:
-    """Sums of one category by ISO week, the last `weeks` weeks of each key with their labels."""
+def weekly(df: DataFrame, keys: list[str], day: str, category: str, value: str, weeks: int | None, counted: str = COUNTED) -> DataFrame:
+    """Sums of one category by ISO week, the last `weeks` weeks of each key (None: all) with their labels."""
     week = dates.iso_week(F.col(day))
     sums = df.filter(F.col(category) == counted).groupBy(*keys, week["year"].alias("year"), week["week"].alias("week")).agg(F.sum(value).alias("downloads"))
+    if weeks is None:
+        return sums.withColumn("label", dates.week_label(F.col("year"), F.col("week")))
     recent = Window.partitionBy(*keys).orderBy(F.desc("year"), F.desc("week"))
     return sums.withColumn("_r", F.row_number().over(recent)).filter(F.col("_r") <= weeks).drop("_r").withColumn("label", dates.week_label(F.col("year"), F.col("week")))
 

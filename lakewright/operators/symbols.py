@@ -19,7 +19,8 @@ GENERICS = (
     "Iterable", "Iterator", "List", "Literal", "Mapping", "MutableMapping", "MutableSequence", "MutableSet", "Optional", "Sequence", "Set", "Tuple", "Type", "Union", "dict", "frozenset", "list", "set", "tuple", "type",
 )
 TYPE_PARAMS = ("TypeVar", "TypeVarTuple", "ParamSpec", "NewType")
-INERT = ("object", "ABC", "Protocol", "Generic")
+INERT = ("object", "ABC", "abc.ABC", "Protocol", "Generic")
+TYPING = ("typing.", "typing_extensions.")
 MOST_LISTED = 500
 
 
@@ -60,17 +61,40 @@ def is_exception_name(base: Column) -> Column:
 
 
 def is_inert_base(base: Column) -> Column:
-    return last_name(base).isin(*INERT)
+    """Whether a base class adds neither fields nor a constructor; prefixes of the typing modules may stand before its name, no others."""
+    name = F.regexp_replace(base, r"(?s)\[.*$", "")
+    for prefix in TYPING:
+        name = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1 << 20)).otherwise(name)
+    return name.isin(*INERT)
+
+
+def joined_decorators(own: Column, more: Column) -> Column:
+    """own in order, then those of more whose last dotted name none before has."""
+    add = lambda done, d: F.when(F.exists(done, lambda x: _bare(x) == _bare(d)), done).otherwise(F.concat(done, F.array(d)))
+    none = F.array().cast("array<string>")
+    return F.aggregate(F.coalesce(more, none), F.coalesce(own, none), add)
+
+
+def _bare(decorator: Column) -> Column:
+    """A decorator's name without arguments or module path."""
+    return F.element_at(F.split(F.regexp_replace(decorator, r"(?s)\(.*$", ""), r"\."), -1)
 
 
 def collapse_functions(functions: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a name: the last implementation with a docstring, else the last, else the first overload; and all overload signatures."""
+    """One row a name, at the place of its first definition: the last implementation with a docstring, else the last, else the first
+    overload; with the signatures of the other overloads in order, and without a docstring of its own that of the first overload that has one.
+
+    What is collected are the definitions of one name.
+    """
     is_impl = F.col("kind") != "overload"
     rank = F.struct(is_impl.cast("int"), (is_impl & F.col("docstring").isNotNull()).cast("int"), F.when(is_impl, F.col("ord")).otherwise(-F.col("ord")))
     keep = [c for c in functions.columns if c not in keys]
-    overloads = F.array_sort(F.collect_list(F.when(~is_impl, F.struct("ord", "signature"))))
-    grouped = functions.groupBy(*keys).agg(F.max_by(F.struct(*keep), rank).alias("f"), F.transform(overloads, lambda o: o["signature"]).alias("overloads"))
-    return grouped.select(*keys, "f.*", "overloads")
+    overloads = F.array_sort(F.collect_list(F.when(~is_impl, F.struct("ord", "signature", "docstring"))))
+    found = functions.groupBy(*keys).agg(F.max_by(F.struct(*keep), rank).alias("f"), overloads.alias("o"), F.min("ord").alias("first"))
+    others = F.filter("o", lambda o: o["ord"] != F.col("f.ord"))
+    said = F.try_element_at(F.filter(F.transform(others, lambda o: o["docstring"]), lambda d: d.isNotNull()), F.lit(1))
+    columns = [F.coalesce("f.docstring", said).alias(c) if c == "docstring" else F.col("first").alias(c) if c == "ord" else F.col(f"f.{c}") for c in keep]
+    return found.select(*keys, *columns, F.transform(others, lambda o: o["signature"]).alias("overloads"))
 
 
 def collapse_last(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,32 +104,113 @@ def collapse_last(items: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def collapse_attributes(attributes: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a name: a property before a plain attribute, class level before instance, then the first; gaps of type and text from the others."""
-    rank = F.struct((F.col("kind") != "property").cast("int"), F.coalesce(F.col("instance"), F.lit(False)).cast("int"), F.col("ord"))
-    fill = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), rank))
-    return attributes.groupBy(*keys).agg(*[F.min_by(c, rank).alias(c) for c in ("kind", "value", "instance")], *[fill(c).alias(c) for c in ("annotation", "docstring")], F.min("ord").alias("ord"))
+    """One row a name, at the place of its first definition. Definitions are taken in order and a later one wins, but a property stays
+    one, and an instance attribute gives way to the class's own; the winner takes type and text it lacks from the other.
+
+    What is collected are the definitions of one name in one class or module.
+    """
+    fields = ("kind", "value", "instance", "annotation", "docstring")
+    row = F.struct("ord", *[F.coalesce("instance", F.lit(False)).alias(c) if c == "instance" else F.col(c) for c in fields])
+    listed = attributes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("a"))
+
+    def merge(done: Column, new: Column) -> Column:
+        stays = ((done["kind"] == "property") & (new["kind"] != "property")) | (new["instance"] & ~done["instance"])
+        pick = lambda c: F.when(stays, done[c]).otherwise(new[c])
+        fill = lambda c: F.when(stays, F.coalesce(done[c], new[c])).otherwise(F.coalesce(new[c], done[c]))
+        return F.struct(done["ord"].alias("ord"), *[(fill if c in ("annotation", "docstring") else pick)(c).alias(c) for c in fields])
+
+    rest = F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0)))
+    return listed.select(*keys, F.aggregate(rest, F.col("a")[0], merge).alias("w")).select(*keys, *[f"w.{c}" for c in fields], "w.ord")
 
 
 def with_doc_params(params: DataFrame, doc_params: DataFrame, keys: list[str]) -> DataFrame:
-    """Parameters with type and text of the docstring where the source has none."""
-    docs = doc_params.groupBy(*keys, "name").agg(F.first("type").alias("_t"), F.first("description").alias("description"))
+    """Parameters with type and text of the docstring where the source has none; of a name that a docstring repeats, the first by `ord`."""
+    docs = doc_params.groupBy(*keys, "name").agg(F.min_by(F.struct("type", "description"), "ord").alias("_d"))
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
-    return params.join(docs, [*keys, "name"], "left").withColumn("annotation", F.coalesce("annotation", blank("_t"))).drop("_t")
+    joined = params.join(docs, [*keys, "name"], "left")
+    return joined.withColumns({"annotation": F.coalesce("annotation", blank("_d.type")), "description": F.col("_d.description")}).drop("_d")
+
+
+def stub_paths(stubs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """stubs (path, ...), and once more under each alias (path, target) of a symbol or of what it stands in; a path's own stub goes first."""
+    parts = F.split("path", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    below = stubs.withColumn("target", F.explode(above)).join(aliases.select(F.col("path").alias("_alias"), "target"), "target")
+    reached = below.withColumn("path", F.concat("_alias", F.expr("substring(path, length(target) + 1)"))).drop("target", "_alias")
+    both = stubs.withColumn("_own", F.lit(0)).unionByName(reached.withColumn("_own", F.lit(1)))
+    keep = [c for c in stubs.columns if c != "path"]
+    return both.groupBy("path").agg(F.min_by(F.struct(*keep), "_own").alias("s")).select("path", "s.*")
+
+
+def with_stubs(symbols: DataFrame, stubs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Symbols (path, origin, returns, doc_returns, ...) with what they return: as the source says, else the docstring, else the stub that
+    stands at the published path, or else at the origin. aliases (path, target) of the stub package count as paths of their targets."""
+    stubs = stubs if aliases is None else stub_paths(stubs.select("path", "returns"), aliases)
+    by_path = stubs.select(F.col("path"), F.struct("returns").alias("_p"))
+    by_origin = stubs.select(F.col("path").alias("origin"), F.struct("returns").alias("_o"))
+    both = symbols.join(by_path, "path", "left").join(by_origin, "origin", "left").withColumn("_s", F.coalesce("_p", "_o"))
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    said = F.coalesce("returns", given("doc_returns"), given("_s.returns"))
+    return both.withColumns({"returns": said, "stubbed": F.col("_s").isNotNull()}).drop("_p", "_o", "_s")
 
 
-def with_stubs(symbols: DataFrame, stubs: DataFrame) -> DataFrame:
-    """Symbols with what a stub says where source and docstring do not; found by published path, else by origin."""
-    by_path = stubs.select(F.col("path"), F.struct("returns", "signature").alias("_p"))
-    by_origin = stubs.select(F.col("path").alias("origin"), F.struct("returns", "signature").alias("_o"))
-    both = symbols.join(by_path, "path", "left").join(by_origin, "origin", "left").withColumn("_s", F.coalesce("_p", "_o"))
-    return both.withColumns({"returns": F.coalesce("returns", "_s.returns"), "stubbed": F.col("_s").isNotNull()}).drop("_p", "_o", "_s")
+def documented_params(params: DataFrame, doc_params: DataFrame, stub_params: DataFrame, keys: list[str]) -> DataFrame:
+    """Parameters (keys, ord, name, kind, annotation, default) with types by precedence: source, docstring, stub; and texts of the docstring."""
+    found = with_doc_params(params, doc_params, keys)
+    stub = stub_params.select(*keys, "name", F.nullif("annotation", F.lit("")).alias("_stub")).groupBy(*keys, "name").agg(F.max("_stub").alias("_stub"))
+    return found.join(stub, [*keys, "name"], "left").withColumn("annotation", F.coalesce("annotation", "_stub")).drop("_stub")
+
+
+def rendered(params: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, signature): the parameter list as the types now say. What is collected are the parameters of one function."""
+    star = F.when(F.col("kind") == "var_positional", "*").when(F.col("kind") == "var_keyword", "**").otherwise("")
+    typed = F.coalesce("annotation", F.lit("")) != ""
+    default = F.when(F.col("default").isNull(), "").when(typed, F.concat(F.lit(" = "), "default")).otherwise(F.concat(F.lit("="), "default"))
+    text = F.concat(star, "name", F.when(typed, F.concat(F.lit(": "), "annotation")).otherwise(""), default)
+    listed = params.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "kind", text.alias("text")))).alias("p"))
+
+    def marked(p: Column, i: Column) -> Column:
+        before, after = F.get(F.col("p"), i - 1)["kind"], F.get(F.col("p"), i + 1)["kind"]
+        no_star = ~F.exists(F.slice("p", F.lit(1), i), lambda q: q["kind"] == "var_positional")
+        bare = (p["kind"] == "keyword") & no_star & ~F.coalesce(before == "keyword", F.lit(False))
+        slash = (p["kind"] == "positional") & ~F.coalesce(after == "positional", F.lit(False))
+        return F.concat(F.when(bare, "*, ").otherwise(""), p["text"], F.when(slash, ", /").otherwise(""))
+
+    return listed.select(*keys, F.array_join(F.transform("p", marked), ", ").alias("signature"))
+
+
+def return_notes(functions: DataFrame) -> DataFrame:
+    """functions (returns, doc_returns, doc_yields, ...) with return_text: what the docstring says of what is returned, or of what is yielded if it says nothing of that."""
+    return functions.withColumn("return_text", F.coalesce("doc_returns_text", F.when(F.col("doc_returns_text").isNull() & F.col("doc_returns").isNull(), F.col("doc_yields_text")), F.lit("")))
+
+
+def all_kinds(**kinds: DataFrame) -> DataFrame:
+    """(module, name, kind) of the tables of a module's functions, classes, exceptions and constants together."""
+    parts = [df.select("module", "name", F.lit(kind).alias("kind")) for kind, df in kinds.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def module_content(modules: DataFrame, symbols: DataFrame, aliases: DataFrame) -> DataFrame:
+    """modules (module, docstring) with has_names (symbols of its own), re_exports (its aliases) and kept: one of both, or a docstring at the top level."""
+    names = symbols.select("module").distinct().withColumn("_named", F.lit(True))
+    again = aliases.groupBy("module").agg(F.count("*").alias("_re"))
+    out = modules.join(names, "module", "left").join(again, "module", "left")
+    out = out.withColumns({"has_names": F.coalesce("_named", F.lit(False)), "re_exports": F.coalesce("_re", F.lit(0))}).drop("_named", "_re")
+    summary = (F.coalesce("docstring", F.lit("")) != "") & ~F.col("module").contains(".")
+    return out.withColumn("kept", F.col("has_names") | (F.col("re_exports") > 0) | summary)
 
 
 def merge_stub_members(base: DataFrame, stub: DataFrame, keys: list[str]) -> DataFrame:
-    """Members of source and bundled stub: types of the stub first, texts of the source first; what only one has stays."""
-    s = stub.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("annotation", "returns", "docstring")], F.lit(True).alias("_in_stub"))
+    """Members of source and bundled stub: types of the stub first, texts and defaults of the source first, decorators of both; what only one has stays."""
+    taken = ("annotation", "returns", "docstring", "value", "decorators")
+    s = stub.select(*keys, *[F.col(c).alias(f"_{c}") for c in taken], F.lit(True).alias("_in_stub"))
     both = base.withColumn("_in_base", F.lit(True)).join(s, keys, "full_outer")
-    return both.select(*keys, F.coalesce("_annotation", "annotation").alias("annotation"), F.coalesce("_returns", "returns").alias("returns"), F.coalesce("docstring", "_docstring").alias("docstring"), F.col("_in_base").isNull().alias("stub_only"))
+    first = lambda a, b: F.coalesce(a, b).alias(a.removeprefix("_"))
+    columns = [first("_annotation", "annotation"), first("_returns", "returns"), F.coalesce("docstring", "_docstring").alias("docstring"), F.coalesce("value", "_value").alias("value")]
+    return both.select(*keys, *columns, joined_decorators(F.col("decorators"), F.col("_decorators")).alias("decorators"), F.col("_in_base").isNull().alias("stub_only"))
 
 
 def pair_files(sources: DataFrame, stubs: DataFrame, keys: list[str]) -> DataFrame:

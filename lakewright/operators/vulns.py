@@ -17,17 +17,24 @@ def flatten(vulns: DataFrame, keys: list[str]) -> DataFrame:
     """One row an advisory: first severity or Unknown, range and fix of the first ECOSYSTEM range, first reference."""
     given = lambda c: F.when(c != "", c)
     ranges = F.filter(F.try_element_at(F.col("affected"), F.lit(1))["ranges"], lambda r: r["type"] == "ECOSYSTEM")
-    events = F.try_element_at(ranges, F.lit(1))["events"]
-    last = lambda field: F.try_element_at(F.filter(F.transform(events, lambda e: e[field]), lambda v: v != ""), F.lit(-1))
-    low, high = last("introduced"), last("fixed")
-    return vulns.select(
+    # one fold over the events of that range, named before it is used; the last ends that are given stand
+    none = F.lit(None).cast("string")
+    ends = F.aggregate(
+        F.try_element_at(ranges, F.lit(1))["events"], F.struct(none.alias("low"), none.alias("high")),
+        lambda done, e: F.struct(F.coalesce(given(e["introduced"]), done["low"]).alias("low"), F.coalesce(given(e["fixed"]), done["high"]).alias("high")),
+    )
+    first = lambda column, field: F.try_element_at(F.col(column), F.lit(1))[field]
+    # one array of one struct: generated once a row, where a plain column would be spelled out again at each use
+    rows = vulns.select(*keys, "id", "summary", first("severity", "score").alias("_severity"), first("references", "url").alias("_url"), F.explode(F.array(ends)).alias("_ends"))
+    low, high = F.col("_ends.low"), F.col("_ends.high")
+    return rows.select(
         *keys,
         "id",
         "summary",
-        F.coalesce(given(F.try_element_at(F.col("severity"), F.lit(1))["score"]), F.lit("Unknown")).alias("severity"),
+        F.coalesce(given(F.col("_severity")), F.lit("Unknown")).alias("severity"),
         F.coalesce(F.concat(F.lit(">="), low, F.coalesce(F.concat(F.lit(", <"), high), F.lit(""))), F.lit("")).alias("affected_range"),
         F.coalesce(high, F.lit("")).alias("fixed_in"),
-        F.coalesce(F.try_element_at(F.col("references"), F.lit(1))["url"], F.lit("")).alias("url"),
+        F.coalesce("_url", F.lit("")).alias("url"),
     )
 
 

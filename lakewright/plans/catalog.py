@@ -5,7 +5,6 @@ A query takes (spark, sf_dir); README tells which table plays what.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -16,6 +15,7 @@ from ..code import docstrings, extract
 from ..functions import dates, names, requirements, urls, versions
 from ..functions import format as fmt
 from ..operators import cache, changelog, diff, graph, index, releases, search, stats, symbols, text_sinks, vulns
+from ..shared import new_folder
 from ..streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,7 +99,7 @@ SELECT year, week, round((row_number() OVER (ORDER BY year, week) - 1)::DOUBLE /
        round(10 + (1 - downloads::DOUBLE / greatest(max(downloads) OVER (), 1)) * 100, 4) AS y FROM w""")
 def stats_sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-11: points of the line over all weeks."""
-    weeks = stats.weekly(_downloads(spark, sf_dir), [], "day", "category", "n", 1000, counted="view")
+    weeks = stats.weekly(_downloads(spark, sf_dir), [], "day", "category", "n", None, counted="view")
     return stats.sparkline(weeks, []).select("year", "week", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
@@ -145,12 +145,12 @@ def index_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey AS name, o_orderpriority AS summary, 'base' AS origin FROM orders WHERE o_orderkey % 2 = 0
-UNION ALL SELECT o_orderkey, min(upper(o_orderpriority)), 'batch' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0 GROUP BY 1""")
+UNION ALL SELECT o_orderkey, min(upper(o_orderpriority)), 'batch' FROM orders WHERE o_orderkey % 2 <> 0 GROUP BY 1""")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-01: even orders are the table, multiples of three the batch, in which each comes twice."""
+    """SNK-01: even orders are the table; the batch has all others and multiples of three besides, each twice."""
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_orderpriority").alias("summary"))
     base = orders.filter("name % 2 = 0").withColumn("origin", F.lit("base"))
-    batch = orders.filter("name % 3 = 0").withColumns({"summary": F.upper("summary"), "origin": F.lit("batch"), "ord": F.lit(1)})
+    batch = orders.filter("name % 2 <> 0 OR name % 3 = 0").withColumns({"summary": F.upper("summary"), "origin": F.lit("batch"), "ord": F.lit(1)})
     again = batch.withColumns({"summary": F.lit("never"), "ord": F.lit(2)})
     return index.insert_absent(base, batch.unionByName(again), "ord")
 
@@ -235,15 +235,16 @@ WITH {PACKAGES} SELECT name, summary, downloads FROM packages
 WHERE {_phrase_sql("name", ["econ"])} OR {_phrase_sql("summary", ["econ"])}
 ORDER BY CASE WHEN lower(name) = 'econ' THEN 0 ELSE 1 END, downloads DESC, name LIMIT 10""")
 def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-01, SNK-04 through the inverted index."""
-    packages = _packages(spark, sf_dir)
-    return search.search_postings(search.postings(packages), packages, "econ", 10)
+    """TXT-01, SNK-04 through the inverted index, written by token and read by filters."""
+    packages, folder = _packages(spark, sf_dir), new_folder(spark, "postings")
+    search.write_postings(search.postings(packages), folder)
+    return search.search_postings(spark.read.parquet(folder), packages, "econ", 10)
 
 
 @query()
 def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-02: stems of both sides; no SQL, unit tests compare it with another implementation."""
-    docs = read(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("summary"), F.col("n_chars").alias("downloads"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("summary"), F.col("n_chars").alias("downloads"))
     return search.search(docs, "of the", 20, stemmed=True).select("name", "downloads")
 
 
@@ -365,13 +366,14 @@ def stub_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, v AS version, rank FROM (SELECT p_partkey, p_size || '.' || (p_partkey % 20) AS v, row_number() OVER (ORDER BY p_size DESC, p_partkey % 20 DESC, p_partkey) AS rank FROM part WHERE p_size * 100 + p_partkey % 20 > 1003 AND p_size * 100 + p_partkey % 20 <= 3007)""")
+SELECT p_partkey, v AS version, rank FROM (SELECT p_partkey, p_size || '.' || (p_partkey % 20) AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey % 20 DESC, p_partkey) AS rank FROM part WHERE p_size * 100 + p_partkey % 20 > 1003 AND p_size * 100 + p_partkey % 20 <= 3007)""")
 def version_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-07, TOP-06: versions after 10.3 up to 30.7, newest first."""
+    """FIL-07, TOP-06: versions of each brand after 10.3 up to 30.7, newest first."""
     v = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 20).cast("string"))
-    part = read(spark, sf_dir, "part").select("p_partkey", v.alias("version"))
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", v.alias("version"))
     fit = part.filter(versions.in_range(F.col("version"), F.lit("10.3"), F.lit("30.7")))
-    return fit.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(versions.version_key(F.col("version"))), "p_partkey")))
+    newest = Window.partitionBy("p_brand").orderBy(F.desc(versions.version_key(F.col("version"))), "p_partkey")
+    return fit.withColumn("rank", F.row_number().over(newest)).drop("p_brand")
 
 
 @query("""
@@ -510,15 +512,6 @@ def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
-SELECT s_suppkey, array_to_string(list_distinct_sorted, ',') AS keywords FROM (SELECT s_suppkey, ['text processing', 'supplier' || (s_suppkey % 3), 'django'] AS list_distinct_sorted FROM supplier)""")
-def ad_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-31, ARR-01."""
-    k = (F.col("s_suppkey") % 3).cast("string")
-    classes = F.array(F.lit("Topic :: Text Processing"), F.lit("License :: X"), F.concat(F.lit("Topic :: A :: Supplier"), k), F.lit("Framework :: Django"), F.lit("Topic :: Text Processing"), F.lit("Topic"))
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(fmt.keywords(classes), ",").alias("keywords"))
-
-
 @query("""
 WITH o AS (SELECT o_custkey, max(o_orderdate) AS released FROM orders GROUP BY 1), c AS (SELECT o_custkey, max(l_shipdate) AS committed FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT c_custkey, CASE WHEN released IS NULL THEN NULL WHEN c_custkey % 50 = 0 THEN 'likely_unmaintained'
@@ -583,12 +576,12 @@ def _supplier_parts(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
     """Parts of a supplier before and after a day as requirements; the largest discount is the constraint."""
     cut = F.lit("1995-06-17").cast("timestamp_ntz")
     rows = read(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") >= cut if late else F.col("l_shipdate") < cut)
-    return rows.groupBy("l_suppkey", F.concat(F.lit("Part"), (F.col("l_partkey") % 50).cast("string")).alias("name")).agg(F.round(F.max("l_discount") * 100).cast("bigint").cast("string").alias("constraint"), F.lit(1).alias("ord"))
+    return rows.groupBy("l_suppkey", F.concat(F.lit("Part"), F.col("l_partkey").cast("string")).alias("name")).agg(F.round(F.max("l_discount") * 100).cast("bigint").cast("string").alias("constraint"), F.lit(1).alias("ord"))
 
 
 _SIDES = """
-a AS (SELECT l_suppkey, 'part' || (l_partkey % 50) AS name, round(max(l_discount) * 100)::BIGINT::VARCHAR AS c FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-17' GROUP BY 1, 2),
-b AS (SELECT l_suppkey, 'part' || (l_partkey % 50) AS name, round(max(l_discount) * 100)::BIGINT::VARCHAR AS c FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-17' GROUP BY 1, 2),
+a AS (SELECT l_suppkey, 'part' || l_partkey AS name, round(max(l_discount) * 100)::BIGINT::VARCHAR AS c FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-17' GROUP BY 1, 2),
+b AS (SELECT l_suppkey, 'part' || l_partkey AS name, round(max(l_discount) * 100)::BIGINT::VARCHAR AS c FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-17' GROUP BY 1, 2),
 d AS (SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' WHEN a.c <> b.c THEN 'changed' END AS change, coalesce(a.name, b.name) AS name, a.c AS old, b.c AS new
   FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey AND a.name = b.name)"""
 
@@ -638,13 +631,13 @@ def compare_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH lines AS (SELECT conv_id, turn, role, text FROM conversations)
-SELECT conv_id, turn + 1 AS ord, '1.' || turn AS version, CASE WHEN turn % 2 = 0 THEN 'v1.' || turn ELSE '1.' || turn END AS tag_name, CASE WHEN turn % 2 = 0 THEN '2024-01-0' || (turn % 9 + 1) ELSE '' END AS date, 'note ' || length(text) AS body
+SELECT conv_id, turn + 1 AS ord, '1.' || turn AS version, CASE WHEN turn % 2 = 0 THEN 'v1.' || turn ELSE '1.' || turn END AS tag_name, CASE WHEN turn % 2 = 0 THEN '2024-01-0' || (turn % 9 + 1) ELSE '' END AS date, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body
 FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS turn FROM lines)) WHERE n >= 2""")
 def changelog_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-02, WIN-05: turns of a conversation as sections of one text, taken apart again."""
+    """TXT-02, WIN-05: turns of a conversation, whole, as sections of one text, taken apart again."""
     rows = read(spark, sf_dir, "conversations").withColumn("t", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1)
     head = F.when(F.col("t") % 2 == 0, F.concat(F.lit("## v1."), F.col("t").cast("string"), F.lit(" - 2024-01-0"), (F.col("t") % 9 + 1).cast("string"))).otherwise(F.concat(F.lit("## [1."), F.col("t").cast("string"), F.lit("]")))
-    section = F.concat(head, F.lit("\n\nnote "), F.char_length("text").cast("string"), F.lit("\n"))
+    section = F.concat(head, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
     texts = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", section.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
     return changelog.parse(texts, ["conv_id"], "text")
 
@@ -652,7 +645,7 @@ def changelog_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT lang, source, doc_id FROM (SELECT lang, source, doc_id, substr(source, 4)::INT AS p, min(substr(source, 4)::INT) OVER (PARTITION BY lang, doc_id % 10) AS least FROM documents) WHERE p = least""")
 def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-08, STM-07, SRC-09: entries of the first source that has any."""
+    """WIN-08, STM-07: entries of the first source that has any."""
     docs = read(spark, sf_dir, "documents").select("lang", (F.col("doc_id") % 10).alias("bin"), "source", F.substring("source", 4, 9).cast("int").alias("priority"), "doc_id")
     return changelog.by_priority(docs, ["lang", "bin"]).select("lang", "source", "doc_id")
 
@@ -660,7 +653,7 @@ def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT user_id, newer, older FROM (SELECT user_id, 'v' || event_id AS newer, 'v' || lead(event_id) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS older FROM events) WHERE older IS NOT NULL""")
 def tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-03, JOIN-16, SRC-10: neighbours in time."""
+    """WIN-03, JOIN-16: neighbours in time."""
     events = read(spark, sf_dir, "events").select("user_id", F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("tag"), F.struct(-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")).alias("o"))
     return changelog.tag_pairs(events, ["user_id"], "tag", "o")
 
@@ -749,36 +742,18 @@ def collapse_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.collapse_last(rows, ["l_suppkey", "name"])
 
 
-@query("""
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'classmethod' WHEN 1 THEN 'staticmethod' ELSE '' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'abstractmethod' WHEN 1 THEN '' WHEN 2 THEN 'cache,final' ELSE 'lru_cache' END AS served,
-  p_partkey % 2 = 0 AS exception FROM part""")
-def decorators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-26, STR-27, FIL-25."""
-    k = F.col("p_partkey")
-    decs = F.when(k % 4 == 0, F.array(F.lit("abc.abstractclassmethod"))).when(k % 4 == 1, F.array(F.lit("staticmethod"), F.lit("region.cache(5)"))).when(k % 4 == 2, F.array(F.lit("functools.cache"), F.lit("typing.final"), F.lit("cache"))).otherwise(F.array(F.lit("lru_cache(maxsize=1)")))
-    base = F.when(k % 2 == 0, "errors.BaseError[T]").otherwise("Errors")
-    return read(spark, sf_dir, "part").select("p_partkey", symbols.method_kind(decs).alias("kind"), F.array_join(symbols.served_decorators(decs), ",").alias("served"), symbols.is_exception_name(base).alias("exception"))
+_ENDINGS = ["\n:param x: y", "\n\nParameters\n----------\nx : int", "\n\nArgs:\n    x: y", "\n---\n"]
 
 
 @query("""
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true ELSE false END AS constant FROM part""")
-def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-23, FIL-24, FIL-13."""
-    k = F.col("p_partkey") % 6
-    name = F.when(k == 0, "MAX_SIZE").when(k == 1, "T").when(k == 2, "alias").when(k == 3, "JsonValue").when(k == 4, "__all__").otherwise("Json_Value")
-    note = F.when(k == 2, "'typing.TypeAlias'")
-    value = F.when(k == 1, "typing.TypeVar('T')").when(k >= 3, "typing.Union[int, str]").otherwise("1")
-    return read(spark, sf_dir, "part").select("p_partkey", symbols.is_constant(name, note, value).alias("constant"))
-
-
-@query("""
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'sphinx' WHEN 1 THEN 'numpy' WHEN 2 THEN 'google' ELSE 'plain' END AS style FROM documents WHERE text NOT LIKE '%:param %'""")
+WITH t AS (SELECT doc_id, text || [chr(10) || ':param x: y', chr(10) || chr(10) || 'Parameters' || chr(10) || '----------' || chr(10) || 'x : int', chr(10) || chr(10) || 'Args:' || chr(10) || '    x: y', chr(10) || '---' || chr(10)][doc_id % 4 + 1] AS raw FROM documents)
+SELECT doc_id, CASE WHEN contains(raw, ':param ') OR contains(raw, ':type ') OR contains(raw, ':returns:') OR contains(raw, ':rtype:') THEN 'sphinx'
+  WHEN regexp_matches(raw, '(?im)^[ \\t]*(parameters|params|other parameters|returns|return|yields|yield|receives|raises|raise|warns|warnings|see also|notes|references|examples|attributes|methods)[ \\t]*\\n[ \\t]*-{3,}[ \\t]*$') THEN 'numpy'
+  WHEN regexp_matches(raw, '(?m)^\\s*(Args|Arguments|Returns|Return|Raises|Yields|Yield|Examples|Example|Note|Notes|Attributes|Todo|References|Parameters|Params):\\s*$') THEN 'google' ELSE 'plain' END AS style FROM t""")
 def docstring_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-03."""
-    k = F.col("doc_id") % 4
-    head = F.col("text")
-    raw = F.when(k == 0, F.concat(head, F.lit("\n:param x: y"))).when(k == 1, F.concat(head, F.lit("\n\nParameters\n----------\nx : int"))).when(k == 2, F.concat(head, F.lit("\n\nArgs:\n    x: y"))).otherwise(F.concat(head, F.lit("\n---\n")))
-    return read(spark, sf_dir, "documents").filter("text NOT LIKE '%:param %'").select("doc_id", docstrings.style(raw).alias("style"))
+    """TXT-03: the style of every whole text, with one of four endings; a text that holds a field or section of its own is judged by all it holds."""
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", docstrings.style(F.concat("text", ending)).alias("style"))
 
 
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -810,17 +785,17 @@ def parse_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT 'pkg.m' || p_partkey AS module, s.source, s.star FROM part, (VALUES ('pkg.base', true), ('typing', false)) s(source, star)""")
 def import_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF-01, GRF-04: where imports lead."""
+    """GRF-01: where imports lead."""
     found = extract.imports(extract.modules(_modules(spark, sf_dir)), ["module"])
     return found.select("module", graph.import_source(F.col("module"), F.lit(False), F.col("level"), F.col("source")).alias("source"), "star")
 
 
 @query("""
-SELECT 'pkg.m' || p_partkey || '.Part.a.b' AS dotted, 'pkg.m' || p_partkey || '.Part.a' AS path, 'attribute' AS kind FROM part WHERE p_partkey % 2 = 0""")
+SELECT 'pkg.m' || p_partkey || '.Part.a.b' AS dotted, 'pkg.m' || p_partkey || '.Part.a' AS path, 'attribute' AS kind FROM part""")
 def resolve_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-12: the longest known prefix of a dotted path."""
     found = extract_symbols(spark, sf_dir)
-    asked = read(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("pkg.m"), F.col("p_partkey").cast("string"), F.lit(".Part.a.b")).alias("dotted"))
+    asked = read(spark, sf_dir, "part").select(F.concat(F.lit("pkg.m"), F.col("p_partkey").cast("string"), F.lit(".Part.a.b")).alias("dotted"))
     return symbols.resolve(asked, found)
 
 
@@ -828,25 +803,28 @@ def resolve_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT path, kind, signature FROM (SELECT 'pkg.m' || p_partkey || s.path AS path, s.kind, s.sig AS signature FROM part, (VALUES ('.Part.make', 'method', 'def make(x, /)'), ('.Part.__init__', 'method', 'def __init__(a, *, b="x")')) s(path, kind, sig))
 WHERE contains(lower(path), 'm1') ORDER BY path, kind LIMIT 40""")
 def symbol_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SYM-10, FIL-10, TOP-08, SNK-12."""
+    """SYM-10, FIL-10, TOP-08."""
     found = extract.symbols(extract.modules(_modules(spark, sf_dir)), ["module"])
     return symbols.listing(found, "M1", "method", 40)
 
 
 @query("""
-WITH a AS (SELECT 's' || (l_suppkey % 50) || '.' || (l_partkey % 40) AS p, max(l_quantity)::INT AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
-b AS (SELECT 's' || (l_suppkey % 50) || '.' || (l_partkey % 40) AS p, max(l_quantity)::INT AS s FROM lineitem WHERE l_linenumber > 2 GROUP BY 1),
-ra AS (SELECT p AS path, 'def f(' || s || ')' AS sig, NULL AS t FROM a UNION ALL SELECT 'x.' || i, coalesce('def f(' || s || ')', '-> ' || t), t FROM (SELECT i, 's' || i || '.' || (i % 40) AS t FROM range(60) r(i)) LEFT JOIN a ON a.p = t),
-rb AS (SELECT p AS path, 'def f(' || s || ')' AS sig, NULL AS t FROM b UNION ALL SELECT 'x.' || i, coalesce('def f(' || s || ')', '-> ' || t), t FROM (SELECT i, 's' || (i % 30) || '.' || (i % 40) AS t FROM range(60) r(i)) LEFT JOIN b ON b.p = t),
+WITH a AS (SELECT 's' || l_suppkey || '.' || l_partkey AS p, max(l_quantity)::INT AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
+b AS (SELECT 's' || l_suppkey || '.' || l_partkey AS p, max(l_quantity)::INT AS s FROM lineitem WHERE l_linenumber > 2 GROUP BY 1),
+ends AS (SELECT l_suppkey AS i, 's' || l_suppkey || '.' || min(l_partkey) AS t0, 's' || l_suppkey || '.' || CASE WHEN l_suppkey % 2 = 0 THEN min(l_partkey) ELSE max(l_partkey) END AS t1 FROM lineitem GROUP BY 1),
+ra AS (SELECT p AS path, 'def f(' || s || ')' AS sig, NULL AS t FROM a UNION ALL SELECT 'x.' || i, coalesce('def f(' || s || ')', '-> ' || t0), t0 FROM ends LEFT JOIN a ON a.p = t0),
+rb AS (SELECT p AS path, 'def f(' || s || ')' AS sig, NULL AS t FROM b UNION ALL SELECT 'x.' || i, coalesce('def f(' || s || ')', '-> ' || t1), t1 FROM ends LEFT JOIN b ON b.p = t1),
 d AS (SELECT coalesce(ra.path, rb.path) AS name, ra.path IS NULL AS only_b, rb.path IS NULL AS only_a, CASE WHEN ra.t <> rb.t THEN '-> ' || ra.t ELSE ra.sig END AS old, CASE WHEN ra.t <> rb.t THEN '-> ' || rb.t ELSE rb.sig END AS new FROM ra FULL JOIN rb ON ra.path = rb.path)
 SELECT CASE WHEN only_b THEN 'added' WHEN only_a THEN 'removed' ELSE 'changed' END AS change, name, old, new FROM d WHERE only_a OR only_b OR old <> new""")
 def api_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-04, JOIN-10, JOIN-11, STR-32: signatures of two versions, aliases and all."""
-    root = F.concat(F.lit("s"), (F.col("l_suppkey") % 50).cast("string"), F.lit("."), (F.col("l_partkey") % 40).cast("string"))
+    """JOIN-04, JOIN-10, JOIN-11, STR-32: signatures of two versions, a module for each supplier, a function for each of its parts, an alias for each module; those of odd ones move."""
+    root = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("."), F.col("l_partkey").cast("string"))
     lines = read(spark, sf_dir, "lineitem")
     side = lambda rows: rows.groupBy(root.alias("root")).agg(F.max("l_quantity").cast("int").alias("s")).select("root", F.lit("").alias("suffix"), F.concat(F.lit("def f("), F.col("s").cast("string"), F.lit(")")).alias("signature"))
-    alias = lambda c: spark.range(60).select(F.concat(F.lit("x."), F.col("id").cast("string")).alias("path"), F.concat(F.lit("s"), c.cast("string"), F.lit("."), (F.col("id") % 40).cast("string")).alias("target"))
-    return diff.api_changes(side(lines.filter("l_linenumber <= 3")), side(lines.filter("l_linenumber > 2")), alias(F.col("id")), alias(F.col("id") % 30))
+    ends = lines.groupBy("l_suppkey").agg(F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high"))
+    path = F.concat(F.lit("x."), F.col("l_suppkey").cast("string"))
+    alias = lambda c: ends.select(path.alias("path"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("."), c.cast("string")).alias("target"))
+    return diff.api_changes(side(lines.filter("l_linenumber <= 3")), side(lines.filter("l_linenumber > 2")), alias(F.col("low")), alias(F.when(F.col("l_suppkey") % 2 == 0, F.col("low")).otherwise(F.col("high"))))
 
 
 # --- caches, text, streams -----------------------------------------------------------------------
@@ -877,14 +855,14 @@ def cache_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {KV} SELECT key, status FROM kv WHERE status = 'ok' OR epoch(TIMESTAMP '1995-01-02 00:00:00') - epoch(created_at) < CASE status WHEN 'error' THEN 300 ELSE 86400 END")
 def cache_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-10, STM-02, SRC-27: what still holds, by status."""
+    """STM-10: what still holds, by status."""
     return cache.usable(_kv(spark, sf_dir), datetime(1995, 1, 2)).select("key", "status")
 
 
 @query(f"""
 WITH {KV}, new AS (SELECT key, 'new' AS status FROM kv WHERE starts_with(key, 'stats:')) SELECT key, status FROM kv WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT * FROM new""")
 def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-06, SNK-07: rows replaced by key."""
+    """SNK-06: rows replaced by key."""
     kv = _kv(spark, sf_dir)
     new = kv.filter(F.col("key").startswith("stats:")).withColumns({"status": F.lit("new"), "created_at": F.lit(datetime(2000, 1, 1))})
     older = new.withColumns({"status": F.lit("older"), "created_at": F.lit(datetime(1999, 1, 1))})
@@ -917,43 +895,27 @@ def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, string_agg('## 1.' || t || CASE WHEN t % 2 = 0 THEN ' — 2024-01-0' || (t % 9 + 1) ELSE '' END || chr(10) || 'note ' || length(text), chr(10) || chr(10) ORDER BY t) AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS t, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n >= 2 GROUP BY 1""")
+SELECT conv_id, string_agg('## 1.' || t || CASE WHEN t % 2 = 0 THEN ' — 2024-01-0' || (t % 9 + 1) ELSE '' END || CASE WHEN body = '' THEN '' ELSE chr(10) || body END, chr(10) || chr(10) ORDER BY t) AS text
+FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS t, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n >= 2 GROUP BY 1""")
 def changelog_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-13, SNK-10: sections written out again."""
+    """SNK-13: sections written out again."""
     return text_sinks.changelog_text(changelog_sections(spark, sf_dir), ["conv_id"])
 
 
-@query()
+@query("SELECT date_trunc('week', ts)::TIMESTAMP AS start, event_type AS category, count(*) AS downloads FROM events GROUP BY ALL")
 def weekly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-01 and event time: the weekly sums as a stream over landed files, run until all is read."""
+    """STM-01 and event time: the weekly sums as a stream over landed files, run until all is read; changed sums go to files."""
     schema = read(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet") if not _is_file(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     sums = sync.weekly_stream(events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category")))
-    name = "weekly_" + uuid.uuid4().hex
-    job = sums.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.table(name).select(F.col("window.start").alias("start"), "category", "downloads")
-
+    folder = new_folder(spark, "weekly")
+    sync.keep_sums(sums, f"{folder}/sums", f"{folder}/checkpoint").awaitTermination()
+    return sync.latest_sums(spark, f"{folder}/sums").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
-# --- projections ---------------------------------------------------------------------------------
 
-
-@query("""
-SELECT page_id, NOT (page_id % 4 = 0 OR page_id % 4 = 2) AS kept FROM pages""")
-def module_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-12, FIL-14, FIL-15, FIL-16, STR-25: which files are modules a reader sees."""
-    k = F.col("page_id") % 4
-    path = F.when(k == 0, "pkg/tests/test_a.py").when(k == 1, "pkg/sub/__init__.py").when(k == 2, "pkg/_vendor/x.py").otherwise("tests/run.py")
-    return read(spark, sf_dir, "pages").select("page_id", (~names.is_test_module(path) & ~names.is_private_module(path)).alias("kept"))
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-@query("SELECT l_orderkey, any_value(l_linenumber) FILTER (false) IS NULL AS ok, count(*) AS n, count(DISTINCT l_partkey % 5) AS kinds FROM lineitem GROUP BY 1")
-def union_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-03, AGG-24, AGG-25: five kinds of symbols brought together and counted."""
-    lines = read(spark, sf_dir, "lineitem")
-    every = None
-    for kind in range(5):
-        part = lines.filter(F.col("l_partkey") % 5 == kind).select("l_orderkey", F.lit(kind).alias("kind"))
-        every = part if every is None else every.unionByName(part)
-    return every.groupBy("l_orderkey").agg(F.lit(True).alias("ok"), F.count("*").alias("n"), F.size(F.collect_set("kind")).cast("bigint").alias("kinds"))
+from . import landed, modules, rules  # noqa: E402, F401  they register their queries

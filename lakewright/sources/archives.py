@@ -2,10 +2,13 @@
 
 Archives come as the binaryFile source lists them, one row each; a mapInPandas over
 them yields one row a file, within the same limits for each archive wherever it is read.
+An archive that a limit cut says so: `truncated`. `listed_files` reads archives of any size by
+their paths, and of wheels only the directory and the files that are wanted.
 """
 
 from __future__ import annotations
 
+import contextlib
 import io
 import tarfile
 import zipfile
@@ -15,35 +18,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
+
 #: Files, bytes of a file and bytes of all files that are read of one archive, and of an inflated tar.
 MOST_FILES, MOST_FILE, MOST_TOTAL, MOST_TAR = 50_000, 32 << 20, 200 << 20, 1 << 30
-SCHEMA = "archive string, kind string, path string, content binary, top_level array<string>, typed boolean"
+SCHEMA = "archive string, kind string, path string, content binary, top_level array<string>, typed boolean, truncated boolean"
+SOURCES, STUBS = (".py", ".pyi"), (".pyi",)
 
 
 def _wanted(path: str, suffixes: tuple[str, ...]) -> bool:
     return path.endswith(suffixes) and "__pycache__" not in path and not path.startswith("/") and "\\" not in path and "\0" not in path and ".." not in path.split("/")
 
 
-def read_wheel(data: bytes, suffixes: tuple[str, ...] = (".py", ".pyi")) -> tuple[dict[str, bytes], list[str], bool]:
-    """(files, names of top_level.txt or of the top folders, whether a py.typed marker is there); a broken entry is left out."""
-    files: dict[str, bytes] = {}
+def read_wheel(data, suffixes: tuple[str, ...] = SOURCES) -> tuple[dict[str, bytes], list[str], bool, bool]:
+    """(files, names of top_level.txt or of the top folders, whether a py.typed marker is there, whether a limit cut the files) of bytes or an open file; a broken entry is left out."""
     top: list[str] = []
-    total = 0
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with zipfile.ZipFile(io.BytesIO(data) if isinstance(data, (bytes, bytearray, memoryview)) else data) as z:
         entries = z.infolist()
         typed = any(e.filename.endswith("/py.typed") for e in entries)
         for e in entries:
             if e.filename.endswith(".dist-info/top_level.txt"):
                 top = [x.strip() for x in z.read(e).decode("utf-8", "replace").split("\n") if x.strip()]
-            elif _wanted(e.filename, suffixes) and e.file_size <= MOST_FILE:
-                if len(files) >= MOST_FILES or total + e.file_size > MOST_TOTAL:
-                    break
-                try:
-                    files[e.filename] = z.read(e)
-                except (zipfile.BadZipFile, OSError, RuntimeError):
-                    continue
-                total += len(files[e.filename])
-    return files, top or top_folders(files), typed
+        files, cut = _collect(((e.filename, e.file_size, lambda e=e: z.read(e)) for e in entries), suffixes)
+    return files, top or top_folders(files), typed, cut
 
 
 def top_folders(files) -> list[str]:
@@ -52,38 +49,55 @@ def top_folders(files) -> list[str]:
     return list(dict.fromkeys(n for n in names if n.isidentifier() and n not in ("setup", "conftest")))
 
 
-def read_sdist(data: bytes, name: str) -> dict[str, bytes]:
-    """Python files of a .tar.gz or .zip, below its one top folder, and below src/ if all packages stand there."""
-    files: dict[str, bytes] = {}
-    total = 0
+def read_sdist(data, name: str, suffixes: tuple[str, ...] = SOURCES) -> tuple[dict[str, bytes], bool]:
+    """(Python files of a .tar.gz or .zip, below its one top folder, and below src/ if all packages stand there; whether a limit cut them)."""
+    source = io.BytesIO(data) if isinstance(data, (bytes, bytearray, memoryview)) else data
     if name.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            members = ((e.filename, e.file_size, lambda e=e: z.read(e)) for e in z.infolist())
-            files = _collect(members)
+        with zipfile.ZipFile(source) as z:
+            files, cut = _collect(((e.filename, e.file_size, lambda e=e: z.read(e)) for e in z.infolist()), suffixes)
     else:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r|gz") as t:
-            for m in t:
-                total += m.size
-                if total > MOST_TAR:
-                    break
-                if m.isfile() and _wanted(m.name, (".py", ".pyi")) and m.size <= MOST_FILE and len(files) < MOST_FILES:
-                    f = t.extractfile(m)
-                    files[m.name] = f.read() if f else b""
+        files, cut = _read_tar(source, suffixes)
     below = {p.split("/", 1)[1]: c for p, c in files.items() if "/" in p}
     in_src = {p[4:]: c for p, c in below.items() if p.startswith("src/")}
-    return in_src if any(p.endswith("/__init__.py") for p in in_src) else below
+    return (in_src if any(p.endswith("/__init__.py") for p in in_src) else below), cut
+
+
+def _read_tar(source, suffixes: tuple[str, ...]) -> tuple[dict[str, bytes], bool]:
+    ended = []
 
+    def members(t: tarfile.TarFile):
+        total = 0
+        for m in t:
+            total += m.size
+            if total > MOST_TAR:
+                ended.append(m.name)
+                return
+            if m.isfile():
+                yield m.name, m.size, lambda m=m: (f.read() if (f := t.extractfile(m)) else b"")
 
-def _collect(members) -> dict[str, bytes]:
+    with tarfile.open(fileobj=source, mode="r|gz") as t:
+        files, cut = _collect(members(t), suffixes)
+    return files, cut or bool(ended)
+
+
+def _collect(members, suffixes: tuple[str, ...] = SOURCES) -> tuple[dict[str, bytes], bool]:
+    """(the wanted files of (path, size, read), whether a limit left one out)."""
     files: dict[str, bytes] = {}
-    total = 0
+    total, cut = 0, False
     for path, size, read in members:
-        if _wanted(path, (".py", ".pyi")) and size <= MOST_FILE:
-            if len(files) >= MOST_FILES or total + size > MOST_TOTAL:
-                break
+        if not _wanted(path, suffixes):
+            continue
+        if size > MOST_FILE:
+            cut = True
+            continue
+        if len(files) >= MOST_FILES or total + size > MOST_TOTAL:
+            return files, True
+        try:
             files[path] = read()
-            total += size
-    return files
+        except (zipfile.BadZipFile, OSError, RuntimeError):
+            continue
+        total += size
+    return files, cut
 
 
 def weigh(data: bytes) -> int:
@@ -103,16 +117,45 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(name.alias("archive"), kind.alias("kind"), F.col("length").alias("size"), "content").filter("kind IS NOT NULL")
 
 
-def source_files(archives_: DataFrame) -> DataFrame:
-    """One row a Python file of each archive; an archive that cannot be opened has none."""
+def weighed(archives_: DataFrame) -> DataFrame:
+    """archives with `weight`, what reading each will cost: to sort, split or admit the work by."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["archive", "kind", "size"]].assign(weight=[weigh(c) if k == "wheel" else 6 * len(c) for k, c in zip(batch["kind"], batch["content"], strict=True)])
+
+    return archives_.select("archive", "kind", "size", "content").mapInPandas(run, "archive string, kind string, size bigint, weight bigint")
+
+
+def _rows(archive: str, kind: str, source, suffixes: tuple[str, ...]) -> pd.DataFrame:
+    files, top, typed, cut = read_wheel(source, suffixes) if kind == "wheel" else (lambda f, c: (f, [], False, c))(*read_sdist(source, archive, suffixes))
+    return pd.DataFrame({"archive": archive, "kind": kind, "path": list(files), "content": list(files.values()), "top_level": [top or top_folders(files)] * len(files), "typed": typed, "truncated": cut})
+
+
+def source_files(archives_: DataFrame, suffixes: tuple[str, ...] = SOURCES) -> DataFrame:
+    """One row a Python file of each archive (with STUBS, its stubs alone); an archive that cannot be opened has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, kind, content in zip(batch["archive"], batch["kind"], batch["content"], strict=True):
-                try:
-                    files, top, typed = read_wheel(content) if kind == "wheel" else (read_sdist(content, archive), [], False)
-                except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError):
-                    continue
-                yield pd.DataFrame({"archive": archive, "kind": kind, "path": list(files), "content": list(files.values()), "top_level": [top or top_folders(files)] * len(files), "typed": typed})
+                with contextlib.suppress(zipfile.BadZipFile, tarfile.TarError, OSError, EOFError):
+                    yield _rows(archive, kind, content, suffixes)
 
     return archives_.select("archive", "kind", "content").mapInPandas(run, SCHEMA)
+
+
+def listed_files(paths: DataFrame, suffixes: tuple[str, ...] = SOURCES) -> DataFrame:
+    """The same for a table of (path) on a file system that Arrow reads: no archive is loaded whole unless it is small."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                archive = path.rsplit("/", 1)[-1]
+                with contextlib.suppress(zipfile.BadZipFile, tarfile.TarError, OSError, EOFError):
+                    source, close = ranges.opened(path)
+                    try:
+                        yield _rows(archive, "wheel" if archive.endswith(".whl") else "sdist", source, suffixes)
+                    finally:
+                        close()
+
+    return paths.select("path").mapInPandas(run, SCHEMA)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ NAMES = "projects array<struct<name: string>>"
 TOP = "rows array<struct<project: string, download_count: bigint>>"
 FILE = "struct<filename: string, url: string, size: bigint, packagetype: string, python_version: string, requires_python: string, upload_time_iso_8601: string, digests: struct<sha256: string>>"
 INFO = (
-    "struct<name: string, version: string, summary: string, description: string, license: string, license_expression: string, author: string, author_email: string, maintainer: string, maintainer_email: string, "
+    "struct<name: string, version: string, summary: string, description: string, description_content_type: string, license: string, license_expression: string, author: string, author_email: string, maintainer: string, maintainer_email: string, "
     "requires_python: string, requires_dist: array<string>, classifiers: array<string>, project_urls: map<string, string>, keywords: string, home_page: string, yanked: boolean>"
 )
 PACKAGE = f"info {INFO}, releases map<string, array<{FILE}>>, urls array<{FILE}>"
@@ -19,7 +21,6 @@ VULN_FIELDS = (
     "affected: array<struct<ranges: array<struct<type: string, events: array<struct<introduced: string, fixed: string>>>>>>, references: array<struct<url: string>>"
 )
 VULNS = f"vulns array<struct<{VULN_FIELDS}>>"
-RELEASE = "tag_name string, name string, body string, published_at string, html_url string, draft boolean, prerelease boolean"
 
 
 def _read(spark: SparkSession, schema: str, path: str | list[str], mode: str = "PERMISSIVE") -> DataFrame:
@@ -60,10 +61,35 @@ def vulnerabilities(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, VULNS, path).select(name.alias("package"), F.explode("vulns").alias("v")).select("package", "v.*")
 
 
-def forge_releases(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
-    """Releases as a forge lists them, drafts left out, the first hundred of each file."""
-    rows = _read(spark, RELEASE, path).withColumn("ord", F.monotonically_increasing_id())
-    return rows.filter(~F.coalesce("draft", F.lit(False))).orderBy("ord").limit(limit)
+def at_version(documents: DataFrame, name: str, version: str) -> DataFrame:
+    """The document of one version of a package, whose requirements are those of that version; none for names and versions that may not be asked for."""
+    from ..functions import names
+
+    ok = names.valid_name(F.lit(name)) & names.valid_version(F.lit(version))
+    return documents.filter(ok & (F.lower("info.name") == name.lower()) & (F.col("info.version") == version))
+
+
+def _listed(spark: SparkSession, schema: str, path: str | list[str], limit: int) -> DataFrame:
+    """Rows of files that each hold one list, with `repo` (the file's name) and `ord`, the place in the list; the first `limit` of each list."""
+    repo = F.regexp_extract("path", r"([^/]+?)\.json$", 1)
+    files = spark.read.format("text").option("wholetext", True).load(path).select(F.input_file_name().alias("path"), "value")
+    # a repository that is not there, or not open, lands as an object with a message: no list, no rows
+    items = F.when(F.ltrim("value").startswith("["), F.slice(F.from_json("value", f"array<struct<{schema}>>"), 1, limit))
+    return files.select(repo.alias("repo"), F.posexplode(items).alias("ord", "item")).select("repo", "ord", "item.*")
+
+
+def forge_releases(spark: SparkSession, path: str | list[str], limit: int = 100) -> DataFrame:
+    """(repo, ord, version, tag_name, title, body, published_at, url): the first hundred releases of each file, one file a repository."""
+    rows = _listed(spark, "tag_name: string, name: string, body: string, published_at: string, html_url: string", path, limit)
+    return rows.select("repo", "ord", F.regexp_replace("tag_name", "^v", "").alias("version"), "tag_name", F.col("name").alias("title"), "body", "published_at", F.col("html_url").alias("url"))
+
+
+def forge_tags(spark: SparkSession, path: str | list[str], limit: int = 50) -> DataFrame:
+    """(repo, ord, name, sha): of the first fifty tags of each file those that name a version."""
+    from ..operators import changelog
+
+    rows = _listed(spark, "name: string, commit: struct<sha: string, id: string>", path, limit)
+    return changelog.version_tags(rows, "name").select("repo", "ord", "name", F.coalesce("commit.sha", "commit.id").alias("sha"))
 
 
 def first_file(files: DataFrame, keys: list[str], candidates: list[str]) -> DataFrame:
@@ -73,20 +99,29 @@ def first_file(files: DataFrame, keys: list[str], candidates: list[str]) -> Data
     return found.groupBy(*keys).agg(F.min_by(F.struct("path", "content"), "_rank").alias("f")).select(*keys, "f.*")
 
 
-def package_row(documents: DataFrame) -> DataFrame:
-    """The columns a package page shows."""
+def package_row(documents: DataFrame, as_of: date) -> DataFrame:
+    """The columns a package page shows; as_of is the day that the release frequency counts back from."""
     from ..functions import requirements, urls
+    from ..operators import releases
 
     i = F.col("info")
-    return documents.select(
-        i["name"].alias("name"), i["version"].alias("version"), i["summary"].alias("summary"),
-        requirements.license_name(i["license_expression"], i["classifiers"], i["license"]).alias("license"),
-        requirements.python_minimum(F.coalesce(i["requires_python"], F.lit(""))).alias("python_min"),
+    given = lambda name: F.coalesce(i[name], F.lit("")).alias(name)
+    files = F.transform("urls", lambda f: F.struct(f["filename"].alias("filename"), f["size"].alias("size"), f["packagetype"].alias("packagetype"), f["python_version"].alias("python_version"), f["upload_time_iso_8601"].alias("upload_time")))
+    rows = documents.select(
+        i["name"].alias("name"), i["version"].alias("version"), given("summary"), given("description"), given("description_content_type"), requirements.license_name(i["license_expression"], i["classifiers"], i["license"]).alias("license"),
+        given("author"), given("author_email"), given("home_page"), given("requires_python"), i["requires_dist"].alias("requires_dist"), urls.safe_links(i["project_urls"]).alias("project_urls"), i["classifiers"].alias("classifiers"), files.alias("files"),
+        requirements.python_minimum(F.coalesce(i["requires_python"], F.lit(""))).alias("python_min"), requirements.dependency_tree(i["requires_dist"]).alias("dependencies"),
         requirements.maintainers(i["author"], i["author_email"], i["maintainer"], i["maintainer_email"]).alias("maintainers"),
-        requirements.dependency_tree(i["requires_dist"]).alias("dependencies"),
-        urls.doc_url(urls.safe_links(i["project_urls"])).alias("doc_url"), urls.repo_url(urls.safe_links(i["project_urls"])).alias("repo_url"),
-        F.transform("urls", lambda f: F.struct(f["filename"].alias("filename"), f["size"].alias("size"), f["packagetype"].alias("packagetype"))).alias("files"),
+        urls.doc_url(urls.safe_links(i["project_urls"])).alias("doc_url"), urls.repo_url(urls.safe_links(i["project_urls"])).alias("repo_url"), i["yanked"].alias("yanked"),
     )
+    shown = documents.select(i["name"].alias("name"), i["version"].alias("version"), F.posexplode_outer("urls").alias("ord", "f")).select("name", "version", "ord", "f.filename", "f.size", "f.packagetype", "f.url")
+    key = ["name", "version"]
+    rows = rows.join(releases.install_size(shown, key), key, "left").join(releases.first_format(shown, key), key, "left")
+    flags = releases.platforms(shown.filter("filename IS NOT NULL"), key)
+    rows = rows.join(flags.select(*key, F.struct(*[c for c in flags.columns if c not in key]).alias("platforms")), key, "left")
+    stamps = release_files(documents).withColumnRenamed("version", "release")
+    times = releases.version_times(stamps, ["package"], "release", F.try_to_timestamp("upload_time"), "ord")
+    return rows.join(releases.cadence(times, ["package"], as_of).withColumnRenamed("package", "name"), "name", "left")
 
 
 def conda_info(names: DataFrame, channel: DataFrame) -> DataFrame:

@@ -1,16 +1,17 @@
 """Micro-batches of landed documents into the package table, and state that ages.
 
-The table is a folder of Parquet versions next to a pointer file that names the
-current one, so a reader never sees a half-written table and a batch that runs
+The table is a folder of Parquet buckets next to manifests that name the
+current ones, so a reader never sees a half-written table and a batch that runs
 twice changes nothing: insert-if-absent and last-wins updates are idempotent.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,26 +22,69 @@ PACKAGES = "name string, summary string, downloads bigint"
 
 
 class PackageTable:
-    """Versions of a table: base/v0, base/v1, ...; the highest with a _SUCCESS is current."""
+    """A table in buckets of the name, and its versions: a small manifest each, which says in which version each bucket was last written.
 
-    def __init__(self, spark: SparkSession, base: str, schema: str = PACKAGES):
-        self.spark, self.base, self.schema = spark, base.rstrip("/"), schema
+    A merge reads and writes the buckets that its batch touches and no others. The manifest comes last and in one step, so a merge that
+    fails leaves the version before; what neither of the last `keep` versions names is deleted.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, schema: str = PACKAGES, buckets: int = 64, keep: int = 2):
+        self.spark, self.base, self.schema, self.buckets, self.keep = spark, base.rstrip("/"), schema, buckets, keep
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def bucket(self, name: Column) -> Column:
+        """Names that differ in case alone are in one bucket."""
+        return F.pmod(F.xxhash64(F.lower(name)), F.lit(self.buckets)).cast("int")
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.base}/{folder}")
+        return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
 
-    def _version(self) -> int:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return -1
-        done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max((int(p.getName()[1:]) for p in done), default=-1)
+    def versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._names("manifests") if n.endswith(".json"))
 
-    def read(self) -> DataFrame:
-        v = self._version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.base}/v{v}") if v >= 0 else self.spark.createDataFrame([], self.schema)
+    def manifest(self, version: int) -> dict[int, int]:
+        """The version in which each filled bucket was written."""
+        return {int(k): v for k, v in json.loads("".join(r[0] for r in self.spark.read.text(f"{self.base}/manifests/{version}.json").collect())).items()}  # a row
 
-    def replace(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/v{self._version() + 1}")
+    def _folder(self, version: int, bucket: int) -> str:
+        return f"{self.base}/data/{version}/bucket={bucket}"
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets."""
+        versions = self.versions()
+        held = self.manifest(versions[-1]) if versions else {}
+        paths = [self._folder(v, k) for k, v in held.items() if buckets is None or k in buckets]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def merge(self, batch: DataFrame, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """f(rows that are there, batch) takes the place of what the buckets of the batch's names hold."""
+        touched = [r[0] for r in batch.select(self.bucket(F.col("name")).alias("b")).distinct().collect()]  # a bucket each
+        if not touched:
+            return
+        versions = self.versions()
+        new = versions[-1] + 1 if versions else 0
+        rows = f(self.read(touched), batch).withColumn("bucket", self.bucket(F.col("name")))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/data/{new}")
+        written = {int(n.split("=")[1]) for n in self._names(f"data/{new}") if n.startswith("bucket=")}
+        held = {k: v for k, v in (self.manifest(versions[-1]) if versions else {}).items() if k not in touched} | dict.fromkeys(written, new)
+        out = self._fs.create(self._path(f"{self.base}/manifests/{new}.part"), True)
+        out.write(bytearray(json.dumps(held).encode()))
+        out.close()
+        self._fs.rename(self._path(f"{self.base}/manifests/{new}.part"), self._path(f"{self.base}/manifests/{new}.json"))
+        self._clear()
+
+    def _clear(self) -> None:
+        versions = self.versions()
+        for v in versions[: -self.keep]:
+            self._fs.delete(self._path(f"{self.base}/manifests/{v}.json"), False)
+        named = {(v, k) for m in versions[-self.keep :] for k, v in self.manifest(m).items()}
+        for version in self._names("data"):
+            if int(version) <= versions[-1]:
+                for n in self._names(f"data/{version}"):
+                    if n.startswith("bucket=") and (int(version), int(n.split("=")[1])) not in named:
+                        self._fs.delete(self._path(f"{self.base}/data/{version}/{n}"), True)
 
 
 def sync_names(stream: DataFrame, table: PackageTable, checkpoint: str) -> StreamingQuery:
@@ -48,25 +92,48 @@ def sync_names(stream: DataFrame, table: PackageTable, checkpoint: str) -> Strea
 
     def batch(df: DataFrame, _: int) -> None:
         new = df.select("name", F.lit("").alias("summary"), F.lit(0).cast("bigint").alias("downloads"), F.lit(0).alias("ord"))
-        table.replace(index.insert_absent(table.read(), new, "ord"))
+        table.merge(new, lambda old, rows: index.insert_absent(old, rows, "ord"))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sync_downloads(stream: DataFrame, table: PackageTable, checkpoint: str) -> StreamingQuery:
-    """Download counts as they land, by exact name or any case of it."""
+    """Download counts as they land, by exact name or any case of it; of a name that a batch has more than once, the largest count."""
 
     def batch(df: DataFrame, _: int) -> None:
-        table.replace(index.update_downloads(table.read(), df.withColumn("ord", F.monotonically_increasing_id()), "ord"))
+        table.merge(df.withColumn("ord", F.col("downloads")), lambda old, rows: index.update_downloads(old, rows, "ord"))
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync_summaries(stream: DataFrame, table: PackageTable, checkpoint: str) -> StreamingQuery:
+    """Summaries as they land, by exact name; of a name that a batch has more than once, the largest text."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        table.merge(df.withColumn("ord", F.col("summary")), lambda old, rows: index.update_summaries(old, rows, "ord"))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def weekly_stream(events: DataFrame, late: str = "7 days") -> DataFrame:
-    """Sums by category and calendar week of an event stream; a week closes once the watermark passes it."""
+    """Sums by category and calendar week of an event stream. The state of a week goes once the watermark passes it."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "7 days", startTime="4 days"), "category").agg(F.count("*").alias("downloads"))
 
 
+def keep_sums(sums: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the sums that each micro-batch changed as files; a batch that runs again writes the same ones. `latest_sums` reads them."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.select(F.col("window.start").alias("start"), "category", "downloads").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return sums.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_sums(spark: SparkSession, path: str) -> DataFrame:
+    """(start, category, downloads) as the last batch that changed each has it."""
+    return spark.read.parquet(path).groupBy("start", "category").agg(F.max_by("downloads", "batch").alias("downloads"))
+
+
 def token_bucket(rate: float = 30.0, burst: float = 60.0, idle_ms: int | None = 600_000) -> Callable:
     """State function of applyInPandasWithState: which requests of a key a token bucket lets through.
 
@@ -129,6 +196,37 @@ def cached_reads(rows: DataFrame, ttl: float) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(ttl_state(ttl), "id long, value string, fresh boolean", "value string, stored double", "append", GroupStateTimeout.NoTimeout)
 
 
+def lru_state(entries: int, budget: int) -> Callable:
+    """State function: a cache of a number of entries and of bytes that lets go what was used least recently.
+
+    Rows (shard, id, op, key, size): `put` stores, `get` asks. Out (id, hit) of each get. An entry larger than the whole budget is not kept,
+    and leaves an older one of its key as it was. The state is bounded by both limits.
+    """
+
+    def run(shard: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, int] = dict(json.loads(state.get[0])) if state.exists else {}  # in the order of use
+        for batch in batches:
+            out = []
+            for row in batch.sort_values("id").itertuples():
+                if row.op == "get":
+                    out.append((row.id, row.key in held))
+                    if row.key in held:
+                        held[row.key] = held.pop(row.key)
+                elif row.size <= budget:
+                    held.pop(row.key, None)
+                    held[row.key] = int(row.size)
+                    while len(held) > entries or sum(held.values()) > budget:
+                        del held[next(iter(held))]
+            yield pd.DataFrame(out, columns=["id", "hit"])
+        state.update((json.dumps(list(held.items())),))
+
+    return run
+
+
+def lru_reads(rows: DataFrame, entries: int = 1000, budget: int = 128 << 20) -> DataFrame:
+    return rows.groupBy("shard").applyInPandasWithState(lru_state(entries, budget), "id long, hit boolean", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def breaker(failures: int = 5, cooldown: float = 30.0) -> Callable:
     """State function of a three-state circuit breaker: closed, open for `cooldown` after `failures` in a row, then one trial.
 

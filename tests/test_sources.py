@@ -6,10 +6,12 @@ import io
 import json
 import tarfile
 import zipfile
+from datetime import date
 
+import numpy as np
 import pytest
 from lakewright.operators import graph, text_sinks, vulns
-from lakewright.sources import archives, dumps
+from lakewright.sources import archives, dumps, ranges
 from lakewright.streaming import sync
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def test_archives(spark, landed):
 
 
 def test_dumps(spark, tmp_path):
-    (tmp_path / "index.json").write_text(json.dumps({"meta": {"x": 1}, "projects": [{"name": "Flask"}, {"name": "Jinja2", "y": 1}]}))
-    assert [r.name for r in dumps.name_index(spark, str(tmp_path / "index.json")).collect()] == ["Flask", "Jinja2"]
+    (tmp_path / "index.json").write_text(json.dumps({"meta": {"x": 1}, "projects": [{"name": "Valve"}, {"name": "Boiler2", "y": 1}]}))
+    assert [r.name for r in dumps.name_index(spark, str(tmp_path / "index.json")).collect()] == ["Valve", "Boiler2"]
     (tmp_path / "cut.json").write_text('{"projects": [{"name": "a"}, {"na')
     with pytest.raises(Exception):  # noqa: B017
         dumps.name_index(spark, str(tmp_path / "cut.json")).collect()
@@ -54,13 +56,14 @@ def test_dumps(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(doc))
     documents = dumps.packages(spark, str(tmp_path / "a.json"))
     assert [(r.package, r.version, r.size, r.sha256) for r in dumps.release_files(documents).collect()] == [("a", "1.0", 7, "00")]
-    row = dumps.package_row(documents)
+    row = dumps.package_row(documents, date(2024, 6, 1))
     got = row.first()
+    assert len(row.columns) >= 23 and (got.install_size, got.module_format, got.platforms, got.releases_last_12mo) == (0, "sdist-only", None, None)
     assert (got["license"], got.python_min, got.repo_url, got.dependencies.required[0].constraint, list(got.dependencies.extras)) == ("MIT", "3.8", "https://github.com/o/r", ">=1", ["e"])
     assert text_sinks.package_text(row).first().text == "name: a\nversion: 1.0\nlicense: MIT\npython_min: 3.8\nrequires: x >=1\nextras: e\nrepo_url: https://github.com/o/r"
-    (tmp_path / "pkg.json").write_text(json.dumps({"vulns": [{"id": "V1", "affected": [{"ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2.32.0"}]}]}]}]}))
+    (tmp_path / "pkg.json").write_text(json.dumps({"vulns": [{"id": "V1", "affected": [{"ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "7.19.0"}]}]}]}]}))
     v = vulns.flatten(dumps.vulnerabilities(spark, str(tmp_path / "pkg.json")), ["package"]).first()
-    assert (v.package, v.affected_range, v.fixed_in, v.severity) == ("pkg", ">=0, <2.32.0", "2.32.0", "Unknown")
+    assert (v.package, v.affected_range, v.fixed_in, v.severity) == ("pkg", ">=0, <7.19.0", "7.19.0", "Unknown")
     (tmp_path / "s.json").write_text(json.dumps({"package": "a", "type": "system", "data": [{"category": "Linux", "date": "2024-01-02", "downloads": 3}, {"category": "null", "date": "bad", "downloads": 1}]}))
     assert [(r.category, str(r.day)) for r in dumps.downloads(spark, str(tmp_path / "s.json")).collect()] == [("Linux", "2024-01-02"), ("null", "None")]
 
@@ -78,15 +81,15 @@ def test_sync(spark, tmp_path):
     land = tmp_path / "land"
     land.mkdir()
     table = sync.PackageTable(spark, f"file://{tmp_path}/packages")
-    for batch in (["Flask", "flask", "django"], ["django", "requests"]):
+    for batch in (["Valve", "valve", "piston"], ["piston", "boilers"]):
         (land / f"{len(list(land.iterdir()))}.json").write_text("\n".join(json.dumps({"name": n}) for n in batch))
         sync.sync_names(spark.readStream.schema("name string").json(str(land)), table, str(tmp_path / "c1")).awaitTermination()
-    assert sorted(r.name for r in table.read().collect()) == ["Flask", "django", "flask", "requests"]
+    assert sorted(r.name for r in table.read().collect()) == ["Valve", "boilers", "piston", "valve"]
     counts = tmp_path / "counts"
     counts.mkdir()
-    (counts / "0.json").write_text("\n".join(json.dumps({"name": n, "downloads": d}) for n, d in [("DJANGO", 7), ("Flask", 3), ("nope", 1)]))
+    (counts / "0.json").write_text("\n".join(json.dumps({"name": n, "downloads": d}) for n, d in [("PISTON", 7), ("Valve", 3), ("Valve", 2), ("nope", 1)]))
     sync.sync_downloads(spark.readStream.schema("name string, downloads bigint").json(str(counts)), table, str(tmp_path / "c2")).awaitTermination()
-    assert {r.name: r.downloads for r in table.read().collect()} == {"Flask": 3, "django": 7, "flask": 0, "requests": 0}
+    assert {r.name: r.downloads for r in table.read().collect()} == {"Valve": 3, "piston": 7, "valve": 0, "boilers": 0}
 
 
 def _stream(spark, tmp_path, rows, schema, f):
@@ -118,9 +121,66 @@ def test_breaker(spark, tmp_path):
 
 
 def test_compare_text(spark):
-    df = spark.createDataFrame([(0, "httpx", "0.28.1", "The next generation HTTP client.")], "ord int, name string, version string, summary string")
+    df = spark.createDataFrame([(0, "boilers", "4.11.2", "Steam engines of every gauge there is")], "ord int, name string, version string, summary string")
     for m in text_sinks.METRICS:
         if m not in df.columns:
             df = df.withColumn(m, F.lit(None).cast("string"))
     lines = [r.line for r in text_sinks.compare_text(df).orderBy("ord").collect()]
-    assert lines[0] == "| metric             | httpx |" and lines[3] == "| summary            | The next generation HTTP cl… |"
+    assert lines[0] == "| metric             | boilers |" and lines[3] == "| summary            | Steam engines of every gaug… |"
+
+
+def test_cut_archives_say_so(spark, landed, monkeypatch):
+    monkeypatch.setattr(archives, "MOST_FILES", 1)
+    files, cut = archives.read_sdist(open(f"{landed}/b-1.0.tar.gz", "rb").read(), "b-1.0.tar.gz")
+    assert cut and len(files) <= 1
+    assert archives.read_wheel(open(f"{landed}/a-1.0-py3-none-any.whl", "rb").read())[3] is False
+    assert archives.read_wheel(open(f"{landed}/a-1.0-py3-none-any.whl", "rb").read(), archives.STUBS)[0] == {}
+    assert {r.weight for r in archives.weighed(archives.archives(spark, landed)).collect() if r.archive.startswith("broken")} == {36}
+
+
+def test_ranges(spark, tmp_path):
+    data = np.random.default_rng(1).integers(0, 256, 12 << 20, dtype=np.uint8).tobytes()
+    f = ranges.RangeFile(len(data), lambda a, b: data[a:b])
+    assert f.requests == 1
+    f.seek(1 << 20)
+    got = b"".join(iter(lambda: f.read(64 << 10) if f.at < 5 << 20 else b"", b""))
+    assert got == data[1 << 20 : 5 << 20] and f.requests <= 7  # sixteen blocks after the tail
+    f.seek(-100, 2)
+    assert f.read(200) == data[-100:] and f.requests <= 7
+    with zipfile.ZipFile(tmp_path / "big-1.0-py3-none-any.whl", "w") as z:
+        z.writestr("big/data.bin", data)
+        z.writestr("big/__init__.py", "X = 1\n")
+        z.writestr("big-1.0.dist-info/top_level.txt", "big\n")
+    paths = spark.createDataFrame([(f"{tmp_path}/big-1.0-py3-none-any.whl",), (f"{tmp_path}/none.whl",)], "path string")
+    assert [(r.path, bytes(r.content), r.top_level, r.truncated) for r in archives.listed_files(paths).collect()] == [("big/__init__.py", b"X = 1\n", ["big"], False)]
+
+
+def test_releases_of_each_repository(spark, tmp_path):
+    for repo, n in (("one", 130), ("two", 3)):
+        (tmp_path / f"{repo}.json").write_text(json.dumps([{"tag_name": f"v{n - i}.0" if i % 2 else f"nightly{i}", "name": "t", "draft": i == 1, "commit": {"sha": f"s{i}"}} for i in range(n)]))
+    (tmp_path / "gone.json").write_text('{"message": "Not Found"}')
+    got = dumps.forge_releases(spark, str(tmp_path))
+    assert {r.repo: r["count"] for r in got.groupBy("repo").count().collect()} == {"one": 100, "two": 3}
+    assert [(r.version, r.tag_name) for r in got.filter("repo = 'two'").orderBy("ord").collect()] == [("nightly0", "nightly0"), ("2.0", "v2.0"), ("nightly2", "nightly2")]
+    tags = dumps.forge_tags(spark, str(tmp_path))
+    assert {r.repo: r["count"] for r in tags.groupBy("repo").count().collect()} == {"one": 25, "two": 1} and tags.filter("repo = 'two'").first().sha == "s1"
+
+
+def test_table_keeps_two_versions(spark, tmp_path):
+    table = sync.PackageTable(spark, f"file://{tmp_path}/t", buckets=4)
+    for k in range(5):
+        rows = spark.createDataFrame([(f"n{i}", "", k) for i in range(k + 1)], sync.PACKAGES).withColumn("ord", F.lit(0))
+        table.merge(rows, lambda old, new: old.join(new, "name", "left_anti").unionByName(new.drop("ord")))
+    assert sorted((r.name, r.downloads) for r in table.read().collect()) == [(f"n{i}", 4) for i in range(5)]
+    assert table.versions() == [3, 4]
+    held = {(v, k) for m in (3, 4) for k, v in table.manifest(m).items()}
+    there = {(int(d.parent.name), int(d.name.split("=")[1])) for d in (tmp_path / "t" / "data").glob("*/bucket=*")}
+    assert there == held
+
+
+def test_least_recently_used(spark, tmp_path):
+    """A read keeps an entry; entries and bytes are held to their budgets; what is larger than all of it is not kept."""
+    rows = [("s", 0, "put", "a", 40), ("s", 1, "put", "b", 40), ("s", 2, "get", "a", None), ("s", 3, "put", "c", 40), ("s", 4, "get", "b", None), ("s", 5, "get", "a", None), ("s", 6, "put", "d", 400), ("s", 7, "get", "d", None), ("s", 8, "put", "a", 90), ("s", 9, "get", "c", None), ("s", 10, "get", "a", None)]
+    rows = [{"shard": s, "id": i, "op": op, "key": k, "size": n} for s, i, op, k, n in rows]
+    got = _stream(spark, tmp_path, rows, "shard string, id long, op string, key string, size long", lambda s: sync.lru_reads(s, entries=10, budget=100))
+    assert [(r.id, r.hit) for r in got] == [(2, True), (4, False), (5, True), (7, False), (9, False), (10, True)]
