@@ -162,7 +162,10 @@ def test_releases_of_each_repository(spark, tmp_path):
     got = dumps.forge_releases(spark, str(tmp_path))
     assert {r.repo: r["count"] for r in got.groupBy("repo").count().collect()} == {"one": 100, "two": 3}
     assert [(r.version, r.tag_name) for r in got.filter("repo = 'two'").orderBy("ord").collect()] == [("nightly0", "nightly0"), ("2.0", "v2.0"), ("nightly2", "nightly2")]
-    tags = dumps.forge_tags(spark, str(tmp_path))
+    (tmp_path / "tags").mkdir()
+    for repo, n in (("one", 130), ("two", 3)):
+        (tmp_path / "tags" / f"{repo}.json").write_text(json.dumps([{"name": f"v{n - i}.0" if i % 2 else f"nightly{i}", "commit": {"sha": f"s{i}"}} for i in range(n)]))
+    tags = dumps.forge_tags(spark, str(tmp_path / "tags"))
     assert {r.repo: r["count"] for r in tags.groupBy("repo").count().collect()} == {"one": 25, "two": 1} and tags.filter("repo = 'two'").first().sha == "s1"
 
 
