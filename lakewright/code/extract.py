@@ -12,7 +12,7 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,16 +282,32 @@ def extract(module: str, source: str) -> dict:
     return {"docstring": docstring, "exports": out.exports, "export_refs": out.refs, "dynamic_exports": out.dynamic, "parse_errors": lost, "symbols": rows, "imports": out.imports}
 
 
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.StructType):
+        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    return {T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.IntegerType: pa.int32()}[type(kind)]
+
+
+#: Modules that are turned into Arrow at once.
+AT_ONCE = 256
+
+
 def modules(sources: DataFrame, module: str = "module", source: str = "source") -> DataFrame:
     """sources with a struct `parsed` of each module. One row in, one row out; Arrow batches, no shuffle."""
     fields = [f for f in sources.schema if f.name != source]
+    names = [f.name for f in fields]
+    kind = _arrow(MODULE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [extract(m, s or "") for m, s in zip(batch[module], batch[source], strict=True)]
-            yield batch[[f.name for f in fields]].assign(parsed=parsed)
+            for a in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(a, AT_ONCE)
+                parsed = [extract(m or "", s or "") for m, s in zip(part.column(module).to_pylist(), part.column(source).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(parsed, kind)], names=[*names, "parsed"])
 
-    return sources.mapInPandas(run, T.StructType([*fields, T.StructField("parsed", MODULE)]))
+    return sources.mapInArrow(run, T.StructType([*fields, T.StructField("parsed", MODULE)]))
 
 
 def symbols(parsed: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut_lineage
 from . import graph
 
 
@@ -25,16 +24,9 @@ def star_sets(modules: DataFrame, names: DataFrame, refs: DataFrame, definitions
     inside = imports.join(free, "module", "left_semi")
     own = names.select("module", "name").unionByName(definitions.join(free, "module", "left_semi").filter(_open("name")).select("module", "name"))
     bound = inside.filter(F.col("bound").isNotNull() & F.col("exported") & _open("bound")).select("module", F.col("bound").alias("name"))
-    known = cut_lineage(own.unionByName(bound).distinct())
     stars = inside.filter("bound IS NULL").select("module", "source", F.lit(True).alias("filtered"))
     edges = refs.select("module", "source", F.lit(False).alias("filtered")).unionByName(stars).distinct()
-    frontier = known
-    while True:
-        reached = edges.join(frontier.withColumnRenamed("module", "source"), "source").filter(~F.col("filtered") | _open("name"))
-        frontier = cut_lineage(reached.select("module", "name").distinct().join(known, ["module", "name"], "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = cut_lineage(known.unionByName(frontier))
+    return graph.grown(own.unionByName(bound), lambda new: edges.join(new.withColumnRenamed("module", "source"), "source").filter(~F.col("filtered") | _open("name")), ["module", "name"])
 
 
 def export_names(modules: DataFrame, names: DataFrame, refs: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Each round is one equi-join on the frontier alone, cut off by a reliable checkpo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +50,26 @@ def lookup(definitions: DataFrame, imports: DataFrame, wanted: DataFrame) -> Dat
     return done.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
 
 
+def grown(known: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """known and all rows that steps lead to, each once; step gives the rows next to those of a frontier. Ends on cycles.
+
+    A round joins the frontier alone and writes what is new; what is known is read from the files of all rounds, brought together
+    every sixteen of them. Rounds are as many as the longest chain.
+    """
+    known = frontier = cut_lineage(known.select(*keys).distinct())
+    rounds = 0
+    while True:
+        frontier = cut_lineage(step(frontier).select(*keys).distinct().join(known, keys, "left_anti"))
+        if frontier.isEmpty():
+            return known
+        known, rounds = known.unionByName(frontier), rounds + 1
+        if rounds % 16 == 0:
+            known = cut_lineage(known)
+
+
 def star_names(exports: DataFrame, stars: DataFrame) -> DataFrame:
     """(module, name): what `from module import *` brings, stars of stars included."""
-    names = exports.select("module", "name").distinct()
-    while True:
-        more = stars.join(names.withColumnRenamed("module", "source"), "source").select("module", "name").distinct().join(names, ["module", "name"], "left_anti")
-        more = cut_lineage(more)
-        if more.isEmpty():
-            return names
-        names = cut_lineage(names.unionByName(more))
+    return grown(exports, lambda new: stars.join(new.withColumnRenamed("module", "source"), "source"), ["module", "name"])
 
 
 def publish_once(exports: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -67,14 +80,7 @@ def publish_once(exports: DataFrame, key: list[str], order: list[Column]) -> Dat
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """All nodes that reach a seed over child -> parent edges, seeds included. Ends on cycles: a node enters once."""
-    known = seeds.select("node").distinct()
-    frontier = known
-    while True:
-        step = edges.join(frontier.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node")).distinct()
-        frontier = cut_lineage(step.join(known, "node", "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = cut_lineage(known.unionByName(frontier))
+    return grown(seeds, lambda new: edges.join(new.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node")), ["node"])
 
 
 def inherit(classes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
