@@ -76,7 +76,9 @@ class TextTokenizer:
                 if i not in special:
                     ends = token.endswith(WORD_END)
                     ranks[bytes(byte[c] for c in token.removesuffix(WORD_END)) + b"\xff" * ends] = i
-            self.coder = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            words = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+            # not part of the public interface; where another version lacks it, all goes to the library
+            self.coder = getattr(getattr(words, "_core_bpe", None), "encode_single_piece", None)
             self.chunks = _Chunks(self._chunk)
             self.marks: dict[str, bytes] = {}
 
@@ -91,7 +93,7 @@ class TextTokenizer:
         return array("I", self.coder(piece.encode() + b"\xff")).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        word = _WORD.match(chunk)
+        word = _WORD.match(chunk) if self.coder else None
         if word:  # letters and the marks after them are pieces of their own
             letters, marks = word.groups()
             if not marks:
@@ -100,7 +102,7 @@ class TextTokenizer:
                 self.marks[marks] = self._coded(marks)
             end = self.marks.get(marks) or self._coded(marks)
             return (self.chunks.get(low := letters.lower()) or self.chunks.old.get(low) or self._coded(low)) + end if letters else end
-        if _PLAIN.match(chunk):
+        if self.coder and _PLAIN.match(chunk):
             return b"".join(map(self._coded, _PIECES.findall(chunk.lower())))
         return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
 

@@ -8,6 +8,7 @@ import re
 import corpus_pipeline
 import numpy as np
 from lakewright.llm import _near, simhash_dedup
+from lakewright.llm._work import Scratch
 
 from .test_operators import smallest
 
@@ -88,6 +89,25 @@ def test_crossing(monkeypatch):
     bands = np.concatenate([np.full((30, 1), 7), rng.integers(0, 1 << 62, (30, _near.BANDS - 1))], 1)
     for few in (64, 4):
         monkeypatch.setattr(_near, "FEW", few)
-        found = _near.crossing(np.full(30, 7), np.arange(30), np.arange(30), bands, items)
+        same = (np.full(30, 7), np.full(30, 7), np.arange(30), np.arange(30), bands, items)
+        found = _near.crossing(*same, np.zeros(30, np.int64), np.zeros(30, bool))
         assert smallest(range(30), found) == want
+        side = np.arange(30) % 2
+        across = smallest(range(30), [(i, j) for i in range(30) for j in range(i) if side[i] != side[j] and close(set(items[i].tolist()), set(items[j].tolist()))])
+        assert smallest(range(30), _near.crossing(*same, side, np.ones(30, bool))) == across
     assert 1 < len(set(want.values())) < 30
+
+
+def test_crowded_groups_are_cut(spark):
+    """Large groups in chunks find what one task finds."""
+    rng = random.Random(8)
+    hub = [f"w{rng.randrange(300)}" for _ in range(150)]
+    rows = [(k, " ".join(edited(rng, hub, rng.choice([1, 2, 3, 5, 7])))) for k in range(120)]
+    rows += [(200 + k, " ".join(hub[:60] + [f"v{rng.randrange(10**6)}" for _ in range(90)])) for k in range(30)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = smallest(list(sets), [(i, j) for i in sets for j in sets if i < j and close(sets[i], sets[j])])
+    named = table(spark, rows).selectExpr("doc_id", "xxhash64(text) AS th", "text")
+    for most in (4096, 7):
+        got = {r.doc_id: r.label for r in _near.labelled(named, Scratch(spark, "t"), most).collect()}
+        assert [{i for i in got if got[i] == x} for x in sorted(set(got.values()), key=lambda x: min(i for i in got if got[i] == x))] == [{i for i in want if want[i] == x} for x in sorted(set(want.values()))]
+    assert 1 < len(set(want.values())) < 150
