@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, license_scan, mixing, packing, simhash_dedup, substring_dedup, token_counts, topk_search, url_filter
+from . import embedding_dedup, language_id, license_scan, mixing, packing, simhash_dedup, substring_dedup, token_alignment, token_counts, topk_search, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,7 +75,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash_dedup, op4_language_id, op5_embedding_dedup, op6_license_scan, op7_topk_search, op8_mixing, op9_token_counts, op10_substring_dedup)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks are those of byte_bpe_50k.json, and special tokens' strings are plain text with them."""
+    import public_tokenizers
+
+    docs = _read(spark, sf_dir, "documents")
+    return token_alignment.align_documents(spark, docs, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash_dedup, op4_language_id, op5_embedding_dedup, op6_license_scan, op7_topk_search, op8_mixing, op9_token_counts, op10_substring_dedup, op13_token_alignment)}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.oracle_sql(),
     "op8_mixing": mixing.oracle_sql(),
