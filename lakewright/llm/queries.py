@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, embedding_dedup, language_id, license_scan, mixing, packing, simhash_dedup, substring_dedup, token_alignment, token_counts, topk_search, url_filter
+from . import conversation_repair, embedding_dedup, language_id, license_scan, mixing, packing, simhash_dedup, substring_dedup, suffix_dedup, token_alignment, token_counts, topk_search, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,6 +75,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(spark, _read(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damages every conversation by its rows' hashes and repairs what is left."""
     rows = _read(spark, sf_dir, "conversations")
@@ -89,7 +94,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(spark, docs, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash_dedup, op4_language_id, op5_embedding_dedup, op6_license_scan, op7_topk_search, op8_mixing, op9_token_counts, op10_substring_dedup, op12_conversation_repair, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash_dedup, op4_language_id, op5_embedding_dedup, op6_license_scan, op7_topk_search, op8_mixing, op9_token_counts, op10_substring_dedup, op11_suffix_dedup, op12_conversation_repair, op13_token_alignment)}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.oracle_sql(),
     "op8_mixing": mixing.oracle_sql(),
