@@ -1,4 +1,4 @@
-"""Whole-batch word handling on UTF-8 bytes with numpy: no Python object per word.
+"""Whole-batch word handling on UTF-8 bytes with numpy: no Python object per word that outlives a block of them.
 
 Words are the runs between the six ASCII blanks (space, tab to carriage return).
 """
@@ -6,12 +6,16 @@ Words are the runs between the six ASCII blanks (space, tab to carriage return).
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
-_BYTE_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_WORD_BASES = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+#: Bytes and words that are looked at at once: a long text takes no more than a short one besides its word table.
+BYTES_AT_ONCE = 1 << 22
+WORDS_AT_ONCE = 1 << 16
+_WORD_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,52 +27,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1024)
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate([[np.uint64(1)], np.full(size - 1, self.base, np.uint64)]).cumprod(dtype=np.uint64)
-                self.down = np.concatenate([[np.uint64(1)], np.full(size - 1, self.inverse, np.uint64)]).cumprod(dtype=np.uint64)
-        return self.up, self.down
-
-
-_bytes_powers = _Powers(_BYTE_BASE)
-_word_powers = tuple(_Powers(b) for b in _WORD_BASES)
-
-
 def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first) of all words: word w is data[starts[w]:ends[w]]; text i has the words first[i]:first[i + 1]."""
-    n = len(data)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(len(offsets), np.int64)
-    inside = ~BLANK[data]
-    cut = np.zeros(n + 1, bool)  # a text begins here
-    cut[offsets] = True
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | cut[:n]))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
-
-
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    up, down = _bytes_powers.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(data), BYTES_AT_ONCE):
+        b = min(a + BYTES_AT_ONCE, len(data))
+        word = np.zeros(b - a + 2, bool)  # a byte more on each side
+        word[1:-1] = ~BLANK[data[a:b]]
+        word[0] = a > 0 and not BLANK[data[a - 1]]
+        word[-1] = b < len(data) and not BLANK[data[b]]
+        cut = np.zeros(b - a + 1, bool)  # a text begins here
+        cut[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, side="right")] - a] = True
+        here = word[1:-1]
+        starts.append(np.flatnonzero(here & (~word[:-2] | cut[:-1])) + a)
+        ends.append(np.flatnonzero(here & (~word[2:] | cut[1:])) + a + 1)
+    start = np.concatenate(starts)
+    return start, np.concatenate(ends), np.searchsorted(start, offsets)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word's bytes, of 64 and of 32 bits: parts of XXH3 with 128 bits, so that no word stands for another."""
+    one, two = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint32)
+    for k in range(0, len(starts), WORDS_AT_ONCE):
+        a, b = starts[k : k + WORDS_AT_ONCE], ends[k : k + WORDS_AT_ONCE]
+        base = int(a[0])
+        held = data[base : int(b[-1])].tobytes()
+        digests = b"".join([xxhash.xxh3_128_digest(held[x:y]) for x, y in zip((a - base).tolist(), (b - base).tolist(), strict=True)])
+        both = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+        one[k : k + len(a)], two[k : k + len(a)] = both[:, 0], both[:, 1] & _LOW
+    return one, two
+
+
+def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the different words by both hashes, in two columns; each word's place among them)."""
+    found, at, index = np.unique(one, return_index=True, return_inverse=True)
+    if (two[at][index] == two).all():
+        return found, two[at], index
+    order = np.lexsort((two, one))
+    new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    index = np.empty(len(one), np.int64)
+    index[order] = new.cumsum() - 1
+    return one[order][new], two[order][new], index
 
 
 def windows(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
@@ -76,10 +75,12 @@ def windows(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _word_powers[which].get(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[width:] - total[:n]) * down[:n])
+    total = mix(words[:n].astype(np.uint64))
+    for k in range(1, width):
+        total *= _WORD_BASES[which]
+        total += words[k : k + n]
+        total ^= total >> np.uint64(32)
+    return mix(total)
 
 
 def inside(first: np.ndarray, width: int) -> np.ndarray:

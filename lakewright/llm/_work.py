@@ -80,11 +80,14 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        """Deletes a table of this scratch that nothing reads any more."""
+        """Deletes a table of this scratch that nothing reads any more. Spark deletes the shuffle files of steps that are done
+        once the driver's JVM finds their plans unused, which may take hours on a quiet driver; so it is asked to look."""
         path = getattr(df, "_lakewright_path", None)
         if path:
             fs, p = _file_system(self.spark, path)
             fs.delete(p, True)
+            gc.collect()
+            self.spark._jvm.System.gc()
 
 
 def trim() -> None:

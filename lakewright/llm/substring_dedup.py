@@ -13,7 +13,8 @@ for each distinct window to that window's bucket and gets back one bit for each,
 sent them: of a window that a third of all documents share, a bucket holds one entry a chunk.
 Buckets are as many as the survivors of the level ask for, so what a task holds does not grow
 with the input. Before the target width, windows are told apart by some 40 bits or more, where a
-collision only keeps a candidate alive; at the target width by 96 bits.
+collision only keeps a candidate alive; at the target width by 96 bits, 64 over one hash of each word
+and 32 over another.
 """
 
 from __future__ import annotations
@@ -46,12 +47,12 @@ ANSWERS = "chunk long, bucket int, bits binary"
 
 
 class _State:
-    """What is alive of a chunk: segments (document, first word, words), their words as numbers into `vocab`, hashes of words."""
+    """What is alive of a chunk: segments (document, first word, words), their words as numbers into `vocab` and `second`, two hashes of words."""
 
-    __slots__ = ("docs", "index", "length", "of", "start", "texts", "vocab")
+    __slots__ = ("docs", "index", "length", "of", "second", "start", "texts", "vocab")
 
-    def __init__(self, docs, texts, of, start, length, vocab, index):
-        self.docs, self.texts, self.of, self.start, self.length, self.vocab, self.index = docs, texts, of, start, length, vocab, index
+    def __init__(self, docs, texts, of, start, length, vocab, second, index):
+        self.docs, self.texts, self.of, self.start, self.length, self.vocab, self.second, self.index = docs, texts, of, start, length, vocab, second, index
 
     @classmethod
     def load(cls, blob) -> _State:
@@ -66,7 +67,7 @@ class _State:
         docs, of = _numbered(self.of, len(self.docs))
         words, index = _numbered(self.index, len(self.vocab))
         planes = [np.packbits((index >> bit & 1).astype(bool)) for bit in range(16, max(len(words) - 1, 0).bit_length())]
-        return pickle.dumps((self.docs[docs], self.texts[docs], of.astype(np.uint32), self.start, self.length, self.vocab[words], (index & 0xFFFF).astype(np.uint16), planes), 5)
+        return pickle.dumps((self.docs[docs], self.texts[docs], of.astype(np.uint32), self.start, self.length, self.vocab[words], self.second[words], (index & 0xFFFF).astype(np.uint16), planes), 5)
 
     def places(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(places in the chunk's words from which `width` words lie in one segment, the segment of each)."""
@@ -74,7 +75,7 @@ class _State:
         return _words.inside(np.concatenate([[0], size.cumsum()]), width), np.repeat(np.arange(len(size)), np.maximum(size - width + 1, 0))
 
     def hashes(self, width: int, at: np.ndarray, which: int = 0) -> np.ndarray:
-        return _words.windows(self.vocab[self.index], width, which)[at]
+        return _words.windows((self.second if which else self.vocab)[self.index], width, which)[at]
 
     def narrowed(self, at: np.ndarray, segment: np.ndarray, alive: np.ndarray, width: int, least: int) -> _State | None:
         """The runs of places that are alive, as segments of `least` words or more; None if there are none."""
@@ -89,7 +90,7 @@ class _State:
         begin, of = at[new], segment[new]
         base = np.concatenate([[0], self.length.cumsum(dtype=np.int64)])[of]
         take = np.repeat(begin - np.concatenate([[0], size.cumsum()[:-1]]), size) + np.arange(size.sum())
-        return _State(self.docs, self.texts, self.of[of], (self.start[of] + begin - base).astype(np.uint32), size.astype(np.uint32), self.vocab, self.index[take])
+        return _State(self.docs, self.texts, self.of[of], (self.start[of] + begin - base).astype(np.uint32), size.astype(np.uint32), self.vocab, self.second, self.index[take])
 
 
 def _numbered(numbers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +116,10 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> pa.RecordBatch:
-            docs, texts, length, vocab, index = (np.concatenate(x) for x in zip(*held, strict=True))
-            words, again = np.unique(vocab, return_inverse=True)  # of the pieces' tables one for the chunk
-            offset = np.repeat(np.cumsum([0, *(len(x[3]) for x in held[:-1])]), [len(x[4]) for x in held])
-            state = _State(docs, texts, np.arange(len(docs), dtype=np.uint32), np.zeros(len(docs), np.uint32), length, words, again[index + offset])
+            docs, texts, length, one, two, index = (np.concatenate(x) for x in zip(*held, strict=True))
+            words, second, again = _words.distinct(one, two)  # of the pieces' tables one for the chunk
+            offset = np.repeat(np.cumsum([0, *(len(x[3]) for x in held[:-1])]), [len(x[5]) for x in held])
+            state = _State(docs, texts, np.arange(len(docs), dtype=np.uint32), np.zeros(len(docs), np.uint32), length, words, second, again[index + offset])
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([len(index)]), binary_array([state.dump()])], names=["chunk", "words", "state"])
 
         for batch in slices(batches, "text"):
@@ -128,9 +129,9 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
             long = count >= width
             if not long.any():
                 continue
-            hashed = _words.hashes(data, starts, ends)[np.repeat(long, count)]
-            vocab, index = np.unique(hashed, return_inverse=True)
-            held.append((batch.column("doc_id").to_numpy()[long], batch.column("th").to_numpy()[long], count[long].astype(np.uint32), vocab, index))
+            of_long = np.repeat(long, count)
+            one, two, index = _words.distinct(*_words.hashes(data, starts[of_long], ends[of_long]))
+            held.append((batch.column("doc_id").to_numpy()[long], batch.column("th").to_numpy()[long], count[long].astype(np.uint32), one, two, index))
             size += len(index)
             if size >= CHUNK_WORDS:
                 yield out()
