@@ -485,7 +485,7 @@ def _found(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple, bytes]]:
 
 
 def _round(states: DataFrame, kind: type, judge: Callable, entry: int, scratch: Scratch) -> DataFrame | None:
-    """The shards' states after a round whose entries have `entry` bytes; None if nothing is left."""
+    """The shards' states after a round whose entries take `entry` bytes of a task; None if nothing is left."""
     n = states.agg(F.sum("n")).first()[0] or 0
     if not n and kind is not _Ends:
         return None
@@ -524,7 +524,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     named = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     whole = scratch.table(shards(named))
     states = whole
-    for kind, judge, entry in ((_Owners, partial(_judge_owners, hot_places=hot_places), 5), (_Stretches, _judge_stretches, 29), (_Ends, partial(_judge_ends, suffix_bytes=suffix_bytes), 80)):
+    for kind, judge, entry in ((_Owners, partial(_judge_owners, hot_places=hot_places), 5), (_Stretches, _judge_stretches, 29), (_Ends, partial(_judge_ends, suffix_bytes=suffix_bytes), 500)):
         left = _round(states, kind, judge, entry, scratch) if states is not None else None
         if states is not whole and states is not None:
             scratch.drop(states)
