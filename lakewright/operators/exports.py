@@ -2,7 +2,8 @@
 
 Tables: modules (module, public, listed: has an export list, partial: of which parts cannot be read); names (module, name) of the
 lists; refs (module, source) of `source.__all__` in them; definitions (module, name, public: by the module's own rule, stub_only);
-imports (module, bound, source, name, explicit, exported), bound null for a star import. All are joined by module and name; only the sets of
+imports (module, bound, source, name, explicit, exported, and ord: the place in the module), bound null for a star import; `stars` are
+the star sets, which bound what star imports bring. Definitions may have a `way` (see graph.lookup): attributes come after imports. All are joined by module and name; only the sets of
 star imports take rounds, as many as the longest chain.
 """
 
@@ -55,13 +56,12 @@ def settle(modules: DataFrame, exports: DataFrame, definitions: DataFrame, refs:
     return rows.drop("_open", "_refers", "_seen", "listed", "partial")
 
 
-def publish(modules: DataFrame, exports: DataFrame, settled: DataFrame, imports: DataFrame) -> DataFrame:
+def publish(modules: DataFrame, exports: DataFrame, settled: DataFrame, imports: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """(module, name, kind, target) of exports that the module does not define itself: `copy` at one place for a definition that is not
     published where it stands, the module of the fewest dots, then the first, its own name before another; `alias` elsewhere. Names that lead nowhere go."""
     defined = settled.select("module", "name").distinct()
     asked = exports.join(defined, ["module", "name"], "left_anti")
-    to = imports.select("module", "bound", "source", "name")
-    found = graph.lookup(defined, to, asked).select("module", "name", "def_module", "def_name")
+    found = graph.lookup(_ways(settled), _ordered(imports), asked, stars).select("module", "name", "def_module", "def_name")
     home = settled.filter("published").select(F.col("module").alias("def_module"), F.col("name").alias("def_name")).distinct().withColumn("_home", F.lit(True))
     found = found.join(home, ["def_module", "def_name"], "left").withColumn("_home", F.coalesce("_home", F.lit(False)))
     dots = F.length("module") - F.length(F.replace("module", F.lit("."), F.lit("")))
@@ -72,11 +72,19 @@ def publish(modules: DataFrame, exports: DataFrame, settled: DataFrame, imports:
     return found.select("module", "name", F.when(copied, "copy").otherwise("alias").alias("kind"), F.when(F.col("_home") | copied, origin).otherwise(F.col("_copy")).alias("target"))
 
 
-def settle_stubs(stub_definitions: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
+def _ways(definitions: DataFrame) -> DataFrame:
+    return definitions.select("module", "name", *[c for c in ("way",) if c in definitions.columns])
+
+
+def _ordered(imports: DataFrame) -> DataFrame:
+    return imports.select("module", "bound", "source", "name", *[c for c in ("ord",) if c in imports.columns])
+
+
+def settle_stubs(stub_definitions: DataFrame, definitions: DataFrame, imports: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """stub_definitions (module, name) that a module's source only imports, or does not know, with what becomes of them: the definition their types
     go to, if the import leads to one elsewhere; else they join the module (target null)."""
     asked = stub_definitions.select("module", "name").distinct()
-    found = graph.lookup(definitions, imports.select("module", "bound", "source", "name"), asked).filter("def_module <> module")
+    found = graph.lookup(_ways(definitions), _ordered(imports), asked, stars).filter("def_module <> module")
     found = found.select("module", "name", F.concat_ws(".", "def_module", "def_name").alias("target"))
     return asked.join(found, ["module", "name"], "left")
 

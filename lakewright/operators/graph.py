@@ -24,30 +24,58 @@ def import_source(module: Column, is_package: Column, level: Column, source: Col
     return F.when(level == 0, source).otherwise(joined)
 
 
-def lookup(definitions: DataFrame, imports: DataFrame, wanted: DataFrame) -> DataFrame:
+#: Ways to go on from a name in a module, in the order in which they are tried.
+DEFINED, NAMED, STAR, STUB, ATTRIBUTE = range(5)
+_STEP = "struct<way:int,ord:long,source:string,name:string>"
+
+
+def lookup(definitions: DataFrame, imports: DataFrame, wanted: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """(module, name, def_module, def_name, hops) of what names stand for, through imports.
 
-    definitions (module, name); imports (module, bound, source, name), bound null for a star import;
-    wanted (module, name). At each module a definition comes before a named import, that before a star
-    import; after sixteen hops a name stays unknown, so cycles end.
+    definitions (module, name, and `way`: DEFINED, STUB or ATTRIBUTE, the first if there is no such column); imports (module, bound,
+    source, name, and `ord`: the place in the module, by source and name if there is no such column), bound null for a star import;
+    wanted (module, name); stars (module, name): what a star import of a module binds, all open names if it is not given.
+
+    In a module a definition comes first, then the named imports in their order, then the star imports that bring the name, then what
+    stubs alone know, then attributes. An import that leads nowhere, or back to where one has been, gives way to the next: of all
+    paths of sixteen hops at most the least one by the ways taken is the answer. A frontier row carries its path and the places on it; of
+    rows that reach one place in a round only that of the least path goes on (a greater one that could
+    end where this one cannot would pass a place of this one, which goes on from there by itself), and none that a found path precedes.
     """
-    defined = definitions.select("module", "name").distinct().withColumn("_def", F.lit(True))
-    named = imports.filter("bound IS NOT NULL").groupBy("module", "bound").agg(F.max_by(F.struct("source", "name"), F.struct("source", "name")).alias("_to"))
-    stars = imports.filter("bound IS NULL").select("module", F.col("source").alias("_star")).distinct()
-    at = wanted.select("module", "name", F.col("module").alias("m"), F.col("name").alias("n")).distinct()
-    done = None
-    for hop in range(MOST_HOPS):
-        here = at.join(defined.select(F.col("module").alias("m"), F.col("name").alias("n"), "_def"), ["m", "n"], "left")
-        found = here.filter("_def").select("module", "name", F.col("m").alias("def_module"), F.col("n").alias("def_name"), F.lit(hop).alias("hops"))
+    way = F.col("way").cast("int") if "way" in definitions.columns else F.lit(DEFINED)
+    ends = definitions.select(F.col("module").alias("m"), F.col("name").alias("n"), way.alias("_way")).groupBy("m", "n").agg(F.min("_way").alias("_way"))
+    order = (F.col("ord") if "ord" in imports.columns else F.lit(0)).cast("long")
+    step = lambda way: F.struct(F.lit(way).alias("way"), order.alias("ord"), F.col("source").alias("source"), F.col("name").alias("name"))
+    named = imports.filter("bound IS NOT NULL").select(F.col("module").alias("m"), F.col("bound").alias("n"), step(NAMED).alias("_step")).distinct()
+    whole = imports.filter("bound IS NULL").withColumn("name", F.lit("*")).select(F.col("module").alias("m"), step(STAR).alias("_step"), F.col("source").alias("_source")).distinct()
+    brings = stars.select(F.col("module").alias("_source"), F.col("name").alias("n")).distinct() if stars is not None else None
+    place = F.struct(F.col("m"), F.col("n"))
+    at = wanted.select("module", "name").distinct().withColumn("m", F.col("module")).withColumn("n", F.col("name"))
+    at = at.withColumn("path", F.expr(f"CAST(array() AS array<{_STEP}>)")).withColumn("seen", F.array(place))
+    done = best = None
+    for hop in range(MOST_HOPS + 1):
+        here = at.join(ends, ["m", "n"], "left")
+        last = F.struct(F.col("_way").alias("way"), F.lit(0).cast("long").alias("ord"), F.lit("").alias("source"), F.lit("").alias("name"))
+        found = here.filter("_way IS NOT NULL").select("module", "name", F.array_append("path", last).alias("path"), F.col("m").alias("def_module"), F.col("n").alias("def_name"), F.lit(hop).alias("hops"))
         done = found if done is None else done.unionByName(found)
-        open_ = here.filter("_def IS NULL").drop("_def").join(named.select(F.col("module").alias("m"), F.col("bound").alias("n"), "_to"), ["m", "n"], "left")
-        by_name = open_.filter("_to IS NOT NULL").select("module", "name", F.col("_to.source").alias("m"), F.col("_to.name").alias("n"))
-        by_star = open_.filter("_to IS NULL AND NOT startswith(n, '_')").drop("_to").join(stars.withColumnRenamed("module", "m"), "m").select("module", "name", F.col("_star").alias("m"), "n")
-        at = cut_lineage(by_name.unionByName(by_star).distinct())
+        least = F.min_by(F.struct("path", "def_module", "def_name", "hops"), F.struct("path"))
+        best = cut_lineage(done.groupBy("module", "name").agg(least.alias("b")).select("module", "name", "b.*"))
+        done = best
+        if hop == MOST_HOPS:
+            break
+        open_ = here.filter(f"_way IS NULL OR _way > {STAR}").drop("_way")
+        by_name = open_.join(named, ["m", "n"]).withColumn("to", F.struct(F.col("_step.source").alias("m"), F.col("_step.name").alias("n")))
+        starred = open_.join(whole, "m")
+        starred = starred.join(brings, ["_source", "n"], "left_semi") if brings is not None else starred.filter("NOT startswith(n, '_')")
+        by_star = starred.withColumn("to", F.struct(F.col("_source").alias("m"), F.col("n").alias("n"))).drop("_source")
+        moved = by_name.unionByName(by_star).filter(~F.array_contains("seen", F.col("to")))
+        moved = moved.select("module", "name", F.col("to.m").alias("m"), F.col("to.n").alias("n"), F.array_append("path", F.col("_step")).alias("path"), F.array_append("seen", F.col("to")).alias("seen"))
+        known = best.select("module", "name", F.col("path").alias("_best"))
+        moved = moved.join(known, ["module", "name"], "left").filter("_best IS NULL OR path < _best").drop("_best")
+        at = cut_lineage(moved.groupBy("module", "name", "m", "n").agg(F.min(F.struct("path", "seen")).alias("p")).select("module", "name", "m", "n", "p.path", "p.seen"))
         if at.isEmpty():
             break
-    first = Window.partitionBy("module", "name").orderBy("hops", "def_module", "def_name")
-    return done.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    return best.select("module", "name", "def_module", "def_name", "hops")
 
 
 def grown(known: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
@@ -102,3 +130,46 @@ def inherit(classes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
             break
         steps *= 2
     return at.select("node", F.col("v").alias(value))
+
+
+def _overlaid(base: Column, own: Column) -> Column:
+    """The fields of base, those that own has, too, with own's values, then the others of own: an ordered map of both."""
+    renewed = F.transform(base, lambda x: F.coalesce(F.try_element_at(F.filter(own, lambda y: y["name"] == x["name"]), F.lit(-1)), x))
+    return F.concat(renewed, F.filter(own, lambda y: ~F.exists(base, lambda x: x["name"] == y["name"])))
+
+
+def inherited_fields(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, fields) of classes (node, fields: array of (name, value)) with the fields of all bases, along single bases (child, parent).
+
+    Fields of a base come first; one that is declared again keeps its place and takes the new value. A base that is no class of
+    the table is unknown, and so are the fields of all below it, of cycles and of what is below those: null. Laying ordered maps over one another
+    is associative, so each round doubles the stretch of bases that a row has gathered, as in `inherit`.
+    """
+    kind = classes.schema["fields"].dataType.simpleString()
+    none = F.expr(f"CAST(array() AS {kind})")
+    own = F.aggregate(F.coalesce("fields", none), none, lambda held, x: _overlaid(held, F.array(x)))
+    up = edges.select(F.col("child").alias("node"), F.lit(True).alias("_has"), F.col("parent").alias("up"))
+    count = classes.count()
+    at = classes.select("node", own.alias("fields")).join(up, "node", "left")
+    # a base without a name is unknown from the start
+    at = cut_lineage(at.select("node", "fields", "up", (F.col("_has").isNull() | F.col("up").isNotNull()).alias("known")))
+    steps = 1
+    while steps <= 2 * count:
+        ahead = at.select(F.col("node").alias("up"), F.col("fields").alias("_fields"), F.col("up").alias("_up"), F.col("known").alias("_known"))
+        moved = at.filter("known AND up IS NOT NULL").join(ahead, "up", "left")
+        moved = moved.select("node", _overlaid(F.col("_fields"), F.col("fields")).alias("fields"), F.col("_up").alias("up"), F.coalesce("_known", F.lit(False)).alias("known"))
+        at = cut_lineage(at.filter("NOT known OR up IS NULL").unionByName(moved))
+        if at.filter("known AND up IS NOT NULL").isEmpty():
+            break
+        steps *= 2
+    return at.select("node", F.when(F.col("known") & F.col("up").isNull(), F.col("fields")).alias("fields"))
+
+
+def constructors(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, origin, init, fields) of classes (node, init, dataclass: generates one, fields: null of a plain class): the nearest class along the bases that has a
+    constructor or generates one, its init if that is written, else the fields it is generated from; null if these cannot be known."""
+    fields = inherited_fields(classes.select("node", "fields"), edges)
+    has = F.col("init").isNotNull() | F.coalesce("dataclass", F.lit(False))
+    rows = classes.select("node", "init", "dataclass").join(fields, "node")
+    value = F.when(has, F.struct(F.col("node").alias("origin"), F.col("init").alias("init"), F.when(F.col("init").isNull(), F.col("fields")).alias("fields")))
+    return inherit(rows.select("node", value.alias("made")), edges, "made").select("node", "made.origin", "made.init", "made.fields")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..code import docstrings, types
-from ..operators import exports, symbols, text_sinks
+from ..operators import exports, graph, symbols, text_sinks
 from .catalog import query, read
 
 
@@ -140,7 +140,8 @@ def _published(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, D
     t = _package_tables(spark, sf_dir)
     names = exports.export_names(**t)
     settled = exports.settle(t["modules"], names, t["definitions"], t["refs"])
-    return exports.publish(t["modules"], names, settled, t["imports"]), t | {"settled": settled}
+    stars = exports.star_sets(**t)
+    return exports.publish(t["modules"], names, settled, t["imports"], stars), t | {"settled": settled}
 
 
 _EXPECTED = ", ".join(str(x) for x in PUBLISHED)
@@ -180,6 +181,74 @@ def export_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.audit(published.unionByName(lost).unionByName(again), t["definitions"])
 
 
+# --- imports in order, bases with fields ------------------------------------------------------------
+
+_DRAWN = "((p_partkey * 7919 + p_size * 104729 + {j} * 15485863) % 1000003)"
+
+
+def _drawn(j: int) -> str:
+    """A number that a part and j tell, in both dialects."""
+    return _DRAWN.format(j=j)
+
+
+_MODULE = "concat('p', CAST({pkg} AS STRING), '.m', CAST({at} AS STRING))"
+_OWN_PACKAGE = "CAST(floor(p_partkey / 8) AS BIGINT)"
+_HERE = _MODULE.format(pkg=_OWN_PACKAGE, at="p_partkey % 8")
+_STATEMENTS, _NAMES = 3, 3
+#: Three import statements a module: from which of the package's eight, a star or a name bound to another.
+_IMPORTS = " UNION ALL ".join(
+    f"SELECT {_HERE} AS module, CASE WHEN {_drawn(10 + j)} % 4 > 0 THEN concat('n', CAST({_drawn(20 + j)} % {_NAMES} AS STRING)) END AS bound, {_MODULE.format(pkg=_OWN_PACKAGE, at=_drawn(j) + ' % 8')} AS source, "
+    f"CASE WHEN {_drawn(10 + j)} % 4 > 0 THEN concat('n', CAST({_drawn(30 + j)} % {_NAMES} AS STRING)) END AS name, {j} AS ord FROM part"
+    for j in range(1, _STATEMENTS + 1)
+)
+#: Every other module knows a name: as a definition, from a stub alone, or as an attribute.
+_KNOWN = f"SELECT {_HERE} AS module, concat('n', CAST({_drawn(50)} % {_NAMES} AS STRING)) AS name, CASE {_drawn(51)} % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 4 END AS way FROM part WHERE {_drawn(52)} % 2 = 0"
+_STARRED = " UNION ALL ".join(f"SELECT {_HERE} AS module, 'n{n}' AS name FROM part WHERE {_drawn(60 + n)} % 3 > 0" for n in range(_NAMES))
+_ASKED = " UNION ALL ".join(f"SELECT {_HERE} AS module, 'n{n}' AS name FROM part" for n in range(_NAMES))
+
+
+@query(f"""
+WITH RECURSIVE imps AS ({_IMPORTS}), defs AS ({_KNOWN}), stars AS ({_STARRED}), asked AS ({_ASKED}),
+edges AS (SELECT module, bound AS name, source, name AS target, 100 + ord AS code FROM imps WHERE bound IS NOT NULL
+  UNION ALL SELECT i.module, s.name, i.source, s.name, 200 + ord FROM imps i JOIN stars s ON s.module = i.source WHERE bound IS NULL),
+go AS (
+  SELECT module AS m0, name AS n0, module AS m, name AS n, []::INT[] AS path, [concat(module, ':', name)] AS seen FROM asked
+  UNION ALL SELECT m0, n0, e.source, e.target, list_append(path, e.code), list_append(seen, concat(e.source, ':', e.target))
+  FROM go JOIN edges e ON e.module = go.m AND e.name = go.n LEFT JOIN defs d ON d.module = go.m AND d.name = go.n AND d.way = 0
+  WHERE d.module IS NULL AND len(path) < 16 AND NOT list_contains(seen, concat(e.source, ':', e.target)))
+SELECT m0 AS module, n0 AS name, m AS def_module, n AS def_name, len(path)::INT AS hops FROM go JOIN defs ON defs.module = go.m AND defs.name = go.n
+QUALIFY row_number() OVER (PARTITION BY m0, n0 ORDER BY list_append(path, CASE WHEN way = 0 THEN 0 ELSE 300 + way END)) = 1""")
+def import_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-02: packages of eight modules that import from one another at random, in order, with dead ends, cycles, lists and attributes."""
+    read(spark, sf_dir, "part").select("p_partkey", "p_size").createOrReplaceTempView("lakewright_part")
+    imports, known, starred, asked = (spark.sql(x.replace("FROM part", "FROM lakewright_part")) for x in (_IMPORTS, _KNOWN, _STARRED, _ASKED))
+    return graph.lookup(known, imports, asked, starred)
+
+
+@query("""
+WITH c AS (
+  SELECT p_partkey AS k, p_partkey // 50 AS g, p_partkey % 50 AS i, CASE WHEN p_size % 9 = 0 THEN 'own' || p_partkey END AS init, p_size % 4 > 1 AS dataclass, p_size % 4 > 0 AS collects, p_size, p_brand FROM part),
+whole AS (SELECT g FROM c GROUP BY g HAVING min(i) = 0 AND g % 7 NOT IN (3, 5)),
+f AS (SELECT k, g, i, 2 * i AS at, 'f' || (p_size % 7) AS name, 'v' || k AS value FROM c WHERE collects UNION ALL SELECT k, g, i, 2 * i + 1, 'g' || (k % 11), p_brand FROM c WHERE collects),
+own AS (SELECT c.k, f.name, min(f.at) AS place, arg_max(f.value, f.at) AS value FROM c JOIN whole USING (g) JOIN f ON f.g = c.g AND f.i <= c.i GROUP BY ALL),
+fields AS (SELECT k, string_agg(name || '=' || value, ',' ORDER BY place) AS fields FROM own GROUP BY k),
+far AS (SELECT c.k, o.k AS origin, CASE WHEN o.i <= c.i THEN c.i - o.i ELSE c.i + 4 - o.i END AS steps FROM c JOIN c o ON o.g = c.g AND (o.i <= c.i OR (c.g % 7 = 3 AND o.i IN (1, 2, 3) AND EXISTS (SELECT 1 FROM c r WHERE r.g = c.g AND r.i = 3) AND EXISTS (SELECT 1 FROM c r WHERE r.g = c.g AND r.i = 0)))
+  WHERE o.init IS NOT NULL OR o.dataclass)
+SELECT c.k AS node, n.origin, o.init, CASE WHEN o.k IS NOT NULL AND o.init IS NULL AND w.g IS NOT NULL THEN coalesce(fields, '') END AS fields
+FROM c LEFT JOIN (SELECT k, arg_min(origin, steps) AS origin FROM far GROUP BY k) n USING (k) LEFT JOIN c o ON o.k = n.origin LEFT JOIN whole w ON w.g = o.g LEFT JOIN fields ON fields.k = o.k""")
+def dataclass_constructors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-07: chains of fifty classes with fields that are declared again; of seven chains one hangs on a cycle of four and one on an unknown base."""
+    part, k, size = read(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size")
+    field = lambda n, v: F.struct(n.alias("name"), v.alias("value"))
+    own = F.array(field(F.concat(F.lit("f"), _s(size % 7)), F.concat(F.lit("v"), _s(k))), field(F.concat(F.lit("g"), _s(k % 11)), F.col("p_brand")))
+    classes = part.select(k.alias("node"), F.when(size % 9 == 0, F.concat(F.lit("own"), _s(k))).alias("init"), (size % 4 > 1).alias("dataclass"), F.when(size % 4 > 0, own).alias("fields"))
+    chain = F.floor(k / 50) % 7
+    base = F.when(k % 50 > 0, k - 1).when(chain == 3, k + 3).when(chain == 5, F.lit(-1))
+    edges = part.select(k.alias("child"), base.cast("long").alias("parent")).filter("parent IS NOT NULL")
+    found = graph.constructors(classes, edges)
+    return found.select("node", "origin", "init", F.array_join(F.transform("fields", lambda x: F.concat(x["name"], F.lit("="), x["value"])), ",").alias("fields"))
+
+
 # --- content, kinds, lists --------------------------------------------------------------------------
 
 
