@@ -165,9 +165,10 @@ def merge(shards: list[Windows]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def owner_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each owner that says nothing of the one by which it was chosen: those are small, and would crowd the first buckets."""
     both = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at] if len(at) else np.zeros((0, GRAM), np.uint8)
     words = np.ascontiguousarray(both).view(">u8").astype(np.uint64)
-    return mix(mix(words[:, 0]) + words[:, 1])
+    return mix(mix(words[:, 1] ^ _LOW) + words[:, 0])
 
 
 def owners(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
