@@ -39,6 +39,21 @@ def landed_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dumps.top_packages(spark, _land(rows, F.struct(F.col("items").alias("rows")), "top"))
 
 
+@query("SELECT c_name AS name FROM customer")
+def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-16: the name index, each document read in ranges by several tasks."""
+    rows = _by_nation(spark, sf_dir, F.struct(F.col("c_name").alias("name"), F.lit(1).alias("more")))
+    folder = _land(rows, F.struct(F.lit('x] "projects": [').alias("meta"), F.col("items").alias("projects"), F.array(F.lit(1)).alias("after")), "split-names")
+    return dumps.name_index_split(spark, folder, 4096)
+
+
+@query("SELECT c_name AS name, c_custkey * 10 AS downloads FROM customer")
+def split_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-17: the list of most downloaded packages, in ranges."""
+    rows = _by_nation(spark, sf_dir, F.struct(F.col("c_name").alias("project"), (F.col("c_custkey") * 10).alias("download_count")))
+    return dumps.top_packages_split(spark, _land(rows, F.struct(F.col("items").alias("rows")), "split-top"), 4096)
+
+
 @query("SELECT event_type AS package, 'overall' AS series, CASE WHEN ts::DATE >= DATE '2024-01-10' THEN 'late' ELSE 'early' END AS category, ts::DATE AS day, count(*) AS downloads FROM events GROUP BY ALL")
 def landed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-04: a download series for each kind of event."""

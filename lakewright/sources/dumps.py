@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import arrays
+
 NAMES = "projects array<struct<name: string>>"
 TOP = "rows array<struct<project: string, download_count: bigint>>"
 FILE = "struct<filename: string, url: string, size: bigint, packagetype: string, python_version: string, requires_python: string, upload_time_iso_8601: string, digests: struct<sha256: string>>"
@@ -32,6 +34,18 @@ def name_index(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, NAMES, path, "FAILFAST").select(F.explode("projects").alias("p")).select(F.col("p.name").alias("name"))
 
 
+def name_index_split(spark: SparkSession, path: str, split_bytes: int = arrays.SPLIT_BYTES) -> DataFrame:
+    """The rows of `name_index`, each document read by as many tasks as it has ranges of split_bytes."""
+    parsed = F.from_json("element", "name string", {"mode": "FAILFAST"})
+    return arrays.array_elements(spark, path, "projects", split_bytes).select(parsed.getField("name").alias("name"))
+
+
+def top_packages_split(spark: SparkSession, path: str, split_bytes: int = arrays.SPLIT_BYTES) -> DataFrame:
+    parsed = F.from_json("element", "project string, download_count bigint", {"mode": "FAILFAST"})
+    rows = arrays.array_elements(spark, path, "rows", split_bytes).select(parsed.alias("r"))
+    return rows.select(F.col("r.project").alias("name"), F.col("r.download_count").alias("downloads"))
+
+
 def top_packages(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, TOP, path, "FAILFAST").select(F.explode("rows").alias("r")).select(F.col("r.project").alias("name"), F.col("r.download_count").alias("downloads"))
 
