@@ -72,6 +72,7 @@ class Scratch:
 
     def table(self, df: DataFrame) -> DataFrame:
         """Writes df and reads it back: computed once, short lineage, files all executors share."""
+        self.sweep()
         self._n += 1
         path = f"{self.base}/t{self._n}"
         df.write.parquet(path)
@@ -80,14 +81,17 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        """Deletes a table of this scratch that nothing reads any more. Spark deletes the shuffle files of steps that are done
-        once the driver's JVM finds their plans unused, which may take hours on a quiet driver; so it is asked to look."""
+        """Deletes a table of this scratch that nothing reads any more."""
         path = getattr(df, "_lakewright_path", None)
         if path:
             fs, p = _file_system(self.spark, path)
             fs.delete(p, True)
-            gc.collect()
-            self.spark._jvm.System.gc()
+
+    def sweep(self) -> None:
+        """Spark deletes the shuffle files of a finished step once the driver's JVM finds its plan unused, which may take hours on a
+        quiet driver; so it is asked to look. Steps whose DataFrames are still held keep theirs."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def trim() -> None:

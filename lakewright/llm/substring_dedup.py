@@ -315,14 +315,17 @@ def repeats(docs: DataFrame, scratch: Scratch, width: int = 13, first: int = FIR
             levels.append((at, words))
         last = at == width
         buckets = min(max(4 * partitions(scratch.spark), -(-words * (20 if last else 5) // BUCKET_BYTES)), 1 << 30)
-        answers = _answers(_entries(states, at, last, buckets), last)
+        # as a table, so that the entries' shuffle can go before the states are joined
+        answers = scratch.table(_answers(_entries(states, at, last, buckets), last))
         if last:
             spans = scratch.table(_spans(states, answers, width, buckets))
             scratch.drop(states)
+            scratch.drop(answers)
             return spans
         following = min(2 * at, width)
         left = scratch.table(_survivors(states, answers, at, following, buckets))
         scratch.drop(states)
+        scratch.drop(answers)
         states, at = left, following
 
 

@@ -507,8 +507,12 @@ def _round(states: DataFrame, kind: type, judge: Callable, entry: int, scratch:
 
     busy = states.filter("n > 0")
     # of the last round, shards that ask nothing still have windows that go
-    joined = (states if kind is _Ends else busy).join(_answers(busy, kind, judge, buckets), "shard", "left")
-    return scratch.table(joined.select("shard", "state", "answers").mapInArrow(lean(run), SHARD))
+    # as a table, so that the entries' shuffle can go before the states are joined
+    answers = scratch.table(_answers(busy, kind, judge, buckets))
+    joined = (states if kind is _Ends else busy).join(answers, "shard", "left")
+    left = scratch.table(joined.select("shard", "state", "answers").mapInArrow(lean(run), SHARD))
+    scratch.drop(answers)
+    return left
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot_places: int = HOT_PLACES, suffix_bytes: int = SUFFIX_BYTES) -> DataFrame:
