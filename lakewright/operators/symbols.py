@@ -250,10 +250,35 @@ def below(symbols: DataFrame, aliases: DataFrame, prefix: str) -> DataFrame:
     return own.unionByName(reached.select(*own.columns))
 
 
+def _steps(path: str) -> Column:
+    """A dotted path and all paths above it."""
+    parts = F.split(path, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+
+
+def below_each(symbols: DataFrame, aliases: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(prefix, via, columns of symbols): `below` for any number of prefixes (prefix).
+
+    What is at or below a prefix has it among the paths above it, so each symbol and alias meets its prefixes in an equi-join of as many rows as
+    paths have parts; nothing is compared with all prefixes. The empty prefix is above all.
+    """
+    asked = prefixes.select("prefix").distinct()
+    root = F.broadcast(asked.filter("prefix = ''"))  # one row at most
+    named = asked.filter("prefix <> ''")
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prefix", F.explode(_steps("path"))).join(named, "prefix").unionByName(rows.crossJoin(root))
+
+    own = met(symbols).withColumn("via", F.lit(None).cast("string"))
+    there = met(aliases.select("path", "target")).select(F.col("path").alias("via"), "target", "prefix")
+    reached = symbols.join(there, F.col("path") == F.col("target"))
+    columns = ["prefix", "via", *symbols.columns]
+    return own.select(*columns).unionByName(reached.select(*columns))
+
+
 def resolve(paths: DataFrame, symbols: DataFrame) -> DataFrame:
     """The longest symbol at or above each dotted path, by joining its exploded prefixes instead of comparing all pairs."""
-    parts = F.split("dotted", r"\.")
-    prefixes = paths.select("dotted", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("path"))
+    prefixes = paths.select("dotted", F.explode(_steps("dotted")).alias("path"))
     hits = prefixes.join(symbols.select("path", "kind"), "path")
     return hits.groupBy("dotted").agg(F.max_by(F.struct("path", "kind"), F.length("path")).alias("s")).select("dotted", "s.*")
 

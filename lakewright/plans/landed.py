@@ -6,7 +6,9 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import variants
 from ..shared import new_folder
 from ..sources import dumps
 from .catalog import query, read
@@ -127,3 +129,44 @@ def landed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     commit = F.when(k % 2 == 0, F.struct(sha.alias("sha"), F.lit(None).cast("string").alias("id"))).otherwise(F.struct(F.lit(None).cast("string").alias("sha"), sha.alias("id")))
     rows = _by_nation(spark, sf_dir, F.struct(name.alias("name"), commit.alias("commit")))
     return dumps.forge_tags(spark, _land(rows, F.col("items"), "tags")).select("name", "sha")
+
+
+#: Documents of events: a number that is a text now and then, a field that some have, one that a kind lacks, and some that are broken.
+_DOCUMENTS = """
+SELECT event_id, event_type, concat('{"k": ', CASE WHEN event_type = 'click' AND event_id % 97 = 0 THEN concat('"', CAST(user_id AS STRING), '"') ELSE CAST(user_id AS STRING) END, CASE WHEN user_id % 50 = 7 THEN ', "extra": true' ELSE '' END,
+  CASE WHEN event_type <> 'view' THEN concat(', "n": ', CAST(event_id AS STRING)) ELSE '' END, ', "in": {"of": [', CAST(event_id % 10 AS STRING), ', 1]}', CASE WHEN event_id % 89 = 0 THEN '' ELSE '}' END) AS doc FROM events"""
+_DOCUMENTS_SQL = f"d AS ({_DOCUMENTS.replace('AS STRING', 'AS VARCHAR')}), ok AS (SELECT *, CASE WHEN json_valid(doc) THEN doc::JSON END AS j FROM d)"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read(spark, sf_dir, "events").select("event_id", "event_type", "user_id").createOrReplaceTempView("lakewright_events")
+    found = spark.sql(_DOCUMENTS.replace("FROM events", "FROM lakewright_events"))
+    return found.select("event_id", "event_type", variants.parsed(F.col("doc")).alias("doc"))
+
+
+@query(f"""
+WITH {_DOCUMENTS_SQL} SELECT event_id, CASE WHEN json_type(j, '$.k') <> 'VARCHAR' THEN (j->>'$.k')::BIGINT ELSE try_cast(j->>'$.k' AS BIGINT) END AS k, (j->>'$.n')::BIGINT AS n, (j->>'$.in.of[0]')::BIGINT AS first, (j->>'$.extra')::BOOLEAN AS extra FROM ok""")
+def variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON-01, JSON-02, PRJ-04: documents parsed once, four fields by path and type."""
+    wanted = {"k": ("$.k", "bigint"), "n": ("$.n", "bigint"), "first": ("$.in.of[0]", "bigint"), "extra": ("$.extra", "boolean")}
+    return _documents(spark, sf_dir).select("event_id", *variants.fields(F.col("doc"), wanted))
+
+
+#: What these documents should be.
+_CONTRACT = "k bigint, n bigint, in struct<of: array<bigint>>, gone string"
+
+
+@query(f"""
+WITH {_DOCUMENTS_SQL}, kinds AS (SELECT DISTINCT event_type FROM ok), keys AS (SELECT DISTINCT event_type, unnest(json_keys(j)) AS key FROM ok WHERE j IS NOT NULL),
+types AS (SELECT event_type, key, CASE WHEN count(DISTINCT t) > 1 THEN 'variant' ELSE min(t) END AS t FROM (
+  SELECT event_type, key, CASE json_type(j, '$.' || key) WHEN 'UBIGINT' THEN 'bigint' WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'other' END AS t
+  FROM ok JOIN (SELECT unnest(['k', 'n', 'in', 'extra']) AS key) u ON json_exists(j, '$.' || key)) GROUP BY ALL),
+wanted(key, want) AS (VALUES ('k', 'bigint'), ('n', 'bigint'), ('in', 'other'), ('gone', 'string'))
+SELECT event_type, '$.' || t.key AS path, CASE WHEN want IS NULL THEN 'unknown' ELSE 'changed' END AS what, coalesce(want, '') AS expected, t AS found FROM types t LEFT JOIN wanted w ON w.key = t.key WHERE want IS NULL OR want <> t
+UNION ALL SELECT event_type, '$.' || w.key, 'missing', want, '' FROM kinds CROSS JOIN wanted w WHERE NOT EXISTS (SELECT 1 FROM keys WHERE keys.event_type = kinds.event_type AND keys.key = w.key)""")
+def variant_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON-04: the schema that the documents of each kind of event have, and where it leaves the contract."""
+    found = variants.found_schema(_documents(spark, sf_dir), "doc", ["event_type"]).collect()  # a row for each kind of document
+    contract = T._parse_datatype_string(_CONTRACT)
+    rows = [(r.event_type, *x) for r in found for x in variants.deviations(r.schema, contract)]
+    return spark.createDataFrame(rows, "event_type string, path string, what string, expected string, found string")

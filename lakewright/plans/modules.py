@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..code import docstrings, types
-from ..operators import exports, graph, symbols, text_sinks
+from ..operators import exports, fuzzy, graph, symbols, text_sinks
 from .catalog import query, read
 
 
@@ -392,6 +392,34 @@ def fuzzy_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.fuzzy(_symbols(spark, sf_dir), "N11").select("path", F.round("score", 6).alias("score"))
 
 
+_TYPED = "SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN concat('N', CAST(s_suppkey * 13 AS STRING)) WHEN 1 THEN concat('pkg.brnad', CAST(s_suppkey % 60 AS STRING), '.n', CAST(s_suppkey * 7 AS STRING)) WHEN 2 THEN concat(CAST(s_suppkey AS STRING), '.n') ELSE concat('nn', CAST(s_suppkey * 5 AS STRING)) END AS query FROM supplier"
+
+
+@query(f"""
+WITH {_SYMBOLS}, q AS ({_TYPED.replace("AS STRING", "AS VARCHAR")}), d AS (
+  SELECT query, path, CASE WHEN contains(lower(path), lower(query)) THEN 0 ELSE least(levenshtein(name, lower(query))::DOUBLE / greatest(length(name), length(query), 1), levenshtein(lower(path), lower(query))::DOUBLE / greatest(length(path), length(query), 1)) END AS score FROM q, s)
+SELECT query, path, round(score, 6) AS score FROM d WHERE score <= 0.4""")
+def fuzzy_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-13: a query for each supplier, mistyped in four ways, through inverted lists of grams."""
+    read(spark, sf_dir, "supplier").select("s_suppkey").createOrReplaceTempView("lakewright_supplier")
+    asked = spark.sql(_TYPED.replace("FROM supplier", "FROM lakewright_supplier"))
+    return fuzzy.near(_symbols(spark, sf_dir).select("path", "name"), asked).select("query", "path", F.round("score", 6).alias("score"))
+
+
+_PREFIXES = "SELECT DISTINCT concat('pkg.', replace(p_brand, '#', ''), CASE WHEN p_partkey % 3 = 0 THEN concat('.n', CAST(p_partkey AS STRING)) WHEN p_partkey % 7 = 0 THEN '.n' ELSE '' END) AS prefix FROM part"
+
+
+@query(f"""
+WITH {_SYMBOLS}, a AS (SELECT 'pkg.Brand1.al' || p_partkey AS path, 'pkg.' || replace(p_brand, '#', '') || '.n' || p_partkey AS target FROM part WHERE p_size % 3 = 0), p AS ({_PREFIXES.replace("AS STRING", "AS VARCHAR")})
+SELECT prefix, path, NULL AS via FROM p JOIN s ON path = prefix OR starts_with(path, prefix || '.') UNION ALL SELECT prefix, s.path, a.path FROM p JOIN a ON a.path = prefix OR starts_with(a.path, prefix || '.') JOIN s ON s.path = a.target""")
+def prefix_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SYM-11, JOIN-11, JOIN-12: all below each of many prefixes, aliases included."""
+    own = _symbols(spark, sf_dir)
+    aliases = read(spark, sf_dir, "part").filter("p_size % 3 = 0").select(F.concat(F.lit("pkg.Brand1.al"), _s("p_partkey")).alias("path"), F.concat(F.lit("pkg."), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".n"), _s("p_partkey")).alias("target"))
+    read(spark, sf_dir, "part").select("p_partkey", "p_brand").createOrReplaceTempView("lakewright_brands")
+    return symbols.below_each(own, aliases, spark.sql(_PREFIXES.replace("FROM part", "FROM lakewright_brands"))).select("prefix", "path", "via")
+
+
 @query(f"""
 WITH {_SYMBOLS}, a AS (SELECT 'pkg.Brand1.al' || p_partkey AS path, 'pkg.' || replace(p_brand, '#', '') || '.n' || p_partkey AS target FROM part WHERE p_size % 3 = 0)
 SELECT path, NULL AS via FROM s WHERE path = 'pkg.Brand1' OR starts_with(path, 'pkg.Brand1.') UNION ALL SELECT s.path, a.path FROM a JOIN s ON s.path = a.target""")
