@@ -1,15 +1,15 @@
 """Symbols, imports and export lists of Python modules.
 
-A module's source goes through the standard parser. Where it fails, the statement
-around the error is blanked and the rest parsed again, so that one bad statement
-costs itself alone; how many were lost is counted. A source that no blanking mends is
-parsed by its top-level statements.
+A module's source goes through the standard parser. Where it fails, top-level statements
+are parsed in runs, and in one that has an error the statement around it is blanked,
+so that one bad statement costs itself alone; how many were lost is counted.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,36 +33,67 @@ MODULE = T.StructType([
 PROPERTY = ("property", "cached_property", "abstractproperty")
 
 
+#: What the parser says where a text ends inside brackets or a string.
+_OPEN = re.compile(r"was never closed|unterminated triple-quoted|EOF in multi-line|unexpected EOF")
+_FAILURES = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
 def parse(source: str) -> tuple[ast.Module, int]:
-    """(tree, statements lost)."""
+    """(tree, statements lost).
+
+    A sound source is parsed once. Of any other, growing runs of top-level statements are parsed; a run that fails is
+    cut before the statement with the error, and that one is mended alone. So an error costs what stands around it, not the module.
+    """
+    try:
+        return ast.parse(source), 0
+    except _FAILURES:
+        pass
     lines = source.split("\n")
-    lost = 0
-    while True:
-        try:
-            return ast.parse("\n".join(lines)), lost
-        except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+    starts = _starts(lines)
+    if not starts:
+        return ast.Module([], []), 1
+    body: list[ast.stmt] = []
+    lost = int(any(x.strip() and not x.lstrip().startswith("#") for x in lines[: starts[0]]))
+    ends = [*starts[1:], len(lines)]
+    k, run = 0, 16
+    while k < len(starts):
+        stop = min(k + run, len(starts))
+        tree, error = _attempt(lines, starts[k], ends[stop - 1])
+        if tree is None and stop - k > 1:
             line = getattr(error, "lineno", None)
-            if line is None:
-                break
-            at = min(max(line - 1, 0), len(lines) - 1)
-            while at >= 0 and not lines[at].strip():
-                at -= 1
-            if at < 0:
-                break
-            depth = len(lines[at]) - len(lines[at].lstrip())
-            end = at + 1
-            while end < len(lines) and (not lines[end].strip() or len(lines[end]) - len(lines[end].lstrip()) > depth):
-                end += 1
-            blank = [" " * depth + "pass"] + [""] * (end - at - 1)
-            if lines[at:end] == blank:
-                break
-            lines[at:end] = blank
-            lost += 1
-    return statements(lines, lost)
-
-
-def statements(lines: list[str], lost: int) -> tuple[ast.Module, int]:
-    """The top-level statements of lines one by one, each at its own place; those that do not parse are counted as lost."""
+            cut = max(bisect_right(starts, starts[k] + line - 1) - 1, k) if line else k
+            stop, run = min(cut, stop - 1), 1
+            tree = _attempt(lines, starts[k], starts[stop])[0] if stop > k else None
+            if tree is None:
+                continue
+        elif tree is None:
+            width = 1
+            while tree is None and _OPEN.search(str(error)) and k + width < len(starts):  # what stands in brackets or a string may begin at the margin
+                width *= 2
+                stop = min(k + width, len(starts))
+                tree, error = _attempt(lines, starts[k], ends[stop - 1])
+            if tree is None:
+                stop = k + 1
+                tree, more = _mended(lines[starts[k] : ends[k]], starts[k])
+                lost += more
+            run = 1
+        else:
+            run *= 2
+        body += tree.body
+        k = stop
+    return ast.Module(body, []), lost
+
+
+def _attempt(lines: list[str], start: int, end: int) -> tuple[ast.Module | None, Exception | None]:
+    """(the tree of some lines, with the numbers that they have in the module, or none; the error)."""
+    try:
+        return ast.increment_lineno(ast.parse("\n".join(lines[start:end])), start), None
+    except _FAILURES as error:
+        return None, error
+
+
+def _starts(lines: list[str]) -> list[int]:
+    """The lines at which top-level statements begin, decorators included."""
     starts: list[int] = []
     decorated = False
     for i, line in enumerate(lines):
@@ -70,17 +101,31 @@ def statements(lines: list[str], lost: int) -> tuple[ast.Module, int]:
             if not decorated:
                 starts.append(i)
             decorated = line[0] == "@"
-    body: list[ast.stmt] = []
-    for i, end in zip(starts, [*starts[1:], len(lines)], strict=True):
-        try:
-            if len(starts) == 1:
-                body += ast.parse("\n" * i + "\n".join(lines[i:end])).body
-            else:
-                tree, more = parse("\n" * i + "\n".join(lines[i:end]))
-                body, lost = body + tree.body, lost + more
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            lost += 1
-    return ast.Module(body, []), lost if starts else lost + 1
+    return starts
+
+
+def _mended(lines: list[str], start: int) -> tuple[ast.Module, int]:
+    """One top-level statement, with `pass` in the place of each statement in it that an error is in; nothing where that does not help."""
+    lost = 0
+    while True:
+        tree, error = _attempt(lines, 0, len(lines))
+        if tree is not None:
+            return ast.increment_lineno(tree, start), lost
+        line = getattr(error, "lineno", None)
+        at = min(max(line - 1, 0), len(lines) - 1) if line else -1
+        while at >= 0 and not lines[at].strip():
+            at -= 1
+        if at < 0:
+            return ast.Module([], []), lost + 1
+        depth = len(lines[at]) - len(lines[at].lstrip())
+        end = at + 1
+        while end < len(lines) and (not lines[end].strip() or len(lines[end]) - len(lines[end].lstrip()) > depth):
+            end += 1
+        blank = [" " * depth + "pass"] + [""] * (end - at - 1)
+        if lines[at:end] == blank:
+            return ast.Module([], []), lost + 1
+        lines = lines[:at] + blank + lines[end:]
+        lost += 1
 
 
 class _Module:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from lakewright.code import extract
 
 
@@ -21,3 +23,21 @@ def test_statements_that_no_line_is_named_for():
     got = extract.extract("m", deep)
     assert [s["name"] for s in got["symbols"]] == ["x", "z"] and got["parse_errors"] == 1
     assert extract.extract("m", "")["parse_errors"] == 0 and extract.extract("m", "\0")["parse_errors"] == 1
+
+
+def test_recovery_is_linear():
+    """Broken functions between good ones, Python 2 prints, and a module that opens brackets and strings at the margin."""
+    source = "".join(f"def good{i}(a):\n    return a\n\ndef bad{i}(:\n    pass\n\nprint 'x{i}'\n\n" for i in range(4000))
+    began = time.process_time()
+    tree, lost = extract.parse(source)
+    assert time.process_time() - began < 5
+    assert [f.name for f in tree.body if hasattr(f, "name")] == [f"good{i}" for i in range(4000)] and lost == 8000
+    assert tree.body[-3].lineno == 3999 * 8 + 1
+
+
+def test_statements_that_go_on_at_the_margin():
+    source = 'x = [\n1,\n2,\n]\ntext = """\nplain\ndef no(): pass\n"""\nprint "old"\n\ncall(\n"a",\n)\ny = 3\nopen_ = (1,\nz = 4\n@dec\ndef f(): ...\n'
+    tree, lost = extract.parse(source)
+    names = [getattr(n, "name", None) or (n.targets[0].id if hasattr(n, "targets") else type(n).__name__) for n in tree.body]
+    assert names == ["x", "text", "Pass", "Expr", "y", "Pass", "z", "f"] and lost == 2
+    assert [n.lineno for n in tree.body] == [1, 5, 9, 11, 14, 15, 16, 18]
