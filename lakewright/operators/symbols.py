@@ -132,12 +132,12 @@ def with_doc_params(params: DataFrame, doc_params: DataFrame, keys: list[str]) -
 
 
 def stub_paths(stubs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """stubs (path, ...), and once more under each alias (path, target) of a symbol or of what it stands in; a path's own stub goes first."""
+    """stubs (path, ...), and once more under each alias (path, target) of a symbol or of what it stands in; a path's own stub goes first, then the first by path."""
     parts = F.split("path", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
     below = stubs.withColumn("target", F.explode(above)).join(aliases.select(F.col("path").alias("_alias"), "target"), "target")
-    reached = below.withColumn("path", F.concat("_alias", F.expr("substring(path, length(target) + 1)"))).drop("target", "_alias")
-    both = stubs.withColumn("_own", F.lit(0)).unionByName(reached.withColumn("_own", F.lit(1)))
+    reached = below.withColumn("_of", F.col("path")).withColumn("path", F.concat("_alias", F.expr("substring(path, length(target) + 1)"))).drop("target", "_alias")
+    both = stubs.withColumn("_own", F.struct(F.lit(0).alias("own"), F.col("path").alias("of"))).unionByName(reached.withColumn("_own", F.struct(F.lit(1).alias("own"), F.col("_of").alias("of"))).drop("_of"))
     keep = [c for c in stubs.columns if c != "path"]
     return both.groupBy("path").agg(F.min_by(F.struct(*keep), "_own").alias("s")).select("path", "s.*")
 

@@ -904,7 +904,7 @@ def changelog_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('week', ts)::TIMESTAMP AS start, event_type AS category, count(*) AS downloads FROM events GROUP BY ALL")
 def weekly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-01 and event time: the weekly sums as a stream over landed files, run until all is read; changed sums go to files."""
+    """Event time: the weekly sums as a stream over landed files, run until all is read; changed sums go to files."""
     schema = read(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet") if not _is_file(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     sums = sync.weekly_stream(events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category")))
@@ -918,4 +918,4 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-from . import landed, modules, rules  # noqa: E402, F401  they register their queries
+from . import landed, modules, rules, wheels  # noqa: E402, F401  they register their queries

@@ -365,6 +365,18 @@ def live_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.live_aliases(read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), _s("o_custkey")).alias("target")), published)
 
 
+@query("""
+SELECT p_partkey, coalesce(d, CASE WHEN t IS NULL THEN y END, '') AS return_text FROM (
+  SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_name END AS d, CASE WHEN p_size % 3 = 0 THEN p_type END AS t, CASE WHEN p_size % 5 < 3 THEN p_brand END AS y FROM part)""")
+def return_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SYM-08: what a docstring says of what is returned, or yielded where it names no return at all."""
+    size = F.col("p_size")
+    rows = read(spark, sf_dir, "part").select(
+        "p_partkey", F.when(size % 4 == 0, F.col("p_name")).alias("doc_returns_text"), F.when(size % 3 == 0, F.col("p_type")).alias("doc_returns"), F.when(size % 5 < 3, F.col("p_brand")).alias("doc_yields_text")
+    )
+    return symbols.return_notes(rows).select("p_partkey", "return_text")
+
+
 # --- listings ---------------------------------------------------------------------------------------
 
 _SYMBOLS = """s AS (SELECT 'pkg.' || replace(p_brand, '#', '') || '.n' || p_partkey AS path, 'n' || p_partkey AS name, p_type AS kind, 'def n(' || p_size || ')' AS signature, p_partkey AS ord FROM part)"""

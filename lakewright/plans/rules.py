@@ -310,7 +310,7 @@ w AS (SELECT l_suppkey, r, o, c, c AS used, 0 AS wave FROM j WHERE r = 1
   UNION ALL SELECT j.l_suppkey, j.r, j.o, j.c, CASE WHEN w.used + j.c <= 67108864 THEN w.used + j.c ELSE j.c END, CASE WHEN w.used + j.c <= 67108864 THEN w.wave ELSE w.wave + 1 END FROM w JOIN j ON j.l_suppkey = w.l_suppkey AND j.r = w.r + 1)
 SELECT l_suppkey, o, c AS cost, wave::INT AS wave FROM w""")
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-08, MTH-02, SRC-24: jobs in order, as many at once as the budget holds."""
+    """STM-08, MTH-02: jobs in order, as many at once as the budget holds."""
     rows = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o")).agg((F.max("l_partkey") * 100000).alias("weight"))
     return cache.admitted(rows, ["l_suppkey"], "o", "weight").select("l_suppkey", "o", "cost", "wave")
 

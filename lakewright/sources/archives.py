@@ -9,6 +9,7 @@ their paths, and of wheels only the directory and the files that are wanted.
 from __future__ import annotations
 
 import contextlib
+import heapq
 import io
 import tarfile
 import zipfile
@@ -127,9 +128,41 @@ def weighed(archives_: DataFrame) -> DataFrame:
     return archives_.select("archive", "kind", "size", "content").mapInPandas(run, "archive string, kind string, size bigint, weight bigint")
 
 
+#: Rows that one task deals out.
+DEALT_ROWS = 10_000
+
+
+def dealt(rows: DataFrame, weight: str, parts: int) -> DataFrame:
+    """rows in `parts` partitions of nearly equal weight: the heaviest first, each to the partition with the least so far.
+
+    Only weights and keys are needed to deal, so this comes before anything is read. Groups of some thousand rows are dealt one by one, each to
+    partitions of its own if there are enough, else each beginning with another one; a single row heavier than a fair share stays whole.
+    """
+    count = rows.count()
+    groups = max(1, -(-count // DEALT_ROWS))
+    share = max(1, parts // groups)
+    names = rows.columns
+    keyed = rows.withColumn("_group", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int"))
+
+    def deal(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(weight, ascending=False, kind="stable")
+        first = int(group["_group"].iloc[0]) * share
+        heap = [(0.0, (first + k) % parts) for k in range(share if groups <= parts else parts)]
+        heapq.heapify(heap)
+        bins = []
+        for w in group[weight].fillna(0):
+            load, at = heap[0]
+            bins.append(at)
+            heapq.heapreplace(heap, (load + max(float(w), 1.0), at))
+        return group.assign(_bin=bins).drop(columns="_group")
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "_bin int"])
+    return keyed.groupBy("_group").applyInPandas(deal, schema).repartitionById(parts, F.col("_bin")).drop("_bin")
+
+
 def _rows(archive: str, kind: str, source, suffixes: tuple[str, ...]) -> pd.DataFrame:
     files, top, typed, cut = read_wheel(source, suffixes) if kind == "wheel" else (lambda f, c: (f, [], False, c))(*read_sdist(source, archive, suffixes))
-    return pd.DataFrame({"archive": archive, "kind": kind, "path": list(files), "content": list(files.values()), "top_level": [top or top_folders(files)] * len(files), "typed": typed, "truncated": cut})
+    return pd.DataFrame({"archive": archive, "kind": kind, "path": list(files), "content": list(files.values()), "top_level": pd.Series([top or top_folders(files)] * len(files), dtype=object), "typed": typed, "truncated": cut})
 
 
 def source_files(archives_: DataFrame, suffixes: tuple[str, ...] = SOURCES) -> DataFrame:
