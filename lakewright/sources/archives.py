@@ -165,6 +165,12 @@ def _rows(archive: str, kind: str, source, suffixes: tuple[str, ...]) -> pd.Data
     return pd.DataFrame({"archive": archive, "kind": kind, "path": list(files), "content": list(files.values()), "top_level": pd.Series([top or top_folders(files)] * len(files), dtype=object), "typed": typed, "truncated": cut})
 
 
+def _some(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """An archive without a wanted file has no rows: an empty frame has no types."""
+    if len(rows):
+        yield rows
+
+
 def source_files(archives_: DataFrame, suffixes: tuple[str, ...] = SOURCES) -> DataFrame:
     """One row a Python file of each archive (with STUBS, its stubs alone); an archive that cannot be opened has none."""
 
@@ -172,7 +178,7 @@ def source_files(archives_: DataFrame, suffixes: tuple[str, ...] = SOURCES) -> D
         for batch in batches:
             for archive, kind, content in zip(batch["archive"], batch["kind"], batch["content"], strict=True):
                 with contextlib.suppress(zipfile.BadZipFile, tarfile.TarError, OSError, EOFError):
-                    yield _rows(archive, kind, content, suffixes)
+                    yield from _some(_rows(archive, kind, content, suffixes))
 
     return archives_.select("archive", "kind", "content").mapInPandas(run, SCHEMA)
 
@@ -187,7 +193,7 @@ def listed_files(paths: DataFrame, suffixes: tuple[str, ...] = SOURCES) -> DataF
                 with contextlib.suppress(zipfile.BadZipFile, tarfile.TarError, OSError, EOFError):
                     source, close = ranges.opened(path)
                     try:
-                        yield _rows(archive, "wheel" if archive.endswith(".whl") else "sdist", source, suffixes)
+                        yield from _some(_rows(archive, "wheel" if archive.endswith(".whl") else "sdist", source, suffixes))
                     finally:
                         close()
 
