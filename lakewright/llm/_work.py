@@ -89,7 +89,9 @@ class Scratch:
 
     def sweep(self) -> None:
         """Spark deletes the shuffle files of a finished step once the driver's JVM finds its plan unused, which may take hours on a
-        quiet driver; so it is asked to look. Steps whose DataFrames are still held keep theirs."""
+        quiet driver; so it is asked to look. Steps whose DataFrames are still held keep theirs, and so does the last query that was run,
+        which is why a tiny one goes before."""
+        self.spark.range(1).collect()
         gc.collect()
         self.spark._jvm.System.gc()
 
