@@ -20,20 +20,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by the contract's rules, then by its class of redirects."""
     return url_filter.url_filter(spark, _read(spark, sf_dir, "pages"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens; without target weights, sources keep the proportions they have."""
     pieces = packing.pack(spark, _read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, linked at three bits or fewer."""
     found = simhash_dedup.simhash_components(spark, _read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from three of four documents and predicts all."""
     docs = _read(spark, sf_dir, "documents")
     model = language_id.train(spark, docs.filter(~language_id.held_out()))
     found = language_id.identify(spark, docs.withColumn("held_out", language_id.held_out()), model, keep=("doc_id", "held_out"))
@@ -41,19 +45,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, linked within their label at a cosine of 0.93 and more."""
     return embedding_dedup.embedding_dedup(spark, _read(spark, sf_dir, "embeddings"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notice phrases and identifier expressions of all documents."""
     found = license_scan.license_scan(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all others, in whole numbers."""
     return topk_search.top_k(spark, _read(spark, sf_dir, "embeddings"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the default tree of weights selects."""
     return mixing.mix(spark, _read(spark, sf_dir, "documents"))
 
 
@@ -71,11 +79,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that a 13-word window of an earlier one covers."""
     found = substring_dedup.substring_dedup(spark, _read(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that a 50-byte string of an earlier one covers."""
     found = suffix_dedup.suffix_dedup(spark, _read(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
