@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..operators import variants
 from ..shared import new_folder
 from ..sources import dumps
+from ..streaming import cycle
 from .catalog import query, read
 
 
@@ -170,3 +171,22 @@ def variant_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     contract = T._parse_datatype_string(_CONTRACT)
     rows = [(r.event_type, *x) for r in found for x in variants.deviations(r.schema, contract)]
     return spark.createDataFrame(rows, "event_type string, path string, what string, expected string, found string")
+
+
+@query("""
+WITH n AS (SELECT DISTINCT CASE WHEN c_custkey % 5 = 0 THEN lower(c_name) ELSE c_name END AS name, c_custkey, c_mktsegment FROM customer),
+o AS (SELECT o_custkey, count(*) AS downloads FROM orders GROUP BY 1), d AS (SELECT n.*, coalesce(downloads, 0) AS downloads FROM n LEFT JOIN o ON o_custkey = c_custkey),
+r AS (SELECT *, row_number() OVER (ORDER BY downloads DESC, name) AS place FROM d)
+SELECT name, CASE WHEN place <= 50 AND name LIKE 'C%' THEN c_mktsegment ELSE '' END AS summary, downloads FROM r""")
+def index_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-01: customers' names land twice, every fifth in lower case; counts come by the proper name, and summaries go to the fifty most ordered."""
+    customer, folder = read(spark, sf_dir, "customer"), new_folder(spark, "index")
+    name = F.when(F.col("c_custkey") % 5 == 0, F.lower("c_name")).otherwise(F.col("c_name"))
+    landed = customer.select(name.alias("name"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("c_custkey") % 60).alias("landed_at"))
+    landed.unionByName(landed).write.json(f"{folder}/names")
+    counts = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("downloads"))
+    customer.join(counts, "c_custkey").select(F.col("c_name").alias("name"), "downloads").write.json(f"{folder}/downloads")
+    customer.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("summary")).write.json(f"{folder}/summaries")
+    names = spark.readStream.schema("name string, landed_at timestamp").json(f"{folder}/names")
+    cycle.follow(names, f"{folder}/downloads", f"{folder}/summaries", f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return cycle.index(spark, f"{folder}/table")
