@@ -91,3 +91,19 @@ def test_constructors(spark):
     got = {r.node: (r.origin, r.init, None if r.fields is None else [tuple(f) for f in r.fields]) for r in graph.constructors(spark.createDataFrame(rows, schema), edges).collect()}
     fine = [("a", "3")]
     assert got == {1: (1, None, [("a", "1")]), 2: (1, None, [("a", "1")]), 3: (3, None, fine), 4: (4, "own", None), 5: (4, "own", None), 6: (6, None, None), 7: (6, None, None)}
+
+
+def test_publish_takes_the_import_that_leads_somewhere(spark):
+    """A package that imports X from a module without it, then from the one that has it, publishes X; a name that is an attribute at home is imported first."""
+    from lakewright.operators import exports
+
+    modules = spark.createDataFrame([("p", True, False, False), ("p._z", False, False, False), ("p._a", False, False, False)], "module string, public boolean, listed boolean, partial boolean")
+    definitions = spark.createDataFrame([("p._a", "X", True, 0), ("p._z", "Y", True, 0), ("p", "Y", True, graph.ATTRIBUTE)], "module string, name string, public boolean, way int")
+    rows = [("p", "X", "p._z", "X", False, True, 1), ("p", "X", "p._a", "X", False, True, 2), ("p", "Y", "p._z", "Y", False, True, 3)]
+    imports = spark.createDataFrame(rows, "module string, bound string, source string, name string, explicit boolean, exported boolean, ord int")
+    none = spark.createDataFrame([], "module string, name string")
+    refs = spark.createDataFrame([], "module string, source string")
+    tables = {"modules": modules, "names": none, "refs": refs, "definitions": definitions, "imports": imports}
+    listed = exports.export_names(**tables)
+    got = exports.publish(modules, listed, exports.settle(modules, listed, definitions, refs), imports, exports.star_sets(**tables)).collect()
+    assert ("p", "X", "copy", "p._a.X") in {tuple(r) for r in got}
