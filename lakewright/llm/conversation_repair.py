@@ -334,11 +334,14 @@ def repair(
     blank = lambda c: F.coalesce(F.col(c), F.lit(" "))
     named = narrow(rows, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     named = named.select("conv_id", F.col("turn").cast("long").alias("turn"), blank("role").alias("role"), blank("text").alias("text"))
-    held = scratch.table(blocks(scratch.table(marked(named))))
+    rows_ = scratch.table(marked(named))
+    held = scratch.table(blocks(rows_))
+    scratch.drop(rows_)
     kind = held.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "part", "symbols", "first", "last", "turns", "parts", "costs", "audits"]
     slices = _slices(reduced(held.select(*names), scratch))
     found = scratch.table(held.select("part", "symbols", "roles", "texts", "n").join(slices, "part"))
+    scratch.drop(held)
     report = [c.split(" ")[0] for c in REPORT]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
