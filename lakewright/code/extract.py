@@ -52,79 +52,119 @@ def parse(source: str) -> tuple[ast.Module, int]:
     starts = _starts(lines)
     if not starts:
         return ast.Module([], []), 1
-    body: list[ast.stmt] = []
     lost = int(any(x.strip() and not x.lstrip().startswith("#") for x in lines[: starts[0]]))
-    ends = [*starts[1:], len(lines)]
+    body, more = _runs(lines, starts, len(lines))
+    return ast.Module(body, []), lost + more
+
+
+def _runs(lines: list[str], starts: list[int], end: int, margin: str = "") -> tuple[list[ast.stmt], int]:
+    """(the statements that begin at some lines, statements lost); all of them have one margin."""
+    body: list[ast.stmt] = []
+    lost = 0
+    ends = [*starts[1:], end]
     k, run = 0, 16
     while k < len(starts):
         stop = min(k + run, len(starts))
-        tree, error = _attempt(lines, starts[k], ends[stop - 1])
-        if tree is None and stop - k > 1:
+        found, error = _attempt(lines, starts[k], ends[stop - 1], margin)
+        if found is None and stop - k > 1:
             line = getattr(error, "lineno", None)
-            cut = max(bisect_right(starts, starts[k] + line - 1) - 1, k) if line else k
+            cut = max(bisect_right(starts, starts[k] + line - 1 - bool(margin)) - 1, k) if line else k
             stop, run = min(cut, stop - 1), 1
-            tree = _attempt(lines, starts[k], starts[stop])[0] if stop > k else None
-            if tree is None:
+            found = _attempt(lines, starts[k], starts[stop], margin)[0] if stop > k else None
+            if found is None:
                 continue
-        elif tree is None:
+        elif found is None:
             width = 1
-            while tree is None and _OPEN.search(str(error)) and k + width < len(starts):  # what stands in brackets or a string may begin at the margin
+            while found is None and _OPEN.search(str(error)) and k + width < len(starts):  # what stands in brackets or a string may begin at the margin
                 width *= 2
                 stop = min(k + width, len(starts))
-                tree, error = _attempt(lines, starts[k], ends[stop - 1])
-            if tree is None:
+                found, error = _attempt(lines, starts[k], ends[stop - 1], margin)
+            if found is None:
                 stop = k + 1
-                tree, more = _mended(lines[starts[k] : ends[k]], starts[k])
+                found, more = _mended(lines, starts[k], ends[k], margin)
                 lost += more
             run = 1
         else:
             run *= 2
-        body += tree.body
+        body += found
         k = stop
-    return ast.Module(body, []), lost
+    return body, lost
 
 
-def _attempt(lines: list[str], start: int, end: int) -> tuple[ast.Module | None, Exception | None]:
-    """(the tree of some lines, with the numbers that they have in the module, or none; the error)."""
+def _attempt(lines: list[str], start: int, end: int, margin: str = "") -> tuple[list[ast.stmt] | None, Exception | None]:
+    """(the statements of some lines, with the numbers that they have in the module, or none; the error)."""
+    head = ["if 1:"] if margin else []
     try:
-        return ast.increment_lineno(ast.parse("\n".join(lines[start:end])), start), None
+        tree = ast.increment_lineno(ast.parse("\n".join(head + lines[start:end])), start - len(head))
+        return tree.body[0].body if margin else tree.body, None
     except _FAILURES as error:
         return None, error
 
 
-def _starts(lines: list[str]) -> list[int]:
-    """The lines at which top-level statements begin, decorators included."""
+def _starts(lines: list[str], start: int = 0, end: int | None = None, margin: str = "") -> list[int]:
+    """The lines at which statements of a margin begin, decorators included."""
     starts: list[int] = []
     decorated = False
-    for i, line in enumerate(lines):
-        if line.strip() and line[0] not in " \t#)]}" and not re.match(r"(else|elif|except|finally)\b", line):
+    at = len(margin)
+    for i in range(start, len(lines) if end is None else end):
+        line = lines[i]
+        if line.strip() and line.startswith(margin) and line[at] not in " \t#)]}" and not re.match(r"(else|elif|except|finally)\b", line[at:]):
             if not decorated:
                 starts.append(i)
-            decorated = line[0] == "@"
+            decorated = line[at] == "@"
     return starts
 
 
-def _mended(lines: list[str], start: int) -> tuple[ast.Module, int]:
-    """One top-level statement, with `pass` in the place of each statement in it that an error is in; nothing where that does not help."""
-    lost = 0
+#: Lines of a class from which on its members are mended one by one.
+LONG_CLASS = 64
+
+
+def _members(lines: list[str], start: int, end: int, margin: str) -> tuple[list[ast.stmt], int] | None:
+    """A long class whose head is sound, with its members mended each for itself; none if it is something else."""
+    at = start
+    while at < end and not lines[at].startswith(f"{margin}class "):
+        at += 1
+    inner = next((x[: len(x) - len(x.lstrip())] for x in lines[at + 1 : end] if x.strip() and not x.lstrip().startswith("#")), "")
+    if end - start < LONG_CLASS or at == end or not lines[at].rstrip().endswith(":") or len(inner) <= len(margin):
+        return None
+    found, _ = _attempt([*lines[: at + 1], f"{inner}pass"], start, at + 2, margin)
+    starts = _starts(lines, at + 1, end, inner)
+    if not found or len(found) != 1 or not starts:
+        return None
+    found[0].body, lost = _runs(lines, starts, end, inner)
+    if not found[0].body:
+        return None
+    found[0].end_lineno = max(n.end_lineno for n in found[0].body)
+    return found, lost
+
+
+def _mended(lines: list[str], start: int, end: int, margin: str = "") -> tuple[list[ast.stmt], int]:
+    """One statement, with `pass` in the place of each statement in it that an error is in; nothing where that does not help."""
+    members = _members(lines, start, end, margin)
+    if members is not None:
+        return members
+    lost, own = 0, lines[start:end]
     while True:
-        tree, error = _attempt(lines, 0, len(lines))
-        if tree is not None:
-            return ast.increment_lineno(tree, start), lost
+        found, error = _attempt(own, 0, len(own), margin)
+        if found is not None:
+            for n in found:
+                ast.increment_lineno(n, start)
+            return found, lost
         line = getattr(error, "lineno", None)
-        at = min(max(line - 1, 0), len(lines) - 1) if line else -1
-        while at >= 0 and not lines[at].strip():
+        line = line - bool(margin) if line else None
+        at = min(max(line - 1, 0), len(own) - 1) if line else -1
+        while at >= 0 and not own[at].strip():
             at -= 1
         if at < 0:
-            return ast.Module([], []), lost + 1
-        depth = len(lines[at]) - len(lines[at].lstrip())
-        end = at + 1
-        while end < len(lines) and (not lines[end].strip() or len(lines[end]) - len(lines[end].lstrip()) > depth):
-            end += 1
-        blank = [" " * depth + "pass"] + [""] * (end - at - 1)
-        if lines[at:end] == blank:
-            return ast.Module([], []), lost + 1
-        lines = lines[:at] + blank + lines[end:]
+            return [], lost + 1
+        depth = len(own[at]) - len(own[at].lstrip())
+        stop = at + 1
+        while stop < len(own) and (not own[stop].strip() or len(own[stop]) - len(own[stop].lstrip()) > depth):
+            stop += 1
+        blank = [" " * depth + "pass"] + [""] * (stop - at - 1)
+        if own[at:stop] == blank:
+            return [], lost + 1
+        own = own[:at] + blank + own[stop:]
         lost += 1
 
 

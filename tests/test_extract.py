@@ -41,3 +41,15 @@ def test_statements_that_go_on_at_the_margin():
     names = [getattr(n, "name", None) or (n.targets[0].id if hasattr(n, "targets") else type(n).__name__) for n in tree.body]
     assert names == ["x", "text", "Pass", "Expr", "y", "Pass", "z", "f"] and lost == 2
     assert [n.lineno for n in tree.body] == [1, 5, 9, 11, 14, 15, 16, 18]
+
+
+def test_a_class_with_many_broken_methods():
+    methods = "".join(f"    @dec\n    def good{i}(self):\n        return {i}\n\n    def bad{i}(self:\n        pass\n\n    print 'x'\n" for i in range(1500))
+    source = f'import a\n\nclass C(Base):\n    """About C."""\n\n{methods}\n    class Inner:\n        y = 1\n\ndef after(): ...\nz = (\n'
+    began = time.process_time()
+    got = extract.extract("m", source)
+    assert time.process_time() - began < 5
+    names = [s["path"] for s in got["symbols"]]
+    assert names[0] == "m.C" and [n for n in names if ".good" in n] == [f"m.C.good{i}" for i in range(1500)] and {"m.C.Inner.y", "m.after"} <= set(names)
+    assert got["symbols"][0]["docstring"] == "About C." and got["parse_errors"] == 3001
+    assert got["symbols"][1]["signature"] == "def good0()" and got["symbols"][1]["decorators"] == ["dec"]
