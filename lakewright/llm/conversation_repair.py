@@ -105,7 +105,7 @@ def _turn(symbol: str) -> Matrix:
     return multiply(tuple(out), CLOSURE)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def _short(symbols: str) -> Matrix:
     if len(symbols) == 1:
         return _turn(symbols)
