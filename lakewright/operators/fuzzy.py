@@ -1,9 +1,10 @@
-"""Fuzzy search of many queries at once, by inverted lists of positional two-letter grams.
+"""Fuzzy search of many queries at once, by signatures and inverted lists of two-letter grams.
 
 The score of a symbol is 0 if its path holds the query in any case, else the smaller of the edit distances of name and path to it, over
-the longer of the two. With k edits allowed for the longer length m, padded strings share at least m + 1 - 2k grams that stand at most
-k places apart; at a threshold below a half that is one at least. So only symbols that share that many grams are compared: joins on grams
-and a count find them, with no pass over all pairs. A path that holds a query holds its rarest gram.
+the longer of the two. With k edits allowed, lengths differ by k at most and an edit changes two grams at most, so either string has at most 2k
+grams that the other has not. A query meets the texts of lengths that are near enough in an equi-join, 64 bits of grams on each side leave
+most of them out, and the edit distance is taken of the rest, no further than k; each pair is one row, and none is sorted or counted by grams. A path
+that holds a query holds its rarest gram.
 """
 
 from __future__ import annotations
@@ -22,6 +23,16 @@ def grams(text: Column, padded: bool = True) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.struct(i.alias("pos"), F.substring(whole, i, F.lit(2)).alias("gram"))), lambda g: g["gram"] != "")
 
 
+#: Parts of the texts, so that those of one length are not one task's; a query goes to each of them.
+PARTS = 32
+
+
+def signature(text: Column) -> Column:
+    """64 bits in which each gram of a string sets one."""
+    bits = F.transform(grams(text), lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g["gram"]), F.lit(64)).cast("int")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
 def _allowed(a: Column, b: Column, threshold: float) -> Column:
     return F.floor(F.greatest(a, b, F.lit(1)) * F.lit(threshold) + F.lit(1e-9))
 
@@ -35,17 +46,22 @@ def near(symbols: DataFrame, queries: DataFrame, threshold: float = 0.4) -> Data
         raise ValueError("a threshold from 0 to below 0.5")
     asked = queries.select("query").filter("query <> ''").distinct().withColumn("q", F.lower("query"))
     rows = symbols.withColumn("_name", F.lower("name")).withColumn("_path", F.lower("path"))
-    texts = rows.select(F.col("_name").alias("t")).unionByName(rows.select(F.col("_path").alias("t"))).filter("t IS NOT NULL").distinct()
-    lists = texts.select("t", F.length("t").alias("n"), F.explode(grams(F.col("t"))).alias("g")).select("t", "n", F.col("g.gram").alias("gram"), F.col("g.pos").alias("pos"))
-
-    # by edit distance: enough grams at nearby places
-    wanted = asked.select("q").distinct().select("q", F.length("q").alias("m"), F.explode(grams(F.col("q"))).alias("g")).select("q", "m", F.col("g.gram").alias("gram"), F.col("g.pos").alias("at"))
-    k = _allowed(F.col("m"), F.col("n"), threshold)
-    met = wanted.join(lists, "gram").filter((F.abs(F.col("m") - F.col("n")) <= k) & (F.abs(F.col("at") - F.col("pos")) <= k))
-    counted = met.groupBy("q", "m", "t", "n").agg(F.count_distinct("at").alias("shared"))
-    enough = counted.filter(F.col("shared") >= F.greatest("m", "n") + 1 - 2 * k)
-    off = F.levenshtein("q", "t") / F.greatest("m", "n", F.lit(1))
-    by_text = enough.select("q", "t", off.alias("off")).filter(F.col("off") <= threshold)
+
+    # by edit distance: lengths and grams that are near enough
+    texts = rows.select(*symbols.columns, F.explode(F.array_distinct(F.array("_name", "_path"))).alias("t")).filter("t IS NOT NULL")
+    texts = texts.withColumns({"n": F.length("t"), "has": signature(F.col("t")), "part": F.pmod(F.xxhash64("t"), F.lit(PARTS)).cast("int")})
+    m, n = F.length("q"), F.col("n")  # a span from one below to one above what rounding may cut off; the filter is exact
+    spans = F.sequence(F.greatest(F.floor(m * (1 - threshold)) - 1, F.lit(0)), F.ceil(m / (1 - threshold)) + 1)
+    wanted = asked.select("q").distinct().select("q", m.alias("m"), signature(F.col("q")).alias("asks"), F.explode(spans.cast("array<int>")).alias("n"))
+    k = _allowed(F.col("m"), n, threshold)
+    wanted = wanted.withColumn("k", k).filter(F.abs(F.col("m") - n) <= F.col("k"))
+    wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    only = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b)))
+    # a number of partitions of its own: rows are few, pairs are many
+    dealt = lambda df: df.repartition(4 * PARTS, "part", "n")
+    met = dealt(texts).join(dealt(wanted).hint("merge"), ["part", "n"]).filter((only("asks", "has") <= 2 * F.col("k")) & (only("has", "asks") <= 2 * F.col("k")))
+    apart = met.withColumn("apart", F.expr("levenshtein(q, t, CAST(k AS INT))")).filter("apart >= 0")
+    by_text = apart.select(*symbols.columns, "q", (F.col("apart") / F.greatest("m", "n", F.lit(1))).alias("score")).filter(F.col("score") <= threshold)
 
     # by containment: paths that have the query's rarest gram, or its only letter
     paths = rows.select(F.col("_path").alias("t")).filter("t IS NOT NULL").distinct()
@@ -56,8 +72,6 @@ def near(symbols: DataFrame, queries: DataFrame, threshold: float = 0.4) -> Data
     rare = own.join(often, "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), F.col("gram"))).alias("gram"))
     held = rare.join(places, "gram").filter(F.col("t").contains(F.col("q"))).select("q", "t")
 
-    by_name = rows.join(by_text, F.col("_name") == F.col("t")).select(*symbols.columns, "q", F.col("off").alias("score"))
-    by_path = rows.join(by_text, F.col("_path") == F.col("t")).select(*symbols.columns, "q", F.col("off").alias("score"))
     inside = rows.join(held, F.col("_path") == F.col("t")).select(*symbols.columns, "q", F.lit(0.0).alias("score"))
-    found = by_name.unionByName(by_path).unionByName(inside).groupBy("q", *symbols.columns).agg(F.min("score").alias("score"))
+    found = by_text.unionByName(inside).groupBy("q", *symbols.columns).agg(F.min("score").alias("score"))
     return asked.join(found, "q").select("query", "score", *symbols.columns)

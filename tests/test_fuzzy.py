@@ -38,6 +38,13 @@ def test_near_compares_few(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_near_deals_pairs_to_many_tasks(spark):
+    """A table that comes as one partition is still compared by many tasks, and no row of the plan is counted by grams."""
+    table = spark.createDataFrame([("pkg.a.n1", "n1")], "path string, name string").coalesce(1)
+    plan = fuzzy.near(table, table.select(F.col("name").alias("query")))._jdf.queryExecution().executedPlan().toString()
+    assert f", {4 * fuzzy.PARTS}), REPARTITION_BY_NUM" in plan and "count(" not in plan.replace("bit_count(", "").split("SortMergeJoin [part")[1].split("Aggregate")[0]
+
+
 def test_below_each(spark):
     rows = spark.createDataFrame([("a", 1), ("a.b", 2), ("a.b.c", 3), ("a.bc", 4), ("d.e", 5), ("", 6)], "path string, ord int")
     aliases = spark.createDataFrame([("x.one", "a.b"), ("a.b.two", "d.e"), ("x.lost", "z")], "path string, target string")
