@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT_BYTES = 32 << 20
+#: Tasks that read ranges smaller than that.
+MOST_TASKS = 256
 #: Bytes that are looked at at once, and bytes before a block in which the name of an array that opens in it may begin.
 BLOCK_BYTES = 4 << 20
 BEFORE = 1 << 16
@@ -77,14 +79,16 @@ class _Scan:
         return outside, depth
 
 
-def _blocks(file, start: int, stop: int) -> Iterator[tuple[int, np.ndarray]]:
+def _blocks(file, start: int, stop: int, size: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks from a place on, the first of `size` bytes at most and each of twice the one before up to BLOCK_BYTES."""
     file.seek(start)
+    size = max(min(size, BLOCK_BYTES), 1)
     while start < stop:
-        data = file.read(min(BLOCK_BYTES, stop - start))
+        data = file.read(min(size, stop - start))
         if not data:
             return
         yield start, np.frombuffer(data, np.uint8)
-        start += len(data)
+        start, size = start + len(data), min(2 * size, BLOCK_BYTES)
 
 
 def _summary(path: str, start: int, stop: int, key: str) -> dict:
@@ -154,7 +158,7 @@ def _elements(state: dict) -> Iterator[str]:
         begin = state["begin"]
         scan = _Scan(state["inside"], state["depth"], 0 if state["first"] else _backslashes(file, begin))
         held: list[bytes] | None = [] if state["first"] else None
-        for base, data in _blocks(file, begin, 1 << 62):
+        for base, data in _blocks(file, begin, 1 << 62, BLOCK_BYTES if stop is None else stop - begin + 1024):  # what is read does not grow with the file
             outside, depth = scan.block(data)
             ends = np.flatnonzero(outside & (((data == _COMMA) & (depth == 2)) | (depth < 2)))
             text, done = data.tobytes(), 0
@@ -173,21 +177,24 @@ def _elements(state: dict) -> Iterator[str]:
                 return
 
 
-class _Range(InputPartition):
-    def __init__(self, state: dict):
-        self.state = state
+class _Ranges(InputPartition):
+    def __init__(self, states: list[dict]):
+        self.states = states
 
 
 class _Reader(DataSourceReader):
     def __init__(self, states: list[dict]):
         self.states = states
 
-    def partitions(self) -> list[_Range]:
-        return [_Range(s) for s in self.states]
+    def partitions(self) -> list[_Ranges]:
+        """Neighbouring ranges together, in MOST_TASKS tasks at most, or as many as there are SPLIT_BYTES."""
+        size = sum(s["stop"] - s["begin"] for s in self.states if s["stop"] is not None)
+        each = -(-len(self.states) // max(MOST_TASKS, size // SPLIT_BYTES))
+        return [_Ranges(self.states[k : k + each]) for k in range(0, len(self.states), each)]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for element in _elements(partition.state):
+        for element in (e for s in partition.states for e in _elements(s)):
             held.append(element)
             size += len(element)
             if size >= BLOCK_BYTES or len(held) >= 10_000:
@@ -229,7 +236,7 @@ def array_elements(spark: SparkSession, path: str, key: str, split_bytes: int =
     The driver gets a few numbers for each range of split_bytes. Files must be reachable from every executor by their path.
     """
     ranges = [(name, start, min(start + split_bytes, size)) for name, size in _files(spark, path) for start in range(0, size, split_bytes)]
-    rows = spark.createDataFrame(ranges, "path string, start long, stop long").repartition(max(1, min(len(ranges), 10_000)))
+    rows = spark.createDataFrame(ranges, "path string, start long, stop long").repartition(max(1, min(len(ranges), max(MOST_TASKS, sum(e - a for _, a, e in ranges) // SPLIT_BYTES))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
