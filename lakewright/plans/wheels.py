@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut_lineage, spread
 from ..sources import archives
 from .catalog import query, read
 
@@ -54,11 +55,16 @@ def _archives(parts: DataFrame) -> DataFrame:
     return parts.select("p_partkey", "p_name", "p_size").mapInPandas(run, "archive string, kind string, size bigint, content binary, k bigint")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+
+
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives where their weights put them: weighed first, and only then read."""
-    parts = read(spark, sf_dir, "part")
+    parts = _parts(spark, sf_dir)
     known = archives.weighed(_archives(parts)).select(F.regexp_extract("archive", r"^pk(\d+)", 1).cast("bigint").alias("p_partkey"), "weight")
-    return _archives(archives.dealt(parts.select("p_partkey", "p_name", "p_size").join(known, "p_partkey"), "weight", _PARTS))
+    weighed = cut_lineage(parts.join(known, "p_partkey"))  # so that archives are built once to be weighed, and once to be read
+    return _archives(archives.dealt(weighed, "weight", max(_PARTS, 4 * spark.sparkContext.defaultParallelism)))
 
 
 _FILES = """
@@ -79,11 +85,11 @@ def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FILES} SELECT archive, path, content FROM f WHERE path LIKE '%.pyi'")
 def stub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-26: stubs alone, with the same limits."""
-    found = archives.source_files(_archives(read(spark, sf_dir, "part")), archives.STUBS)
+    found = archives.source_files(_archives(_parts(spark, sf_dir)), archives.STUBS)
     return found.select("archive", "path", F.col("content").cast("string").alias("content"))
 
 
 @query(f"WITH {_FILES} SELECT archive, (2 * sum(strlen(content)))::BIGINT AS weight FROM f WHERE archive LIKE '%.whl' GROUP BY archive")
 def archive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-24: what reading each wheel will cost, by its directory; these are stored, so packed bytes are source bytes."""
-    return archives.weighed(_archives(read(spark, sf_dir, "part"))).filter("kind = 'wheel'").select("archive", "weight")
+    return archives.weighed(_archives(_parts(spark, sf_dir))).filter("kind = 'wheel'").select("archive", "weight")

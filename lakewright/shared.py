@@ -34,6 +34,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over some tasks a core by keys, for work in which a narrow row costs much: a small file comes as one or two partitions."""
+    return df.repartition(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def met_by_key(df: DataFrame) -> DataFrame:
+    """df for joins that move both sides by key. A table that is derived row by row is larger than its size is estimated, and a broadcast goes through the driver."""
+    return df.hint("merge")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

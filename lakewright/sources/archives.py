@@ -24,6 +24,7 @@ from . import ranges
 #: Files, bytes of a file and bytes of all files that are read of one archive, and of an inflated tar.
 MOST_FILES, MOST_FILE, MOST_TOTAL, MOST_TAR = 50_000, 32 << 20, 200 << 20, 1 << 30
 SCHEMA = "archive string, kind string, path string, content binary, top_level array<string>, typed boolean, truncated boolean"
+_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 SOURCES, STUBS = (".py", ".pyi"), (".pyi",)
 
 
@@ -160,25 +161,40 @@ def dealt(rows: DataFrame, weight: str, parts: int) -> DataFrame:
     return keyed.groupBy("_group").applyInPandas(deal, schema).repartitionById(parts, F.col("_bin")).drop("_bin")
 
 
-def _rows(archive: str, kind: str, source, suffixes: tuple[str, ...]) -> pd.DataFrame:
+def _rows(archive: str, kind: str, source, suffixes: tuple[str, ...]) -> list[tuple]:
     files, top, typed, cut = read_wheel(source, suffixes) if kind == "wheel" else (lambda f, c: (f, [], False, c))(*read_sdist(source, archive, suffixes))
-    return pd.DataFrame({"archive": archive, "kind": kind, "path": list(files), "content": list(files.values()), "top_level": pd.Series([top or top_folders(files)] * len(files), dtype=object), "typed": typed, "truncated": cut})
+    top = top or top_folders(files)
+    return [(archive, kind, path, content, top, typed, cut) for path, content in files.items()]
 
 
-def _some(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """An archive without a wanted file has no rows: an empty frame has no types."""
-    if len(rows):
-        yield rows
+#: Bytes of files that a frame holds before it goes out; those of one archive stay together.
+FRAME_BYTES = 8 << 20
+
+
+def _frames(archives_: Iterator[list[tuple]]) -> Iterator[pd.DataFrame]:
+    """The rows of many small archives as one frame; no frame is empty, as that has no types."""
+    held, size = [], 0
+    for rows in archives_:
+        held += rows
+        size += sum(len(r[3]) for r in rows)
+        if size >= FRAME_BYTES or len(held) >= 10_000:
+            yield pd.DataFrame(held, columns=_COLUMNS)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=_COLUMNS)
 
 
 def source_files(archives_: DataFrame, suffixes: tuple[str, ...] = SOURCES) -> DataFrame:
     """One row a Python file of each archive (with STUBS, its stubs alone); an archive that cannot be opened has none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         for batch in batches:
             for archive, kind, content in zip(batch["archive"], batch["kind"], batch["content"], strict=True):
                 with contextlib.suppress(zipfile.BadZipFile, tarfile.TarError, OSError, EOFError):
-                    yield from _some(_rows(archive, kind, content, suffixes))
+                    yield _rows(archive, kind, content, suffixes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames(each(batches))
 
     return archives_.select("archive", "kind", "content").mapInPandas(run, SCHEMA)
 
@@ -186,15 +202,18 @@ def source_files(archives_: DataFrame, suffixes: tuple[str, ...] = SOURCES) -> D
 def listed_files(paths: DataFrame, suffixes: tuple[str, ...] = SOURCES) -> DataFrame:
     """The same for a table of (path) on a file system that Arrow reads: no archive is loaded whole unless it is small."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         for batch in batches:
             for path in batch["path"]:
                 archive = path.rsplit("/", 1)[-1]
                 with contextlib.suppress(zipfile.BadZipFile, tarfile.TarError, OSError, EOFError):
                     source, close = ranges.opened(path)
                     try:
-                        yield from _some(_rows(archive, "wheel" if archive.endswith(".whl") else "sdist", source, suffixes))
+                        yield _rows(archive, "wheel" if archive.endswith(".whl") else "sdist", source, suffixes)
                     finally:
                         close()
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames(each(batches))
+
     return paths.select("path").mapInPandas(run, SCHEMA)
