@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..shared import met_by_key
 
 #: Decorators that a reader should know, by the name shown; the names of builtin exceptions without the suffix.
 SERVED = {
@@ -279,7 +280,7 @@ def below_each(symbols: DataFrame, aliases: DataFrame, prefixes: DataFrame) -> D
 def resolve(paths: DataFrame, symbols: DataFrame) -> DataFrame:
     """The longest symbol at or above each dotted path, by joining its exploded prefixes instead of comparing all pairs."""
     prefixes = paths.select("dotted", F.explode(_steps("dotted")).alias("path"))
-    hits = prefixes.join(symbols.select("path", "kind"), "path")
+    hits = prefixes.join(met_by_key(symbols.select("path", "kind")), "path")
     return hits.groupBy("dotted").agg(F.max_by(F.struct("path", "kind"), F.length("path")).alias("s")).select("dotted", "s.*")
 
 

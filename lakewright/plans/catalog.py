@@ -15,7 +15,7 @@ from ..code import docstrings, extract
 from ..functions import dates, names, requirements, urls, versions
 from ..functions import format as fmt
 from ..operators import cache, changelog, diff, graph, index, releases, search, stats, symbols, text_sinks, vulns
-from ..shared import new_folder
+from ..shared import new_folder, spread
 from ..streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -735,8 +735,8 @@ def star_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT l_suppkey, k AS name, arg_max(l_partkey, o) AS l_partkey, min(o) AS ord FROM (SELECT l_suppkey, l_partkey % 7 AS k, l_partkey, l_orderkey * 10 + l_linenumber AS o FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) = 1) GROUP BY 1, 2""")
 def collapse_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-12: the last item of a name at the place of the first."""
-    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey")
+    """AGG-12: the last item of a name at the place of the first. Of lines of one part in one place, the SQL leaves open which counts; here it is that of the smallest supplier."""
+    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")
     rows = read(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(one)).filter("r = 1")
     rows = rows.select("l_suppkey", (F.col("l_partkey") % 7).alias("name"), "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     return symbols.collapse_last(rows, ["l_suppkey", "name"])
@@ -764,7 +764,8 @@ def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n\nclass Part(Base):\n    size: int = "), F.col("p_size").cast("string"), F.lit('\n\n    def __init__(self, a, *, b="x"):\n        self.a = a\n\n    @property\n    def name(self) -> str: ...\n\n    @staticmethod\n    def make(x, /): ...\n\n'),
         F.when(F.col("p_partkey") % 10 == 0, "def broken(:\n    pass\n\n").otherwise(""), F.lit("async def run(*args: int, k=1) -> None:\n    pass\n"),
     )
-    return read(spark, sf_dir, "part").select(F.concat(F.lit("pkg.m"), k).alias("module"), source.alias("source"))
+    parts = spread(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    return parts.select(F.concat(F.lit("pkg.m"), k).alias("module"), source.alias("source"))
 
 
 @query("""
@@ -773,20 +774,21 @@ FROM part, (VALUES ('.LIMIT', 'attribute', NULL, true), ('.Part', 'class', 'clas
   ('.Part.a', 'attribute', NULL, true), ('.Part.name', 'property', NULL, true), ('.Part.make', 'method', 'def make(x, /)', true), ('.run', 'function', 'async def run(*args: int, k=1) -> None', true)) s(path, kind, sig, pub)""")
 def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LEX-01, PAR-01, SYM-01..05, SET-07, STR-28, FIL-11: symbols of generated modules; every tenth has a broken statement."""
-    return extract.symbols(extract.modules(_modules(spark, sf_dir)), ["module"]).select("path", "kind", "signature", "public")
+    parsed = extract.modules(_modules(spark, sf_dir), parsed=extract.only("symbols", symbols=("path", "kind", "signature", "public")))
+    return extract.symbols(parsed, ["module"]).select("path", "kind", "signature", "public")
 
 
 @query("SELECT count(*) AS files, sum((p_partkey % 10 = 0)::INT)::BIGINT AS errors, count_if(p_partkey % 10 = 0) AS broken FROM part")
 def parse_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-14."""
-    return extract.parse_totals(extract.modules(_modules(spark, sf_dir)), [])
+    return extract.parse_totals(extract.modules(_modules(spark, sf_dir), parsed=extract.only("parse_errors")), [])
 
 
 @query("""
 SELECT 'pkg.m' || p_partkey AS module, s.source, s.star FROM part, (VALUES ('pkg.base', true), ('typing', false)) s(source, star)""")
 def import_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF-01: where imports lead."""
-    found = extract.imports(extract.modules(_modules(spark, sf_dir)), ["module"])
+    found = extract.imports(extract.modules(_modules(spark, sf_dir), parsed=extract.only("imports")), ["module"])
     return found.select("module", graph.import_source(F.col("module"), F.lit(False), F.col("level"), F.col("source")).alias("source"), "star")
 
 
@@ -794,7 +796,7 @@ def import_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'pkg.m' || p_partkey || '.Part.a.b' AS dotted, 'pkg.m' || p_partkey || '.Part.a' AS path, 'attribute' AS kind FROM part""")
 def resolve_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-12: the longest known prefix of a dotted path."""
-    found = extract_symbols(spark, sf_dir)
+    found = extract.symbols(extract.modules(_modules(spark, sf_dir), parsed=extract.only("symbols", symbols=("path", "kind"))), ["module"])
     asked = read(spark, sf_dir, "part").select(F.concat(F.lit("pkg.m"), F.col("p_partkey").cast("string"), F.lit(".Part.a.b")).alias("dotted"))
     return symbols.resolve(asked, found)
 
@@ -804,7 +806,8 @@ SELECT path, kind, signature FROM (SELECT 'pkg.m' || p_partkey || s.path AS path
 WHERE contains(lower(path), 'm1') ORDER BY path, kind LIMIT 40""")
 def symbol_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SYM-10, FIL-10, TOP-08."""
-    found = extract.symbols(extract.modules(_modules(spark, sf_dir)), ["module"])
+    parsed = extract.modules(_modules(spark, sf_dir), parsed=extract.only("symbols", symbols=("path", "kind", "ord", "signature")))
+    found = extract.symbols(parsed, ["module"])
     return symbols.listing(found, "M1", "method", 40)
 
 
