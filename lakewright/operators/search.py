@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,11 +42,14 @@ _ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅ
 _PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(words: pd.Series) -> pd.Series:
-    """Each distinct word of a batch is stemmed once."""
-    known = {w: stem(w) for w in {w for ws in words if ws is not None for w in ws}}
-    return words.map(lambda ws: None if ws is None else [known[w] for w in ws])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems(words: pa.Array) -> pa.Array:
+    """Each distinct word of a batch is stemmed once; the others stay numbers in Arrow, not objects."""
+    flat = words.flatten().dictionary_encode()
+    known = pa.array([None if w is None else stem(w) for w in flat.dictionary.to_pylist()], pa.string())
+    ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.list_value_length(words), 0), pa.int32()))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.combine_chunks() if isinstance(ends, pa.ChunkedArray) else ends])
+    return pa.ListArray.from_arrays(offsets, known.take(flat.indices), mask=words.is_null())
 
 
 def matches(field: Column, query: list[str]) -> Column:
