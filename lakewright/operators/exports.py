@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import met_by_key
 from . import graph
 
 
@@ -27,13 +28,13 @@ def star_sets(modules: DataFrame, names: DataFrame, refs: DataFrame, definitions
     bound = inside.filter(F.col("bound").isNotNull() & F.col("exported") & _open("bound")).select("module", F.col("bound").alias("name"))
     stars = inside.filter("bound IS NULL").select("module", "source", F.lit(True).alias("filtered"))
     edges = refs.select("module", "source", F.lit(False).alias("filtered")).unionByName(stars).distinct()
-    return graph.grown(own.unionByName(bound), lambda new: edges.join(new.withColumnRenamed("module", "source"), "source").filter(~F.col("filtered") | _open("name")), ["module", "name"])
+    return graph.grown(own.unionByName(bound), lambda new: edges.join(met_by_key(new.withColumnRenamed("module", "source")), "source").filter(~F.col("filtered") | _open("name")), ["module", "name"])
 
 
-def export_names(modules: DataFrame, names: DataFrame, refs: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
+def export_names(modules: DataFrame, names: DataFrame, refs: DataFrame, definitions: DataFrame, imports: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """(module, name) that each public module publishes besides its own definitions' rule: a complete list as it is; otherwise what is listed,
-    and public names imported from private modules, or marked `name as name`."""
-    sets = star_sets(modules, names, refs, definitions, imports)
+    and public names imported from private modules, or marked `name as name`. stars are the star sets, if these are known."""
+    sets = star_sets(modules, names, refs, definitions, imports) if stars is None else stars
     public = modules.filter("public").select("module", (F.col("listed") & ~F.col("partial")).alias("complete"))
     whole = public.filter("complete").join(sets, "module").select("module", "name")
     rest = public.filter("NOT complete").select("module")

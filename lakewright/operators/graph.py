@@ -6,11 +6,12 @@ Each round is one equi-join on the frontier alone, cut off by a reliable checkpo
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut_lineage
+from ..shared import cut_lineage, met_by_key
 
 MOST_HOPS = 16
 
@@ -38,44 +39,45 @@ def lookup(definitions: DataFrame, imports: DataFrame, wanted: DataFrame, stars:
 
     In a module a definition comes first, then the named imports in their order, then the star imports that bring the name, then what
     stubs alone know, then attributes. An import that leads nowhere, or back to where one has been, gives way to the next: of all
-    paths of sixteen hops at most the least one by the ways taken is the answer. A frontier row carries its path and the places on it; of
+    paths of sixteen hops at most the least one by the ways taken is the answer. A frontier row carries its path, which names the places on it, and the least that was found for it; of
     rows that reach one place in a round only that of the least path goes on (a greater one that could
     end where this one cannot would pass a place of this one, which goes on from there by itself), and none that a found path precedes.
     """
     way = F.col("way").cast("int") if "way" in definitions.columns else F.lit(DEFINED)
     ends = definitions.select(F.col("module").alias("m"), F.col("name").alias("n"), way.alias("_way")).groupBy("m", "n").agg(F.min("_way").alias("_way"))
     order = (F.col("ord") if "ord" in imports.columns else F.lit(0)).cast("long")
-    step = lambda way: F.struct(F.lit(way).alias("way"), order.alias("ord"), F.col("source").alias("source"), F.col("name").alias("name"))
-    named = imports.filter("bound IS NOT NULL").select(F.col("module").alias("m"), F.col("bound").alias("n"), step(NAMED).alias("_step")).distinct()
-    whole = imports.filter("bound IS NULL").withColumn("name", F.lit("*")).select(F.col("module").alias("m"), step(STAR).alias("_step"), F.col("source").alias("_source")).distinct()
-    brings = stars.select(F.col("module").alias("_source"), F.col("name").alias("n")).distinct() if stars is not None else None
-    place = F.struct(F.col("m"), F.col("n"))
-    at = wanted.select("module", "name").distinct().withColumn("m", F.col("module")).withColumn("n", F.col("name"))
-    at = at.withColumn("path", F.expr(f"CAST(array() AS array<{_STEP}>)")).withColumn("seen", F.array(place))
-    done = best = None
+    step = lambda way, name: F.struct(F.lit(way).alias("way"), order.alias("ord"), F.col("source").alias("source"), F.col(name).alias("name"))
+    named = imports.filter("bound IS NOT NULL").select(F.col("module").alias("m"), F.col("bound").alias("n"), step(NAMED, "name").alias("_step")).distinct()
+    whole = imports.filter("bound IS NULL").select(F.col("module").alias("m"), "source", order.alias("ord")).distinct()
+    if stars is not None:
+        brings = stars.select(F.col("module").alias("source"), F.col("name").alias("n")).distinct()
+        named = named.unionByName(whole.join(met_by_key(brings), "source").select("m", "n", step(STAR, "n").alias("_step")))
+    named, ends = cut_lineage(named), cut_lineage(ends)
+    at = wanted.select("module", "name").distinct().withColumns({"m": F.col("module"), "n": F.col("name"), "path": F.expr(f"CAST(array() AS array<{_STEP}>)"), "_best": F.expr(f"CAST(NULL AS array<{_STEP}>)")})
+    settled = []
     for hop in range(MOST_HOPS + 1):
-        here = at.join(ends, ["m", "n"], "left")
+        here = at.join(met_by_key(ends), ["m", "n"], "left")
         last = F.struct(F.col("_way").alias("way"), F.lit(0).cast("long").alias("ord"), F.lit("").alias("source"), F.lit("").alias("name"))
         found = here.filter("_way IS NOT NULL").select("module", "name", F.array_append("path", last).alias("path"), F.col("m").alias("def_module"), F.col("n").alias("def_name"), F.lit(hop).alias("hops"))
-        done = found if done is None else done.unionByName(found)
         least = F.min_by(F.struct("path", "def_module", "def_name", "hops"), F.struct("path"))
-        best = cut_lineage(done.groupBy("module", "name").agg(least.alias("b")).select("module", "name", "b.*"))
-        done = best
+        settled.append(cut_lineage(found.groupBy("module", "name").agg(least.alias("b")).select("module", "name", "b.*")))
         if hop == MOST_HOPS:
             break
         open_ = here.filter(f"_way IS NULL OR _way > {STAR}").drop("_way")
-        by_name = open_.join(named, ["m", "n"]).withColumn("to", F.struct(F.col("_step.source").alias("m"), F.col("_step.name").alias("n")))
-        starred = open_.join(whole, "m")
-        starred = starred.join(brings, ["_source", "n"], "left_semi") if brings is not None else starred.filter("NOT startswith(n, '_')")
-        by_star = starred.withColumn("to", F.struct(F.col("_source").alias("m"), F.col("n").alias("n"))).drop("_source")
-        moved = by_name.unionByName(by_star).filter(~F.array_contains("seen", F.col("to")))
-        moved = moved.select("module", "name", F.col("to.m").alias("m"), F.col("to.n").alias("n"), F.array_append("path", F.col("_step")).alias("path"), F.array_append("seen", F.col("to")).alias("seen"))
-        known = best.select("module", "name", F.col("path").alias("_best"))
-        moved = moved.join(known, ["module", "name"], "left").filter("_best IS NULL OR path < _best").drop("_best")
-        at = cut_lineage(moved.groupBy("module", "name", "m", "n").agg(F.min(F.struct("path", "seen")).alias("p")).select("module", "name", "m", "n", "p.path", "p.seen"))
+        moved = open_.join(met_by_key(named), ["m", "n"])
+        if stars is None:
+            moved = moved.unionByName(open_.filter("NOT startswith(n, '_')").join(met_by_key(whole), "m").withColumn("_step", step(STAR, "n")).drop("source", "ord"))
+        # where one has been are the places of the path, and the first one
+        to = F.col("_step")
+        been = ((to["source"] == F.col("module")) & (to["name"] == F.col("name"))) | F.exists("path", lambda p: (p["source"] == to["source"]) & (p["name"] == to["name"]))
+        moved = moved.filter(~been).select("module", "name", to["source"].alias("m"), to["name"].alias("n"), F.array_append("path", to).alias("path"), "_best")
+        known = settled[-1].select("module", "name", F.col("path").alias("_new"))
+        moved = moved.join(met_by_key(known), ["module", "name"], "left").withColumn("_best", F.least("_best", "_new")).filter("_best IS NULL OR path < _best")
+        at = cut_lineage(moved.groupBy("module", "name", "m", "n").agg(F.min("path").alias("path"), F.first("_best").alias("_best")))
         if at.isEmpty():
             break
-    return best.select("module", "name", "def_module", "def_name", "hops")
+    best = reduce(DataFrame.unionByName, settled).groupBy("module", "name").agg(F.min_by(F.struct("def_module", "def_name", "hops"), "path").alias("b"))
+    return best.select("module", "name", "b.*")
 
 
 def grown(known: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
@@ -87,7 +89,7 @@ def grown(known: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[s
     known = frontier = cut_lineage(known.select(*keys).distinct())
     rounds = 0
     while True:
-        frontier = cut_lineage(step(frontier).select(*keys).distinct().join(known, keys, "left_anti"))
+        frontier = cut_lineage(step(frontier).select(*keys).distinct().join(met_by_key(known), keys, "left_anti"))
         if frontier.isEmpty():
             return known
         known, rounds = known.unionByName(frontier), rounds + 1
@@ -97,7 +99,7 @@ def grown(known: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[s
 
 def star_names(exports: DataFrame, stars: DataFrame) -> DataFrame:
     """(module, name): what `from module import *` brings, stars of stars included."""
-    return grown(exports, lambda new: stars.join(new.withColumnRenamed("module", "source"), "source"), ["module", "name"])
+    return grown(exports, lambda new: stars.join(met_by_key(new.withColumnRenamed("module", "source")), "source"), ["module", "name"])
 
 
 def publish_once(exports: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -108,27 +110,24 @@ def publish_once(exports: DataFrame, key: list[str], order: list[Column]) -> Dat
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """All nodes that reach a seed over child -> parent edges, seeds included. Ends on cycles: a node enters once."""
-    return grown(seeds, lambda new: edges.join(new.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node")), ["node"])
+    return grown(seeds, lambda new: edges.join(met_by_key(new.withColumnRenamed("node", "parent")), "parent").select(F.col("child").alias("node")), ["node"])
 
 
 def inherit(classes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """classes (node, value) with the value of the nearest ancestor that has one, along single bases (child, parent).
 
     Each round doubles the stretch that a row has looked along: a class without a value points at its parent, then at
-    what that one points at. Rows leave once they have a value, or no ancestor is left. What still points on
-    when no class can be more steps away lies on a cycle or below one without a value, and has none.
+    what that one points at. Rows leave once they have a value, or no ancestor is left. A round in which none leaves
+    is the last: what still points on lies on a cycle or below one without a value, and has none. So rounds are as many as the longest chain doubles.
     """
-    count = classes.count()
     at = classes.join(edges.select(F.col("child").alias("node"), F.col("parent").alias("up")), "node", "left")
     at = cut_lineage(at.select("node", F.col(value).alias("v"), F.when(F.col(value).isNull(), F.col("up")).alias("up")))
-    steps = 1
-    while steps <= 2 * count:
+    left, before = at.filter("up IS NOT NULL").count(), None
+    while left and left != before:
         ahead = at.select(F.col("node").alias("up"), F.col("v").alias("_v"), F.col("up").alias("_up"))
-        moved = at.filter("up IS NOT NULL").join(ahead, "up", "left").select("node", F.col("_v").alias("v"), F.col("_up").alias("up"))
+        moved = at.filter("up IS NOT NULL").join(met_by_key(ahead), "up", "left").select("node", F.col("_v").alias("v"), F.col("_up").alias("up"))
         at = cut_lineage(at.filter("up IS NULL").unionByName(moved))
-        if at.filter("up IS NOT NULL").isEmpty():
-            break
-        steps *= 2
+        left, before = at.filter("up IS NOT NULL").count(), left
     return at.select("node", F.col("v").alias(value))
 
 
@@ -149,19 +148,16 @@ def inherited_fields(classes: DataFrame, edges: DataFrame) -> DataFrame:
     none = F.expr(f"CAST(array() AS {kind})")
     own = F.aggregate(F.coalesce("fields", none), none, lambda held, x: _overlaid(held, F.array(x)))
     up = edges.select(F.col("child").alias("node"), F.lit(True).alias("_has"), F.col("parent").alias("up"))
-    count = classes.count()
     at = classes.select("node", own.alias("fields")).join(up, "node", "left")
     # a base without a name is unknown from the start
     at = cut_lineage(at.select("node", "fields", "up", (F.col("_has").isNull() | F.col("up").isNotNull()).alias("known")))
-    steps = 1
-    while steps <= 2 * count:
+    left, before = at.filter("known AND up IS NOT NULL").count(), None
+    while left and left != before:
         ahead = at.select(F.col("node").alias("up"), F.col("fields").alias("_fields"), F.col("up").alias("_up"), F.col("known").alias("_known"))
-        moved = at.filter("known AND up IS NOT NULL").join(ahead, "up", "left")
+        moved = at.filter("known AND up IS NOT NULL").join(met_by_key(ahead), "up", "left")
         moved = moved.select("node", _overlaid(F.col("_fields"), F.col("fields")).alias("fields"), F.col("_up").alias("up"), F.coalesce("_known", F.lit(False)).alias("known"))
         at = cut_lineage(at.filter("NOT known OR up IS NULL").unionByName(moved))
-        if at.filter("known AND up IS NOT NULL").isEmpty():
-            break
-        steps *= 2
+        left, before = at.filter("known AND up IS NOT NULL").count(), left
     return at.select("node", F.when(F.col("known") & F.col("up").isNull(), F.col("fields")).alias("fields"))
 
 
@@ -170,6 +166,6 @@ def constructors(classes: DataFrame, edges: DataFrame) -> DataFrame:
     constructor or generates one, its init if that is written, else the fields it is generated from; null if these cannot be known."""
     fields = inherited_fields(classes.select("node", "fields"), edges)
     has = F.col("init").isNotNull() | F.coalesce("dataclass", F.lit(False))
-    rows = classes.select("node", "init", "dataclass").join(fields, "node")
+    rows = classes.select("node", "init", "dataclass").join(met_by_key(fields), "node")
     value = F.when(has, F.struct(F.col("node").alias("origin"), F.col("init").alias("init"), F.when(F.col("init").isNull(), F.col("fields")).alias("fields")))
     return inherit(rows.select("node", value.alias("made")), edges, "made").select("node", "made.origin", "made.init", "made.fields")

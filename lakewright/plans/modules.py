@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..code import docstrings, types
 from ..operators import exports, fuzzy, graph, symbols, text_sinks
+from ..shared import spread
 from .catalog import query, read
 
 
@@ -117,7 +118,7 @@ PUBLISHED = [
 
 def _package_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The tables of one package of four modules for each part, of the shape that its key's last digit tells."""
-    parts = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), _s("p_partkey")).alias("p"), (F.col("p_partkey") % 10).cast("int").alias("shape"))
+    parts = spread(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("p"), _s("p_partkey")).alias("p"), (F.col("p_partkey") % 10).cast("int").alias("shape"))
 
     def each(rows: list[tuple], schema: str, paths: tuple[str, ...], by_shape: bool = True) -> DataFrame:
         few = F.broadcast(spark.createDataFrame(rows, schema))  # a fixed number of rows
@@ -136,12 +137,16 @@ def _package_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"modules": modules, "names": names, "refs": refs, "definitions": definitions, "imports": imports}
 
 
-def _published(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _settled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t = _package_tables(spark, sf_dir)
-    names = exports.export_names(**t)
-    settled = exports.settle(t["modules"], names, t["definitions"], t["refs"])
     stars = exports.star_sets(**t)
-    return exports.publish(t["modules"], names, settled, t["imports"], stars), t | {"settled": settled}
+    names = exports.export_names(**t, stars=stars)
+    return t | {"stars": stars, "exports": names, "settled": exports.settle(t["modules"], names, t["definitions"], t["refs"])}
+
+
+def _published(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    t = _settled(spark, sf_dir)
+    return exports.publish(t["modules"], t["exports"], t["settled"], t["imports"], t["stars"]), t
 
 
 _EXPECTED = ", ".join(str(x) for x in PUBLISHED)
@@ -159,7 +164,7 @@ SELECT 'p' || p_partkey || m AS module, name, m IN ('', '.api') AND NOT starts_w
 FROM part, (VALUES ('', 'top'), ('._core', 'f'), ('._core', 'g'), ('._core', '_h'), ('._extra', 'e'), ('.api', 'a'), ('.api', '_b')) d(m, name)""")
 def settled_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF-04: which definitions are public where they stand; a complete list without them hides them."""
-    return _published(spark, sf_dir)[1]["settled"].select("module", "name", "published")
+    return _settled(spark, sf_dir)["settled"].select("module", "name", "published")
 
 
 @query("""
@@ -220,7 +225,7 @@ SELECT m0 AS module, n0 AS name, m AS def_module, n AS def_name, len(path)::INT
 QUALIFY row_number() OVER (PARTITION BY m0, n0 ORDER BY list_append(path, CASE WHEN way = 0 THEN 0 ELSE 300 + way END)) = 1""")
 def import_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF-02: packages of eight modules that import from one another at random, in order, with dead ends, cycles, lists and attributes."""
-    read(spark, sf_dir, "part").select("p_partkey", "p_size").createOrReplaceTempView("lakewright_part")
+    spread(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").createOrReplaceTempView("lakewright_part")
     imports, known, starred, asked = (spark.sql(x.replace("FROM part", "FROM lakewright_part")) for x in (_IMPORTS, _KNOWN, _STARRED, _ASKED))
     return graph.lookup(known, imports, asked, starred)
 
@@ -518,6 +523,6 @@ def module_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     language, aliases and attributes of instances, as each of ten sources has them."""
     from ..code import extract
 
-    sources = read(spark, sf_dir, "part").select(F.concat(F.lit("m"), _s("p_partkey")).alias("module"), _pick(SHAPES, F.col("p_partkey")).alias("source"))
-    parsed = extract.modules(sources)
+    sources = spread(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("m"), _s("p_partkey")).alias("module"), _pick(SHAPES, F.col("p_partkey")).alias("source"))
+    parsed = extract.modules(sources, parsed=extract.only("parse_errors", "symbols", symbols=("path", "kind", "signature", "public")))
     return parsed.select(F.col("parsed.parse_errors").alias("lost"), F.explode("parsed.symbols").alias("s")).select("s.path", "s.kind", "s.signature", "s.public", "lost")
