@@ -1,17 +1,18 @@
 """Near copies for `simhash_dedup.deduplicate`: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 
-At a similarity of 0.8 some 10 of 64 bits of a fingerprint differ, and up to 24. A budget of that size leaves a trie
-over all fingerprints next to nothing to prune, so here the trie self-join runs inside groups of documents that share
-a min-wise band of their shingles, instead of blocks of bits: 24 bands of five minima each, so that a pair at exactly
-0.8 misses all of them with probability 0.00007, and one above that less often. What the join finds is held
-against the exact shingle sets, so bands and bits decide only who is looked at, not who is linked.
-
-Texts of the same set are one node. In each group all nodes are first compared with one of them, which joins
-large groups in a number of pairs that grows with the group; after that, what is of several components yet is compared
-across them: all pairs in a small group, those of the trie self-join in a larger one. A task holds some thousand sets of a
-group; a larger group is cut into chunks, and each pair of chunks that may hold a link is a task of its own. No row is
-dropped; a pair is missed if no band is shared, or if its fingerprints differ in more than BUDGET bits in a group of more than FEW nodes (0.000003 for large
-sets at 0.8, some 0.00005 for sets of 4 and 5 shingles).
+The trie self-join over all fingerprints, spread by agreeing bit blocks, looks first, within WIDE bits. At a similarity of
+0.8 some 10 of 64 bits differ, and up to 28, and a budget of that size leaves a trie over all fingerprints next to nothing to
+prune. So the same join then runs once more within BUDGET bits, spread by min-wise bands of the shingles instead of blocks of
+bits: 24 bands of five minima each, so that a pair at exactly 0.8 misses all of them with probability 0.00007, and one above
+that less often. Every pair that is looked at comes from a paired descent in a trie; what it finds is held against the exact
+shingle sets, so bands and bits decide only who is looked at, not who is linked.
+
+Texts of the same set are one node, and a fingerprint is the bitwise majority over a set, in which a shingle counts once, as it does for the
+similarity. Of the pairs that the descent finds in a group, each node first hands on the nearest one and the one with a node that is
+picked for the group, which joins large groups in a number of pairs that grows with the group; after that, what is of several components yet is
+compared across them, by a descent again. A task holds some thousand sets of a group; a larger group is cut into chunks, and each pair of chunks
+that may hold a link is a task of its own. No row is dropped; a pair is missed if no band is shared, or if its fingerprints differ in more
+than BUDGET bits.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ PART, WHOLE = 4, 5
 BANDS, ROWS = 24, 5
 #: Nodes of a bucket that one task holds on a side.
 MOST = 4096
-#: Nodes of a bucket up to which all pairs are compared; in larger ones, those whose fingerprints differ in at most so
-#: many bits. At a similarity of 0.8 a bit differs with probability 0.151, so more than 24 of 64 do with 0.000003.
+#: Bits within which the join over all fingerprints looks, and the one inside a bucket. At a similarity of 0.8 a bit differs
+#: with probability 0.151 (sets of 4 and 5 shingles: 0.188).
+WIDE, BUDGET = 3, 28
+#: Nodes of a bucket up to which it shares a walk with others; a larger one has its own. Pairs that are held against bands at once.
 FEW = 64
-BUDGET = 24
+AT_ONCE = 1 << 16
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASK = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -96,7 +99,7 @@ def simhashes(items: list[np.ndarray]) -> np.ndarray:
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """(doc_id, th, node, n, bands) of rows (doc_id, th, text); a text without a word has node 0 and no bands."""
+    """(doc_id, th, node, n, fp, bands) of rows (doc_id, th, text); a text without a word has node 0 and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -105,11 +108,12 @@ def _marks(rows: DataFrame) -> DataFrame:
             found, bands = signatures(value, first)
             node = np.zeros(len(n), np.uint64)
             node[n > 0] = found
+            fp = simhashes([value[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
             ends = np.concatenate([[0], (n > 0).cumsum() * BANDS]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), lists], names=["doc_id", "th", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), lists], names=["doc_id", "th", "node", "n", "fp", "bands"])
 
-    return rows.mapInArrow(lean(run), "doc_id long, th long, node long, n long, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, th long, node long, n long, fp long, bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -154,22 +158,78 @@ def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """(g, node, n, hub) of buckets that hold more than one node; hub is one of them, another one in each bucket.
+    """(g, c, node, n, fp, hub) of buckets that hold more than one node, c of them; hub is one of them, another one in each bucket.
 
     A bucket is only counted and joined, so its rows may be in many tasks; the derived second key lets adaptive execution split them.
     """
     turn = F.xxhash64("g")
-    buckets = nodes.select("node", "n", F.explode("bands").alias("g"))
+    buckets = nodes.select("node", "n", "fp", F.explode("bands").alias("g"))
     hubs = buckets.groupBy("g").agg(F.count("*").alias("c"), F.min(F.col("node").bitwiseXOR(turn)).alias("h")).filter("c > 1")
-    hubs = hubs.select("g", turn.alias("k"), F.col("h").bitwiseXOR(turn).alias("hub"))
-    return buckets.withColumn("k", turn).join(hubs, ["g", "k"]).select("g", "node", "n", "hub")
+    hubs = hubs.select("g", turn.alias("k"), "c", F.col("h").bitwiseXOR(turn).alias("hub"))
+    return buckets.withColumn("k", turn).join(hubs, ["g", "k"]).select("g", "c", "node", "n", "fp", "hub")
 
 
-def _stars(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v): each node of a bucket with its hub, if their sizes allow them to be similar at all."""
-    rows = shared.filter("node <> hub").select("node", "n", "hub").distinct().join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub")
-    fits = F.least("n", "m") * WHOLE >= F.greatest("n", "m") * PART
-    return rows.filter(fits).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+def _everywhere(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): a spanning forest of what the trie self-join over all fingerprints links within WIDE bits."""
+    from .simhash_dedup import links  # which imports this module
+
+    fps = scratch.table(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = nodes.join(fps.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).filter("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    return same.unionByName(links(fps, WIDE, scratch)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def nearest(group: np.ndarray, node: np.ndarray, n: np.ndarray, fp: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs that the trie self-join finds in each group, if their sizes allow them to be similar at all: for each node the nearest one, and those with a hub.
+
+    Rows are sorted by group; hub tells which node is the group's.
+    """
+    order = np.lexsort((fp, group))
+    group, node, n, fp, hub = (x[order] for x in (group, node, n, fp, hub))
+    off, to = np.full(len(fp), 127, np.int8), np.full(len(fp), -1)
+    found = []
+    for i, j in near_pairs(group, fp, BUDGET):
+        keep = _fits(n[i], n[j])
+        i, j = i[keep], j[keep]
+        star = hub[i] | hub[j]
+        found.append((i[star], j[star]))
+        d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int8)
+        for x, y in ((i, j), (j, i)):
+            less = np.flatnonzero(d < off[x])
+            less = less[np.argsort(-d[less], kind="stable")]  # the last one stays
+            off[x[less]], to[x[less]] = d[less], y[less]
+    at = np.flatnonzero(to >= 0)
+    u, v = (np.concatenate(x) for x in zip(*found, (at, to[at]), strict=True))
+    return node[u], node[v]
+
+
+def _looked_at(shared: DataFrame, most: int) -> DataFrame:
+    """(u, v): the pairs of `nearest` in each bucket; one of more than `most` nodes is cut into chunks, and its hub is in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(k, node, n, fp, hub):
+            u, v = nearest(k, node, n, fp.view(np.uint64), hub)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "node", "n", "fp", "hub")))
+            size += batch.num_rows
+            if size >= 1 << 16:  # whole groups, and the last one waits for the rest of it
+                whole = tuple(map(np.concatenate, zip(*held, strict=True)))
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))
+                if cut:
+                    yield out(*(x[:cut] for x in whole))
+                held, size = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
+        if size:
+            yield out(*map(np.concatenate, zip(*held, strict=True)))
+
+    chunks = F.ceil(F.col("c") / most).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    places = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))
+    rows = shared.select("g", "node", "n", "fp", (F.col("node") == F.col("hub")).alias("hub"), F.explode(places).alias("place"))
+    rows = rows.select(F.xxhash64("g", "place").alias("k"), "node", "n", "fp", "hub")
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def _tasks(marks: DataFrame, most: int) -> DataFrame:
@@ -200,46 +260,36 @@ def _tasks(marks: DataFrame, most: int) -> DataFrame:
 def crossing(k: np.ndarray, g: np.ndarray, node: np.ndarray, label: np.ndarray, bands: np.ndarray, items: list[np.ndarray], side: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
     """Links that join the components of each task's rows as all pairs of one component with another would.
 
-    Rows are sorted by k, the task, of which g is the bucket. A pair counts in the first bucket it meets in; one that other links have joined
-    is left out, and so is one of the same side where `two` holds.
+    Rows are sorted by k, the task, of which g is the bucket. The trie self-join finds the pairs, of two subtrees where `two` holds. A pair counts
+    in the first bucket it meets in; one that other links have joined is left out.
     """
     found = []
-    for a, m in zip(*(x.tolist() for x in _runs(k)), strict=True):
-        own, mark, band, held, part = node[a : a + m], label[a : a + m].copy(), bands[a : a + m], items[a : a + m], side[a : a + m]
-        before = band[:, : int((band[0] == g[a]).argmax())]
-        n = np.array([len(x) for x in held])
-        for i, j in _pairs(held):
-            keep = (mark[i] != mark[j]) & _fits(n[i], n[j])
-            if two[a]:
-                keep &= part[i] != part[j]
-            keep[keep] = ~(before[i[keep]] == before[j[keep]]).any(1)
-            for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-                if mark[x] != mark[y] and similar(held[x], held[y]):
-                    found.append((int(own[x]), int(own[y])))
-                    mark[mark == mark[y]] = mark[x]
+    mark, fp = label.copy(), simhashes(items)
+    n = np.array([len(x) for x in items])
+    starts, sizes = _runs(k)
+    run = np.repeat(np.arange(len(starts)), sizes)
+    place = (bands == g[:, None]).argmax(1)
+    side = np.where(two, side, 0)
+    few = sizes <= FEW
+    walks = [np.flatnonzero(few[run])] + [np.arange(a, a + m) for a, m in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True)]
+    for rows in walks:
+        if not len(rows):
+            continue
+        rows = rows[np.lexsort((fp[rows], side[rows], run[rows]))]
+        for left, right in near_pairs(run[rows], fp[rows], BUDGET, side[rows], two[rows]):
+            for a in range(0, len(left), AT_ONCE):
+                i, j = rows[left[a : a + AT_ONCE]], rows[right[a : a + AT_ONCE]]
+                keep = (mark[i] != mark[j]) & _fits(n[i], n[j])
+                i, j = i[keep], j[keep]
+                new = ~((bands[i] == bands[j]) & (np.arange(BANDS) < place[i][:, None])).any(1)
+                for x, y in zip(i[new].tolist(), j[new].tolist(), strict=True):
+                    if mark[x] != mark[y] and similar(items[x], items[y]):
+                        found.append((int(node[x]), int(node[y])))
+                        own = mark[starts[run[x]] : starts[run[x]] + sizes[run[x]]]
+                        own[own == mark[y]] = mark[x]
     return found
 
 
-def _pairs(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places in a bucket that may be similar, some at a time: all of a few, else those that the trie self-join finds."""
-    if len(held) <= FEW:
-        yield np.triu_indices(len(held), 1)
-        return
-    fp = simhashes(held)
-    order = np.argsort(fp, kind="stable")
-    new = np.flatnonzero(np.concatenate([[True], fp[order][1:] != fp[order][:-1]]))
-    size = np.diff(np.append(new, len(fp)))
-    for a, k in zip(new[size > 1].tolist(), size[size > 1].tolist(), strict=True):  # equal fingerprints
-        for x in range(a, a + k - 1):
-            yield np.full(a + k - 1 - x, order[x]), order[x + 1 : a + k]
-    for u, v in near_pairs(np.zeros(len(new), np.int64), fp[order[new]], BUDGET):
-        # each leaf stands for all nodes of its fingerprint
-        left, right = size[u], size[v]
-        pair = np.repeat(np.arange(len(u)), left * right)
-        at = np.arange(len(pair)) - np.repeat((left * right).cumsum() - left * right, left * right)
-        yield order[new[u][pair] + at // right[pair]], order[new[v][pair] + at % right[pair]]
-
-
 def _crossing_links(rows: DataFrame) -> DataFrame:
     """Links (u, v) of rows (k, g, node, label, bands, items, side, two) between the components of a bucket."""
 
@@ -278,18 +328,20 @@ def labelled(rows: DataFrame, scratch: Scratch, most: int = MOST) -> DataFrame:
     """(doc_id, th, label) of rows (doc_id, th, text): equal labels are linked directly or through others. Texts without a word are one group."""
     marked = scratch.table(_marks(rows))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("r")
-    nodes = scratch.table(marked.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), least))
+    nodes = scratch.table(marked.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), least))
     shared = scratch.table(_shared(nodes))
-    asked = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th"))
+    pairs = scratch.table(_everywhere(nodes, scratch).unionByName(_looked_at(shared, most)).distinct())
+    seen = shared.select("node").unionByName(pairs.select(F.col("u").alias("node"))).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = nodes.join(seen, "node", "left_semi").select("node", F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th"))
     sets = scratch.table(_sets(rows.join(asked, rows["doc_id"].eqNullSafe(asked["_id"]) & (rows["th"] == asked["_th"])).select("node", "text").dropDuplicates(["node"])))
-    links = scratch.table(_verified(_stars(shared, nodes), sets))
+    links = scratch.table(_verified(pairs, sets))
     joined = scratch.table(components(links, scratch))
     marks = scratch.table(shared.select("g", "node").join(joined, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label")))
     rest = _tasks(marks, most)
     more = scratch.table(_crossing_links(rest.join(nodes.select("node", "bands"), "node").join(sets, "node")))
     joined = scratch.table(components(links.unionByName(more), scratch))
     out = scratch.table(marked.join(joined, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("label")))
-    for t in (marked, nodes, shared, marks, sets, links, more, joined):
+    for t in (marked, nodes, shared, pairs, marks, sets, links, more, joined):
         scratch.drop(t)
     return out
 

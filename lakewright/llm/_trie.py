@@ -20,7 +20,7 @@ FRONTIER = 1 << 19
 def near_pairs(group: np.ndarray, fp: np.ndarray, budget: int, side: np.ndarray | None = None, two: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one group whose fingerprints differ in at most `budget` bits, each once, some at a time.
 
-    group, side and fp are sorted by (group, side, fp), fp distinct within a group. A group is one subtree,
+    group, side and fp are sorted by (group, side, fp). A group is one subtree,
     paired with itself, or where `two` holds, two subtrees (sides 0 and 1), paired with each other. A trie node is
     a range of fp that shares all bits above a level; both ranges of a pair descend together, level by level.
     """
@@ -48,7 +48,10 @@ def near_pairs(group: np.ndarray, fp: np.ndarray, budget: int, side: np.ndarray
             if near.any():
                 yield i[near], j[near]
             al, ah, bl, bh, d = (x[~leaf] for x in (al, ah, bl, bh, d))
-        if level < 0 or not len(al):
+        if not len(al):
+            continue
+        if level < 0:
+            yield from _products(al, ah, bl, bh)
             continue
         if level not in ones:
             ones[level] = np.concatenate([[0], ((fp >> np.uint64(level)) & np.uint64(1)).cumsum(dtype=np.int64)])
@@ -63,6 +66,23 @@ def near_pairs(group: np.ndarray, fp: np.ndarray, budget: int, side: np.ndarray
         stack.append((level - 1, al[live], ah[live], bl[live], bh[live], d[live]))
 
 
+def _products(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs of each two ranges, or of a range with itself: what is left of subtrees that hold equal fingerprints."""
+    size = ah - al
+    i = np.repeat(al - (size.cumsum() - size), size) + np.arange(size.sum())
+    lo, hi = np.where(np.repeat(al == bl, size), i + 1, np.repeat(bl, size)), np.repeat(bh, size)
+    ends = (hi - lo).cumsum()
+    start = 0
+    while start < len(i):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + FRONTIER, side="right")))
+        wide = (hi - lo)[start:stop]
+        first = np.repeat(lo[start:stop] - (ends[start:stop] - wide - done), wide)
+        if len(first):
+            yield np.repeat(i[start:stop], wide), first + np.arange(len(first))
+        start = stop
+
+
 def walk(group: np.ndarray, fp: np.ndarray, budget: int, side: np.ndarray | None = None, two: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of `near_pairs` as a spanning forest of them."""
     found: list[tuple[np.ndarray, np.ndarray]] = []

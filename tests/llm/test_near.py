@@ -7,7 +7,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
-from lakewright.llm import _near, simhash_dedup
+from lakewright.llm import _near, _trie, simhash_dedup
 from lakewright.llm._work import Scratch
 
 from .test_operators import smallest
@@ -111,3 +111,36 @@ def test_crowded_groups_are_cut(spark):
         got = {r.doc_id: r.label for r in _near.labelled(named, Scratch(spark, "t"), most).collect()}
         assert [{i for i in got if got[i] == x} for x in sorted(set(got.values()), key=lambda x: min(i for i in got if got[i] == x))] == [{i for i in want if want[i] == x} for x in sorted(set(want.values()))]
     assert 1 < len(set(want.values())) < 150
+
+
+def test_equal_fingerprints_in_the_trie(monkeypatch):
+    """Pairs of a group with itself and of two subtrees, in which fingerprints repeat."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(_trie, "FRONTIER", 16)
+    group, fp = np.sort(rng.integers(0, 3, 90)), rng.integers(0, 6, 90, dtype=np.uint64) * np.uint64(0x0100_0000_0001_0101)
+    two = group == 2
+    side = np.where(two, rng.integers(0, 2, 90), 0)
+    order = np.lexsort((fp, side, group))
+    group, fp, two, side = (x[order] for x in (group, fp, two, side))
+    got = [(min(x), max(x)) for i, j in _trie.near_pairs(group, fp, 3, side, two) for x in zip(i.tolist(), j.tolist(), strict=True)]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if group[i] == group[j] and (not two[i] or side[i] != side[j]) and int(fp[i] ^ fp[j]).bit_count() <= 3}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_come_from_the_trie(spark, monkeypatch):
+    """In buckets of any size, and over all fingerprints before."""
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    items = [np.sort(np.concatenate([base[: 60 - k], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in range(1, 5)]
+    bands = np.full((4, _near.BANDS), 7)
+    same = (np.full(4, 7), np.full(4, 7), np.arange(4), np.arange(4), bands, items, np.zeros(4, np.int64), np.zeros(4, bool))
+    fp, n = _near.simhashes(items), np.full(4, 60)
+    hub = np.arange(4) == 2
+    u, v = _near.nearest(np.full(4, 7), np.arange(4), n, fp, hub)
+    assert {frozenset(x) for x in zip(u.tolist(), v.tolist(), strict=True)} >= {frozenset((2, k)) for k in (0, 1, 3)}
+    assert len(_near.crossing(*same)) == 3
+    far = spark.createDataFrame([(1, 0b0111), (2, 0), (3, 0), (4, -1)], "node long, fp long")  # no bands
+    pairs = [(r.u, r.v) for r in _near._everywhere(far, Scratch(spark, "t")).collect()]
+    assert smallest([1, 2, 3, 4], pairs) == {1: 1, 2: 1, 3: 1, 4: 4}
+    monkeypatch.setattr(_near, "near_pairs", lambda *a: iter(()))
+    assert _near.crossing(*same) == []
