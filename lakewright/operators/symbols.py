@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..shared import met_by_key
+from ..shared import met_by_key, spread
 
 #: Decorators that a reader should know, by the name shown; the names of builtin exceptions without the suffix.
 SERVED = {
@@ -23,6 +23,8 @@ TYPE_PARAMS = ("TypeVar", "TypeVarTuple", "ParamSpec", "NewType")
 INERT = ("object", "ABC", "abc.ABC", "Protocol", "Generic")
 TYPING = ("typing.", "typing_extensions.")
 MOST_LISTED = 500
+#: Rows below a path from which on they are not moved to one task.
+HOT = 1 << 16
 
 
 def last_name(dotted: Column) -> Column:
@@ -261,18 +263,24 @@ def below_each(symbols: DataFrame, aliases: DataFrame, prefixes: DataFrame) -> D
     """(prefix, via, columns of symbols): `below` for any number of prefixes (prefix).
 
     What is at or below a prefix has it among the paths above it, so each symbol and alias meets its prefixes in an equi-join of as many rows as
-    paths have parts; nothing is compared with all prefixes. The empty prefix is above all.
+    paths have parts; nothing is compared with all prefixes. A path above more than HOT rows would fill one task, so such paths, of which there are few,
+    are met where the rows are, and all others by key. The empty prefix is above all.
     """
-    asked = prefixes.select("prefix").distinct()
+    asked = spread(prefixes.select("prefix"), "prefix").distinct()
     root = F.broadcast(asked.filter("prefix = ''"))  # one row at most
     named = asked.filter("prefix <> ''")
 
     def met(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("prefix", F.explode(_steps("path"))).join(named, "prefix").unionByName(rows.crossJoin(root))
+        above = rows.select(F.explode(F.slice(_steps("path"), 1, F.size(F.split("path", r"\.")) - 1)).alias("prefix"))
+        hot = above.groupBy("prefix").count().filter(F.col("count") > HOT).select("prefix")
+        steps = rows.withColumn("prefix", F.explode(_steps("path")))
+        here = steps.join(F.broadcast(met_by_key(named).join(hot, "prefix", "left_semi")), "prefix")
+        others = spread(steps.join(F.broadcast(hot), "prefix", "left_anti"), "prefix").join(met_by_key(named), "prefix")
+        return others.unionByName(here).unionByName(rows.crossJoin(root))
 
     own = met(symbols).withColumn("via", F.lit(None).cast("string"))
     there = met(aliases.select("path", "target")).select(F.col("path").alias("via"), "target", "prefix")
-    reached = symbols.join(there, F.col("path") == F.col("target"))
+    reached = spread(symbols, "path").join(met_by_key(spread(there, "target")), F.col("path") == F.col("target"))
     columns = ["prefix", "via", *symbols.columns]
     return own.select(*columns).unionByName(reached.select(*columns))
 

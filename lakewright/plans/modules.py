@@ -434,7 +434,7 @@ def prefix_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _symbols(spark, sf_dir)
     aliases = read(spark, sf_dir, "part").filter("p_size % 3 = 0").select(F.concat(F.lit("pkg.Brand1.al"), _s("p_partkey")).alias("path"), F.concat(F.lit("pkg."), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".n"), _s("p_partkey")).alias("target"))
     read(spark, sf_dir, "part").select("p_partkey", "p_brand").createOrReplaceTempView("lakewright_brands")
-    return symbols.below_each(own, aliases, spark.sql(_PREFIXES.replace("FROM part", "FROM lakewright_brands"))).select("prefix", "path", "via")
+    return symbols.below_each(own, aliases, spark.sql(_PREFIXES.replace("SELECT DISTINCT", "SELECT").replace("FROM part", "FROM lakewright_brands"))).select("prefix", "path", "via")  # made distinct there
 
 
 @query(f"""

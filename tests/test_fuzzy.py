@@ -56,6 +56,20 @@ def test_below_each(spark):
     assert got == sorted((p, r.path, r.via or "") for p in asked for r in symbols.below(rows, aliases, p).collect())
 
 
+def test_below_each_of_crowded_prefixes(spark, monkeypatch):
+    """Paths above many rows are met where the rows are, and neither they nor the prefixes fill one task."""
+    rows = spark.createDataFrame([(f"p.m{k % 3}.n{k}", k) for k in range(30)] + [("p.m1", 30), ("q", 31), ("q", 32), (None, 33)], "path string, ord int")
+    aliases = spark.createDataFrame([(f"p.al{k}", f"p.m{k % 3}.n{k}") for k in range(9)] + [("r.x", None)], "path string, target string")
+    asked = ["p", "p.m1", "p.m2.n2", "q", "r", "p.m"]
+    for hot in (1 << 16, 4):
+        monkeypatch.setattr(symbols, "HOT", hot)
+        df = symbols.below_each(rows, aliases, spark.createDataFrame([(p,) for p in asked * 2], "prefix string"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [prefix" in plan and "REPARTITION_BY_NUM" in plan
+        got = sorted((r.prefix, r.path, r.via or "", r.ord) for r in df.collect())
+        assert got == sorted((p, r.path, r.via or "", r.ord) for p in asked for r in symbols.below(rows, aliases, p).collect())
+
+
 def test_deviations(spark):
     rows = ['{"a": 1, "b": {"c": [1, 2]}, "m": {"x": 1.5}}', '{"a": "t", "b": {"c": [], "d": null}, "m": {"y": 2}}', "broken", None]
     docs = spark.createDataFrame([(r,) for r in rows], "s string").select(variants.parsed(F.col("s")).alias("doc"))
