@@ -35,22 +35,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import mix
-from ._work import Scratch, binary_array, lean, narrow, partitions, slices, utf8
+from ._work import SLICE_BYTES, Scratch, binary_array, lean, narrow, partitions, slices, utf8
 
 WIDTH, GRAM = 50, 16
 EDGE = WIDTH - 1
 #: Bytes of text of a shard of documents, positions that are looked at at once, bytes of a shard of stretches, and bytes of entries that a bucket should get.
-SHARD_BYTES = 1 << 20
-POSITIONS = 1 << 20
-SUFFIX_BYTES = 1 << 19
-BUCKET_BYTES = 4 << 20
-#: Places of an owner beyond which it is hot, and rows of entries that are handed on at once.
+#: A round has a row for each shard and bucket, so both are as large as a task's memory allows; positions are few enough for a core's cache.
+SHARD_BYTES = 8 << 20
+POSITIONS = 1 << 16
+SUFFIX_BYTES = 1 << 17
+BUCKET_BYTES = 8 << 20
+#: Places of an owner beyond which it is hot, rows of entries that are handed on at once, and stretches that are copied at once.
 HOT_PLACES = 1 << 16
 ROWS_AT_ONCE = 64
+STRETCHES = 1 << 12
 SHARD = "shard long, n long, state binary"
 _PLACE = np.uint64(POSITIONS - 1)
 _LOW = np.uint64(0xFFFFFFFF)
 _BYTES = np.array([1 << 8 * k for k in range(8)], np.uint64)
+#: Two ranks and a place fit into one number where a suffix array has at most so many suffixes.
+_BITS = np.int64(21)
 
 
 # suffix arrays
@@ -72,7 +76,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(data)
     word = eights(data)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     rank = np.empty(n, np.int64)
     open_, keys, known = np.arange(n), word[order], 8
     while True:
@@ -86,42 +90,51 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             return order
         suffixes = order[open_]
         behind = suffixes + known
-        keys = rank[suffixes] << 32 | np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
-        by = np.argsort(keys, kind="stable")
-        order[open_], keys, known = suffixes[by], keys[by], 2 * known
+        follow = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        if n < 1 << _BITS:  # numbers alone are sorted several times as fast as places by them
+            keys = (rank[suffixes] << _BITS | follow) << _BITS | np.arange(len(suffixes))
+            keys.sort()
+            by, keys = keys & ((1 << _BITS) - 1), keys >> _BITS
+        else:
+            keys = rank[suffixes] << 32 | follow
+            by = np.argsort(keys)
+            keys = keys[by]
+        order[open_], known = suffixes[by], 2 * known
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lane: int = 64) -> np.ndarray:
-    """How many bytes each suffix shares with the one before it in order, `most` at most (Kasai).
+    """How many bytes each suffix in order shares with the one before it there, `most` at most (Kasai). The order may leave suffixes out.
 
-    In the order of the text a suffix shares at most one byte less than the suffix before it did. Suffixes that are equal to the
-    depth of the array stand in any order, so behind a suffix that shared `most` that holds for the same neighbour only; beside
-    another one counting begins anew. Lanes of the text go side by side.
+    In the order of the text a suffix shares at most one byte less than the suffix before it did, if the neighbour moves on to a suffix in order,
+    too. Suffixes that are equal to the depth of the array stand in any order, so behind a suffix that shared `most` that holds for the same
+    neighbour only; beside another one counting begins anew. Lanes of the text go side by side.
     """
-    n = len(data)
+    n, m = len(data), len(order)
     word = np.concatenate([eights(data), np.zeros(most + 8, np.uint64)])
-    at = np.empty(n, np.int64)
-    at[order] = np.arange(n)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    shared = np.zeros(n, np.int64)
-    i = np.arange(0, n, lane)
-    h = np.zeros(len(i), np.int64)
-    j = np.full(len(i), -1, np.int64)
-    for _ in range(min(lane, n)):
-        if i[-1] >= n:
-            i, h, j = i[:-1], h[:-1], j[:-1]
-        same_neighbour = before[i] == j + 1
-        j = before[i]
-        h = np.where((j < 0) | ((h >= most) & ~same_neighbour), 0, np.maximum(h - 1, 0))
+    at = np.full(n + 1, -1, np.int64)
+    at[order] = np.arange(m)
+    suffixes = np.flatnonzero(at >= 0)
+    before = np.full(m, -1, np.int64)
+    before[1:] = order[:-1]
+    before = before[at[suffixes]]
+    lanes = -(-m // lane)
+    deal = lambda x, fill: np.ascontiguousarray(np.concatenate([x, np.full(lanes * lane - m, fill, np.int64)]).reshape(lanes, lane).T)
+    found = np.zeros((lane, lanes), np.int64)
+    h = np.zeros(lanes, np.int64)
+    i, j = np.full(lanes, -2, np.int64), np.full(lanes, -2, np.int64)
+    for step, (here, neighbour) in enumerate(zip(deal(suffixes, -1), deal(before, -1), strict=True)):
+        goes_on = (here == i + 1) & (j >= 0) & (at[j + 1] >= 0) & ((h < most) | (neighbour == j + 1))
+        i, j = here, neighbour
+        h = np.where((j < 0) | ~goes_on, 0, np.maximum(h - 1, 0))
         active = np.flatnonzero((j >= 0) & (h < most))
         while len(active):
             same = 8 - np.searchsorted(_BYTES, word[i[active] + h[active]] ^ word[j[active] + h[active]], "right")
             h[active] += same
             active = active[(same == 8) & (h[active] < most)]
         h = np.minimum(h, np.minimum(most, n - np.maximum(i, j)))
-        shared[at[i]] = h
-        i = i + 1
+        found[step] = h
+    shared = np.empty(m, np.int64)
+    shared[at[suffixes]] = found.T.ravel()[:m]
     return shared
 
 
@@ -130,15 +143,12 @@ class Windows:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, docs: np.ndarray, width: int):
         order = suffix_array(data, width)
-        shared = common_prefixes(data, order, width)
         number = np.full(len(data), -1, np.int64)
         number[starts] = np.arange(len(starts))
-        at = np.flatnonzero(number[order] >= 0)
-        new = np.ones(len(at), bool)
-        if len(at) > 1:  # between two windows lie suffixes that begin none: the least of their common prefixes holds
-            new[1:] = np.minimum.reduceat(shared[: at[-1] + 1], at[:-1] + 1) < width
+        order = order[number[order] >= 0]  # suffixes that begin no window have served the ranks
+        new = common_prefixes(data, order, width) < width
         first = np.flatnonzero(new)
-        window = number[order[at]]
+        window = number[order]
         self.least = np.minimum.reduceat(docs[window], first)
         #: Which of the different windows each window is.
         self.of = np.empty(len(starts), np.int64)
@@ -197,7 +207,13 @@ def owners(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
 
 def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes data[begin:begin + size] of all stretches, one after another."""
-    return data[np.repeat(begin - (size.cumsum() - size), size) + np.arange(size.sum())]
+    to = size.cumsum()
+    out = np.empty(to[-1] if len(to) else 0, np.uint8)
+    for k in range(0, len(size), STRETCHES):
+        part = slice(k, k + STRETCHES)
+        base, end = to[k] - size[k], to[part][-1]
+        np.take(data, np.repeat(begin[part] - (to[part] - size[part]), size[part]) + np.arange(base, end), out=out[base:end])
+    return out
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -236,7 +252,7 @@ def shards(docs: DataFrame) -> DataFrame:
             state = _dump(column.fill_null(0).to_numpy(), known, offsets, data, first, count.astype(np.uint8), (at - first).astype(np.uint8))
             return pa.RecordBatch.from_arrays([pa.array([base + n]), pa.array([len(first)]), binary_array([state])], names=["shard", "n", "state"])
 
-        for batch in slices(batches, "text", SHARD_BYTES):
+        for batch in slices(batches, "text", min(SHARD_BYTES, SLICE_BYTES)):
             data, offsets = utf8(batch.column("text"))
             held.append((batch.column("doc_id"), offsets, data))
             size += len(data)
@@ -267,7 +283,7 @@ class _Owners:
         self.first = self.first.astype(np.int64)
         self.hash = owner_hashes(self.data, self.first + ahead)
         self.row = np.searchsorted(self.offsets, self.first, side="right") - 1
-        self.order = np.argsort(self.hash, kind="stable")
+        self.order = np.argsort(self.hash)
         begin = _groups(self.hash[self.order])
         self.size = np.diff(np.append(begin, len(self.order)))
         self.different = self.hash[self.order[begin]]
@@ -294,7 +310,7 @@ def _judge_owners(blobs: list[bytes], hot_places: int) -> list[bytes]:
     n = [len(x) // 5 for x in blobs]
     h = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(blobs, n, strict=True)])
     flag = np.concatenate([np.frombuffer(x, np.uint8, offset=4 * k) for x, k in zip(blobs, n, strict=True)])
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     begin = _groups(h[order])
     size = np.diff(np.append(begin, len(h)))
     repeated = (size > 1) | np.logical_or.reduceat(flag[order] >= 128, begin)
@@ -459,8 +475,10 @@ def _answers(states: DataFrame, kind: type, judge: Callable, buckets: int) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[some].astype(np.int32)), pa.array([shard] * len(some), pa.int64()), binary_array(blobs)], names=["bucket", "shard", "entries"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=1)
+
         def out(bucket: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            found = [zstandard.compress(x, 1) for x in judge([x for _, x in held])]
+            found = [compressor.compress(x) for x in judge([x for _, x in held])]
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), binary_array(found)], names=["shard", "bucket", "found"])
 
         at, held = None, []
@@ -481,8 +499,9 @@ def _answers(states: DataFrame, kind: type, judge: Callable, buckets: int) -> Da
 
 def _found(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple, bytes]]:
     """(shard, state, answers in the order of what was asked)."""
-    for shard, blob, answers in zip(batch.column("shard").to_pylist(), batch.column("state"), batch.column("answers").to_pylist(), strict=True):
-        yield shard, _load(blob.as_buffer()), b"".join(zstandard.decompress(a["found"]) for a in answers or ())
+    expand = zstandard.ZstdDecompressor().decompress
+    for shard, blob, answers in zip(batch.column("shard").to_pylist(), batch.column("state"), batch.column("answers"), strict=True):
+        yield shard, _load(blob.as_buffer()), b"".join(expand(a["found"]) for a in answers.as_py() or ())
 
 
 def _round(states: DataFrame, kind: type, judge: Callable, entry: int, scratch: Scratch) -> DataFrame | None:
@@ -490,7 +509,7 @@ def _round(states: DataFrame, kind: type, judge: Callable, entry: int, scratch:
     n = states.agg(F.sum("n")).first()[0] or 0
     if not n and kind is not _Ends:
         return None
-    buckets = min(max(4 * partitions(scratch.spark), -(-n * entry // BUCKET_BYTES)), 1 << 30)
+    buckets = min(max(2 * partitions(scratch.spark), -(-n * entry // BUCKET_BYTES)), 1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -92,6 +92,32 @@ def test_suffix_array_and_prefixes():
                 assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y or i == 50), min(len(a), len(b), 50))
 
 
+@pytest.mark.parametrize("bits", [3, 21])
+def test_prefixes_of_some_suffixes(monkeypatch, bits):
+    """An order that leaves suffixes out tells what those that are left share; ranks that do not fit into one number sort the same."""
+    monkeypatch.setattr(sd, "_BITS", np.int64(bits))
+    draw = random.Random(5)
+    for n in (1, 9, 70, 400):
+        data = bytes(draw.choice(b"ab") for _ in range(n // 2)) * 2 + b"b" * (n % 2)
+        array, padded = np.frombuffer(data, np.uint8), data + bytes(2 * n + 16)
+        order = sd.suffix_array(array, n)
+        assert [padded[i : i + n] for i in order] == sorted(padded[i : i + n] for i in range(n))
+        some = order[np.isin(order, [i for i in range(n) if draw.random() < 0.6])]
+        for most, lane in ((50, 8), (5, 64)):
+            shared = sd.common_prefixes(array, some, most, lane=lane)
+            assert len(shared) == len(some)
+            for k in range(1, len(some)):
+                a, b = data[some[k - 1] :][:most], data[some[k] :][:most]
+                assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_rounds_have_few_rows(spark):
+    """A round has a row for each shard and bucket, so a shard holds several slices of text."""
+    rows = [(d, f"{d} " + "lorem ipsum dolor " * 6000) for d in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sum(len(t) for _, t in rows) > 6 << 20 and sd.shards(table).count() == 1
+
+
 @pytest.mark.parametrize("positions", [128, 1 << 20])
 def test_owners(monkeypatch, positions):
     """Each window has one owner, which is a function of its bytes, wherever a slice ends."""
