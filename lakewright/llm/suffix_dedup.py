@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,14 @@ EDGE = WIDTH - 1
 #: A round has a row for each shard and bucket, so both are as large as a task's memory allows; positions are few enough for a core's cache.
 SHARD_BYTES = 8 << 20
 POSITIONS = 1 << 16
-SUFFIX_BYTES = 1 << 17
+SUFFIX_BYTES = 1 << 19
 BUCKET_BYTES = 8 << 20
 #: Places of an owner beyond which it is hot, rows of entries that are handed on at once, and stretches that are copied at once.
 HOT_PLACES = 1 << 16
 ROWS_AT_ONCE = 64
 STRETCHES = 1 << 12
+#: Ranges of owners of a bucket that get a suffix array each; their windows never meet.
+RANGES = 8
 SHARD = "shard long, n long, state binary"
 _PLACE = np.uint64(POSITIONS - 1)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -69,10 +71,11 @@ def eights(data: np.ndarray) -> np.ndarray:
     return w[: len(data)]
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(data: np.ndarray, depth: int, starts: np.ndarray | None = None) -> np.ndarray:
     """The suffixes in ascending order of their first `depth` bytes or more, a shorter one first (Larsson and Sadakane).
 
     A group of suffixes that are equal so far is ranked by the place of its first; groups of one are done and never touched again.
+    Where starts are given, only these are in order to that depth, and others are refined as far as the ranks of these need it.
     """
     n = len(data)
     word = eights(data)
@@ -88,6 +91,11 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         open_ = open_[np.repeat(size > 1, size)]
         if known >= depth or not len(open_):
             return order
+        if starts is not None:
+            need = np.zeros(n, bool)
+            for ahead in range(0, depth, 2 * known):
+                need[np.minimum(starts + ahead, n - 1)] = True
+            open_ = open_[need[order[open_]]]
         suffixes = order[open_]
         behind = suffixes + known
         follow = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
@@ -102,7 +110,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         order[open_], known = suffixes[by], 2 * known
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lane: int = 64) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lane: int = 16) -> np.ndarray:
     """How many bytes each suffix in order shares with the one before it there, `most` at most (Kasai). The order may leave suffixes out.
 
     In the order of the text a suffix shares at most one byte less than the suffix before it did, if the neighbour moves on to a suffix in order,
@@ -142,7 +150,7 @@ class Windows:
     """The different windows of a shard of stretches in order, each with its smallest document."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, docs: np.ndarray, width: int):
-        order = suffix_array(data, width)
+        order = suffix_array(data, width, starts)
         number = np.full(len(data), -1, np.int64)
         number[starts] = np.arange(len(starts))
         order = order[number[order] >= 0]  # suffixes that begin no window have served the ranks
@@ -153,9 +161,14 @@ class Windows:
         #: Which of the different windows each window is.
         self.of = np.empty(len(starts), np.int64)
         self.of[window] = new.cumsum() - 1
+        self._data, self._starts, self._width = data, starts[window[first]], width
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """Their bytes."""
         # a last byte that is not zero keeps numpy from cutting zeros off
-        view = np.lib.stride_tricks.sliding_window_view(data, width)[starts[window[first]]]
-        self.keys = np.ascontiguousarray(np.concatenate([view, np.ones((len(view), 1), np.uint8)], 1)).view(f"S{width + 1}").ravel()
+        view = np.lib.stride_tricks.sliding_window_view(self._data, self._width)[self._starts]
+        return np.ascontiguousarray(np.concatenate([view, np.ones((len(view), 1), np.uint8)], 1)).view(f"S{self._width + 1}").ravel()
 
 
 def merge(shards: list[Windows]) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +288,11 @@ def _known(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np
 Asks = tuple[np.ndarray, Callable[[slice], bytes]]
 
 
+def _bucket(route: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each route, in the order of routes; the ranges of a bucket are those of a multiple of their number."""
+    return ((route >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 class _Owners:
     """Round one: which owners of a shard of documents stand in another document, and which in very many places."""
 
@@ -291,19 +309,22 @@ class _Owners:
         several = np.minimum.reduceat(row, begin) != np.maximum.reduceat(row, begin)
         self.flag = (several * np.uint8(128) + np.minimum(self.size, 127)).astype(np.uint8)
 
-    def asks(self) -> Asks:
+    def asks(self, _: int) -> Asks:
         return self.different, lambda part: (self.different[part] & _LOW).astype(np.uint32).tobytes() + self.flag[part].tobytes()
 
     def left(self, answers: bytes) -> tuple | None:
-        """(id, row, first byte, windows, owner, hot, bytes) of the stretches that may repeat."""
+        """(id, row, first byte, windows, owner, hot, bytes, 96 bits of their hashes) of the stretches that may repeat."""
         got = np.empty(len(self.order), np.uint8)
         got[self.order] = np.repeat(np.frombuffer(answers, np.uint8), self.size)
         left = np.flatnonzero(got)
         if not len(left):
             return None
         first, count, row = self.first[left], self.count[left], self.row[left]
-        data = _gather(self.data, first, count.astype(np.int64) + EDGE)
-        return self.ids[row], row.astype(np.uint32), (first - self.offsets[row]), count, self.hash[left], got[left] > 1, data
+        size = count.astype(np.int64) + EDGE
+        data, end = _gather(self.data, first, size), size.cumsum()
+        whole = data.tobytes()
+        digests = b"".join([hashlib.blake2b(whole[a:b], digest_size=12).digest() for a, b in zip((end - size).tolist(), end.tolist(), strict=True)])
+        return self.ids[row], row.astype(np.uint32), (first - self.offsets[row]), count, self.hash[left], got[left] > 1, data, np.frombuffer(digests, np.uint32)
 
 
 def _judge_owners(blobs: list[bytes], hot_places: int) -> list[bytes]:
@@ -324,12 +345,10 @@ class _Stretches:
     """Round two: equal stretches of owners collapse into the one of the smallest document."""
 
     def __init__(self, state: tuple):
-        self.id, self.row, self.first, self.count, self.owner, self.hot, self.data = state
+        self.id, self.row, self.first, self.count, self.owner, self.hot, self.data, digests = state
         self.size = self.count.astype(np.int64) + EDGE
         self.end = self.size.cumsum()
-        whole = memoryview(self.data.tobytes())
-        digests = b"".join([hashlib.blake2b(whole[a:b], digest_size=12).digest() for a, b in zip((self.end - self.size).tolist(), self.end.tolist(), strict=True)])
-        parts = np.frombuffer(digests, np.uint32).reshape(-1, 3).astype(np.uint64)
+        parts = digests.reshape(-1, 3).astype(np.uint64)
         self.one, self.two = parts[:, 0] << np.uint64(32) | parts[:, 1], parts[:, 2].astype(np.uint32)
         route = np.where(self.hot, self.one, self.owner)
         self.order = np.lexsort((self.two, self.one, route))
@@ -340,7 +359,7 @@ class _Stretches:
         self.least = np.minimum.reduceat(self.id[self.order], self.begin)
         self.route = route[self.some]
 
-    def asks(self) -> Asks:
+    def asks(self, _: int) -> Asks:
         columns = (self.route, self.one[self.some], self.least, self.two[self.some], self.hot[self.some])
         return self.route, lambda part: b"".join(x[part].tobytes() for x in columns)
 
@@ -397,12 +416,13 @@ class _Ends:
         self.route, self.doc, self.windows, self.place = route[order], doc[of[order]], windows[order], place[order]
         self.data, self.count, self.target = data, count, (count.cumsum() - count)[of[order]] + first[order]
 
-    def asks(self) -> Asks:
+    def asks(self, buckets: int) -> Asks:
         def pack(part: slice) -> bytes:
             sizes = self.windows[part] + EDGE
-            return self.doc[part].tobytes() + self.windows[part].astype(np.uint8).tobytes() + _gather(self.data, self.place[part], sizes).tobytes()
+            ranges = np.bincount((_bucket(self.route[part], buckets * RANGES) % np.uint64(RANGES)).astype(np.int64), minlength=RANGES)
+            return ranges.astype(np.uint32).tobytes() + self.doc[part].tobytes() + self.windows[part].astype(np.uint8).tobytes() + _gather(self.data, self.place[part], sizes).tobytes()
 
-        return self.route, lambda part: (part.stop - part.start).to_bytes(4, "little") + pack(part)
+        return self.route, pack
 
     def spans(self, answers: bytes) -> dict[int, np.ndarray]:
         """Row of the shard -> its removed byte ranges [begin, end), which neither touch nor overlap."""
@@ -429,34 +449,48 @@ class _Ends:
         return out
 
 
-def _judge_ends(blobs: list[bytes], suffix_bytes: int) -> list[bytes]:
-    """For each window of each entry: whether a smaller document has it. Entries form shards of a bounded size that are merged."""
-    held, shards_, docs_of, done = [], [], [], 0
-
-    def close() -> None:
-        nonlocal held, done
-        windows = np.concatenate([w for _, w, _ in held]).astype(np.int64)
-        size = windows + EDGE
-        starts = np.repeat((size.cumsum() - size) - (windows.cumsum() - windows), windows) + np.arange(windows.sum())
-        docs = np.repeat(np.concatenate([d for d, _, _ in held]), windows)
-        shards_.append(Windows(np.concatenate([x for _, _, x in held]), starts, docs, WIDTH))
-        docs_of.append(docs)
-        held, done = [], 0
-
-    counts = []
-    for blob in blobs:
-        n = int.from_bytes(blob[:4], "little")
-        docs, windows = np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.uint8, n, 4 + 8 * n)
-        held.append((docs, windows, np.frombuffer(blob, np.uint8, offset=4 + 9 * n)))
-        counts.append(int(windows.sum(dtype=np.int64)))
-        done += len(held[-1][2])
-        if done >= suffix_bytes:
-            close()
-    if held:
-        close()
+def _judge_range(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], suffix_bytes: int) -> np.ndarray:
+    """For each window of the entries (documents, windows, bytes): whether a smaller document has it. Entries form shards of a bounded size that are merged."""
+    shards_, docs_of, some, done = [], [], [], 0
+    for k, entry in enumerate(held):
+        some.append(entry)
+        done += len(entry[2])
+        if done >= suffix_bytes or k == len(held) - 1:
+            windows = np.concatenate([w for _, w, _ in some]).astype(np.int64)
+            size = windows + EDGE
+            starts = np.repeat((size.cumsum() - size) - (windows.cumsum() - windows), windows) + np.arange(windows.sum())
+            docs_of.append(np.repeat(np.concatenate([d for d, _, _ in some]), windows))
+            shards_.append(Windows(np.concatenate([x for _, _, x in some]), starts, docs_of[-1], WIDTH))
+            some, done = [], 0
+    if len(shards_) == 1:
+        return shards_[0].least[shards_[0].of] < docs_of[0]
     keys, least = merge(shards_)
-    removed = np.concatenate([least[np.searchsorted(keys, x.keys)][x.of] < docs for x, docs in zip(shards_, docs_of, strict=True)])
-    return [x.astype(np.uint8).tobytes() for x in np.split(removed, np.cumsum(counts)[:-1])]
+    return np.concatenate([least[np.searchsorted(keys, x.keys)][x.of] < docs for x, docs in zip(shards_, docs_of, strict=True)])
+
+
+def _judge_ends(blobs: list[bytes], suffix_bytes: int) -> list[bytes]:
+    """For each window of each entry: whether a smaller document has it, by ranges of owners."""
+    ranges: list[list[tuple]] = [[] for _ in range(RANGES)]
+    out = []
+    for k, blob in enumerate(blobs):
+        head = 4 * RANGES
+        cut = np.append(0, np.frombuffer(blob, np.uint32, RANGES).cumsum(dtype=np.int64))
+        n = int(cut[-1])
+        docs, windows, data = np.frombuffer(blob, np.int64, n, head), np.frombuffer(blob, np.uint8, n, head + 8 * n), np.frombuffer(blob, np.uint8, offset=head + 9 * n)
+        at = np.append(0, windows.cumsum(dtype=np.int64))[cut].tolist()
+        cut = cut.tolist()
+        out.append(np.empty(at[-1], np.uint8))
+        for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if a < b:
+                ranges[r].append((k, at[r], docs[a:b], windows[a:b], data[at[r] + EDGE * a : at[r + 1] + EDGE * b]))
+    for held in ranges:
+        if held:
+            removed, done = _judge_range([x[2:] for x in held], suffix_bytes), 0
+            for k, begin, _, windows, _ in held:
+                n = int(windows.sum(dtype=np.int64))
+                out[k][begin : begin + n] = removed[done : done + n]
+                done += n
+    return [x.tobytes() for x in out]
 
 
 def _answers(states: DataFrame, kind: type, judge: Callable, buckets: int) -> DataFrame:
@@ -465,8 +499,8 @@ def _answers(states: DataFrame, kind: type, judge: Callable, buckets: int) -> Da
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("state"), strict=True):
-                route, pack = kind(_load(blob.as_buffer())).asks()
-                bucket = ((route >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                route, pack = kind(_load(blob.as_buffer())).asks(buckets)
+                bucket = _bucket(route, buckets)
                 begin = _groups(bucket)
                 cut = np.append(begin, len(bucket)).tolist()
                 for k in range(0, len(begin), ROWS_AT_ONCE):
@@ -509,7 +543,7 @@ def _round(states: DataFrame, kind: type, judge: Callable, entry: int, scratch:
     n = states.agg(F.sum("n")).first()[0] or 0
     if not n and kind is not _Ends:
         return None
-    buckets = min(max(2 * partitions(scratch.spark), -(-n * entry // BUCKET_BYTES)), 1 << 30)
+    buckets = min(max(2 * partitions(scratch.spark), -(-n * entry // BUCKET_BYTES)), 1 << 28)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

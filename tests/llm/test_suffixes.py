@@ -111,6 +111,19 @@ def test_prefixes_of_some_suffixes(monkeypatch, bits):
                 assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_order_of_starts_alone():
+    """Suffixes that begin no window are refined no further than those that do need, whose order is that of their first bytes."""
+    draw = random.Random(7)
+    for n, depth in ((1, 50), (9, 50), (400, 50), (400, 20), (3000, 50)):
+        data = bytes(draw.choice(b"ab") for _ in range(n // 2)) * 2 + b"b" * (n % 2)
+        array, padded = np.frombuffer(data, np.uint8), data + bytes(2 * n + 66)
+        starts = np.array([i for i in range(n) if i % 67 < 18])
+        order = sd.suffix_array(array, depth, starts)
+        assert sorted(order.tolist()) == list(range(n))
+        mine = [padded[i : i + depth] for i in order[np.isin(order, starts)]]
+        assert mine == sorted(mine)
+
+
 def test_rounds_have_few_rows(spark):
     """A round has a row for each shard and bucket, so a shard holds several slices of text."""
     rows = [(d, f"{d} " + "lorem ipsum dolor " * 6000) for d in range(60)]
