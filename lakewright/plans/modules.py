@@ -417,7 +417,7 @@ WITH {_SYMBOLS}, q AS ({_TYPED.replace("AS STRING", "AS VARCHAR")}), d AS (
   SELECT query, path, CASE WHEN contains(lower(path), lower(query)) THEN 0 ELSE least(levenshtein(name, lower(query))::DOUBLE / greatest(length(name), length(query), 1), levenshtein(lower(path), lower(query))::DOUBLE / greatest(length(path), length(query), 1)) END AS score FROM q, s)
 SELECT query, path, round(score, 6) AS score FROM d WHERE score <= 0.4""")
 def fuzzy_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-13: a query for each supplier, mistyped in four ways, through inverted lists of grams."""
+    """TXT-13: a query for each supplier, mistyped in four ways, through blocks of tries."""
     read(spark, sf_dir, "supplier").select("s_suppkey").createOrReplaceTempView("lakewright_supplier")
     asked = spark.sql(_TYPED.replace("FROM supplier", "FROM lakewright_supplier"))
     return fuzzy.near(_symbols(spark, sf_dir).select("path", "name"), asked).select("query", "path", F.round("score", 6).alias("score"))

@@ -45,6 +45,37 @@ def test_near_deals_pairs_to_many_tasks(spark):
     assert f", {4 * fuzzy.PARTS}), REPARTITION_BY_NUM" in plan and "count(" not in plan.replace("bit_count(", "").split("SortMergeJoin [part")[1].split("Aggregate")[0]
 
 
+def test_near_neither_moves_nor_counts_answers(spark):
+    """Above the join of blocks there is no exchange, sort or aggregate: a symbol and a query meet in one place only."""
+    table = spark.createDataFrame([("pkg.a.n1", "n1")], "path string, name string")
+    plan = fuzzy.near(table, table.select(F.col("name").alias("query")))._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("SortMergeJoin [part")[0]
+    assert "Aggregate" not in above and "Exchange" not in above and "Sort [" not in above
+
+
+def test_near_of_long_texts_and_small_blocks(spark, monkeypatch):
+    """Queries of any length, in 8, 16, 32, 64 bits and beyond, rows that are there twice, names in two cases, other columns."""
+    monkeypatch.setattr(fuzzy, "SYMBOLS", 7)
+    monkeypatch.setattr(fuzzy, "QUERIES", 5)
+    draw = random.Random(11)
+    base = ["".join(draw.choices("abé.\n😀", k=n)) for n in (3, 8, 9, 16, 17, 31, 32, 33, 63, 64, 65, 66, 90, 200)]
+
+    def edited(text: str) -> str:
+        for _ in range(draw.randint(0, len(text) // 2)):
+            k = draw.randrange(len(text) + 1)
+            text = text[:k] + draw.choice(["", "a", "Z"]) + text[k + draw.randint(0, 1) :]
+        return text
+
+    rows = [(edited(draw.choice(base)) + "." + edited(b), edited(b), k % 3) for k, b in enumerate(base * 5)] + [("x" + base[-1], None, 1), ("A.B", "B", 0), ("a.b", "b", 0)]
+    asked = [edited(b) for b in base for _ in range(3)] + [base[-1], base[-3][5:], "B", "b"]
+    table, queries = spark.createDataFrame(rows + rows[:9], "path string, name string, ord int").cache(), spark.createDataFrame([(q,) for q in asked], "query string")
+    got = sorted((r.query, r.path, r.name or "", r.ord, round(r.score, 9)) for r in fuzzy.near(table, queries).collect())
+    off = lambda c: F.levenshtein(F.lower(c), F.lower("query")) / F.greatest(F.length(c), F.length("query"), F.lit(1))
+    score = F.when(F.lower("path").contains(F.lower("query")), 0.0).otherwise(F.least(off("name"), off("path")))
+    want = table.distinct().crossJoin(F.broadcast(queries.filter("query <> ''").distinct())).withColumn("score", score).filter(F.col("score") <= 0.4).collect()
+    assert got == sorted((r["query"], r.path, r["name"] or "", r.ord, round(r.score, 9)) for r in want)
+
+
 def test_below_each(spark):
     rows = spark.createDataFrame([("a", 1), ("a.b", 2), ("a.b.c", 3), ("a.bc", 4), ("d.e", 5), ("", 6)], "path string, ord int")
     aliases = spark.createDataFrame([("x.one", "a.b"), ("a.b.two", "d.e"), ("x.lost", "z")], "path string, target string")
