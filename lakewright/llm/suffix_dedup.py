@@ -313,18 +313,15 @@ class _Owners:
         return self.different, lambda part: (self.different[part] & _LOW).astype(np.uint32).tobytes() + self.flag[part].tobytes()
 
     def left(self, answers: bytes) -> tuple | None:
-        """(id, row, first byte, windows, owner, hot, bytes, 96 bits of their hashes) of the stretches that may repeat."""
+        """(id, row, first byte, windows, owner, hot, bytes) of the stretches that may repeat."""
         got = np.empty(len(self.order), np.uint8)
         got[self.order] = np.repeat(np.frombuffer(answers, np.uint8), self.size)
         left = np.flatnonzero(got)
         if not len(left):
             return None
         first, count, row = self.first[left], self.count[left], self.row[left]
-        size = count.astype(np.int64) + EDGE
-        data, end = _gather(self.data, first, size), size.cumsum()
-        whole = data.tobytes()
-        digests = b"".join([hashlib.blake2b(whole[a:b], digest_size=12).digest() for a, b in zip((end - size).tolist(), end.tolist(), strict=True)])
-        return self.ids[row], row.astype(np.uint32), (first - self.offsets[row]), count, self.hash[left], got[left] > 1, data, np.frombuffer(digests, np.uint32)
+        data = _gather(self.data, first, count.astype(np.int64) + EDGE)
+        return self.ids[row], row.astype(np.uint32), (first - self.offsets[row]), count, self.hash[left], got[left] > 1, data
 
 
 def _judge_owners(blobs: list[bytes], hot_places: int) -> list[bytes]:
@@ -345,10 +342,13 @@ class _Stretches:
     """Round two: equal stretches of owners collapse into the one of the smallest document."""
 
     def __init__(self, state: tuple):
-        self.id, self.row, self.first, self.count, self.owner, self.hot, self.data, digests = state
+        self.id, self.row, self.first, self.count, self.owner, self.hot, self.data = state
         self.size = self.count.astype(np.int64) + EDGE
         self.end = self.size.cumsum()
-        parts = digests.reshape(-1, 3).astype(np.uint64)
+        whole = self.data.tobytes()
+        # twice a round, as hashes do not compress and the shuffle of states would carry them
+        digests = b"".join([hashlib.blake2b(whole[a:b], digest_size=12).digest() for a, b in zip((self.end - self.size).tolist(), self.end.tolist(), strict=True)])
+        parts = np.frombuffer(digests, np.uint32).reshape(-1, 3).astype(np.uint64)
         self.one, self.two = parts[:, 0] << np.uint64(32) | parts[:, 1], parts[:, 2].astype(np.uint32)
         route = np.where(self.hot, self.one, self.owner)
         self.order = np.lexsort((self.two, self.one, route))
