@@ -8,10 +8,10 @@ owner at the same place: only owners and the stretch of bytes that their windows
 2. Equal stretches of the owners left collapse into one with its smallest document; all others that
    hold the same stretch lose its windows. What stays are stretches that differ from the others of
    their owner: the ends of passages, and copies with edits.
-3. These meet by owner, as shards of a bounded size. Each gets a suffix array by Larsson-Sadakane
+3. These meet by ranges of owners, as shards of a bounded size. Each gets a suffix array by Larsson-Sadakane
    refinement: suffixes sorted by eight bytes, then groups of equal ones alone by the rank of what
    follows, at twice the depth each round. Kasai's common prefixes tell where windows are equal over their
-   whole width, and the shards' sorted windows are merged by binary search, which leaves the smallest document
+   whole width, and the sorted windows of a range's shards are merged by binary search, which leaves the smallest document
    of each window. A bit for each window goes back.
 
 A round is one exchange of some 5 to 30 bytes an owner; texts stay in their shards. Owners that stand in
@@ -346,7 +346,7 @@ class _Stretches:
         self.size = self.count.astype(np.int64) + EDGE
         self.end = self.size.cumsum()
         whole = self.data.tobytes()
-        # twice a round, as hashes do not compress and the shuffle of states would carry them
+        # taken again for the answers: hashes do not compress, and kept with the stretches they would move with them
         digests = b"".join([hashlib.blake2b(whole[a:b], digest_size=12).digest() for a, b in zip((self.end - self.size).tolist(), self.end.tolist(), strict=True)])
         parts = np.frombuffer(digests, np.uint32).reshape(-1, 3).astype(np.uint64)
         self.one, self.two = parts[:, 0] << np.uint64(32) | parts[:, 1], parts[:, 2].astype(np.uint32)
